@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe, substring
+from corpusforge.llm import bpe, langid, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(_table(spark, sf_dir, "documents"), ranks())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs, langid.fold() != 1, per_language=400)
+    held_out = F.coalesce(langid.fold() == 1, F.lit(False)).alias("held_out")
+    return langid.identify(docs, model).select(F.col("doc_id").cast("long").alias("doc_id"), held_out, "lang_pred", "score", "rejected")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_digests(_table(spark, sf_dir, "documents"), length=35)
 
