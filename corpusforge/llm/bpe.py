@@ -325,10 +325,15 @@ class Encoder:
         for k in range(len(texts)):
             yield starts[at[k] + 1 : at[k + 1]] - (resets[k] + 1), [found[i] for i in kind[at[k] + 1 : at[k + 1]]]
 
+    @staticmethod
+    def ids(found: list) -> np.ndarray:
+        """The ids of a text's entries."""
+        return np.fromstring(" ".join([e[1] for e in found]), np.int32, sep=" ")
+
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """(ids, start of each id's piece in code points) of each text."""
         for starts, found in self.entries(texts):
-            yield [int(i) for e in found for i in e[1].split()], [int(s) for s, e in zip(starts, found) for _ in range(e[0])]
+            yield self.ids(found).tolist(), [int(s) for s, e in zip(starts, found) for _ in range(e[0])]
 
 
 _encoders: dict[bytes, Encoder] = {}
@@ -359,14 +364,15 @@ def encode_documents(docs: DataFrame, rank_lines: bytes, text: str = "text", key
     def run(batches):
         enc = encoder(ranks.value)
         for batch in batches:
-            for part in slices(batch, text, SLICE_BYTES):
-                both = list(enc.encode(_texts(part, text)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(key), pa.array([b[0] for b in both], pa.list_(pa.int32())), pa.array([b[1] for b in both], pa.list_(pa.int32()))],
-                    [key, "ids", "offsets"],
-                )
+            for part in slices(batch, "text", SLICE_BYTES):
+                ids, offsets = [], []
+                for starts, found in enc.entries(_texts(part, "text")):
+                    ids.append(enc.ids(found))
+                    offsets.append(np.repeat(starts, [e[0] for e in found]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(ids, pa.list_(pa.int32())), pa.array(offsets, pa.list_(pa.int32()))], [key, "ids", "offsets"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>, offsets array<int>")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"{key} {rows.schema['key'].dataType.simpleString()}, ids array<int>, offsets array<int>")
 
 
 def decode_ids(encoded: DataFrame, rank_lines: bytes, key: str = "doc_id") -> DataFrame:
@@ -382,24 +388,27 @@ def decode_ids(encoded: DataFrame, rank_lines: bytes, key: str = "doc_id") -> Da
     return encoded.select(key, "ids").mapInArrow(run, f"{key} {encoded.schema[key].dataType.simpleString()}, data binary")
 
 
-def encoding_digests(docs: DataFrame, rank_lines: bytes) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each whole text encoded, its ids
-    decoded again, and both hashed in the same pass, so that no id leaves the worker."""
+def encoding_digests(docs: DataFrame, rank_lines: bytes, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ids array<int> if asked for: each
+    whole text encoded, its ids decoded again, and both hashed in the same pass."""
     ranks = docs.sparkSession.sparkContext.broadcast(rank_lines)
 
     def run(batches):
         enc = encoder(ranks.value)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                count, ids, data = [], [], []
+                count, ids, data, lists = [], [], [], []
                 for _, found in enc.entries(_texts(part, "text")):
                     count.append(sum([e[0] for e in found]))
                     ids.append(hashlib.sha256(" ".join([e[1] for e in found]).encode()).hexdigest())
                     data.append(hashlib.sha256(b"".join([e[2] for e in found])).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                    if with_ids:
+                        lists.append(enc.ids(found))
+                columns = [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns, names = [*columns, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -206,9 +206,8 @@ def leader_groups(classes: DataFrame, match: int, limit: int = GROUP_SHINGLES) -
     return members.select("ld", "lx", F.explode(tiles).alias("tile"), "d", "x")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", limit: int = GROUP_SHINGLES) -> DataFrame:
-    """(key, n_shingles, component_id, kept): links at a Jaccard similarity of percent or more
-    between sets of size-word shingles; component_id is the least key that can be reached."""
+def _judged(docs: DataFrame, size: int, percent: int, text: str, key: str, limit: int) -> DataFrame:
+    """(d, x, n, component, kept) of each row."""
     marked = written(signatures(docs, size, text, key))
     usable = marked.where("n > 0 and d is not null")
     classes = usable.groupBy("s1", "s2").agg(F.min(F.struct("d", "x", "n", "low")).alias("c")).select("s1", "s2", "c.*")
@@ -217,9 +216,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     texts = groups.join(_rows(docs, text, key), ["d", "x"]).select("ld", "lx", "tile", "d", "x", "text")
     sorted_groups = texts.repartition("ld", "lx", "tile").sortWithinPartitions("ld", "lx", "tile", "d", "x")
     links = sorted_groups.mapInArrow(_stars(size, percent), "ad long, ax long, bd long, bx long")
-    labels = components(links.select(F.struct(F.col("ad").alias("d"), F.col("ax").alias("x")).alias("a"), F.struct(F.col("bd").alias("d"), F.col("bx").alias("x")).alias("b")))
-    found = labels.select(F.col("node.d").alias("d"), F.col("node.x").alias("x"), F.col("label.d").alias("component"))
-    of_class = classes.select("s1", "s2", "d", "x").join(found, ["d", "x"], "left").select("s1", "s2", F.coalesce("component", "d").alias("component"))
-    out = marked.select("d", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("d").isNotNull(), F.col("component")).otherwise(F.col("d"))
-    return out.select(F.col("d").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("d") == component, F.lit(True)).alias("kept"))
+    node = {c: F.struct(F.col(f"{c}d").alias("d"), F.col(f"{c}x").alias("x")).alias(c) for c in "ab"}
+    labels = components(links.select(node["a"], node["b"]))
+    found = labels.select("node.d", "node.x", F.col("label").alias("least"))
+    of_class = classes.select("s1", "s2", "d", "x").join(found, ["d", "x"], "left").select("s1", "s2", F.coalesce("least", F.struct("d", "x")).alias("least"))
+    out = marked.select("d", "x", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
+    linked = (F.col("n") > 0) & F.col("d").isNotNull()
+    least = F.when(linked, F.col("least")).otherwise(F.struct("d", "x"))
+    return out.select("d", "x", "n", least.alias("least"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", limit: int = GROUP_SHINGLES) -> DataFrame:
+    """(key, n_shingles, component_id, kept): links at a Jaccard similarity of percent or more
+    between sets of size-word shingles; component_id is the least key that can be reached."""
+    out = _judged(docs, size, percent, text, key, limit)
+    kept = F.coalesce(F.col("d") == F.col("least.d"), F.lit(True)).alias("kept")
+    return out.select(F.col("d").alias(key), F.col("n").alias("n_shingles"), F.col("least.d").alias("component_id"), kept)
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", limit: int = GROUP_SHINGLES) -> DataFrame:
+    """One row of each component, the one with the least key, with all its columns."""
+    judged = _judged(docs, size, percent, text, key, limit)
+    stay = judged.where(F.col("least") == F.struct("d", "x")).select(F.coalesce("d", F.lit(-(1 << 63))).alias("d"), "x").distinct()
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    row = F.struct(*(f"`{c.replace('`', '``')}`" for c in docs.columns)).alias("row")
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(body).alias("x"), row)
+    # A row that repeats key and text is the same document once more.
+    return rows.join(stay, ["d", "x"], "left_semi").groupBy("d", "x").agg(F.first("row").alias("row")).select("row.*")
