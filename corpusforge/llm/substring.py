@@ -63,30 +63,47 @@ def _settled(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return many, order[first[total >= 2]]
 
 
+#: Texts are hashed in slices of SLICE bytes; what occurs twice is looked for in GATHER bytes at a time.
+SLICE, GATHER = 1 << 20, 1 << 24
+
+
+def _gathered(batch: pa.RecordBatch, hashed):
+    """hashed(slice) for the slices of a part of the batch, joined column by column, part after part."""
+    held, size = [], 0
+    for part in slices(batch, "text", SLICE):
+        held.append(hashed(part))
+        size += part.column("text").nbytes
+        if size >= GATHER:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def _anchors(length: int):
     period, cover = cover_for(length)
     size = length - period + 1
 
+    def hashed(part):
+        words = Words(part.column("text"))
+        begin, code = words.windows(size)
+        owner = words.owner()[begin]
+        place = begin - words.first[owner]
+        keep = np.isin(place % period, cover) & (words.count[owner] >= length)
+        owner = owner[keep]
+        return code[keep], place[keep], np.asarray(part.column("t"))[owner], np.minimum(np.asarray(part.column("n")), 2)[owner]
+
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column("text"))
-                begin, code = words.windows(size)
-                owner = words.owner()[begin]
-                place = begin - words.first[owner]
-                keep = np.isin(place % period, cover) & (words.count[owner] >= length)
-                code, owner, place = code[keep], owner[keep], place[keep]
-                text = np.asarray(part.column("t"))
-                weight = np.minimum(np.asarray(part.column("n")), 2)[owner]
+            for code, place, text, weight in _gathered(batch, hashed):
                 many, sample = _settled(code, weight)
+                code = code.view(np.int64)
                 # What is settled here travels by its text; one row for each code tells other batches.
-                group = np.where(many, text[owner], code.view(np.int64))
-                mark = place * 2 + many
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([group, code.view(np.int64)[sample]])),
-                        pa.array(np.concatenate([mark, np.full(len(sample), -1)])),
-                        pa.array(np.concatenate([text[owner], np.zeros(len(sample), np.int64)])),
+                        pa.array(np.concatenate([np.where(many, text, code), code[sample]])),
+                        pa.array(np.concatenate([place * 2 + many, np.full(len(sample), -1)])),
+                        pa.array(np.concatenate([text, np.zeros(len(sample), np.int64)])),
                     ],
                     ["k", "mark", "t"],
                 )
@@ -97,38 +114,36 @@ def _anchors(length: int):
 def _extensions(length: int):
     period, _ = cover_for(length)
 
+    def hashed(part):
+        words = Words(part.column("text"))
+        marks = part.column("marks")
+        owner = np.repeat(np.arange(len(part)), np.diff(np.asarray(marks.offsets)))
+        spot = words.first[owner] + np.asarray(marks.flatten())
+        # A start is wanted if an anchor lies at most period - 1 words on.
+        delta = np.zeros(len(words.hash) + 1, np.int64)
+        np.add.at(delta, np.maximum(spot - period + 1, words.first[owner]), 1)
+        np.add.at(delta, spot + 1, -1)
+        whose = words.owner()
+        begin = np.flatnonzero(np.cumsum(delta[:-1]) > 0)
+        begin = begin[begin + length <= words.first[whose[begin] + 1]]
+        code = mix(range_hashes(words.hash, begin, begin + length, WORD_BASE))
+        check = mix(range_hashes(words.hash, begin, begin + length, WORD_BASE_2)) >> np.uint64(33)
+        owner = whose[begin]
+        return code, check, begin - words.first[owner], np.asarray(part.column("t"))[owner], np.minimum(np.asarray(part.column("n")), 2)[owner]
+
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column("text"))
-                marks = part.column("marks")
-                place = np.asarray(marks.flatten())
-                owner = np.repeat(np.arange(len(part)), np.diff(np.asarray(marks.offsets)))
-                spot = words.first[owner] + place
-                # A start is wanted if an anchor lies at most period - 1 words on.
-                delta = np.zeros(len(words.hash) + 1, np.int64)
-                np.add.at(delta, np.maximum(spot - period + 1, words.first[owner]), 1)
-                np.add.at(delta, spot + 1, -1)
-                wanted = np.cumsum(delta[:-1]) > 0
-                whose = words.owner()
-                begin = np.flatnonzero(wanted)
-                begin = begin[begin + length <= words.first[whose[begin] + 1]]
-                code = mix(range_hashes(words.hash, begin, begin + length, WORD_BASE))
-                check = mix(range_hashes(words.hash, begin, begin + length, WORD_BASE_2)) >> np.uint64(33)
-                owner = whose[begin]
-                place = begin - words.first[owner]
-                text = np.asarray(part.column("t"))
-                weight = np.minimum(np.asarray(part.column("n")), 2)[owner]
+            for code, check, place, text, weight in _gathered(batch, hashed):
                 many, sample = _settled(code ^ (check << np.uint64(33)), weight)
-                first, runs = _runs(owner[many], place[many])
-                code, check = code.view(np.int64), check.astype(np.int64)
-                lone = ~many
+                first, runs = _runs(text[many], place[many])
+                code, check, lone = code.view(np.int64), check.astype(np.int64), ~many
+                settled = text[many][first]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([code[lone], code[sample], text[owner[many][first]]])),
+                        pa.array(np.concatenate([code[lone], code[sample], settled])),
                         pa.array(np.concatenate([check[lone] << 32 | place[lone], check[sample] << 32, place[many][first]])),
                         pa.array(np.concatenate([np.ones(lone.sum(), np.int32), np.full(len(sample), -1, np.int32), runs.astype(np.int32) + 1])),
-                        pa.array(np.concatenate([text[owner[lone]], np.zeros(len(sample), np.int64), text[owner[many][first]]])),
+                        pa.array(np.concatenate([text[lone], np.zeros(len(sample), np.int64), settled])),
                     ],
                     ["k", "at", "run", "t"],
                 )

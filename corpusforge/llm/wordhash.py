@@ -125,7 +125,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 22):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """The batch in runs of rows of about ``limit`` bytes of text, so that working
     arrays stay bounded whatever the batch size; a longer text is a run of its own."""
     if not batch.num_rows:
