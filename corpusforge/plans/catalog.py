@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusforge.plans import retrieval_queries, text_queries
+from corpusforge.plans import retrieval_queries, rule_queries, text_queries
 
-MODULES = (text_queries, retrieval_queries)
+MODULES = (text_queries, retrieval_queries, rule_queries)
 
 
 def queries() -> dict:
