@@ -10,7 +10,8 @@ TOKEN = r"([₹a-z0-9]+(?:\.[0-9]+)?%?)"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z₹0-9\"'(])"
 COUNT_GAP = r"(?<=[.!?])[\"')\]]*\s+"
 ABBREVIATION = r"(?i)(?:Rs|Mr|Mrs|Ms|Dr|vs|etc|No|approx)\.$"
-DECIMAL_TAIL = r"\d\.$"
+COUNT_ABBREVIATIONS = "mr mrs ms dr prof vs etc e.g i.e approx no fig rs inr min max incl excl cf ca".split()
+DECIMAL = r"\d[.!?]\d"
 FIGURE = r"([₹$]?\s?\d[\d,]*\.?\d*\s?(?:%|x|X\b)?)"
 MARKER = r"(?i)\[S\d+\]"
 URL = r"(?i)(https?://[^\s<>\])\"']+)"
@@ -47,9 +48,10 @@ def sentences(text: Column) -> Column:
 
 
 def count_sentences(text: Column) -> Column:
-    """How many sentences an answer has: a later piece counts unless it ends in an abbreviation or a decimal's head."""
+    """How many sentences an answer has: a later piece counts unless its last word is an abbreviation or its end a decimal."""
     parts = _pieces(F.trim(text), COUNT_GAP)
-    later = F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda s: ~(s.rlike(ABBREVIATION) | s.rlike(DECIMAL_TAIL)))
+    last = lambda s: F.lower(F.regexp_replace(F.regexp_extract(s, "([^ ]*)$", 1), "[.!?]+$", ""))
+    later = F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda s: ~(last(s).isin(COUNT_ABBREVIATIONS) | F.right(s, F.lit(4)).rlike(DECIMAL)))
     return F.when(F.size(parts) == 0, 0).otherwise(1 + F.size(later)).cast("int")
 
 

@@ -45,9 +45,10 @@ def write_index(chunks: DataFrame, path: str) -> None:
 
 
 def index_present(spark: SparkSession, path: str) -> bool:
-    """Whether an index has been written there whole; asked of the path's own file system."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    """Whether an index has pages there; asked of the path's own file system."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.exists(jvm_path) and any(f.getPath().getName().startswith("page_id=") for f in store.listStatus(jvm_path))
 
 
 def vector_of(text: str, dim: int) -> np.ndarray:

@@ -87,10 +87,12 @@ def resolve_citation(draft: Column, candidates: Column) -> Column:
     """The cited candidate: by marker, else by a link that a candidate has, else the best one.
 
     candidates: array of structs with source_url and fused_rank, in rank order."""
+    # A full stop after a link is no part of it.
+    links = F.transform(T.urls(draft), lambda u: F.regexp_replace(u, "[.,;:!?]+$", ""))
     by_marker = F.element_at(F.filter(F.transform(markers(draft), lambda m: F.get(candidates, m - 1)), lambda c: c.isNotNull()), 1)
-    by_link = F.element_at(F.filter(candidates, lambda c: F.array_contains(T.urls(draft), c["source_url"])), 1)
+    by_link = F.element_at(F.filter(candidates, lambda c: F.array_contains(links, c["source_url"])), 1)
     in_bounds = F.size(F.filter(markers(draft), lambda m: (m >= 1) & (m <= F.size(candidates)))) > 0
-    has_link = F.exists(candidates, lambda c: F.array_contains(T.urls(draft), c["source_url"]))
+    has_link = F.exists(candidates, lambda c: F.array_contains(links, c["source_url"]))
     return F.when(in_bounds, by_marker).when(has_link, by_link).otherwise(F.get(candidates, F.lit(0)))
 
 

@@ -179,7 +179,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _COUNT_PARTS = "list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])[\"'')\\]]*\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda s: trim(s)), lambda s: s <> '')"
-_LATER = "len(list_filter(parts[2:], lambda s: NOT regexp_matches(s, '(?i)(?:Rs|Mr|Mrs|Ms|Dr|vs|etc|No|approx)\\.$') AND NOT regexp_matches(s, '\\d\\.$')))"
+_LATER = f"len(list_filter(parts[2:], lambda s: NOT list_contains({T.COUNT_ABBREVIATIONS}, lower(rtrim(regexp_extract(s, '[^ ]*$'), '.!?'))) AND NOT regexp_matches(right(s, 4), '\\d[.!?]\\d')))"
 _COUNTED = f"(SELECT *, CASE WHEN len(parts) = 0 THEN 0 ELSE 1 + {_LATER} END AS n FROM (SELECT *, {_COUNT_PARTS} AS parts FROM documents))"
 _SIMPLE = "CAST(greatest(1, len(regexp_extract_all(text, '\\w+|[^\\w\\s]'))) AS INTEGER)"
 _HEAVY = (

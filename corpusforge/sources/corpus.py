@@ -76,7 +76,7 @@ def link_for(intents: DataFrame, links: DataFrame, default: str = "default") ->
 def raw_pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, fetched_at, bytes, html) of fetched page files; empty files count as missing."""
     files = spark.read.format("binaryFile").load(path).where("length > 0")
-    return files.select("path", F.col("modificationTime").alias("fetched_at"), F.col("length").alias("bytes"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    return files.select("path", F.col("modificationTime").alias("fetched_at"), F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("html"))
 
 
 def threshold(env: str | None, calibration: DataFrame | None) -> float:
