@@ -16,7 +16,9 @@ def fact_coverage(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def fact_snippets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fact, snippet): 60 characters before each fact's first place and 100 after it."""
-    found = F.array(*(F.struct(F.lit(n).alias("fact"), F.regexp_extract(F.col(text), f"(?is)(.{{0,60}}(?:{p}).{{0,100}})", 1).alias("snippet")) for n, p in V.FACTS))
+    # The bounded run before a fact is tried at every place, so only texts that hold the fact pay for it.
+    snippet = lambda p: F.when(F.col(text).rlike(f"(?i)(?:{p})"), F.regexp_extract(F.col(text), f"(?is)(.{{0,60}}(?:{p}).{{0,100}})", 1))
+    found = F.array(*(F.struct(F.lit(n).alias("fact"), snippet(p).alias("snippet")) for n, p in V.FACTS))
     rows = docs.select(key, F.explode(found).alias("f")).select(key, "f.fact", F.trim(F.regexp_replace("f.snippet", r"\s+", " ")).alias("snippet"))
     return rows.where("snippet != ''")
 

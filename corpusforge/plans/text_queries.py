@@ -124,6 +124,10 @@ def fact_coverage(spark, d):
     return profiling.fact_coverage(documents(spark, d))
 
 
+def fact_snippets(spark, d):
+    return profiling.fact_snippets(documents(spark, d).unionByName(_answers(spark).select(F.col("id").cast("long").alias("doc_id"), "text"), allowMissingColumns=True))
+
+
 def perf_density(spark, d):
     return profiling.perf_density(documents(spark, d))
 
@@ -174,7 +178,7 @@ def dedup_first(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     tokenize, norm_ws, sentence_split, sentences, count_sentences, token_count, block_offsets, compose_chunk, word_windows, pack_sentences, chunks, heading_carry, return_heavy, chunk_ids,
-    chunk_stats, question_ref, norm_number, figures, strip_urls, trim_sentences, delimiters, fact_coverage, perf_density, flat_text, thin_pages, block_dedup, drop_text, html_blocks,
+    chunk_stats, question_ref, norm_number, figures, strip_urls, trim_sentences, delimiters, fact_coverage, fact_snippets, perf_density, flat_text, thin_pages, block_dedup, drop_text, html_blocks,
     html_strip, html_chunks, too_long, hash_embed, dedup_first,
 )}
 

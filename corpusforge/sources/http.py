@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable
 
@@ -48,3 +50,25 @@ def fetch(pages: DataFrame, attempts: int = 2, open: Callable[[str], str] = get)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(html, pa.string()), pa.array(errors, pa.string())], ["page_id", "html", "error"])
 
     return pages.select("page_id", "source_url").mapInArrow(run, "page_id string, html string, error string")
+
+
+def retryable(error: Exception) -> bool:
+    return not isinstance(error, urllib.error.HTTPError) or error.code in RETRY
+
+
+def post(url: str, body: dict, key: str | None = None) -> dict:
+    head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+    with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), head), timeout=60) as answer:
+        return json.load(answer)
+
+
+def generator(url: str, model: str, key: str | None = None, retries: int = 2, send: Callable[[str, dict, str | None], dict] = post) -> Callable[[str, list], str]:
+    """A generator for ``operators.answers`` that asks a chat-completions endpoint; only passing faults are tried again."""
+
+    def run(question: str, candidates: list) -> str:
+        blocks = "\n\n".join(f"[S{i}] {c['text']}" for i, c in enumerate(candidates, 1))
+        turns = [{"role": "system", "content": "Answer from the numbered blocks alone, in three sentences at most, and cite them."}, {"role": "user", "content": f"{blocks}\n\nQuestion: {question}"}]
+        body = {"model": model, "messages": turns, "temperature": 0, "max_tokens": 400}
+        return attempt(lambda: send(url, body, key)["choices"][0]["message"]["content"], 1 + retries, lambda n: 0.5 * 2 ** (n - 1), retryable)
+
+    return run

@@ -113,3 +113,36 @@ def test_metrics_unavailable(spark):
     checks = spark.createDataFrame([(1, "M-2", "x", True), (1, "M-3", "y", False)], "id int, metric string, name string, passed boolean")
     by = {r.metric: r.status for r in evaluation.metrics(checks).collect()}
     assert by["M-2"] == "pass" and by["M-3"] == "fail" and by["M-1"] == "unavailable" and len(by) == 7
+
+
+def test_generator_retries_passing_faults_only():
+    import urllib.error
+
+    sent = []
+
+    def send(url, body, key):
+        sent.append(body)
+        if len(sent) == 1:
+            raise urllib.error.HTTPError(url, 503, "busy", None, None)
+        if body["model"] == "bad":
+            raise urllib.error.HTTPError(url, 400, "no", None, None)
+        return {"choices": [{"message": {"content": "It is so [S1]."}}]}
+
+    ask = http.generator("http://x", "m", send=send)
+    assert ask("q", [{"text": "t"}]) == "It is so [S1]." and len(sent) == 2
+    with pytest.raises(urllib.error.HTTPError):
+        http.generator("http://x", "bad", send=send)("q", [])
+    assert len(sent) == 3
+
+
+def test_command_line_ingest_is_idempotent(spark, tmp_path):
+    from corpusforge.__main__ import main
+
+    source, index = str(tmp_path / "pages"), str(tmp_path / "idx")
+    body = "<html><body><main><h1>T{0}</h1><p>" + "Some words stand here. " * 40 + "</p></main></body></html>"
+    rows = [(f"p{i}", body.format(i)) for i in range(3)]
+    spark.createDataFrame([*rows, ("thin", "<p>x</p>")], "page_id string, html string").write.parquet(source)
+    assert main(["ingest", source, index, "--min-chars", "200"]) == 1
+    first = sorted(map(str, spark.read.parquet(index).collect()))
+    assert main(["ingest", source, index, "--min-chars", "200"]) == 1
+    assert sorted(map(str, spark.read.parquet(index).collect())) == first and spark.read.parquet(index + "-manifest").count() == 3

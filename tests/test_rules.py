@@ -107,3 +107,9 @@ def test_validate(drafts):
 def test_grounding_variants(spark):
     row = spark.sql("select 'It is 5.' d, 'It is 500.' e").select(screens.ungrounded(F.col("d"), F.col("e")).alias("a"), screens.ungrounded_exact(F.col("d"), F.col("e")).alias("b")).first()
     assert len(row.a) == 0 and len(row.b) == 1
+
+
+def test_bare_otp():
+    cases = {"here 482913 ok": 1, "in 2013": 0, "goal is 500000": 0, "₹ 50000": 0, "ORD 50231": 0, "45000 % up": 0, "code 1234": 0, "x48291": 0}
+    assert [len(pii.find_spans(t, bare=True)) for t in cases] == list(cases.values())
+    assert pii.find_spans("here 482913 ok") == []
