@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.wordhash import BYTE_BASE, mix, range_hashes, slices
 
-SLICE_BYTES = 1 << 21
-CACHE_PIECES = 1 << 18
+SLICE_BYTES = 1 << 19
+CACHE_PIECES = 1 << 17
 #: Bytes up to which pieces are merged side by side.
 SHORT = 64
-TABLE_BITS = 21
+TABLE_BITS = 19
 
 # Code point classes.
 OTHER, LETTER, NUMBER, SPACE, WHITE = range(5)

@@ -23,3 +23,11 @@ def written(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lean(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches where the session has Spark's own default: texts are long rows, and
+    two batches are held on either side of the pipe.  No result depends on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))

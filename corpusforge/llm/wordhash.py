@@ -8,6 +8,9 @@ multiplication with a power of B's inverse.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,6 +18,7 @@ _MASK = (1 << 64) - 1
 #: Odd multipliers; any odd numbers without short periods modulo 2**64 would do.
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -137,3 +141,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
         end = min(end, batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin = end
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back: a worker process outlives its task, and its heap counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
