@@ -127,8 +127,7 @@ def sequence(html: str) -> list[tuple[str, str, int]]:
         nonlocal linked, total
         if total and linked * 10 > total * 6 and block_name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"):
             for i in block:
-                if out[i][0] == PLAIN or out[i][0] == LINKED:
-                    out[i] = (STRIPPED, *out[i][1:])
+                out[i] = (STRIPPED, *out[i][1:])
         else:
             for i in block:
                 if out[i][0] == LINKED:
@@ -206,7 +205,7 @@ def main_text(html: str) -> str:
         total += score
         if total > best:
             best, span = total, (begin, i + 1)
-    parts = [text if feature == PLAIN else " " if feature == STRIPPED else text for feature, text, _ in found[span[0] : span[1]] ]
+    parts = [" " if feature == STRIPPED else text for feature, text, _ in found[span[0] : span[1]]]
     return " ".join("".join(parts).split())
 
 

@@ -7,8 +7,6 @@ from corpusforge.llm import queries
 
 from .conftest import words
 
-pytest_plugins: list[str] = []
-
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
