@@ -155,13 +155,14 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 0
 
 
 def sample(rows: DataFrame, per_language: int) -> DataFrame:
-    """At most per_language of the rows (key, lang, text) of each language, those with the
-    lowest key hashes.  Hashes alone are ranked first, and only texts under a language's
-    last rank move."""
-    rows = rows.where("text is not null and lang is not null").withColumn("rank_hash", F.xxhash64("key"))
-    ranked = rows.select("lang", "rank_hash").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank_hash")))
-    last = ranked.where(F.col("place") <= per_language).groupBy("lang").agg(F.max("rank_hash").alias("last"))
-    near = rows.join(last, "lang").where("rank_hash <= last")
+    """At most per_language of the rows (key, lang, text) of each language, those with the lowest
+    key hashes.  The counts by language (one row for each class of the model, so they can be
+    broadcast) give the share of hashes that holds about three times as many rows; only these
+    are ranked and moved."""
+    rows = rows.where("text is not null and lang is not null")
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), 3.0 * per_language / F.count("*")).alias("share"))
+    rows = rows.withColumn("rank_hash", F.xxhash64("key"))
+    near = rows.join(F.broadcast(share), "lang").where(F.col("rank_hash") / 2.0**64 + 0.5 <= F.col("share"))
     first = Window.partitionBy("lang").orderBy("rank_hash", "key", "text")
     return near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language).select("text", "lang")
 
