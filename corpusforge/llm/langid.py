@@ -32,7 +32,7 @@ from corpusforge.llm.wordhash import mix, slices
 #: n-gram lengths; hash buckets; embedding width.
 ORDERS, BUCKETS, WIDTH = (1, 2, 3), 1 << 16, 16
 UNKNOWN = "und"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _letters: np.ndarray | None = None
 
