@@ -9,9 +9,9 @@
 3. All members of a posting list meet at the list's leader, the member whose pairs are the
    most frequent (in a group of near copies, their common source).  Lists with the same
    leader are merged, so that a text comes once for each leader, and never in pairs.
-4. In a leader's group links are confirmed on full shingle sets: first the leader against
-   all, then whoever isn't yet in the leader's component against all.  What comes out is one
-   star for each component found.  A group of more than ``GROUP_SHINGLES`` is cut into
+4. In a leader's group collisions of signatures are counted, and pairs with ``match`` or more
+   are confirmed on full shingle sets: first the leader against all, then whoever isn't yet in
+   the leader's component against all.  What comes out is one star for each component found.  A group of more than ``GROUP_SHINGLES`` is cut into
    blocks, and every two blocks of it meet in a task of their own.
 5. The stars' connected components are the result.
 
@@ -66,8 +66,21 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, int]:
     return owner, code, len(words)
 
 
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minima(code: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The signature of each set: for every coordinate the least of its multiplied hashes; sets come in order, count has their sizes."""
+    low = np.zeros((len(count), COORDINATES), np.int32)
+    has = count > 0
+    first = (np.cumsum(count) - count)[has]
+    if len(code):
+        for i, factor in enumerate(FACTORS):
+            low[has, i] = (np.minimum.reduceat(code * factor, first) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return low
+
+
 def _signatures(size: int):
-    factors = np.random.default_rng(SEED).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for batch in batches:
@@ -77,12 +90,10 @@ def _signatures(size: int):
                 has = count > 0
                 first = (np.cumsum(count) - count)[has]
                 sums = np.zeros((2, n), np.uint64)
-                low = np.zeros((n, COORDINATES), np.int32)
+                low = minima(code, count)
                 if len(code):
                     for i, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
                         sums[i, has] = np.add.reduceat(mix(code ^ np.uint64(salt)), first)
-                    for i, factor in enumerate(factors):
-                        low[has, i] = (np.minimum.reduceat(code * factor, first) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 bounds = pa.array(np.arange(n + 1) * COORDINATES, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -101,6 +112,7 @@ def _signatures(size: int):
 
 def _stars(size: int, percent: int):
     """Confirms links inside the groups (leader, tile) of rows that come sorted by group."""
+    match = match_threshold(percent)
 
     def group(part: pa.RecordBatch, owner: np.ndarray, code: np.ndarray):
         d, x = part.column("d").to_pylist(), part.column("x").to_pylist()
@@ -108,6 +120,7 @@ def _stars(size: int, percent: int):
         count = np.bincount(owner, minlength=len(d))
         first = np.cumsum(count) - count
         _, kind = np.unique(code, return_inverse=True)
+        low = minima(code, count)
         root = list(range(len(d)))
 
         def find(i):
@@ -121,11 +134,12 @@ def _stars(size: int, percent: int):
         for i in [main, *(i for i in range(len(d)) if i != main)]:
             if i != main and find(i) == find(main):
                 continue
+            collisions = (low == low[i]).sum(axis=1)
             own = kind[first[i] : first[i] + count[i]]
             flag[own] = True
             common = np.add.reduceat(flag[kind].astype(np.int64), first)
             flag[own] = False
-            for j in np.flatnonzero(100 * common >= percent * (count + count[i] - common)).tolist():
+            for j in np.flatnonzero((collisions >= match) & (100 * common >= percent * (count + count[i] - common))).tolist():
                 if (a := find(i)) != (b := find(j)):
                     root[a] = b
         members: dict[int, list[tuple[int, int]]] = {}
