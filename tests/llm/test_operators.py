@@ -330,6 +330,50 @@ def test_lines(docs, no_docs, rows):
     assert linededup.dedup_lines(no_docs).count() == 0
 
 
+def without_runs(rows):
+    """{(key, text): lines left}: a line goes if it lies in a pair of lines with a word that stands earlier."""
+    nodes = sorted({(-(2**63) if r[0] is None else r[0], r[1] or "") for r in rows}, key=lambda n: n[0])
+    assert len({n[0] for n in nodes if n[0] >= 0}) == len([n for n in nodes if n[0] >= 0])
+    seen, out = {}, {}
+    for node in nodes:
+        lines = node[1].split("\n")
+        gone = set()
+        for i in range(len(lines) - 1):
+            pair = lines[i] + "\n" + lines[i + 1]
+            if WORD.search(pair) and (at := seen.setdefault(pair, (node, i))) not in ((node, i), (node, i - 1)):
+                gone |= {i, i + 1}
+        out[node] = [x for i, x in enumerate(lines) if i not in gone]
+    return out
+
+
+def test_runs(spark, docs, no_docs, rows):
+    more = [(200, "a\na\na\na\na"), (201, "b\n\nc"), (202, "x\nb\n\nc\ny"), (203, "\n\n\n"), (204, "\n\n\n"), (205, "c\nd"), (206, "b\n\nc\nd")]
+    given = [(r[0], r[1]) for r in rows] + more
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    left = without_runs(given)
+    wanted = Counter()
+    for k, t in given:
+        lines = left[-(2**63) if k is None else k, t or ""]
+        n = len((t or "").split("\n"))
+        wanted[k, "\n".join(lines) if len(lines) < n else t, n, n - len(lines)] += 1
+    assert listed(linededup.dedup_runs(df)) == wanted
+    assert linededup.dedup_runs(docs).columns == [*docs.columns, "n_lines", "n_removed"]
+    assert linededup.dedup_runs(no_docs).count() == 0
+
+
+def test_runs_go_from_head_to_tail(spark):
+    """Passages of 2 to 7 lines at any place, in the pipeline's stage: nothing of the later copy stays."""
+    import corpus_pipeline
+
+    rows = []
+    for i in range(48):
+        passage = [f"passage {i} line {j}" for j in range(2 + i % 6)]
+        rows += [(2 * i, "\n".join([f"own {i}", *passage])), (2 * i + 1, "\n".join([*(f"head {i} {j}" for j in range(i % 5)), *passage, f"tail {i}"]))]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    for k, text in rows:
+        assert got[k] == (text if k % 2 == 0 else "\n".join(x for x in text.split("\n") if not x.startswith("passage")))
+
+
 # op 1
 
 
