@@ -4,15 +4,17 @@ Base rules count words, symbols, repeated lines and repeated word windows of eac
 Then lines are normalised (lower case, white space runs to one space, trimmed) and hashed;
 for each host the documents that hold a line are counted; a line in more than ``max_docs``
 documents of its host is boilerplate.  A document that would keep less than ``min_left``
-percent of its words without boilerplate lines is depleted and rejected.
+percent of its words without boilerplate lines is depleted and rejected.  ``judge`` counts the
+boilerplate lines found and ``without_boilerplate`` gives the texts without the same lines.
 
 Shuffles: one row for each distinct line of a document, folded before it moves, and one row
 for each line to be looked up.  The looked-up side is salted, and the boilerplate lines, of
-which there are at most all lines / max_docs, are repeated for each salt.
+which there are at most all lines / max_docs, are repeated for each salt.  For texts, also
+the documents once, to meet the places of their boilerplate lines.
 
 Edges: a null text has no words and fails the base rules; a null host is a host of its own;
-every row counts as one document, also where rows repeat; lines without a word are ignored;
-other columns are ignored.
+every row counts as one document, also where rows repeat; lines without a word are ignored
+and stay; other columns are ignored by ``judge`` and pass through ``without_boilerplate``.
 """
 
 from __future__ import annotations
@@ -59,8 +61,12 @@ def boilerplate(docs: DataFrame, max_docs: int, text: str = "text", host: str =
     return rows.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "line")
 
 
-def judge(docs: DataFrame, max_docs: int = 20, min_left: int = 50, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
-    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_boilerplate_words)."""
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _looked_up(docs: DataFrame, max_docs: int, min_left: int, text: str, host: str, key: str) -> DataFrame:
+    """(key, host, x, counts, copies, gone, gone_at, base_failed, kept) of each key, host and text hash; gone_at array<int>:
+    the boilerplate lines among the lines with a word, from 0; gone: their words."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.col(host).cast("string").alias("host"), body.alias("text"))
     rows = rows.select("key", "host", "text", F.xxhash64("text").alias("x"), words(F.col("text")).alias("words"))
@@ -72,14 +78,14 @@ def judge(docs: DataFrame, max_docs: int = 20, min_left: int = 50, text: str = "
         repeated_window_words("words").cast("long").alias("n_repeat_words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    counts = COUNTS
     rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     parts = F.transform("lines", lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.size(words(x)).alias("size")))
     parted = rows.select("key", "host", "x", *counts, F.posexplode_outer(parts).alias("at", "part"))
     first = F.coalesce(F.col("at") == 0, F.lit(True))
     # A document's counts travel with its first line only.
     parted = parted.select(
-        "key", "host", "x", *(F.when(first, F.col(c)).alias(c) for c in counts), first.cast("int").alias("first"),
+        "key", "host", "x", "at", *(F.when(first, F.col(c)).alias(c) for c in counts), first.cast("int").alias("first"),
         F.col("part.line").alias("line"), F.col("part.size").alias("size"), F.pmod(F.xxhash64("x", "at"), F.lit(SALTS)).cast("int").alias("salt"),
     )
     common = boilerplate(docs, max_docs, text, host).select(
@@ -87,13 +93,40 @@ def judge(docs: DataFrame, max_docs: int = 20, min_left: int = 50, text: str = "
     )
     met = parted.join(common, (F.col("line") == F.col("cline")) & F.col("host").eqNullSafe(F.col("chost")) & (F.col("salt") == F.col("csalt")), "left")
     out = met.groupBy("key", "host", "x").agg(
-        *(F.max(c).alias(c) for c in counts), F.sum("first").cast("int").alias("copies"), F.sum(F.when(F.col("cline").isNotNull(), F.col("size")).otherwise(0)).alias("gone")
-    )
+        *(F.max(c).alias(c) for c in counts), F.sum("first").cast("int").alias("copies"), F.sum(F.when(F.col("cline").isNotNull(), F.col("size")).otherwise(0)).alias("gone"),
+        F.collect_set(F.when(F.col("cline").isNotNull(), F.col("at"))).alias("gone_at"),
+    )
     # Rows that repeat key, host and text were counted together.
-    out = out.withColumn("gone", F.expr("gone div copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    out = out.withColumn("gone", F.expr("gone div copies"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = 100 * (F.col("n_words") - F.col("gone")) >= min_left * F.col("n_words")
-    return out.select(F.col("key").alias(key), *counts, failed.alias("base_failed"), (~failed & left).alias("kept"), F.col("gone").alias("n_boilerplate_words"))
+    return out.select("key", "host", "x", *counts, "copies", "gone", "gone_at", failed.alias("base_failed"), (~failed & left).alias("kept"))
+
+
+def judge(docs: DataFrame, max_docs: int = 20, min_left: int = 50, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
+    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_boilerplate_words)."""
+    out = _looked_up(docs, max_docs, min_left, text, host, key).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select(F.col("key").alias(key), *COUNTS, "base_failed", "kept", F.col("gone").alias("n_boilerplate_words"))
+
+
+def without_boilerplate(
+    docs: DataFrame, max_docs: int = 20, min_left: int = 50, text: str = "text", host: str = "source", key: str = "doc_id", keep_rejected: bool = True
+) -> DataFrame:
+    """All rows and columns of docs, with ``text`` without its boilerplate lines; or without the rows that judge rejects."""
+    found = _looked_up(docs, max_docs, min_left, text, host, key).select(F.col("key").alias("fkey"), F.col("host").alias("fhost"), F.col("x").alias("fx"), "gone_at", "kept")
+    body = F.col(text).cast("string")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("doc"), F.col(key).alias("key"), F.col(host).cast("string").alias("host"), body.alias("body"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("x")
+    )
+    met = rows.join(found, (F.col("x") == F.col("fx")) & F.col("key").eqNullSafe(F.col("fkey")) & F.col("host").eqNullSafe(F.col("fhost")))
+    if not keep_rejected:
+        met = met.where("kept")
+    # The lines are bound to a name inside the expression, so that they are split once.
+    left = F.expr("""element_at(transform(array(split(body, '\n', -1)), lines -> element_at(transform(
+        array(filter(sequence(0, size(lines) - 1), i -> lines[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]')),
+        worded -> array_join(transform(array_except(sequence(0, size(lines) - 1), transform(gone_at, a -> worded[a])), i -> lines[i]), '\n')), 1)), 1)""")
+    cleaned = F.when(F.size("gone_at") > 0, left).otherwise(F.col("body"))
+    return met.select(*(cleaned.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -266,6 +266,24 @@ def test_quality(docs, no_docs, rows):
     assert quality.judge(no_docs).count() == 0
 
 
+def test_quality_removes_boilerplate(spark, docs, no_docs, rows):
+    normal = lambda line: " ".join(WORD.findall(line.lower()))
+    footer = "All  Rights reserved\nby the HOST"
+    more = [(300 + i, f"{footer}\n\n{'own ' * 9}{i}\n \n{' '.join(f'v{i}x{j}' for j in range(60))}\nall rights reserved {footer[4:]}\n", "en", "abc"[i % 2], 1, "l", i, "r", "z", 1, 2, "i", "h") for i in range(4)]
+    given = [*rows, *more, more[0]]
+    df = docs.union(spark.createDataFrame([*more, more[0]], docs.schema))
+    for limit in (1, 2, 20):
+        held = Counter((r[3], n) for r in given for n in {normal(x) for x in (r[1] or "").split("\n") if WORD.search(x)})
+        left = [(*r[:1], r[1] and "\n".join(x for x in r[1].split("\n") if not WORD.search(x) or held[r[3], normal(x)] <= limit), *r[2:]) for r in given]
+        out = quality.without_boilerplate(df, max_docs=limit)
+        assert out.schema == df.schema and listed(out) == Counter(left)
+        verdicts = quality.judge(df, max_docs=limit).collect()
+        assert Counter((v.doc_id, v.n_words - v.n_boilerplate_words) for v in verdicts) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in left)
+        kept = quality.without_boilerplate(df, max_docs=limit, keep_rejected=False)
+        assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == Counter(v.doc_id for v in verdicts if v.kept)
+    assert quality.without_boilerplate(no_docs).count() == 0
+
+
 # op 7
 
 
