@@ -1,8 +1,9 @@
 """Main text of HTML pages by a maximum-scoring subsequence of words and tags.
 
 A page is read once into a sequence of tags and text nodes.  Words of plain text score
-positive, tags negative; words in links or in page furniture count as tags do.  The weights
-are log odds learned from the labelled pages below.  One linear scan finds the contiguous run
+positive, tags and words in link blocks negative, with log odds learned from the labelled pages
+below.  What is marked as furniture is taken out and hardly costs anything, nor do the tags of
+a page that marks its main text itself: there the marks decide, elsewhere the scan.  One linear scan finds the contiguous run
 with the best total; the plain text inside it is the result.
 
 Furniture is what stands in elements for navigation, forms, scripts and the like, in elements
@@ -71,7 +72,8 @@ _WORDS = re.compile(r"[^\W_]+")
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in SKIPPED}
 
 TEXT, TAG = 0, 1
-PLAIN, LINKED, STRIPPED = "word", "linked word", "furniture word"
+PLAIN, LINKED, STRIPPED, MARKED = "word", "linked word", "furniture word", "tag in marked parts"
+WORDED = (PLAIN, LINKED, STRIPPED)
 
 
 def tokens(html: str):
@@ -127,7 +129,7 @@ def sequence(html: str) -> list[tuple[str, str, int]]:
         nonlocal linked, total
         if total and linked * 10 > total * 6 and block_name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote"):
             for i in block:
-                out[i] = (STRIPPED, *out[i][1:])
+                out[i] = (LINKED, *out[i][1:])
         else:
             for i in block:
                 if out[i][0] == LINKED:
@@ -149,7 +151,8 @@ def sequence(html: str) -> list[tuple[str, str, int]]:
         if name in BLOCKS:
             close_block()
             block_name = "" if closing else name
-        out.append((name, " " if name in BLOCKS or name == "br" else "", 0))
+        at, before = len(out), furniture
+        out.append((MARKED if has_main or furniture else name, " " if name in BLOCKS or name == "br" else "", 0))
         if name in SKIPPED or name in VOID:
             continue
         if not closing:
@@ -160,6 +163,8 @@ def sequence(html: str) -> list[tuple[str, str, int]]:
                 furniture, in_main = False, True
             elif not furniture:
                 furniture = _furniture(name, rest, in_main)
+            if furniture and not before:
+                out[at] = (MARKED, *out[at][1:])
             if name in KEPT_OPEN or furniture and name not in ("p", "hr"):
                 stack.append((name, furniture, in_main, link))
         elif any(s[0] == name for s in stack):
@@ -182,11 +187,12 @@ def learned(pages=None) -> dict[str, float]:
     for page in LABELLED if pages is None else pages:
         for content, markup in page:
             for feature, _, words in sequence(markup):
-                (inside if content else outside)[feature] += words or (feature not in (PLAIN, LINKED, STRIPPED))
+                (inside if content else outside)[feature] += words or (feature not in WORDED)
     names = set(inside) | set(outside)
     odds = {f: math.log((inside[f] + 1) / (inside.total() + len(names))) - math.log((outside[f] + 1) / (outside.total() + len(names))) for f in names}
-    # A tag costs a small part of a word, so that one word alone in its block still counts.
-    return {f: max(o, 0.5) if f == PLAIN else min(-0.01, -0.02 + 0.005 * min(0.0, o)) if f not in (LINKED, STRIPPED) else -0.001 for f, o in odds.items()}
+    # What is marked costs a small part of a word, so that one word alone after it still counts.
+    fixed = {MARKED: -0.01, STRIPPED: -0.001}
+    return {f: fixed.get(f, max(o, 0.5) if f == PLAIN else min(-0.01, o)) for f, o in odds.items()}
 
 
 _weights: dict[str, float] | None = None
@@ -199,13 +205,13 @@ def main_text(html: str) -> str:
     found = sequence(html)
     total, best, begin, span = 0.0, 0.0, 0, (0, 0)
     for i, (feature, _, words) in enumerate(found):
-        score = _weights.get(feature, -0.01) * (words if feature in (PLAIN, STRIPPED) else 1)
+        score = _weights.get(feature, -0.01) * (words if feature in WORDED else 1)
         if total <= 0:
             total, begin = 0.0, i
         total += score
         if total > best:
             best, span = total, (begin, i + 1)
-    parts = [" " if feature == STRIPPED else text for feature, text, _ in found[span[0] : span[1]]]
+    parts = [" " if feature in (STRIPPED, LINKED) else text for feature, text, _ in found[span[0] : span[1]]]
     return " ".join("".join(parts).split())
 
 

@@ -512,3 +512,13 @@ def test_html(spark):
 def test_html_weights_are_learned_and_signed():
     weights = htmltext.learned()
     assert weights[htmltext.PLAIN] > 0 and all(w < 0 for f, w in weights.items() if f != htmltext.PLAIN)
+
+
+def test_html_scan_leaves_out_what_is_labelled_so():
+    for page in htmltext.LABELLED:
+        wanted = " ".join(htmltext.unescape(htmltext.re.sub(r"</?(?:b|a)>", "", m)) for label, m in page if label)
+        assert htmltext.main_text("".join(m for _, m in page)) == " ".join(htmltext.re.sub("<[^>]*>", " ", wanted).split())
+    story = "The river rose again on Monday and people moved what they could to the upper floors of the old houses."
+    menu = "".join(f"<li><a href='/{i}'>Part {i}</a></li>" for i in range(6))
+    page = f"<div>Menu</div><ul>{menu}</ul><div><p>{story}</p><p>{story}</p></div><ul>{menu}</ul><div>All rights reserved</div>"
+    assert htmltext.main_text(page) == f"{story} {story}"
