@@ -8,7 +8,8 @@ with the best total; the plain text inside it is the result.
 
 Furniture is what stands in elements for navigation, forms, scripts and the like, in elements
 whose class, id or role says so, in blocks that are nearly all links, and, if the page has an
-article or main element, everything outside of these.
+article or main element, everything outside of these.  Hints don't count on html and body, nor
+on a wrapper: an element around most of the page's plain words.
 
 Edges: a null or empty page has an empty text; a comment, script or style that isn't closed
 runs to the end; character references are decoded once; white space inside a block, ``<br>``
@@ -70,6 +71,8 @@ _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""",
 _BARE = re.compile(r"\b(?:hidden(?=[\s/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _WORDS = re.compile(r"[^\W_]+")
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in SKIPPED}
+#: More than this share of a page's plain words, 3 of 4, makes an element a wrapper.
+WRAPPER = 3, 4
 
 TEXT, TAG = 0, 1
 PLAIN, LINKED, STRIPPED, MARKED = "word", "linked word", "furniture word", "tag in marked parts"
@@ -106,19 +109,45 @@ def tokens(html: str):
             at = end.end() if end else n
 
 
-def _furniture(name: str, attributes: str, in_main: bool) -> bool:
+def _furniture(name: str, attributes: str, in_main: bool, hinted: bool) -> bool:
     if name in FURNITURE or name == "head" or name == "header" and not in_main:
         return True
-    if not attributes:
-        return False
-    found = {w for m in _NAMED.finditer(attributes) for w in _WORDS.findall(m[1].lower())}
-    return bool(found & HINTS) or bool(_BARE.search(attributes))
+    return hinted or bool(attributes) and bool(_BARE.search(attributes))
+
+
+def _hints(listed: list[tuple]) -> set[int]:
+    """Places of the start tags whose hints count: not those of html, body and wrappers."""
+    marked = {i for i, (kind, name, closing, rest) in enumerate(listed) if kind == TAG and not closing and name not in ("html", "body") and _hinted(rest)}
+    if not marked:
+        return marked
+    # Words outside of links and of furniture by name, up to each tag; those inside of a marked element are a difference.
+    total, held, stack = 0, {}, []  # stack: name, place, words before, skipped outside
+    skipped = False
+    for i, (kind, name, closing, rest) in enumerate(listed):
+        if kind == TEXT:
+            total += 0 if skipped else len(name.split())
+        elif name in SKIPPED or name in VOID:
+            continue
+        elif not closing:
+            furniture = name == "a" or name == "head" or name in FURNITURE
+            if name in KEPT_OPEN or furniture:
+                stack.append((name, i, total, skipped))
+                skipped = skipped or furniture
+        elif any(x[0] == name for x in stack):
+            while True:
+                last = stack.pop()
+                held[last[1]], skipped = total - last[2], last[3]
+                if last[0] == name:
+                    break
+    held.update((i, total - before) for _, i, before, _ in stack)
+    return {i for i in marked if held.get(i, 0) * WRAPPER[1] <= total * WRAPPER[0]}
 
 
 def sequence(html: str) -> list[tuple[str, str, int]]:
     """(feature, decoded text, words) for every tag (without text) and text node in order."""
     listed = list(tokens(html))
-    has_main = any(kind == TAG and name in MAIN and not closing and not _hinted(rest) for kind, name, closing, rest in listed)
+    hints = _hints(listed)
+    has_main = any(kind == TAG and name in MAIN and not closing and i not in hints for i, (kind, name, closing, _) in enumerate(listed))
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, inside main, inside a link
     furniture, in_main, link = False, False, False
@@ -137,7 +166,7 @@ def sequence(html: str) -> list[tuple[str, str, int]]:
         block.clear()
         linked = total = 0
 
-    for kind, name, closing, rest in listed:
+    for place, (kind, name, closing, rest) in enumerate(listed):
         if kind == TEXT:
             text = unescape(name)
             words = len(text.split())
@@ -158,11 +187,11 @@ def sequence(html: str) -> list[tuple[str, str, int]]:
         if not closing:
             if name == "a":
                 link = True
-            if name in MAIN and not (_hinted(rest) or any(s[1] and s[2] for s in stack)):
+            if name in MAIN and not (place in hints or any(s[1] and s[2] for s in stack)):
                 # A main element isn't inside furniture that was left open before it.
                 furniture, in_main = False, True
             elif not furniture:
-                furniture = _furniture(name, rest, in_main)
+                furniture = _furniture(name, rest, in_main, place in hints)
             if furniture and not before:
                 out[at] = (MARKED, *out[at][1:])
             if name in KEPT_OPEN or furniture and name not in ("p", "hr"):

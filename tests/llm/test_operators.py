@@ -522,3 +522,15 @@ def test_html_scan_leaves_out_what_is_labelled_so():
     menu = "".join(f"<li><a href='/{i}'>Part {i}</a></li>" for i in range(6))
     page = f"<div>Menu</div><ul>{menu}</ul><div><p>{story}</p><p>{story}</p></div><ul>{menu}</ul><div>All rights reserved</div>"
     assert htmltext.main_text(page) == f"{story} {story}"
+
+
+def test_html_hints_on_wrappers():
+    story = "The river rose again on Monday and people moved what they could to the upper floors of the old houses."
+    inner = f"<nav><a>Home</a></nav><p>{story}</p><div class='sidebar'>Cheap shoes today</div><p>{story}</p>"
+    for page in (
+        f"<html class='no-sidebar'><body class='no-sidebar'>{inner}</body></html>", f"<body><div class='layout has-sidebar'>{inner}</div></body>",
+        f"<body class='search'><div id='search-result-page'><div class='widget'>{inner}</div></div><footer>Imprint</footer></body>", f"<div class='has-sidebar'>{inner}", f"<main class='no-sidebar'>{inner}</main>",
+    ):
+        assert htmltext.main_text(page) == f"{story} {story}"
+    comments = f"<p>{story}</p><section id='comments'>{'<p>I like this very much</p>' * 8}</section>"
+    assert htmltext.main_text(comments) == story
