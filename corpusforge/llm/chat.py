@@ -3,7 +3,8 @@
 A conversation becomes one or more training texts of at most ``budget`` tokens.  Prefix sums
 of the turns' tokens choose each window's span of new turns.  A window after the first one
 repeats the system turn (the first turn, if its role is ``system``) and as many of the turns
-before its span as ``history`` tokens allow.  The loss mask covers the texts of assistant
+before its span as ``history`` tokens and the budget beside the first new turn allow; where that
+turn has no room beside the system turn, this isn't repeated, either.  The loss mask covers the texts of assistant
 turns in the span; repeated ones are context only.  So every assistant text is a target once.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn.  Inside roles and texts a
@@ -84,10 +85,15 @@ class Windows:
             return
         self.turns.append((role, text, tokens))
         self.sums.append(self.sums[-1] + tokens)
-        while self.sums[-1] > self._room():
-            yield self._take(max(1, bisect_right(self.sums, self._room()) - 1))
-            if not self.turns:
-                break
+        while self.turns and self.sums[-1] > self._room():
+            while self.before and self.sums[1] > self._room():
+                self.before.pop(0)
+            if self.system and self.sums[1] > self._room():
+                # No room beside the system turn: it goes first by itself, later it isn't repeated here.
+                alone = not self.first
+                yield self._take(max(1, bisect_right(self.sums, self.budget) - 1) if alone else 0, alone)
+            elif self.sums[-1] > self._room():
+                yield self._take(max(1, bisect_right(self.sums, self._room()) - 1))
 
     def _room(self) -> int:
         return self.budget - (self.system[2] if self.system else 0) - sum(t[2] for t in self.before)
@@ -96,8 +102,8 @@ class Windows:
         if self.turns or self.first:
             yield self._take(len(self.turns))
 
-    def _take(self, n: int):
-        system = [self.system] if self.system else []
+    def _take(self, n: int, alone: bool = False):
+        system = [self.system] if self.system and not alone else []
         new = self.turns[:n]
         repeated = (0 if self.first else len(system)) + len(self.before)
         out = [(r, t) for r, t, _ in [*system, *self.before, *new]], repeated
