@@ -9,7 +9,7 @@ more slashes, than any rule has can't fit and aren't made.
 Edges: a null url, or one without ``://``, has an empty host and path and fits no rule; a
 path without a slash (an empty one) fits none either; a url that no rule fits gets
 ``default``; rows that repeat are judged each by itself; other columns are ignored.  Rules
-must have a path that starts and ends with a slash.  A rule list within ``BROADCAST_RULES``
+must have a path that starts and ends with a slash.  A rule list of at most ``BROADCAST_BYTES``
 is broadcast; a longer one is joined by shuffle.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PREFIX, BROADCAST_RULES = 8, 50_000
+PREFIX, BROADCAST_BYTES = 8, 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,7 +37,7 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", key: str = "page_id") -> DataFrame:
     """(key, host, path, rule, verdict)."""
     bounds = rules.agg(
-        F.count("*").alias("n"),
+        F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 150), F.lit(0)).alias("bytes"),
         F.count_if(~F.col("path").rlike("^/(.*/)?$")).alias("bad"),
         F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(1)).alias("labels"),
         F.coalesce(F.max(F.size(F.split("path", "/")) - 1), F.lit(1)).alias("slashes"),
@@ -49,7 +49,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         F.substring(F.sha2(rule, 256), 1, PREFIX).alias("rule_prefix"), F.sha2(rule, 256).alias("rule_digest"),
         F.struct(F.length(rule).alias("size"), "verdict", rule.alias("rule")).alias("fit"),
     )
-    if bounds.n <= BROADCAST_RULES:
+    if bounds.bytes <= BROADCAST_BYTES:
         coded = F.broadcast(coded)
     host, path = split_url(F.col(url).cast("string"))
     rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
