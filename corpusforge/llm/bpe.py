@@ -8,8 +8,9 @@ Slices between the starts go through a bounded cache to a pair merge.
 
 Behaviour at the edges: a null text encodes as an empty one; an empty text has no
 tokens; special tokens are never produced; a single run of any length is merged in
-O(n log n); the working arrays of a batch cover about ``SLICE_BYTES`` of text, or one
-text if that is longer.  Repeated rows are encoded each by itself.  Within a slice equal
+O(n log n); the working arrays of a batch cover about ``SLICE_BYTES`` of text: a longer text
+is encoded in parts cut at lone spaces, where a token starts whatever comes before (only a run
+without such a space isn't cut).  Repeated rows are encoded each by itself.  Within a slice equal
 pieces are recognised by a 64-bit hash; a slice holds under a million different pieces, so
 that a false match has odds of under 1 in 10**7 for one slice of that kind.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.llm.scratch import lean
 from corpusforge.llm.wordhash import BYTE_BASE, mix, range_hashes, slices
 
-SLICE_BYTES = 1 << 19
-CACHE_PIECES = 1 << 17
+SLICE_BYTES = 1 << 18
+CACHE_PIECES = 1 << 16
 #: Bytes up to which pieces are merged side by side.
 SHORT = 64
 TABLE_BITS = 19
@@ -159,6 +162,18 @@ def token_starts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndar
     return joined, points, np.flatnonzero(starts), resets
 
 
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def parts(text: str, limit: int) -> Iterator[str]:
+    """The text in parts of about ``limit`` code points that each begin at a lone space."""
+    begin = 0
+    while len(text) - begin > limit and (cut := _CUT.search(text, begin + limit)):
+        yield text[begin : cut.start()]
+        begin = cut.start()
+    yield text[begin:]
+
+
 def _slots(keys: np.ndarray, factor: int) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(factor)) >> np.uint64(64 - TABLE_BITS)).astype(np.intp)
 
@@ -182,7 +197,7 @@ class Encoder:
     def __init__(self, rank_lines: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_lines.splitlines() if line.strip())}
         self.token = {i: t for t, i in self.ranks.items()}
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.cache: dict[str, tuple[int, str]] = {}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.size = max(self.token) + 1
         pairs = {}
@@ -192,6 +207,7 @@ class Encoder:
                     pairs[x * self.size + y] = rank
         self.tables = _tables(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32))
         self.names = [str(i) for i in range(self.size)]
+        self.token_size = np.array([len(self.token.get(i, b"")) for i in range(self.size)], np.int64)
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each merged pair, or the vocabulary's size where the pair doesn't merge."""
@@ -282,9 +298,9 @@ class Encoder:
             i = end[i]
         return tuple(out)
 
-    def learn(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
-        """The pieces' entries (number of ids, ids as text, decoded bytes), from the cache or
-        new; beyond the cache's bound all but these go."""
+    def learn(self, pieces: list[str]) -> list[tuple[int, str]]:
+        """The pieces' entries (number of ids, ids as text), from the cache or new; beyond the
+        cache's bound all but these go."""
         get = self.cache.get
         out = [get(p) for p in pieces]
         new = [i for i, e in enumerate(out) if e is None]
@@ -292,14 +308,14 @@ class Encoder:
         short = [r for r in raw if len(r) <= SHORT]
         tokens, starts, ends = self.merge_short(short) if short else ([], [], [])
         where = iter(zip(starts, ends))
-        names, token = self.names, self.token
+        names = self.names
         for i, r in zip(new, raw):
             if len(r) <= SHORT:
                 a, b = next(where)
                 ids = tokens[a:b]
             else:
                 ids = self.merge_long(r)
-            out[i] = (len(ids), " ".join([names[x] for x in ids]), b"".join([token[x] for x in ids]))
+            out[i] = (len(ids), " ".join([names[x] for x in ids]))
         if len(self.cache) + len(new) > CACHE_PIECES:
             self.cache = dict(zip(pieces, out))
         else:
@@ -310,8 +326,33 @@ class Encoder:
         token = self.token
         return b"".join([token[i] for i in ids])
 
+    def decode_all(self, lists: list[np.ndarray]) -> list[memoryview]:
+        """The bytes of several lists of ids, decoded in one go and cut by the ids' lengths."""
+        ids = np.concatenate([*lists, np.zeros(0, np.int32)])
+        ends = np.concatenate([[0], np.cumsum(self.token_size[ids])])
+        data = memoryview(self.decode(ids.tolist()))
+        cut = ends[np.cumsum([0, *map(len, lists)])].tolist()
+        return [data[a:b] for a, b in zip(cut, cut[1:])]
+
     def entries(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list]]:
         """For each text: where its pieces start, in code points, and their cache entries."""
+        held: list[str] = []
+        for text in texts:
+            if len(text) <= SLICE_BYTES:
+                held.append(text)
+                continue
+            yield from self._entries(held)
+            held = []
+            starts, found, at = [], [], 0
+            for part in parts(text, SLICE_BYTES):
+                own, entries = next(self._entries([part]))
+                starts.append(own + at)
+                found += entries
+                at += len(part)
+            yield np.concatenate(starts), found
+        yield from self._entries(held)
+
+    def _entries(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list]]:
         if not texts:
             return
         joined, points, starts, resets = token_starts(texts)
@@ -391,20 +432,20 @@ def decode_ids(encoded: DataFrame, rank_lines: bytes, key: str = "doc_id") -> Da
 def encoding_digests(docs: DataFrame, rank_lines: bytes, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ids array<int> if asked for: each
     whole text encoded, its ids decoded again, and both hashed in the same pass."""
+    lean(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(rank_lines)
 
     def run(batches):
         enc = encoder(ranks.value)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                count, ids, data, lists = [], [], [], []
+                sums, lists = [], []
                 for _, found in enc.entries(_texts(part, "text")):
-                    count.append(sum([e[0] for e in found]))
-                    ids.append(hashlib.sha256(" ".join([e[1] for e in found]).encode()).hexdigest())
-                    data.append(hashlib.sha256(b"".join([e[2] for e in found])).hexdigest())
-                    if with_ids:
-                        lists.append(enc.ids(found))
-                columns = [part.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())]
+                    line = " ".join([e[1] for e in found])
+                    sums.append(hashlib.sha256(line.encode()).hexdigest())
+                    lists.append(np.fromstring(line, np.int32, sep=" "))
+                data = [hashlib.sha256(d).hexdigest() for d in enc.decode_all(lists)]
+                columns = [part.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), pa.array(sums, pa.string()), pa.array(data, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     columns, names = [*columns, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
