@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Words are runs of letters and digits, in lower case.  An item and a window of as many words
+Words are runs of letters, marks and digits (Unicode L, M and N), in lower case.  An item and a window of as many words
 are compared by their word shingles, each weighted by how often it occurs: the similarity is
 the sum of the lesser weights over the sum of the greater ones.
 
@@ -11,9 +11,12 @@ the sum of the lesser weights over the sum of the greater ones.
 3. A multi-index finds all items of the same length within ``RADIUS``: fingerprints are cut
    into ``BLOCKS`` blocks, and one of them must differ in at most RADIUS / BLOCKS bits.  At a
    similarity of 0.8 a distance has mean 9.7 and deviation 2.9, so that 23 is 4.6 deviations up.
+   At so wide a radius a block admits about a tenth of the items of a length: the index is there
+   for the guarantee, and step 1 for the speed.
 4. The exact weighted similarity of window and item decides.
 
-Items go to the workers in blocks of at most ``BLOCK_BYTES`` of text, one pass each.
+Items go to the workers in blocks of about ``BLOCK_BYTES`` of text, one pass each; with more than
+one block each pass is written and its items are released before the next one starts.
 
 Edges: a null or empty text matches nothing, and neither does an item without words; an item
 of fewer words than a shingle is one shingle; a text shorter than an item is one window;
@@ -24,13 +27,15 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.wordhash import NOT_ALNUM, Words, slices
+from corpusforge.llm.scratch import lean, written
+from corpusforge.llm.wordhash import Words, slices
 
 SHINGLE, PERCENT, RADIUS, BLOCKS = 5, 80, 23, 4
 BLOCK_BYTES = 16 << 20
@@ -78,11 +83,11 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str], size: int, percent: int):
         self.size, self.percent = size, percent
-        words = Words(pa.array(texts, pa.string()), NOT_ALNUM)
+        words = Words(pa.array(texts, pa.string()))
         self.by_length: dict[int, list[tuple[object, np.ndarray]]] = {}
         for i, n in enumerate(words.count.tolist()):
             if n:
-                own = Words(pa.array([texts[i]], pa.string()), NOT_ALNUM)
+                own = Words(pa.array([texts[i]], pa.string()))
                 self.by_length.setdefault(n, []).append((ids[i], own.windows(min(size, n))[1]))
         self.index = {n: HammingIndex(np.concatenate([fingerprints(c, np.zeros(1, np.int64), len(c)) for _, c in own])) for n, own in self.by_length.items()}
         self.counts = {n: [Counter(c.tolist()) for _, c in own] for n, own in self.by_length.items()}
@@ -114,7 +119,7 @@ class Items:
 
     def matches(self, column: pa.Array):
         """(text, item, similarity, first word) for each matching pair."""
-        words = Words(column, NOT_ALNUM)
+        words = Words(column)
         owner = words.owner()
         for k, lengths in self.sizes.items():
             begin, codes = words.windows(k)
@@ -129,35 +134,41 @@ class Items:
                             yield i, item, similarity, start
 
 
-def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", limit: int = BLOCK_BYTES):
-    """The benchmark's (id, lower-case text) rows in blocks of about ``limit`` bytes."""
-    rows = benchmark.select(F.col(item).alias("id"), F.lower(F.col(text).cast("string")).alias("text")).where("text is not null")
-    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // limit))
-    for b in range(blocks):
-        yield rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()
-
+def plain(text: Column) -> Column:
+    """The words of a text with one space between them."""
+    return F.regexp_replace(F.lower(text.cast("string")), r"[^\p{L}\p{M}\p{N}]+", " ")
 
-def _shipped(docs: DataFrame, rows: list, size: int, percent: int):
-    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(([r.id for r in rows], [r.text for r in rows])))
-    made: list[Items] = []
 
-    def items() -> Items:
-        if not made:
-            made.append(Items(*pickle.loads(held.value), size, percent))
-        return made[0]
-
-    return items
+def _passes(docs: DataFrame, benchmark: DataFrame, item: str, text: str, limit: int, size: int, percent: int, one_pass) -> list[DataFrame]:
+    """one_pass(items, what came before) for each block of items; all but a lone one written."""
+    rows = benchmark.select(F.col(item).alias("id"), plain(F.col(text)).alias("text")).where("text is not null")
+    blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // limit))
+    out: list[DataFrame] = []
+    for b in range(blocks):
+        got = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()
+        held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(([r.id for r in got], [r.text for r in got])))
+        made: list[Items] = []
+
+        def items(held=held, made=made) -> Items:
+            if not made:
+                made.append(Items(*pickle.loads(held.value), size, percent))
+            return made[0]
+
+        out.append(one_pass(items, out))
+        if blocks > 1:
+            out[-1] = written(out[-1])
+            held.destroy()
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text", key: str = "doc_id", item: str = "item_id", limit: int = BLOCK_BYTES) -> DataFrame:
     """(key, item, similarity, first_word): a row for each document and item that match, at the best window."""
-    rows = docs.select(F.col(key).alias("key"), F.lower(F.col(text).cast("string")).alias("text"))
-    out = None
-    key_type, item_type = rows.schema["key"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    for block in item_blocks(benchmark, item, text, limit):
-        items = _shipped(docs, block, size, percent)
+    lean(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("key"), plain(F.col(text)).alias("text"))
+    schema = f"{key} {rows.schema['key'].dataType.simpleString()}, {item} {benchmark.schema[item].dataType.simpleString()}, similarity double, first_word long"
 
-        def run(batches, items=items):
+    def one_pass(items, _):
+        def run(batches):
             for batch in batches:
                 for part in slices(batch, "text"):
                     found = list(zip(*items().matches(part.column("text")))) or [[]] * 4
@@ -166,26 +177,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, perce
                         [key, item, "similarity", "first_word"],
                     )
 
-        one = rows.mapInArrow(run, f"{key} {key_type}, {item} {item_type}, similarity double, first_word long")
-        out = one if out is None else out.union(one)
-    return out
+        return rows.mapInArrow(run, schema)
+
+    return reduce(DataFrame.union, _passes(docs, benchmark, item, text, limit, size, percent, one_pass))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text", item: str = "item_id", limit: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that match no item, with all their columns."""
-    mark = "_lower"
+    lean(docs.sparkSession)
+    mark = "_plain"
     while mark in docs.columns:
         mark = "_" + mark
-    out = docs.withColumn(mark, F.lower(F.col(text).cast("string")))
-    for block in item_blocks(benchmark, item, text, limit):
-        items = _shipped(docs, block, size, percent)
+    marked = docs.withColumn(mark, plain(F.col(text)))
 
-        def run(batches, items=items):
+    def one_pass(items, before):
+        def run(batches):
             for batch in batches:
                 for part in slices(batch, mark):
                     clean = np.ones(part.num_rows, bool)
                     clean[[m[0] for m in items().matches(part.column(mark))]] = False
                     yield part.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, out.schema)
-    return out.drop(mark)
+        return (before[-1] if before else marked).mapInArrow(run, marked.schema)
+
+    return _passes(docs, benchmark, item, text, limit, size, percent, one_pass)[-1].drop(mark)
