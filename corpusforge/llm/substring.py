@@ -18,8 +18,8 @@ all texts is one row for each batch.  The three passes over the texts read one e
 
 Edges: a null text has no words; texts with fewer than ``length`` words lose nothing; rows
 with equal texts get equal results, each row its own; keys may be null or repeated; other
-columns are ignored.  Texts are told apart by 64-bit hashes: among n texts the odds of one
-mix-up are n**2 / 2**65.
+columns are ignored.  Texts are told apart by 128 bits of hashes: those few whose first 64 bits
+clash get a number of their own.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusforge.llm.scratch import lean, written
 from corpusforge.llm.wordhash import WORD_BASE, WORD_BASE_2, Words, mix, range_hashes, slices
 
 #: Difference covers by period.
@@ -64,7 +65,7 @@ def _settled(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 #: Texts are hashed in slices of SLICE bytes; what occurs twice is looked for in GATHER bytes at a time.
-SLICE, GATHER = 1 << 20, 1 << 24
+SLICE, GATHER = 1 << 18, 1 << 24
 
 
 def _gathered(batch: pa.RecordBatch, hashed):
@@ -197,10 +198,26 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     )
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _numbered(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, text, t): t is the text's 64-bit hash, or a hash of 128 bits where other texts have the same 64."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), body.alias("text"), text_hash(body).alias("t"))
+    second = F.xxhash64(F.lit(1), "text")
+    clashes = rows.groupBy("t").agg(F.min(second).alias("a"), F.max(second).alias("b")).where("a != b").select("t")
+    clashes = written(clashes)  # nearly always empty: n texts have about n**2 / 2**65
+    if clashes.isEmpty():
+        return rows
+    own = F.when(F.col("clash"), F.xxhash64("t", second)).otherwise(F.col("t"))
+    return rows.join(clashes.withColumn("clash", F.lit(True)), "t", "left").select("key", "text", own.alias("t"))
+
+
 def dedup_substrings(docs: DataFrame, length: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_words, n_removed, kept): kept words are joined by one space."""
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("key", "text", F.xxhash64("text").alias("t"))
+    rows = _numbered(docs, text, key)
     texts = rows.groupBy("t").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     found = repeated_windows(texts, length)
     cut = texts.join(found, "t", "left").select("t", "text", "n", "found").mapInArrow(_cut(length), "t long, n_words long, n_removed long, kept string")
@@ -209,8 +226,8 @@ def dedup_substrings(docs: DataFrame, length: int = 35, text: str = "text", key:
 
 def removal_digests(docs: DataFrame, length: int = 35) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    lean(docs.sparkSession)
+    rows = _numbered(docs, "text", "doc_id").withColumn("doc_id", F.col("key").cast("long"))
     texts = rows.groupBy("t").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     found = repeated_windows(texts, length)
     cut = _cut(length)
