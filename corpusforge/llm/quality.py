@@ -2,19 +2,20 @@
 
 Base rules count words, symbols, repeated lines and repeated word windows of each text.
 Then lines are normalised (lower case, white space runs to one space, trimmed) and hashed;
-for each host the documents that hold a line are counted; a line in more than ``max_docs``
-documents of its host is boilerplate.  A document that would keep less than ``min_left``
+for each host the distinct documents that hold a line are counted (copies of one text are one
+document); a line in more than ``max_docs`` documents of its host is boilerplate.  A document that would keep less than ``min_left``
 percent of its words without boilerplate lines is depleted and rejected.  ``judge`` counts the
 boilerplate lines found and ``without_boilerplate`` gives the texts without the same lines.
 
-Shuffles: one row for each distinct line of a document, folded before it moves, and one row
+Shuffles: one row for each distinct line of a text, folded before it moves and once more
+after it, and one row
 for each line to be looked up.  The looked-up side is salted, and the boilerplate lines, of
 which there are at most all lines / max_docs, are repeated for each salt.  For texts, also
 the documents once, to meet the places of their boilerplate lines.
 
 Edges: a null text has no words and fails the base rules; a null host is a host of its own;
-every row counts as one document, also where rows repeat; lines without a word are ignored
-and stay; other columns are ignored by ``judge`` and pass through ``without_boilerplate``.
+rows that repeat are judged each by itself; texts are told apart by 64-bit hashes, which only
+counts documents; lines without a word are ignored and stay; other columns are ignored by ``judge`` and pass through ``without_boilerplate``.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def repeated_window_words(column: str) -> Column:
 def _lines(docs: DataFrame, text: str, host: str) -> DataFrame:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return docs.select(F.col(host).cast("string").alias("host"), lines.alias("lines"))
+    return docs.select(F.col(host).cast("string").alias("host"), F.xxhash64(body).alias("x"), lines.alias("lines"))
 
 
 def _normal(line: Column) -> Column:
@@ -57,8 +58,8 @@ def _normal(line: Column) -> Column:
 def boilerplate(docs: DataFrame, max_docs: int, text: str = "text", host: str = "source") -> DataFrame:
     """(host, line): hashes of normalised lines that more than max_docs documents of a host hold."""
     hashes = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(_normal(x))))
-    rows = _lines(docs, text, host).select("host", F.explode(hashes).alias("line"))
-    return rows.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "line")
+    rows = _lines(docs, text, host).select("host", "x", F.explode(hashes).alias("line"))
+    return rows.groupBy("host", "line").agg(F.count_distinct("x").alias("docs")).where(F.col("docs") > max_docs).select("host", "line")
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -131,7 +132,7 @@ def without_boilerplate(
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, md5(coalesce(text, '')) AS x FROM documents
 ), w AS (
   SELECT rid, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d
 ), tri AS (
@@ -142,13 +143,13 @@ WITH d AS (
 ), rep AS (
   SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM dup, (VALUES (0), (1), (2)) AS v(o) WHERE c >= 2 GROUP BY rid
 ), l AS (
-  SELECT rid, source, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
+  SELECT rid, x, source, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
     len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS size
   FROM d, unnest(string_split(text, chr(10))) AS t(line) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dl AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid
 ), common AS (
-  SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT rid) > 20
+  SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT x) > 20
 ), gone AS (
   SELECT rid, sum(size) AS gone FROM l JOIN common c ON l.norm = c.norm AND l.source IS NOT DISTINCT FROM c.source GROUP BY rid
 ), s AS (
