@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.scratch import written
+from corpusforge.llm.scratch import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node takes the least label among its neighbours, and then the label of
     its label; the rounds end when nothing changes, after about the logarithm of the longest
-    path.  Nodes may be of any type that can be ordered.
+    path.  Nodes may be of any type that can be ordered.  A node that many others are linked
+    with is one key of a join of two written tables, whose large side Spark can split.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
@@ -25,6 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(least)
         old = labels.withColumnRenamed("label", "before")
         changed = new.join(old, "node").where("label != before").limit(1).count()
+        discard(labels)
         labels = new
         if not changed:
+            discard(both)
             return labels

@@ -1,6 +1,6 @@
 """Vectorised word and word-window hashing over Arrow string columns.
 
-All functions work on the UTF-8 bytes of a whole batch at once, so that no Python
+All functions work on the UTF-8 bytes of many texts at once, so that no Python
 statement runs per word.  A sequence x[0..n) hashes to sum(x[i] * B**i) modulo 2**64
 with an odd B; prefix sums then give the hash of any range by one subtraction and one
 multiplication with a power of B's inverse.
@@ -19,21 +19,21 @@ _MASK = (1 << 64) - 1
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 _malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+#: Values hashed at a time; working arrays and the table of powers cover as many.
+BLOCK = 1 << 16
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of base and of its inverse modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+def powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first BLOCK + 1 powers of base and of its inverse modulo 2**64."""
+    if base not in _powers:
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, np.uint64)
+            steps = np.full(BLOCK + 1, b, np.uint64)
             steps[0] = 1
             both.append(np.multiply.accumulate(steps))
-        have = _powers[base] = (both[0], both[1])
-    return have[0][:n], have[1][:n]
+        _powers[base] = (both[0], both[1])
+    return _powers[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -47,12 +47,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[starts[i]:ends[i]] for each i; equal content gives equal hashes."""
-    up, down = powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * up[: len(values)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts]
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, plus: int = 0) -> np.ndarray:
+    """Hash of values[starts[i]:ends[i]] + plus for each i; equal content gives equal hashes.
+
+    Starts and ends must not decrease.  Ranges are hashed in runs that cover BLOCK values; a
+    range that is longer is hashed in pieces."""
+    up, down = powers(base)
+    out = np.zeros(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        low = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
+        high = int(ends[b - 1])
+        if high - low > BLOCK:
+            out[a] = _long_hash(values[low:high], base, plus)
+        else:
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((values[low:high].astype(np.uint64) + np.uint64(plus)) * up[: high - low], out=sums[1:])
+            out[a:b] = (sums[ends[a:b] - low] - sums[starts[a:b] - low]) * down[starts[a:b] - low]
+        a = b
+    return out
+
+
+def _long_hash(values: np.ndarray, base: int, plus: int) -> int:
+    up, _ = powers(base)
+    total = 0
+    for at in range(0, len(values), BLOCK):
+        part = values[at : at + BLOCK].astype(np.uint64) + np.uint64(plus)
+        total += int((part * up[: len(part)]).sum()) * pow(base, at, 1 << 64)
+    return total & _MASK
 
 
 def byte_table(separators: str | bytes) -> np.ndarray:
@@ -64,8 +87,6 @@ def byte_table(separators: str | bytes) -> np.ndarray:
 
 #: The complement of the word class [^\\x20\\x09-\\x0D].
 SPACES = byte_table(b" \t\n\x0b\x0c\r")
-#: All ASCII but letters and digits.
-NOT_ALNUM = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 FOLD_ASCII = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
@@ -92,7 +113,7 @@ class Words:
             at = np.sort(np.concatenate([at, joined, joined]))
         self.start, self.end = at[0::2], at[1::2]
         self.first = np.searchsorted(self.start, bounds)
-        self.hash = mix(range_hashes(data.astype(np.uint64) + np.uint64(1), self.start, self.end, BYTE_BASE))
+        self.hash = mix(range_hashes(data, self.start, self.end, BYTE_BASE, 1))
         self.bounds = bounds
 
     def __len__(self) -> int:
@@ -129,9 +150,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 18):
     """The batch in runs of rows of about ``limit`` bytes of text, so that working
-    arrays stay bounded whatever the batch size; a longer text is a run of its own."""
+    arrays stay bounded whatever the batch size; a longer text is a run of its own, and
+    takes about ten bytes of arrays for each of its bytes."""
     if not batch.num_rows:
         return
     _, bounds = utf8(batch.column(column))
