@@ -32,17 +32,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, GAP), "")
 
 
+def window_hashes(column: str) -> Column:
+    """64-bit hashes of the 3-word windows of the words in ``column``."""
+    return F.expr(f"""if(size({column}) < 3, cast(array() as array<bigint>), transform(sequence(0, size({column}) - 3),
+        i -> xxhash64({column}[i], {column}[i + 1], {column}[i + 2])))""")
+
+
 def repeated_window_words(column: str) -> Column:
-    """How many words lie in 3-word windows that occur twice or more among the words in ``column``.
-
-    Windows are compared by 64-bit hashes: among n windows of a text the odds of a false
-    match are n**2 / 2**65."""
-    windows = f"""if(size({column}) < 3, array(), transform(sequence(0, size({column}) - 3),
-        i -> named_struct('h', xxhash64({column}[i], {column}[i + 1], {column}[i + 2]), 'i', i)))"""
-    return F.expr(f"""size(array_distinct(flatten(transform(
-        aggregate(array(sort_array({windows})), cast(array() as array<struct<h: bigint, i: int>>), (none, s) ->
+    """How many words lie in 3-word windows that occur twice or more, from the windows' hashes in ``column``.
+
+    Among n windows of a text the odds of a false match are n**2 / 2**65.  Most texts repeat none,
+    which a count of distinct hashes tells."""
+    return F.expr(f"""if(size(array_distinct({column})) = size({column}), 0, size(array_distinct(flatten(transform(
+        aggregate(array(sort_array(transform({column}, (h, i) -> named_struct('h', h, 'i', i)))), cast(array() as array<struct<h: bigint, i: int>>), (none, s) ->
             filter(s, (w, k) -> coalesce(get(s, k - 1).h = w.h, false) or coalesce(get(s, k + 1).h = w.h, false))),
-        w -> array(w.i, w.i + 1, w.i + 2)))))""")
+        w -> array(w.i, w.i + 1, w.i + 2))))))""")
 
 
 def _lines(docs: DataFrame, text: str, host: str) -> DataFrame:
@@ -71,12 +75,13 @@ def _looked_up(docs: DataFrame, max_docs: int, min_left: int, text: str, host: s
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.col(host).cast("string").alias("host"), body.alias("text"))
     rows = rows.select("key", "host", "text", F.xxhash64("text").alias("x"), words(F.col("text")).alias("words"))
+    rows = rows.withColumn("windows", window_hashes("words"))
     rows = rows.select(
         "key", "host", "x",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        repeated_window_words("words").cast("long").alias("n_repeat_words"),
+        repeated_window_words("windows").cast("long").alias("n_repeat_words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     counts = COUNTS
