@@ -15,7 +15,8 @@ DECIMAL = r"\d[.!?]\d"
 FIGURE = r"([₹$]?\s?\d[\d,]*\.?\d*\s?(?:%|x|X\b)?)"
 MARKER = r"(?i)\[S\d+\]"
 URL = r"(?i)(https?://[^\s<>\])\"']+)"
-SIMPLE_TOKEN = r"(\w+|[^\w\s])"
+#: Words of letters, digits and underscores of any script, or single marks; the same in Java, Python and RE2.
+SIMPLE_TOKEN = r"([\p{L}\p{N}_]+|[^\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}\p{L}\p{N}_])"
 
 
 def tokenize(text: Column) -> Column:

@@ -27,8 +27,21 @@ def advice_term(text: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(text, f"(?i)({V.ADVICE})", 1)), F.lit(""))
 
 
-def split_clauses(text: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(text, pattern), lambda c: F.trim(c)), lambda c: c != "")
+#: (pattern, replacement) steps that set aside what ends no clause, and leave a break where one ends.
+HELD, BREAK = "\x1e", "\x1f"
+_MARKS = f"[{V.CLAUSE_MARKS}]+"
+CLAUSE_STEPS = [
+    (r"([0-9])\.([0-9])", rf"$1{HELD}$2"), (rf"([0-9]){_MARKS}", "$1 "), (rf"{_MARKS}([0-9])", " $1"),
+    (rf"(?i)\b({'|'.join(V.CLAUSE_ABBREVIATIONS)})\.", rf"$1{HELD}"), (rf"(?i){_MARKS}|{V.words(*V.CLAUSE_WORDS)}", BREAK), (HELD, "."),
+]
+#: The evaluation's: marks after letters and digits end nothing there.
+EVAL_STEPS = [(r"(^|[^0-9A-Za-z])[.!?;]+\s+", rf"$1{BREAK}"), (rf"(?i)\s+(?:{'|'.join(V.EVAL_CLAUSE_WORDS)})\s+", BREAK)]
+
+
+def split_clauses(text: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in steps:
+        text = F.regexp_replace(text, pattern, replacement)
+    return F.filter(F.transform(F.split(text, BREAK), lambda c: F.trim(c)), lambda c: c != "")
 
 
 def clause_verdict(clause: Column) -> Column:
@@ -41,7 +54,7 @@ def clause_verdict(clause: Column) -> Column:
     return (
         F.when(_hit(clause, V.INDEX_NAMES), nothing)
         .when(~figures, bare)
-        .when(_hit(screened, V.NAV) & ~screened.rlike(V.DATEISH), "NAV value")
+        .when(_hit(screened, V.NAV) & ~_hit(screened, V.DATEISH), "NAV value")
         .when(fee, nothing)
         .when(returns, "return figure")
         .when(_hit(screened, V.PERIODS), "period-attached figure")
@@ -51,7 +64,7 @@ def clause_verdict(clause: Column) -> Column:
 
 def performance_violations(text: Column) -> Column:
     """The reasons, clause by clause."""
-    return F.filter(F.transform(split_clauses(text, V.CLAUSES), clause_verdict), lambda r: r.isNotNull())
+    return F.filter(F.transform(split_clauses(text, CLAUSE_STEPS), clause_verdict), lambda r: r.isNotNull())
 
 
 def eval_verdict(clause: Column) -> Column:
@@ -69,11 +82,11 @@ def eval_verdict(clause: Column) -> Column:
 
 
 def performance_leaks(text: Column) -> Column:
-    return F.filter(F.transform(split_clauses(text, V.EVAL_CLAUSES), eval_verdict), lambda r: r.isNotNull())
+    return F.filter(F.transform(split_clauses(text, EVAL_STEPS), eval_verdict), lambda r: r.isNotNull())
 
 
 def advice_leaks(text: Column) -> Column:
-    clauses = split_clauses(text, V.EVAL_CLAUSES)
+    clauses = split_clauses(text, EVAL_STEPS)
     both = F.transform(clauses, lambda c: F.array(F.when(_hit(c, V.DIRECTIVES), "directive"), F.when(_hit(c, V.BARE_SHOULD), "recommendation")))
     return F.filter(F.flatten(both), lambda r: r.isNotNull())
 
