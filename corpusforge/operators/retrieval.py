@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import tokenize
+from corpusforge.session import folder_exists, shared_folder
 
 K1, B, EPSILON, RRF_K, NO_MATCH = 1.5, 0.75, 0.25, 60, -1.0
-#: Vectors that are sent to every task at a time; more are taken in blocks of this many.
-BLOCK_VECTORS = 4096
+#: Bytes of question vectors that are sent to every task at a time.
+BLOCK_BYTES = 16 << 20
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -40,20 +45,83 @@ def ranked(scores: DataFrame, group: str, score: str, key: str, rank: str, limit
     return out if limit is None else out.where(F.col(rank) <= limit)
 
 
-def bm25(questions: DataFrame, docs: DataFrame, top: int = 20, qkey: str = "qid", qtext: str = "question", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(qid, key, sparse_score, sparse_rank): positive scores only, from an inverted index joined on terms.
+class IndexUnavailable(Exception):
+    """There is no stored index."""
+
+
+class IndexMismatch(Exception):
+    """A stored index was made by another tokenizer, can't be read, or doesn't cover the corpus."""
+
+
+#: Of the stored index: changes whenever ``tokenize`` does.  Postings lie in so many folders by term.
+TOKENIZER, TERM_BUCKETS = "words.v1", 32
+
+
+@dataclass
+class Bm25Index:
+    """postings (bucket, term, key, tf), lengths (key, dl), terms (bucket, term, df, idf), average document length."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    terms: DataFrame
+    average: Column
+
 
-    A term asked twice counts twice.  Frequencies of a question's terms are summed before the
-    join, so that its rows are those of the distinct terms' postings."""
-    posts = postings(docs, key, text)
-    lengths = document_lengths(docs, key, text)
-    average = lengths.agg(F.avg("dl").alias("avgdl"))
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int").alias("bucket")
+
+
+def write_bm25(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Stores the index of all of docs: the corpus is tokenized twice here, and never for a question."""
+    spark = docs.sparkSession
+    posts = postings(docs.select(F.col(key).alias("key"), text), "key", text).select(_bucket(F.col("term")), "term", "key", "tf")
+    posts.write.mode("overwrite").partitionBy("bucket").parquet(path + "/postings")
+    document_lengths(docs.select(F.col(key).alias("key"), text), "key", text).write.mode("overwrite").parquet(path + "/lengths")
+    posts, lengths = spark.read.parquet(path + "/postings"), spark.read.parquet(path + "/lengths")
+    term_idf(posts, lengths).select(_bucket(F.col("term")), "term", "df", "idf").write.mode("overwrite").parquet(path + "/terms")
+    facts = lengths.agg(F.count("*").alias("documents"), F.avg("dl").alias("average")).withColumn("tokenizer", F.lit(TOKENIZER))
+    facts.coalesce(1).write.mode("overwrite").parquet(path + "/facts")  # last: an index without it isn't whole
+
+
+def load_bm25(spark: SparkSession, path: str, documents: int | None = None) -> Bm25Index:
+    """A stored index; ``documents``: how many it has to cover."""
+    if not folder_exists(spark, path + "/facts"):
+        raise IndexUnavailable(path)
+    try:
+        facts = spark.read.parquet(path + "/facts").first()
+        tokenizer, count, average = facts["tokenizer"], facts["documents"], facts["average"]
+    except Exception as error:
+        raise IndexMismatch(f"{path} can't be read: {error}") from error
+    if tokenizer != TOKENIZER:
+        raise IndexMismatch(f"{path} was made by tokenizer {tokenizer}, not {TOKENIZER}")
+    if documents is not None and documents != count:
+        raise IndexMismatch(f"{path} covers {count} documents, not {documents}")
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Bm25Index(read("postings"), read("lengths"), read("terms"), F.lit(average))
+
+
+def bm25_search(questions: DataFrame, index: Bm25Index, top: int = 20, qkey: str = "qid", qtext: str = "question", key: str = "doc_id") -> DataFrame:
+    """(qid, key, sparse_score, sparse_rank): positive scores only, ties by key.
+
+    A term asked twice counts twice.  Only postings of asked terms are read: terms and postings
+    share their folders, and a frequent term's postings can be split, as they come from a table.
+    Scores that differ by less than 1e-9, the noise of adding in another order, tie."""
     asked = questions.select(qkey, F.explode(tokenize(F.col(qtext))).alias("term")).groupBy(qkey, "term").agg(F.count("*").alias("asked"))
-    weights = term_idf(posts, lengths).join(asked, "term")
-    hits = posts.join(weights, "term").join(lengths, key).crossJoin(F.broadcast(average))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    score = F.round(F.sum(F.col("asked") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 5).alias("sparse_score")
-    return ranked(hits.groupBy(qkey, key).agg(score).where("sparse_score > 0"), qkey, "sparse_score", key, "sparse_rank", top)
+    weights = index.terms.join(asked.withColumn("bucket", _bucket(F.col("term"))), ["bucket", "term"]).select("bucket", "term", qkey, "asked", "idf")
+    hits = index.postings.join(weights, ["bucket", "term"]).join(index.lengths, "key")
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.average)
+    score = F.round(F.sum(F.col("asked") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 9).alias("raw")
+    best = ranked(hits.groupBy(qkey, F.col("key").alias(key)).agg(score).where("raw > 0"), qkey, "raw", key, "sparse_rank", top)
+    return best.select(qkey, key, F.round("raw", 5).alias("sparse_score"), "sparse_rank")
+
+
+def bm25(questions: DataFrame, docs: DataFrame, top: int = 20, qkey: str = "qid", qtext: str = "question", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same over documents without a stored index, for a corpus that is asked once."""
+    posts = postings(docs.select(F.col(key).alias("key"), text), "key", text).withColumn("bucket", _bucket(F.col("term")))
+    lengths = document_lengths(docs.select(F.col(key).alias("key"), text), "key", text)
+    average = lengths.agg(F.avg("dl")).first()[0]
+    terms = term_idf(posts, lengths).withColumn("bucket", _bucket(F.col("term")))
+    return bm25_search(questions, Bm25Index(posts, lengths, terms, F.lit(average)), top, qkey, qtext, key)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -68,19 +136,24 @@ def norm(a: Column) -> Column:
 def dense(questions: DataFrame, vectors: DataFrame, top: int = 20, qkey: str = "qid", qvec: str = "qvec", key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(qid, key, dense_score, dense_rank): exact cosine search.
 
-    The stated questions go to every task in blocks of ``BLOCK_VECTORS``; each task multiplies
-    its vectors with a block and passes on at most ``top`` rows for each question."""
-    size = questions.count()
-    blocks = max(1, -(-size // BLOCK_VECTORS))
-    out = None
+    The stated questions go to every task in blocks of about ``BLOCK_BYTES``, one pass over the
+    vectors for each; each task multiplies its vectors with the block and passes on at most
+    ``top`` rows for each question.  With more than one block each pass is written and its
+    block released before the next one is fetched."""
+    spark = questions.sparkSession
+    asked = questions.select(qkey, qvec).where(F.col(qvec).isNotNull())
+    size = asked.agg(F.sum(F.size(qvec) * 8 + 64)).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
     kinds = f"{qkey} {questions.schema[qkey].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, dense_score double"
+    folder, out = shared_folder(spark, f"dense-{uuid.uuid4().hex}"), []
     for block in range(blocks):
-        rows = questions.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == block).select(qkey, qvec).where(F.col(qvec).isNotNull()).collect()
+        rows = asked.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == block).collect()
         if not rows:
             continue
-        ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
+        held = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
 
-        def run(batches, ids=ids, matrix=matrix):
+        def run(batches, held=held):
+            ids, matrix = held.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -95,10 +168,14 @@ def dense(questions: DataFrame, vectors: DataFrame, top: int = 20, qkey: str = "
                 )
 
         one = vectors.select(key, vec).where(F.col(vec).isNotNull()).mapInArrow(run, kinds)
-        out = one if out is None else out.union(one)
-    if out is None:
-        out = questions.sparkSession.createDataFrame([], kinds)
-    return ranked(out, qkey, "dense_score", key, "dense_rank", top)
+        if blocks > 1:
+            path = f"{folder}/{block}"
+            one.write.mode("overwrite").parquet(path)
+            one = spark.read.schema(one.schema).parquet(path)
+            held.destroy()
+        out.append(one)
+    found = reduce(DataFrame.union, out) if out else spark.createDataFrame([], kinds)
+    return ranked(found, qkey, "dense_score", key, "dense_rank", top)
 
 
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, resolved: DataFrame, top: int = 5, k: int = RRF_K, penalty: float = 0.85, qkey: str = "qid", key: str = "chunk_id") -> DataFrame:

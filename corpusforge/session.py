@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,3 +23,29 @@ def session(app: str = "corpusforge", master: str | None = None, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a folder; only Spark opens the path, so any store will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share: under spark.checkpoint.dir; where that is unset, under
+    this process's own temp folder in local mode, and under the warehouse on a cluster."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and (master == "local" or master.startswith("local[")):
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="corpusforge-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        base = "file://" + _own[0]
+    return f"{base or spark.conf.get('spark.sql.warehouse.dir')}/corpusforge-{name}-{spark.sparkContext.applicationId}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
