@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.functions.text import chunk_id, content_hash
+from corpusforge.functions.text import chunk_id, content_hash, token_count
 
 # What marks a chunk as mostly returns.
 RETURN_WORDS = r"\b(?:annuali[sz]ed|CAGR|absolute return|periodic return|fund returns?|returns and rankings|return calculator)\b"
@@ -66,48 +66,49 @@ def split_sentences(text: str) -> list[str]:
     return done
 
 
-def tokens(text: str) -> int:
-    return max(1, len(TOKEN.findall(text)))
-
-
-def _tail(text: str, overlap: int) -> str:
+def _tail(counted: list[tuple[str, int]], overlap: int) -> list[tuple[str, int]]:
     """The longest run of last words within ``overlap`` tokens."""
-    words, used = [], 0
-    for word in reversed(text.split()):
-        used += tokens(word)
-        if used > overlap:
-            break
-        words.append(word)
-    return " ".join(reversed(words))
+    used, first = 0, len(counted)
+    while first and used + counted[first - 1][1] <= overlap:
+        first -= 1
+        used += counted[first][1]
+    return counted[first:]
 
 
 def pack(text: str, size: int, overlap: int) -> list[str]:
     """Sentences packed to at most ``size`` tokens; each piece starts with the last one's tail;
-    a sentence over the budget is cut between words."""
-    out, held = [], ""
-    units: list[str] = []
+    a sentence over the budget is cut between words.  A text within the budget stays as it is.
+
+    Tokens don't cross white space, so that a piece's count is the sum of its words'."""
+    units: list[list[tuple[str, int]]] = []
+    total = 0
     for sentence in split_sentences(text):
-        if tokens(sentence) <= size:
-            units.append(sentence)
+        counted = [(w, len(TOKEN.findall(w))) for w in sentence.split()]
+        count = sum(n for _, n in counted)
+        total += count
+        if count <= size:
+            units.append(counted)
             continue
-        part: list[str] = []
-        used = 0
-        for word in sentence.split():
-            if part and used + tokens(word) > size - overlap:
-                units.append(" ".join(part))
+        part, used = [], 0
+        for word in counted:
+            if part and used + word[1] > size - overlap:
+                units.append(part)
                 part, used = [], 0
             part.append(word)
-            used += tokens(word)
-        units += [" ".join(part)] if part else []
+            used += word[1]
+        units += [part] if part else []
+    if total <= size:
+        return [text] if text.strip() else []
+    out, held, used = [], [], 0
     for unit in units:
-        joined = f"{held} {unit}".strip()
-        if held and tokens(joined) > size:
+        count = sum(n for _, n in unit)
+        if held and used + count > size:
             out.append(held)
-            carried = f"{_tail(held, overlap)} {unit}".strip() if overlap else unit
-            held = carried if tokens(carried) <= size else unit
-        else:
-            held = joined
-    return [*out, held] if held else out
+            tail = _tail(held, overlap)
+            held, used = [], sum(n for _, n in tail)
+            held, used = (list(tail), used) if used + count <= size else ([], 0)
+        held, used = [*held, *unit], used + count
+    return [" ".join(w for w, _ in piece) for piece in ([*out, held] if held else out)]
 
 
 def packed(size: int, overlap: int):
@@ -122,11 +123,57 @@ def packed(size: int, overlap: int):
     return run
 
 
+def _described(rows: DataFrame) -> list[Column]:
+    return [token_count(F.col("text")).alias("token_count"), content_hash(F.col("text")).alias("content_hash"), return_heavy(F.col("text")).alias("return_heavy")]
+
+
 def chunk_documents(docs: DataFrame, size: int = 200, overlap: int = 40, page: str = "page_id", text: str = "text") -> DataFrame:
-    """(page_id, ordinal, chunk_id, text, token_count, content_hash, return_heavy)."""
+    """(page_id, ordinal, chunk_id, text, token_count, content_hash, return_heavy) of plain texts."""
     rows = docs.select(page, F.posexplode(packed(size, overlap)(F.col(text))).alias("ordinal", "text"))
-    count = F.greatest(F.lit(1), F.size(F.regexp_extract_all("text", F.lit(r"((?U)\w+|[^\w\s])"), F.lit(1))))
+    return rows.select(page, "ordinal", chunk_id(F.col(page), F.col("ordinal")).alias("chunk_id"), "text", *_described(rows))
+
+
+#: What a chunk knows of its page, where the page table has it.
+PROVENANCE = {"scheme": "string", "category": "string", "source_url": "string", "fetched_at": "timestamp"}
+
+
+def chunk_blocks(blocks: DataFrame, pages: DataFrame, size: int = 200, overlap: int = 40, drop_return_heavy: bool = False) -> DataFrame:
+    """Chunks with provenance from blocks (page_id, ordinal, kind, text, section) and pages (page_id and any of PROVENANCE).
+
+    A heading is held and put before the block after it, unless that holds its text; a heading with
+    nothing after it is a chunk of its own, over the whole page, if it fits.  Each text starts with the
+    page's scheme and its section; what is over ``size`` tokens is packed sentence by sentence.
+    Chunks are numbered by block and piece; character offsets are those of the block."""
+    checked(size, overlap)
+    told = pages.select("page_id", *(F.col(c).cast(t).alias(c) if c in pages.columns else F.lit(None).cast(t).alias(c) for c, t in PROVENANCE.items()))
+    placed = block_offsets(blocks.select("page_id", "ordinal", "kind", "text", F.nullif(F.col("section"), F.lit("")).alias("section")))
+    whole = Window.partitionBy("page_id")
+    placed = placed.withColumn("page_end", F.max("char_end").over(whole)).where(F.col("text").rlike(r"\S"))
+    rows = heading_carry(placed).withColumn("last", F.max("ordinal").over(whole))
+    alone = F.col("kind") == "heading"
+    rows = rows.where(~alone | (F.col("ordinal") == F.col("last"))).join(told, "page_id")
+    body = F.when(F.col("heading").isNotNull() & (F.instr(F.col("text"), F.trim("heading")) == 0), F.concat_ws(": ", "heading", "text")).otherwise(F.col("text"))
+    section = F.when(alone, F.col("text")).otherwise(F.coalesce("section", "heading"))
+    rows = rows.select(
+        "page_id", "ordinal", *PROVENANCE, alone.alias("alone"), section.alias("section"), compose(F.col("scheme"), section, body).alias("composed"),
+        F.when(alone, 0).otherwise(F.col("char_start")).cast("long").alias("char_start"), F.when(alone, F.col("page_end")).otherwise(F.col("char_end")).cast("long").alias("char_end"),
+    )
+    fits = token_count(F.col("composed")) <= size
+    rows = rows.withColumn("fits", fits).where("fits or not alone")
+    # Only what is over the budget is sent to the packer.
+    pieces = F.when(F.col("fits"), F.array("composed")).otherwise(packed(size, overlap)(F.when(~F.col("fits"), F.col("composed"))))
+    rows = rows.select("*", F.posexplode(pieces).alias("piece", "text")).drop("composed", "fits", "alone")
+    if drop_return_heavy:
+        rows = rows.where(~return_heavy(F.col("text")))
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("page_id").orderBy("ordinal", "piece")) - 1)
     return rows.select(
-        page, "ordinal", chunk_id(F.col(page), F.col("ordinal")).alias("chunk_id"), "text", count.alias("token_count"),
-        content_hash(F.col("text")).alias("content_hash"), return_heavy(F.col("text")).alias("return_heavy"),
+        chunk_id(F.col("page_id"), F.col("number")).alias("chunk_id"), F.col("number").alias("ordinal"), "page_id", *PROVENANCE, "section", "text", *_described(rows), "char_start", "char_end"
+    )
+
+
+def stats(chunks: DataFrame, group: str | None = None) -> DataFrame:
+    """Number, return-heavy number, and least, most and mean tokens, of all chunks or by a column."""
+    rows = chunks.groupBy(group) if group else chunks.groupBy()
+    return rows.agg(
+        F.count("*").alias("chunks"), F.count_if("return_heavy").alias("heavy"), F.min("token_count").alias("least"), F.max("token_count").alias("most"), F.round(F.avg("token_count"), 1).alias("mean"),
     )

@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import hashlib
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from corpusforge.operators.chunking import PROVENANCE
+from corpusforge.session import delete_folder, folder_exists
 
 
 def plan(current: DataFrame, manifest: DataFrame, present: DataFrame, reindex: bool = False) -> DataFrame:
     """(page_id, action): skip only what has the manifest's hash and is in the index; replace what is there; purge what left the corpus.
 
-    current: (page_id, content_hash); manifest: the same, from the run before; present: (page_id)."""
+    current: (page_id, content_hash), and failed where pages may fail: these are left as they are;
+    manifest: the same, from the run before; present: (page_id)."""
     before = manifest.select("page_id", F.col("content_hash").alias("old_hash"))
     there = present.select("page_id").distinct().withColumn("there", F.lit(True))
-    rows = current.select("page_id", "content_hash", F.lit(True).alias("wanted")).join(before, "page_id", "left").join(there, "page_id", "full_outer")
+    failed = F.col("failed") if "failed" in current.columns else F.lit(False)
+    rows = current.select("page_id", "content_hash", failed.alias("failed"), F.lit(True).alias("wanted")).join(before, "page_id", "left").join(there, "page_id", "full_outer")
     same = F.col("content_hash").eqNullSafe(F.col("old_hash")) & F.col("there").isNotNull() & F.lit(not reindex)
-    action = F.when(F.col("wanted").isNull(), "purge").when(same, "skip").when(F.col("there").isNotNull(), "replace").otherwise("new")
+    action = F.when(F.col("wanted").isNull(), "purge").when(F.col("failed"), "failed").when(same, "skip").when(F.col("there").isNotNull(), "replace").otherwise("new")
     return rows.select("page_id", action.alias("action"))
 
 
@@ -44,11 +51,54 @@ def write_index(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("page_id").parquet(path)
 
 
+def purge_pages(spark: SparkSession, path: str, gone: DataFrame) -> int:
+    """Deletes the partitions of these pages; how many there were.  Names are taken one by one: only folders go."""
+    count = 0
+    for row in gone.select(F.col("page_id").cast("string")).toLocalIterator():
+        name = quote(row[0], safe="-_.~ !$&'()+,;@") if row[0] else "__HIVE_DEFAULT_PARTITION__"
+        delete_folder(spark, f"{path}/page_id={name}")
+        count += 1
+    return count
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The index's chunks; rows without metadata are left out."""
+    found = spark.read.parquet(path).schema
+    # Page ids are texts, also where all of them look like numbers.
+    schema = StructType([StructField("page_id", StringType()) if f.name == "page_id" else f for f in found])
+    return spark.read.schema(schema).parquet(path).where("chunk_id is not null and text is not null")
+
+
+def write_manifest(spark: SparkSession, chunks: DataFrame, pages: DataFrame, path: str, **facts) -> None:
+    """One row for each page of the index (with the page's provenance), and one with what holds for all.
+
+    It is written beside the old one and then takes its place, as it may be read from that."""
+    rows = manifest(chunks, pages).join(chunks.groupBy("page_id").agg(*(F.max(c).alias(c) for c in PROVENANCE)), "page_id", "left")
+    rows.write.mode("overwrite").parquet(path + "-new")
+    spark.read.parquet(path + "-new").write.mode("overwrite").parquet(path)
+    delete_folder(spark, path + "-new")
+    known = {"embedding_model": "", "embedding_dim": 0, "chunk_size": 0, "chunk_overlap": 0} | facts
+    total = spark.read.parquet(path).agg(F.count("*").alias("pages"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.current_timestamp().alias("generated_at"))
+    total.select("*", *(F.lit(v).alias(k) for k, v in known.items())).write.mode("overwrite").json(path + "-facts")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The manifest's pages; one that can't be read counts as absent."""
+    try:
+        rows = spark.read.parquet(path).select("page_id", "content_hash")
+        rows.limit(1).count()
+        return rows
+    except Exception:
+        return None
+
+
 def index_present(spark: SparkSession, path: str) -> bool:
     """Whether an index has pages there; asked of the path's own file system."""
+    if not folder_exists(spark, path):
+        return False
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return store.exists(jvm_path) and any(f.getPath().getName().startswith("page_id=") for f in store.listStatus(jvm_path))
+    return any(f.getPath().getName().startswith("page_id=") for f in store.listStatus(jvm_path))
 
 
 def vector_of(text: str, dim: int) -> np.ndarray:
@@ -58,12 +108,17 @@ def vector_of(text: str, dim: int) -> np.ndarray:
     return (v / np.linalg.norm(v)).astype(np.float32)
 
 
-def hash_embed(rows: DataFrame, dim: int = 384, key: str = "doc_id", text: str = "text", embed=vector_of) -> DataFrame:
-    """(key, embedding); ``embed`` may be any function of (text, dim)."""
+def embed_each(texts: list[str], dim: int) -> list[np.ndarray]:
+    return [vector_of(t, dim) for t in texts]
+
+
+def hash_embed(rows: DataFrame, dim: int = 384, key: str = "doc_id", text: str = "text", embed=embed_each, batch_size: int = 32) -> DataFrame:
+    """(key, embedding); ``embed`` may be any function of (texts, dim) and gets ``batch_size`` texts at a time."""
 
     def run(batches):
         for batch in batches:
-            vectors = [embed(t or "", dim) for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            vectors = [v for i in range(0, len(texts), batch_size) for v in embed(texts[i : i + batch_size], dim)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tolist() for v in vectors], pa.list_(pa.float32()))], [key, "embedding"])
 
     return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<float>")
