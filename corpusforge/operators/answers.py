@@ -2,35 +2,69 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusforge.functions import text as T
 from corpusforge.operators import chunking, ingest, pii, retrieval, routing, screens
 
 
-def extractive(question: str, candidates: list) -> str:
-    """The default generator: the best candidate's first sentence, cited."""
-    first = chunking.split_sentences(candidates[0]["text"]) if candidates else []
-    return f"{first[0].rstrip('.')} [S1]." if first else ""
+def extractive(candidates: Column) -> Column:
+    """The default draft: the best candidate's first sentence, cited."""
+    first = F.get(T.sentences(F.get(candidates, F.lit(0))["text"]), F.lit(0))
+    return F.coalesce(F.concat(F.regexp_replace(first, r"\.+$", ""), F.lit(" [S1].")), F.lit(""))
 
 
-def drafts(rows: DataFrame, generate: Callable[[str, list], str] = extractive) -> DataFrame:
-    """Adds ``draft``.  The generator may be slow and may have effects, so it is marked nondeterministic: no filter moves past it."""
+def drafts(rows: DataFrame, generate: Callable[[str, list], str] | None = None) -> DataFrame:
+    """Adds ``draft``: extractive, or by a generator of (question, candidates), which may be slow and
+    have effects.  Such a one runs over Arrow batches; no filter moves past it, and each row meets it once."""
+    if generate is None:
+        return rows.withColumn("draft", extractive(F.col("candidates")))
 
-    @F.udf("string")
-    def run(question, candidates):
-        return generate(question or "", [c.asDict() for c in candidates or []])
+    def run(batches):
+        for batch in batches:
+            asked = zip(batch.column("question").to_pylist(), batch.column("candidates").to_pylist())
+            texts = [generate(q or "", c or []) for q, c in asked]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "draft"])
 
-    return rows.withColumn("draft", run.asNondeterministic()("question", "candidates"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("draft", StringType())]))
 
 
-def answer(questions: DataFrame, docs: DataFrame, vectors: DataFrame, threshold: float, generate: Callable[[str, list], str] = extractive, embed=ingest.vector_of, dim: int = 64, top: int = 5) -> DataFrame:
+def stream_draft(draft: str):
+    """A draft piece by piece, words with the white space before them.  It hasn't passed any screen yet, so it is not to be shown."""
+    yield from re.findall(r"\s*\S+", draft)
+
+
+SYSTEM = "Answer from the numbered blocks alone, in three sentences at most, and cite the blocks. State no opinion and no performance figure."
+
+
+def evidence(rows: DataFrame, budget: int = 6000, qkey: str = "qid") -> DataFrame:
+    """(qid, chunk_id, fused_rank, block, total) of rows (qid, chunk_id, fused_rank, source, text): numbered blocks in rank
+    order while they fit the budget, headers and gaps between them included, up to the first that doesn't."""
+    block = F.concat(F.lit("[S"), F.col("fused_rank"), F.lit("] "), F.col("source"), F.lit("\n"), F.col("text"))
+    rows = rows.select(qkey, "chunk_id", "fused_rank", block.alias("block"))
+    before = Window.partitionBy(qkey).orderBy("fused_rank")
+    total = F.sum(F.length("block") + 2).over(before) - 2
+    return rows.withColumn("total", total.cast("long")).where(F.col("total") <= budget)
+
+
+def messages(questions: DataFrame, blocks: DataFrame, qkey: str = "qid") -> DataFrame:
+    """(qid, system, user): the turns that a model gets."""
+    joined = blocks.groupBy(qkey).agg(F.array_join(F.sort_array(F.collect_list(F.struct("fused_rank", "block")))["block"], "\n\n").alias("context"))
+    user = F.concat(F.coalesce("context", F.lit("")), F.lit("\n\nQuestion: "), F.col("question"))
+    return questions.select(qkey, "question").join(joined, qkey, "left").select(qkey, F.lit(SYSTEM).alias("system"), user.alias("user"))
+
+
+def answer(questions: DataFrame, docs: DataFrame, vectors: DataFrame, threshold: float, generate: Callable[[str, list], str] | None = None, embed=ingest.embed_each, dim: int = 64, top: int = 5, index: retrieval.Bm25Index | None = None) -> DataFrame:
     """(qid, intent, refused, reason, answer, source_url).
 
-    Routed and refused questions never reach retrieval; what is blocked for personal data never reaches routing."""
+    Routed and refused questions never reach retrieval; what is blocked for personal data never reaches routing.
+    ``index``: a stored BM25 index of docs."""
     scanned = pii.scan(questions, "question")
     blocked = scanned.where("pii_found").select("qid", F.lit(routing.OUT).alias("intent"), F.lit("pii").alias("reason"))
     clean = scanned.where(~F.col("pii_found")).select("qid", "question", routing.explain(F.col("question")).alias("m"))
@@ -40,7 +74,7 @@ def answer(questions: DataFrame, docs: DataFrame, vectors: DataFrame, threshold:
     factual = routed.where(F.col("intent") == routing.FACTUAL)
     embedded = ingest.hash_embed(factual.select("qid", "question"), dim, "qid", "question", embed).withColumnRenamed("embedding", "qvec")
     dense = retrieval.dense(embedded, vectors, 4 * top).withColumnRenamed("vec_id", "chunk_id")
-    sparse = retrieval.bm25(factual, docs, 20).withColumnRenamed("doc_id", "chunk_id")
+    sparse = (retrieval.bm25_search(factual, index, 20) if index else retrieval.bm25(factual, docs, 20)).withColumnRenamed("doc_id", "chunk_id")
     heavy = docs.select(F.col("doc_id").alias("chunk_id"), chunking.return_heavy(F.col("text")).alias("return_heavy"))
     fused = retrieval.fuse(dense, sparse, heavy, top)
     decided = retrieval.gate(factual, fused, dense, threshold)

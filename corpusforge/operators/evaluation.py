@@ -2,11 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text as T
-from corpusforge.operators import screens
+from corpusforge.operators import retrieval, routing, screens
+from corpusforge.sources.corpus import markdown_table
+
+
+def facts_missing(facts: Column, context: Column) -> Column:
+    """The expected facts that aren't pieces of the context."""
+    return F.filter(facts, lambda f: F.instr(context, f) == 0)
+
+
+def observe(questions: DataFrame, dense_hits: DataFrame, candidates: DataFrame, texts: DataFrame, qkey: str = "qid") -> DataFrame:
+    """(qid, question, answerable, raw_dense_max, gate_routed, facts_in_context, missing_facts, page_ids): one row for each question
+    (qid, question, answerable, facts), from one retrieval of all of them.
+
+    candidates: (qid, chunk_id, fused_rank); texts: (chunk_id, page_id, text)."""
+    best = dense_hits.groupBy(qkey).agg(F.max("dense_score").alias("top"))
+    held = candidates.join(texts, "chunk_id").groupBy(qkey).agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("fused_rank", "text")))["text"], "\n").alias("context"), F.sort_array(F.collect_set("page_id")).alias("page_ids")
+    )
+    rows = questions.join(best, qkey, "left").join(held, qkey, "left")
+    missing = facts_missing(F.col("facts"), F.coalesce("context", F.lit("")))
+    routed = routing.explain(F.col("question"))["intent"] == routing.FACTUAL
+    return rows.select(
+        qkey, "question", "answerable", F.coalesce("top", F.lit(retrieval.NO_MATCH)).alias("raw_dense_max"), routed.alias("gate_routed"),
+        (F.size(missing) == 0).alias("facts_in_context"), missing.alias("missing_facts"), F.coalesce("page_ids", F.array()).alias("page_ids"),
+    )
+
+
+def capture(outcomes: DataFrame, metrics_rows: DataFrame, path: str, **facts) -> None:
+    """A run as JSON lines: one of facts (provider, model, threshold, ...), the outcomes and the metrics, each marked by kind."""
+    spark = outcomes.sparkSession
+    kinds = [("facts", spark.range(1).select(*(F.lit(v).alias(k) for k, v in facts.items()))), ("outcome", outcomes), ("metric", metrics_rows)]
+    lines = [rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*rows.columns)).alias("value")) for kind, rows in kinds if rows.columns]
+    reduce(DataFrame.union, lines).write.mode("overwrite").json(path)
+
+
+def report(metrics_rows: DataFrame, latency: DataFrame | None = None) -> str:
+    """Metrics, and latencies where they are known, as Markdown."""
+    parts = ["# Evaluation", markdown_table(metrics_rows.orderBy("metric"))]
+    return "\n\n".join(parts + (["## Latency", markdown_table(latency)] if latency is not None else []))
 
 
 def sweep(observations: DataFrame, start: float = 0.0, step: float = 0.01, points: int = 96) -> DataFrame:
@@ -78,6 +118,18 @@ def metrics(checks: DataFrame) -> DataFrame:
     return names.join(counted, "metric", "left").select("metric", F.coalesce("numerator", F.lit(0)).alias("numerator"), F.coalesce("denominator", F.lit(0)).alias("denominator"), status.alias("status"))
 
 
+#: What a judge is asked; its answer is one JSON object.
+JUDGE = """Score the answer against the expected facts and the evidence: 2 if all facts are stated and supported, 1 if some are, 0 if none is or something is unsupported.
+Reply with JSON only: {"score": 0, 1 or 2, "reason": text, "missing": [facts], "unsupported": [claims]}."""
+STRING_LIST = r'^\s*\[\s*("([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*)?\]\s*$'
+
+
+def judge_prompts(rows: DataFrame, key: str = "id") -> DataFrame:
+    """(key, system, user) for each row (key, question, facts, answer, evidence)."""
+    user = F.concat_ws("\n\n", F.concat(F.lit("Question: "), F.col("question")), F.concat(F.lit("Expected facts: "), F.array_join("facts", "; ")), F.concat(F.lit("Answer: "), F.col("answer")), F.concat(F.lit("Evidence: "), F.col("evidence")))
+    return rows.select(key, F.lit(JUDGE).alias("system"), user.alias("user"))
+
+
 VERDICT = "score string, reason string, missing array<string>, unsupported array<string>"
 
 
@@ -87,6 +139,9 @@ def parse_verdicts(replies: DataFrame, text: str = "reply") -> DataFrame:
     whole = F.regexp_extract(bare, r'"score"\s*:\s*(-?[0-9]+)\s*[,}]', 1)
     parsed = F.from_json(bare, VERDICT)
     good = whole.isin("0", "1", "2") & parsed["reason"].isNotNull() & parsed["score"].isNotNull()
+    for listed in ("missing", "unsupported"):
+        own = F.get_json_object(bare, f"$.{listed}")
+        good = good & (own.isNull() | own.rlike(STRING_LIST))
     return replies.withColumns({"score": F.when(good, whole.try_cast("int")), "reason": F.when(good, parsed["reason"])})
 
 

@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Elements that never hold content; class and id pieces of page furniture; headings.
+# Elements that never hold content; class and id pieces of page furniture; content roots by (element, attribute, value); headings.
 DROP_TAGS = frozenset("script style noscript template svg canvas iframe form button input select textarea video audio nav aside".split())
 CHROME = (
     "dropdownUI loggedOut_ footerTopSection footerSection letterLinks cookieBanner cookieConsent consentBanner gdpr shareWidget socialShare share-buttons shareButton breadcrumb breadCrumb "
     "promoBanner promoModule promotional offerBanner newsletterSignup newsletter subscribeForm popupModal headerNav siteHeader navbar menuIcon hamburger stickyBar floatingAction backToTop "
     "tooltip ratingStar appBanner installApp searchBox searchInput"
 ).split()
-ROOTS = ["main", "article"]
+ROOTS = [("div", "class", "pw14MainWrapper"), ("div", "class", "pw14ContentWrapper"), ("div", "class", "layout-main"), ("div", "class", "layout-container"), ("main", "", ""), ("article", "", ""), ("", "role", "main")]
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 EMITTED = HEADINGS | {"p", "li", "tr"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -79,6 +79,10 @@ class _Builder(HTMLParser):
             self.at.children.append(data)
 
 
+def _is_root(node: Node, tag: str, attribute: str, value: str) -> bool:
+    return (not tag or node.tag == tag) and (not attribute or value in node.attrs.get(attribute, "").split())
+
+
 def _strip(root: Node) -> None:
     for node in list(root.walk()):
         kept = []
@@ -105,7 +109,7 @@ def parse_blocks(html: str) -> list[tuple[str, str, str | None]]:
     builder.feed(html)
     builder.close()
     nodes = list(builder.root.walk())
-    root = next((n for tag in ROOTS for n in nodes if n.tag == tag and len(n.text()) > MIN_ROOT), None) or next((n for n in nodes if n.tag == "body"), builder.root)
+    root = next((n for r in ROOTS for n in nodes if _is_root(n, *r) and len(n.text()) > MIN_ROOT), None) or next((n for n in nodes if n.tag == "body"), builder.root)
     _strip(root)
     blocks: list[tuple[str, str, str | None]] = []
     section = None

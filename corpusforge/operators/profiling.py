@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions import vocabulary as V
@@ -43,6 +43,25 @@ def boilerplate(blocks: DataFrame, page: str, text: str = "text", pages_min: int
     return rows.groupBy("body").agg(F.count("*").alias("pages"), F.sum("own").alias("copies")).where(F.col("pages") >= pages_min)
 
 
+def chunk_integrity(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, those without text, those whose source_url is no http link, and redundant copies of a text."""
+    bad_url = ~F.coalesce(F.col("source_url").rlike("^https?://"), F.lit(False))
+    hashes = chunks.select(F.sha2(F.trim("text"), 256).alias("h")).groupBy("h").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("redundant"))
+    counted = chunks.agg(F.count("*").alias("chunks"), F.count_if(~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).alias("empty"), F.count_if(bad_url).alias("bad_urls"))
+    return counted.crossJoin(hashes)
+
+
+def dump(chunks: DataFrame, only: str | None = None, most: int | None = None, flags: bool = True) -> DataFrame:
+    """Chunks in page order for reading: of one page only, at most so many of a page (a report limit), with their flags."""
+    rows = chunks.where(F.col("page_id") == only) if only is not None else chunks
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("chunk_id"))
+    rows = rows.withColumn("place", place)
+    if most is not None:
+        rows = rows.where(F.col("place") <= most)
+    shown = [c for c in ("return_heavy", "token_count", "section") if flags and c in rows.columns]
+    return rows.select("page_id", "place", "chunk_id", F.length("text").alias("chars"), *shown)
+
+
 def integrity(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     """One row: dimensions, norms, and whether all is well."""
     rows = vectors.select(F.size(vec).alias("dim"), norm(F.col(vec)).alias("norm"))

@@ -62,13 +62,23 @@ def post(url: str, body: dict, key: str | None = None) -> dict:
         return json.load(answer)
 
 
-def generator(url: str, model: str, key: str | None = None, retries: int = 2, send: Callable[[str, dict, str | None], dict] = post) -> Callable[[str, list], str]:
+def prompt(question: str, candidates: list) -> list[dict]:
+    blocks = "\n\n".join(f"[S{i}] {c['text']}" for i, c in enumerate(candidates, 1))
+    return [{"role": "system", "content": "Answer from the numbered blocks alone, in three sentences at most, and cite them."}, {"role": "user", "content": f"{blocks}\n\nQuestion: {question}"}]
+
+
+Send = Callable[[str, dict, str | None], dict]
+
+
+def _asking(send: Send, url: str, key: str | None, retries: int, body: Callable[[list], dict], read: Callable[[dict], str]) -> Callable[[str, list], str]:
+    return lambda question, candidates: attempt(lambda: read(send(url, body(prompt(question, candidates)), key)), 1 + retries, lambda n: 0.5 * 2 ** (n - 1), retryable)
+
+
+def generator(url: str, model: str, key: str | None = None, retries: int = 2, send: Send = post) -> Callable[[str, list], str]:
     """A generator for ``operators.answers`` that asks a chat-completions endpoint; only passing faults are tried again."""
+    return _asking(send, url, key, retries, lambda turns: {"model": model, "messages": turns, "temperature": 0, "max_tokens": 400}, lambda got: got["choices"][0]["message"]["content"])
 
-    def run(question: str, candidates: list) -> str:
-        blocks = "\n\n".join(f"[S{i}] {c['text']}" for i, c in enumerate(candidates, 1))
-        turns = [{"role": "system", "content": "Answer from the numbered blocks alone, in three sentences at most, and cite them."}, {"role": "user", "content": f"{blocks}\n\nQuestion: {question}"}]
-        body = {"model": model, "messages": turns, "temperature": 0, "max_tokens": 400}
-        return attempt(lambda: send(url, body, key)["choices"][0]["message"]["content"], 1 + retries, lambda n: 0.5 * 2 ** (n - 1), retryable)
 
-    return run
+def ollama(url: str, model: str, retries: int = 2, send: Send = post) -> Callable[[str, list], str]:
+    """The same for an Ollama server's chat endpoint."""
+    return _asking(send, url, None, retries, lambda turns: {"model": model, "messages": turns, "stream": False, "options": {"temperature": 0, "num_predict": 400}}, lambda got: got["message"]["content"])

@@ -21,13 +21,15 @@ def latency_windows(events: DataFrame, time: str = "ts", value: str = "value", l
     return timely.agg(F.count("*").alias("n"), F.max(value).alias("most")).select("w.start", "w.end", "event_type", "n", "most")
 
 
-def ingest_pages(pages: DataFrame, index: str, checkpoint: str, size: int = 200, overlap: int = 40) -> StreamingQuery:
+def ingest_pages(pages: DataFrame, index: str, checkpoint: str, size: int = 200, overlap: int = 40, version: str = "fetched_at") -> StreamingQuery:
     """Chunks every micro-batch of (page_id, text) and replaces these pages' partitions.
 
-    A batch that runs again writes the same partitions again, so each page is in the index once."""
+    A batch that runs again writes the same partitions again, so each page is in the index once.  Of
+    several versions of a page in a batch the one with the greatest ``version`` counts; of equal
+    ones, or where there is no such column, the one with the greatest hash, so that a rerun agrees."""
 
     def put(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("page_id").agg(F.max_by("text", content_hash(F.col("text"))).alias("text"))
+        latest = batch.groupBy("page_id").agg(F.max_by("text", F.struct(*([version] if version in batch.columns else []), content_hash(F.col("text")))).alias("text"))
         ingest.write_index(chunking.chunk_documents(latest, size, overlap), index)
 
     return pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
