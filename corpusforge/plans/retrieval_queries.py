@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
 
 from corpusforge.functions import text as T
-from corpusforge.operators import chunking, ingest, profiling, retrieval
-from corpusforge.plans.base import F, documents, table
+from corpusforge.operators import answers, chunking, evaluation, ingest, profiling, retrieval
+from corpusforge.plans.base import F, documents, quoted, table, values
 from corpusforge.plans.text_queries import TOKENS
+from corpusforge.session import shared_folder
 from corpusforge.sources import corpus
 
 THRESHOLD = 0.3
+FAULTS = [(0, "https://x.example.org/a"), (-1, "ftp://x.example.org"), (-2, None), (-3, "https://two words"), (None, "https://x.example.org/b"), (-4, "https://x.example.org/c"), (-4, "https://x.example.org/d")]
 
 
 def _questions(spark, d):
@@ -19,8 +21,21 @@ def _questions(spark, d):
     return items.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), "qid", "left")
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark, d):
+    """The stored BM25 index of the documents, built when a session first asks for it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _stored:
+        path = shared_folder(spark, f"bm25-{uuid.uuid4().hex}")
+        retrieval.write_bm25(documents(spark, d), path)
+        _stored[at] = path
+    return retrieval.load_bm25(spark, _stored[at])
+
+
 def _sparse(spark, d, top=20):
-    return retrieval.bm25(_questions(spark, d), documents(spark, d), top)
+    return retrieval.bm25_search(_questions(spark, d), index_of(spark, d), top)
 
 
 def _dense(spark, d, top=20):
@@ -28,12 +43,11 @@ def _dense(spark, d, top=20):
 
 
 def bm25_postings(spark, d):
-    return retrieval.postings(documents(spark, d), "doc_id", "text")
+    return index_of(spark, d).postings.select("term", F.col("key").alias("doc_id"), "tf")
 
 
 def bm25_idf(spark, d):
-    docs = documents(spark, d)
-    return retrieval.term_idf(retrieval.postings(docs, "doc_id", "text"), retrieval.document_lengths(docs, "doc_id", "text")).select("term", "df", F.round("idf", 6).alias("idf"))
+    return index_of(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, d):
@@ -107,19 +121,18 @@ def hydrate_join(spark, d):
 
 
 def evidence_budget(spark, d):
-    """Candidates whose blocks fit 6,000 characters, up to the first that doesn't."""
-    rows = rrf_fusion(spark, d).join(documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.length("text").alias("chars")), "chunk_id")
-    total = F.sum("chars").over(Window.partitionBy("qid").orderBy("fused_rank"))
-    return rows.withColumn("total", total).where("total <= 6000").select("qid", "chunk_id", "fused_rank", "total")
+    """Candidates whose rendered blocks fit 6,000 characters, up to the first that doesn't."""
+    return _evidence(spark, d).select("qid", "chunk_id", "fused_rank", "total")
 
 
-def prompt(spark, d):
-    """The user turn of every question: numbered blocks of evidence, then the question."""
+def _evidence(spark, d):
     texts = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "source", "text")
-    blocks = evidence_budget(spark, d).join(texts, "chunk_id").select("qid", F.struct("fused_rank", F.concat(F.lit("[S"), "fused_rank", F.lit("] "), "source", F.lit("\n"), "text").alias("block")).alias("b"))
-    joined = blocks.groupBy("qid").agg(F.array_join(F.sort_array(F.collect_list("b")).getField("block"), "\n\n").alias("context"))
-    rows = _questions(spark, d).select("qid", "question").join(joined, "qid", "left")
-    return rows.select("qid", F.sha2(F.concat(F.coalesce("context", F.lit("")), F.lit("\n\nQuestion: "), "question"), 256).alias("prompt_hash"))
+    return answers.evidence(rrf_fusion(spark, d).join(texts, "chunk_id"))
+
+
+def prompt(spark, d):
+    """Both turns of every question: what is told to the model, then numbered blocks of evidence and the question."""
+    return answers.messages(_questions(spark, d), _evidence(spark, d)).select("qid", F.sha2(F.concat_ws("\n", "system", "user"), 256).alias("prompt_hash"))
 
 
 def facts_present(spark, d):
@@ -128,12 +141,14 @@ def facts_present(spark, d):
     rows = rrf_fusion(spark, d).join(texts, "chunk_id").select("qid", F.struct("fused_rank", "text").alias("b"))
     context = rows.groupBy("qid").agg(F.array_join(F.sort_array(F.collect_list("b")).getField("text"), "\n").alias("context"))
     asked = _questions(spark, d).select("qid", F.array_distinct(F.split("question", r"\s+")).alias("facts"))
-    missing = F.filter("facts", lambda f: F.instr(F.col("context"), f) == 0)
+    missing = evaluation.facts_missing(F.col("facts"), F.col("context"))
     return asked.join(context, "qid").select("qid", (F.size(missing) == 0).alias("all_present"), F.array_join(F.sort_array(missing), " ").alias("missing"))
 
 
 def corpus_validate(spark, d):
-    return corpus.violations(table(spark, d, "pages"), "page_id", "url").groupBy("problem").agg(F.count("*").alias("n"))
+    """The pages' problems, with planted ones: repeated and missing keys, and links that aren't any."""
+    planted = spark.createDataFrame(FAULTS, "page_id long, url string")
+    return corpus.violations(table(spark, d, "pages").select("page_id", "url").union(planted), "page_id", "url").groupBy("problem").agg(F.count("*").alias("n"))
 
 
 def page_lookup(spark, d):
@@ -195,8 +210,8 @@ def url_allowlist(spark, d):
 
 def dump_chunks(spark, d):
     """The first three chunks of every page (a report limit)."""
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("chunk_id"))
-    return _chunks(spark, d).withColumn("place", place).where("place <= 3").select("page_id", "place", "chunk_id", F.length("text").alias("chars"))
+    rows = _chunks(spark, d).withColumn("return_heavy", chunking.return_heavy(F.col("text")))
+    return profiling.dump(rows, most=3)
 
 
 def chunks_per_page(spark, d):
@@ -239,9 +254,9 @@ raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM documents) - count
 idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
 _SPARSE = f"""{_BM25},
 asked AS (SELECT qid, term, count(*) AS asked FROM (SELECT item_id AS qid, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
-bm AS (SELECT qid, doc_id, round(sum(asked * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl)))), 5) AS sparse_score
+bm AS (SELECT qid, doc_id, round(sum(asked * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl)))), 9) AS raw
   FROM posts JOIN idf USING (term) JOIN asked USING (term) JOIN dl USING (doc_id) GROUP BY qid, doc_id),
-sparse AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sparse_score DESC, doc_id) AS INTEGER) AS sparse_rank FROM bm WHERE sparse_score > 0) WHERE sparse_rank <= 20)"""
+sparse AS (SELECT qid, doc_id, round(raw, 5) AS sparse_score, sparse_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY raw DESC, doc_id) AS INTEGER) AS sparse_rank FROM bm WHERE raw > 0) WHERE sparse_rank <= 20)"""
 _DOT = "round(greatest(-1, least(1, list_dot_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[])))), 6)"
 _DENSE = f"""
 q AS (SELECT item_id AS qid, text AS question, embedding AS qvec FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
@@ -262,8 +277,8 @@ fused AS (SELECT * EXCLUDE (score) FROM (SELECT *, CAST(row_number() OVER (PARTI
 gate AS (SELECT q.qid, coalesce(top, -1.0) AS raw_dense_max, coalesce(n, 0) AS candidates_considered,
   CASE WHEN coalesce(n, 0) = 0 THEN 'no_candidates' WHEN coalesce(top, -1.0) < {THRESHOLD} THEN 'below_threshold' ELSE 'ok' END AS reason
   FROM q LEFT JOIN (SELECT qid, max(dense_score) AS top FROM dense GROUP BY qid) t USING (qid) LEFT JOIN (SELECT qid, count(*) AS n FROM fused GROUP BY qid) c USING (qid))"""
-_BUDGET = """budget AS (SELECT * FROM (SELECT qid, chunk_id, fused_rank, CAST(sum(length(text)) OVER (PARTITION BY qid ORDER BY fused_rank) AS BIGINT) AS total
-  FROM fused JOIN documents ON doc_id = chunk_id) WHERE total <= 6000)"""
+_BUDGET = """budget AS (SELECT * FROM (SELECT qid, chunk_id, fused_rank, block, CAST(sum(length(block) + 2) OVER (PARTITION BY qid ORDER BY fused_rank) - 2 AS BIGINT) AS total
+  FROM (SELECT *, '[S' || fused_rank || '] ' || source || chr(10) || text AS block FROM fused JOIN documents ON doc_id = chunk_id)) WHERE total <= 6000)"""
 
 SQL = {
     "bm25_postings": f"WITH {_BM25} SELECT term, doc_id, tf FROM posts",
@@ -280,13 +295,13 @@ SQL = {
     "cited_pages": f"WITH {_FUSED} SELECT qid, source, min(fused_rank) AS best_rank, arg_min(chunk_id, fused_rank) AS chunk_id FROM fused JOIN documents ON doc_id = chunk_id GROUP BY qid, source",
     "bm25_only": f"WITH {_SPARSE}, {_DENSE} SELECT s.qid, doc_id AS chunk_id FROM sparse s LEFT JOIN dense t ON t.qid = s.qid AND vec_id = doc_id WHERE vec_id IS NULL",
     "hydrate_join": f"WITH {_SPARSE} SELECT qid, doc_id, sparse_rank, source, lang, sha256(text) AS content_hash FROM sparse JOIN documents USING (doc_id)",
-    "evidence_budget": f"WITH {_FUSED}, {_BUDGET} SELECT * FROM budget",
-    "prompt": f"""WITH {_FUSED}, {_BUDGET}, ctx AS (SELECT qid, string_agg('[S' || fused_rank || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY fused_rank) AS context FROM budget JOIN documents ON doc_id = chunk_id GROUP BY qid)
-      SELECT qid, sha256(coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || question) AS prompt_hash FROM q LEFT JOIN ctx USING (qid)""",
+    "evidence_budget": f"WITH {_FUSED}, {_BUDGET} SELECT qid, chunk_id, fused_rank, total FROM budget",
+    "prompt": f"""WITH {_FUSED}, {_BUDGET}, ctx AS (SELECT qid, string_agg(block, chr(10) || chr(10) ORDER BY fused_rank) AS context FROM budget GROUP BY qid)
+      SELECT qid, sha256({quoted(answers.SYSTEM)} || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || question) AS prompt_hash FROM q LEFT JOIN ctx USING (qid)""",
     "facts_present": f"""WITH {_FUSED}, ctx AS (SELECT qid, string_agg(text, chr(10) ORDER BY fused_rank) AS context FROM fused JOIN documents ON doc_id = chunk_id GROUP BY qid),
       m AS (SELECT qid, list_sort(list_filter(list_distinct(string_split_regex(question, '\\s+')), lambda f: NOT contains(context, f))) AS missing FROM q JOIN ctx USING (qid))
       SELECT qid, len(missing) = 0 AS all_present, array_to_string(missing, ' ') AS missing FROM m""",
-    "corpus_validate": "SELECT problem, count(*) AS n FROM (SELECT 'url' AS problem FROM pages WHERE NOT coalesce(regexp_matches(url, '^https?://[^\\s]+$'), false) UNION ALL SELECT 'repeated' FROM pages GROUP BY page_id HAVING count(*) > 1 UNION ALL SELECT 'missing' FROM pages WHERE page_id IS NULL) GROUP BY problem",
+    "corpus_validate": f"WITH pages AS (SELECT page_id, url FROM main.pages UNION ALL SELECT column0, column1 FROM {values(FAULTS)}) " "SELECT problem, count(*) AS n FROM (SELECT 'url' AS problem FROM pages WHERE NOT coalesce(regexp_matches(url, '^https?://[^\\s]+$'), false) UNION ALL SELECT 'repeated' FROM (SELECT page_id FROM pages GROUP BY page_id HAVING count(*) > 1) UNION ALL SELECT 'missing' FROM pages WHERE page_id IS NULL) GROUP BY problem",
     "page_lookup": "SELECT page_id, url FROM pages WHERE page_id % 50 = 0",
     "raw_missing": "SELECT doc_id AS page_id FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages)",
     "distinct_pages": "SELECT DISTINCT source FROM documents",
@@ -301,7 +316,7 @@ SQL = {
     "manifest": "SELECT source AS page_id, count(*) AS chunks, sha256(max(text)) AS content_hash FROM documents GROUP BY source",
     "source_list": "SELECT d.doc_id AS page_id, source, l.chunks, CASE WHEN l.chunks IS NOT NULL THEN sha256(text) END AS content_hash FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS chunks FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id",
     "url_allowlist": "SELECT page_id, h AS host, h = 'example.org' OR ends_with(h, '.example.org') OR h = 'example.com' OR ends_with(h, '.example.com') AS allowed FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS h FROM pages)",
-    "dump_chunks": "SELECT source AS page_id, CAST(place AS INTEGER) AS place, doc_id AS chunk_id, CAST(length(text) AS INTEGER) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents) WHERE place <= 3",
+    "dump_chunks": "SELECT source AS page_id, CAST(place AS INTEGER) AS place, doc_id AS chunk_id, CAST(length(text) AS INTEGER) AS chars, heavy AS return_heavy FROM (SELECT *, " + _HEAVY + " AS heavy, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents) WHERE place <= 3",
     "chunks_per_page": "SELECT source AS page_id, count(*) AS n FROM documents GROUP BY source",
     "exact_dups": "SELECT sha256(trim(text)) AS h, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
     "boilerplate": """SELECT sha256(body) AS body, count(DISTINCT source) AS pages, count(*) AS copies FROM (SELECT source, lower(trim(regexp_replace(regexp_replace(line, '^[^()]*\\([^)]*\\)', ''), '\\s+', ' ', 'g'))) AS body

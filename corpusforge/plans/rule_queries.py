@@ -57,7 +57,8 @@ def pii_aadhaar(spark, d):
 
 
 def pii_email(spark, d):
-    return documents(spark, d).select("doc_id", F.regexp_count("text", F.lit(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")).cast("int").alias("n"))
+    rows = pii.scan(_personal(spark, d))
+    return rows.select("id", F.size(F.filter("pii_spans", lambda s: s["kind"] == "email")).alias("n"))
 
 
 def pii_account(spark, d):
@@ -65,7 +66,8 @@ def pii_account(spark, d):
 
 
 def redact_email(spark, d):
-    return documents(spark, d).select("doc_id", F.sha2(F.regexp_replace("text", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+", "*"), 256).alias("h"))
+    rows = pii.scan(_personal(spark, d))
+    return rows.select("id", F.sha2(pii.redact(F.col("text"), F.filter("pii_spans", lambda s: s["kind"] == "email")), 256).alias("h"))
 
 
 def _personal(spark, d):
@@ -78,9 +80,11 @@ def pii_spans(spark, d):
 
 
 def pii_gate(spark, d):
-    """Questions that may go on: an open policy lets everything through, a dry run marks only."""
-    rows = questions(spark, d).select("qid", (F.col("question").rlike(pii.ACCOUNT_BARE) | F.col("question").rlike(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.")).alias("found"))
-    return rows.select("qid", "found", F.when(F.col("found"), "block").otherwise("pass").alias("action"))
+    """What becomes of questions, planted texts and documents under each policy."""
+    asked = questions(spark, d).select(F.col("qid").alias("id"), F.col("question").alias("text"))
+    rows = pii.scan(asked.unionByName(_personal(spark, d).select(F.concat(F.lit("p"), "id").alias("id"), "text")))
+    found = F.col("pii_found")
+    return rows.select("id", found.alias("found"), pii.policy(found).alias("action"), pii.policy(found, dry_run=True).alias("dry"), pii.policy(found, block=False).alias("open"))
 
 
 def log_redact(spark, d):
@@ -98,12 +102,18 @@ def advice_screen(spark, d):
     return _statements(spark).select(F.col("id").cast("long"), "text").unionByName(said).select("id", screens.advice_term(F.col("text")).alias("term"))
 
 
+def _screened(spark, d):
+    """The statements, and everything said in conversations; accented letters are folded, as DuckDB's word boundaries know ASCII only."""
+    said = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 100).alias("id"), F.regexp_replace("text", "[À-ɏ]", "Z").alias("text"))
+    return _statements(spark).select(F.col("id").cast("long").alias("id"), "text").unionByName(said)
+
+
 def perf_screen(spark, d):
-    return _statements(spark).select("id", F.array_join(screens.performance_violations(F.col("text")), "|").alias("reasons"))
+    return _screened(spark, d).select("id", F.array_join(screens.performance_violations(F.col("text")), "|").alias("reasons"))
 
 
 def eval_leaks(spark, d):
-    return _statements(spark).select("id", F.array_join(screens.performance_leaks(F.col("text")), "|").alias("performance"), F.array_join(screens.advice_leaks(F.col("text")), "|").alias("advice"))
+    return _screened(spark, d).select("id", F.array_join(screens.performance_leaks(F.col("text")), "|").alias("performance"), F.array_join(screens.advice_leaks(F.col("text")), "|").alias("advice"))
 
 
 def _drafts(spark, d):
@@ -147,7 +157,7 @@ def source_list_answer(spark, d):
 
 
 def answer_batch(spark, d):
-    return answers.answer(questions(spark, d), documents(spark, d), table(spark, d, "embeddings"), threshold=0.3)
+    return answers.answer(questions(spark, d), documents(spark, d), table(spark, d, "embeddings"), threshold=0.3, index=R.index_of(spark, d))
 
 
 def citation_retrieved(spark, d):
@@ -167,7 +177,12 @@ def _observations(spark, d):
 
 
 def observations(spark, d):
-    return _observations(spark, d)
+    """One retrieval for each benchmark item, whose first three words are the expected facts."""
+    dense, _, fused = R._fused(spark, d)
+    asked = R._questions(spark, d).select("qid", "question", (F.col("qid") % 3 != 0).alias("answerable"), F.slice(F.split("question", r"\s+"), 1, 3).alias("facts"))
+    texts = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("page_id"), "text")
+    rows = evaluation.observe(asked, dense, fused, texts)
+    return rows.select("qid", "answerable", "raw_dense_max", "facts_in_context", F.array_join("missing_facts", " ").alias("missing"), F.array_join("page_ids", " ").alias("pages"))
 
 
 def obs_union(spark, d):
@@ -205,11 +220,14 @@ def metrics(spark, d):
     return evaluation.metrics(run_checks(spark, d))
 
 
-REPLIES = ['{"score": 2, "reason": "ok"}', '```json\n{"score": 0, "reason": "bad"}\n```', '{"score": 3, "reason": "x"}', '{"score": true, "reason": "x"}', "no json", '{"score": 1, "reason": "part", "missing": ["a"]}', '{"score": 1}']
+#: Replies of a judge, well and badly formed.
+REPLIES = ['{"score": 2, "reason": "ok"}', '```json\n{"score": 0, "reason": "bad"}\n```', '{"score": 3, "reason": "x"}', '{"score": true, "reason": "x"}', "no json", '{"score": 1, "reason": "part", "missing": ["a"]}', '{"score": 1}', '{"score": 2, "reason": "x", "missing": "a"}', '{"score": 2, "reason": "x", "unsupported": [1]}', '{"score": 0, "reason": "y", "missing": [], "unsupported": ["b", "c"]}']
 
 
 def judge_verdicts(spark, d):
-    return evaluation.parse_verdicts(literal(spark, list(enumerate(REPLIES)), "id int, reply string")).select("id", "score", "reason")
+    """The battery, and a reply for each label."""
+    more = table(spark, d, "labels").select((F.col("doc_id") + 100).alias("id"), F.concat(F.lit('{"score": '), F.col("quality") + 2 * F.col("toxic"), F.lit(', "reason": "r'), "doc_id", F.lit('"}')).alias("reply"))
+    return evaluation.parse_verdicts(literal(spark, list(enumerate(REPLIES)), "id long, reply string").unionByName(more)).select("id", "score", "reason")
 
 
 def judge_mean(spark, d):
@@ -228,7 +246,8 @@ QUERIES = {f.__name__: f for f in (
     composition, run_checks, metrics, judge_verdicts, judge_mean, non_answer,
 )}
 
-_EMAIL = "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)+"
+_EMAIL = pii.EMAIL
+_PERSONAL_ALL = f"(SELECT CAST(id AS BIGINT) AS id, text FROM {_PERSONAL_SQL} UNION ALL SELECT doc_id + 1000, text FROM documents)"
 _KNOWN, _PLAIN = values([(w,) for w in routing.scheme_words(V.SCHEMES)]), "[" + ", ".join(map(quoted, V.NOT_DISTINCTIVE)) + "]"
 _KNOWN = "[" + ", ".join(map(quoted, routing.scheme_words(V.SCHEMES))) + "]"
 _PHRASES = f"list_concat(list_concat(regexp_extract_all(q, {quoted(V.SCHEME_NAME)}), regexp_extract_all(q, {quoted(V.SCHEME_NAME_LOWER)})), regexp_extract_all(q, {quoted(V.ETF_NAME)}))"
@@ -236,8 +255,7 @@ _SCOPED = f"""(SELECT *, len(list_filter(own, lambda o: len(o) > 0 AND len(list_
   len(list_filter(own, lambda o: len(o) > 0 AND len(list_filter(o, lambda w: NOT list_contains({_KNOWN}, w))) = 0)) > 0 AS inside FROM (
   SELECT *, list_transform(list_filter(list_transform({_PHRASES}, lambda p: string_split_regex(lower(p), '[^a-z0-9]+')), lambda ws: list_contains(ws, 'hdfc')),
     lambda ws: list_filter(ws, lambda w: w <> '' AND NOT list_contains({_PLAIN}, w))) AS own FROM {QUESTIONS_SQL}))"""
-# Any holding or manager is a fund field, so the veto already covers what the lookahead excludes.
-_ASKED = "(" + " OR ".join(matches("q", p.replace(V.NOT_ABOUT, "")) for p in V.SOURCE_LIST) + f") AND NOT {matches('q', V.FUND_FIELD)} AND NOT inside"
+_ASKED = "(" + " OR ".join(matches("q", p) for p in V.SOURCE_LIST) + f") AND NOT {matches('q', V.FUND_FIELD)} AND NOT inside"
 _STEPS = [(matches("q", V.STATEMENT_REQUEST), "factual", "statement_request")]
 _STEPS += [(matches("q", p), "out_of_scope", n) for n, p in V.DOMAINS] + [(matches("q", p), "opinion", n) for n, p in V.OPINION]
 _STEPS += [(matches("q", V.OTHER_AMC), "out_of_scope", "other_amc"), ("outside", "out_of_scope", "non_corpus_scheme"), (_ASKED, "corpus_sources", "source_list")]
@@ -246,26 +264,31 @@ _ROUTE = " ".join(f"WHEN {test} THEN {quoted(intent + '/' + rule)}" for test, in
 _FIGURES = "len(list_filter(regexp_extract_all(regexp_replace({c}, '\\[S\\d+\\]', ' ', 'gi'), '\\d'), lambda f: true)) > 0"
 
 
-def _clause_list(column: str, breaks: str) -> str:
-    """Clauses: points at digits and abbreviations are set aside before the split and put back after it."""
-    held = f"regexp_replace(regexp_replace(regexp_replace({column}, '([0-9])\\.', '\\1' || chr(30), 'g'), '\\.([0-9])', chr(30) || '\\1', 'g'), '(Rs|INR|USD|Dr|No|approx)\\.', '\\1' || chr(30), 'gi')"
-    return f"list_filter(list_transform(string_split(regexp_replace({held}, {quoted(breaks)}, chr(31), 'gi'), chr(31)), lambda c: trim(replace(c, chr(30), '.'))), lambda c: c <> '')"
+def _clause_list(column: str, steps: list[tuple[str, str]]) -> str:
+    for pattern, replacement in steps:
+        column = f"regexp_replace({column}, {quoted(pattern)}, {quoted(replacement.replace('$', chr(92)))}, 'g')"
+    return f"list_filter(list_transform(string_split({column}, chr(31)), lambda c: trim(c)), lambda c: c <> '')"
 
 
 _PLAN = f"regexp_replace(c, {quoted(V.PLAN_NAMES)}, ' ', 'gi')"
-_DATEISH = V.DATEISH.replace(r"\b\d{4}\b(?!\s*%)", r"\b\d{4}\b(?:\s*[^%\s]|\s*$)")
 _CLAUSE = f"""CASE WHEN {matches('c', V.INDEX_NAMES)} THEN NULL
   WHEN NOT regexp_matches(regexp_replace(c, '\\[S\\d+\\]', ' ', 'gi'), '\\d') THEN CASE WHEN {matches(_PLAN, V.RETURNS)} AND NOT {matches(_PLAN, V.FEES)} THEN 'return language without a fee' END
-  WHEN {matches(_PLAN, V.NAV)} AND NOT regexp_matches({_PLAN}, {quoted(_DATEISH)}) THEN 'NAV value' WHEN {matches(_PLAN, V.FEES)} THEN NULL WHEN {matches(_PLAN, V.RETURNS)} THEN 'return figure'
+  WHEN {matches(_PLAN, V.NAV)} AND NOT {matches(_PLAN, V.DATEISH)} THEN 'NAV value' WHEN {matches(_PLAN, V.FEES)} THEN NULL WHEN {matches(_PLAN, V.RETURNS)} THEN 'return figure'
   WHEN {matches(_PLAN, V.PERIODS)} THEN 'period-attached figure' WHEN regexp_matches(c, '\\d\\s*%') THEN 'unattributed percentage' END"""
 _LEAK = f"""CASE WHEN {matches(_PLAN, V.EVAL_INDEX)} OR {matches(_PLAN, V.EVAL_FEES)} THEN NULL WHEN {matches(_PLAN, V.EVAL_NAV)} THEN 'NAV value' WHEN {matches(_PLAN, V.PERIOD_PERCENT)} THEN 'period-attached figure'
   WHEN {matches(_PLAN, V.EVAL_RETURNS)} AND regexp_matches({_PLAN}, {quoted(V.BARE_PERCENT)}) THEN 'return figure' WHEN {matches(_PLAN, V.EVAL_RETURNS)} THEN 'return language without a figure'
   WHEN regexp_matches({_PLAN}, {quoted(V.BARE_PERCENT)}) THEN 'unattributed percentage' END"""
+_SCREENED_SQL = f"(SELECT CAST(id AS BIGINT) AS id, text FROM {_STATEMENTS_SQL} UNION ALL SELECT conv_id * 1000 + turn + 100, regexp_replace(text, '[À-ɏ]', 'Z', 'g') FROM conversations)"
+_DRAFTS = f"""{R._FUSED}, cand AS (SELECT qid, list(struct_pack(chunk_id := chunk_id, url := 'https://corpus.example.org/' || source, text := text) ORDER BY fused_rank) AS c FROM fused JOIN documents ON doc_id = chunk_id GROUP BY qid),
+  drafts AS (SELECT qid AS id, c, CASE qid % 4 WHEN 0 THEN first || ' [S2].' WHEN 1 THEN first || '. See https://corpus.example.org/src1 for 77777 more.' WHEN 2 THEN 'You should buy it. ' || first
+    ELSE first || '. It returned 18% in 3 years. More. And more. And more.' END AS text FROM (SELECT *, split_part(c[1].text, '.', 1) AS first FROM cand))"""
+_NORM = "coalesce(regexp_replace(printf('%.6f', try_cast(replace(regexp_replace(trim({0}), '[₹$% xX]', '', 'g'), ',', '') AS DOUBLE)), '\\.?0+$', ''), '')"
+_FIGURE_LIST = "list_filter(regexp_extract_all(regexp_replace({0}, '\\[S\\d+\\]', ' ', 'gi'), '[₹$]?\\s?\\d[\\d,]*\\.?\\d*\\s?(?:%|x|X\\b)?'), lambda f: " + _NORM.format("f") + " <> '')"
+_BARE_REPLY = "trim(regexp_replace(regexp_replace(reply, '^\\s*```(?:json)?\\s*', ''), '\\s*```\\s*$', ''))"
 _OBS = """(SELECT CAST(l.doc_id AS VARCHAR) AS id, quality = 1 AS answerable, round(coalesce(abs(CAST(embedding[1] AS DOUBLE)), -1.0), 4) AS raw_dense_max, toxic = 0 AS gate_routed, l.doc_id % 3 <> 0 AS facts_in_context
   FROM labels l LEFT JOIN embeddings e ON vec_id = l.doc_id)"""
 _TEXTS = "[" + ", ".join(map(quoted, STATEMENTS)) + "]"
-_EVAL_BREAKS = r"([^0-9A-Za-z])[.!?;]+\s+"
-_EVAL_LIST = "list_filter(list_transform(string_split(regexp_replace(text, '\\s+(?:and|but|while|whereas|however|although|though)\\s+', chr(31), 'gi'), chr(31)), lambda c: trim(c)), lambda c: c <> '')"
+_EVAL_LIST = _clause_list("text", screens.EVAL_STEPS)
 _REASONS = f"list_filter(list_transform({_EVAL_LIST}, lambda c: {_LEAK}), lambda r: r IS NOT NULL)"
 _ADVICE = f"list_filter(flatten(list_transform({_EVAL_LIST}, lambda c: [CASE WHEN {matches('c', V.DIRECTIVES)} THEN 'directive' END, CASE WHEN {matches('c', V.BARE_SHOULD)} THEN 'recommendation' END])), lambda r: r IS NOT NULL)"
 _SENTENCES = "len(list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])[\"'')\\]]*\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda s: trim(s)), lambda s: s <> ''))"
@@ -284,6 +307,12 @@ def _sum(offset: int) -> str:
     return f"list_reduce(list_concat([0], {steps}), lambda c, x: d[c * 10 + x + 1])"
 
 
+#: What each kind's detector finds; an Aadhaar candidate counts if its check digit is right.
+_FOUND = [
+    f"regexp_matches(text, {quoted(pii.EMAIL)})", f"regexp_matches(text, {quoted(pii.ACCOUNT_LABELLED)})", "regexp_matches(text, '(^|[^\\d.,\\-/])\\d{12,18}($|[^\\d.,\\-/])')",
+    "regexp_matches(text, '(^|\\D)(?:\\+?91[\\s-]?)?0?[6-9]\\d{4}[\\s-]?\\d{5}($|\\D)')", f"regexp_matches(text, {quoted(pii.OTP_CUED)})", f"regexp_matches(text, '(?i)\\b[A-Z]{{3}}[{pii.ENTITY_LETTERS}][A-Z]\\d{{4}}[A-Z]\\b')",
+    f"len(list_filter(list_transform(regexp_extract_all(text, {quoted(pii.AADHAAR)}), lambda x: regexp_replace(x, '\\D', '', 'g')), lambda n: {_sum(0).replace('digits', 'n').replace('lambda i: p[', f'lambda i: {pii._FLAT_MOVES}[').replace('lambda c, x: d[', f'lambda c, x: {pii._FLAT_TIMES}[')} = 0)) > 0",
+]
 _LOG = "regexp_replace(text, '[À-ɏ]', 'Z', 'g')"
 for _p, _m in pii.LOG_PATTERNS:
     if _p.startswith(r"(?<![\w.])"):
@@ -302,23 +331,38 @@ SQL = {
       CASE WHEN regexp_matches(digits, '^[0-9]+$') THEN ([{', '.join(map(str, pii.INVERSE))}])[{_sum(1)} + 1] END AS digit FROM {_VERHOEFF}""",
     "pii_pan": f"""SELECT column0 AS id, regexp_matches(c, '^[A-Z]{{3}}[PCAHBGLJFT][A-Z]\\d{{4}}[A-Z]$') AND substr(c, 1, 5) NOT IN ('AAAAA', 'XXXXX', 'ZZZZZ') AND substr(c, 6, 4) NOT IN ('0000', '1111')
       AND NOT (len(list_distinct(string_split(substr(c, 1, 5) || substr(c, 10, 1), ''))) = 1) AS valid FROM (SELECT column0, upper(column1) AS c FROM {values(list(enumerate(PANS)))})""",
-    "pii_email": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_EMAIL}')) AS INTEGER) AS n FROM documents",
+    "pii_aadhaar": f"""SELECT id, length(n) = 12 AND NOT regexp_matches(n, '^[01]') AND len(list_distinct(string_split(n, ''))) > 1 AND {_sum(0).replace('digits', 'n')} = 0 AS valid
+      FROM (SELECT *, regexp_replace(digits, '\\D', '', 'g') AS n FROM {_VERHOEFF})""",
+    "pii_email": f"SELECT id, CAST(len(regexp_extract_all(text, '{_EMAIL}')) AS INTEGER) AS n FROM {_PERSONAL_ALL}",
     "pii_account": "SELECT doc_id, regexp_matches(text, '(^|[^\\d.,\\-/])\\d{12,18}($|[^\\d.,\\-/])') AS found FROM documents",
-    "redact_email": f"SELECT doc_id, sha256(regexp_replace(text, '{_EMAIL}', '*', 'g')) AS h FROM documents",
-    "pii_gate": f"""SELECT qid, found, CASE WHEN found THEN 'block' ELSE 'pass' END AS action FROM (SELECT qid, regexp_matches(question, '(^|[^\\d.,\\-/])\\d{{12,18}}($|[^\\d.,\\-/])') OR
-      regexp_matches(question, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.') AS found FROM {QUESTIONS_SQL})""",
+    "redact_email": f"SELECT id, sha256(list_reduce(list_concat([text], regexp_extract_all(text, '{_EMAIL}')), lambda t, e: replace(t, e, repeat('*', length(e))))) AS h FROM {_PERSONAL_ALL}",
+    "pii_gate": f"""SELECT id, found, CASE WHEN found THEN 'block' ELSE 'pass' END AS action, CASE WHEN found THEN 'mark' ELSE 'pass' END AS dry, 'pass' AS open FROM (SELECT id, {' OR '.join(_FOUND)} AS found FROM (
+      SELECT qid AS id, question AS text FROM {QUESTIONS_SQL} UNION ALL SELECT 'p' || id, text FROM {_PERSONAL_ALL}))""",
     "log_redact": f"SELECT id, sha256({_LOG}) AS h FROM (SELECT CAST(id AS BIGINT) AS id, text FROM {_PERSONAL_SQL} UNION ALL SELECT doc_id + 1000, text FROM documents)",
     "advice_screen": f"""SELECT id, nullif(lower(regexp_extract(regexp_replace(text, '[À-ɏ]', 'Z', 'g'), {quoted('(?i)' + V.ADVICE)})), '') AS term FROM (
       SELECT CAST(id AS BIGINT) AS id, text FROM {_STATEMENTS_SQL} UNION ALL SELECT conv_id * 1000 + turn + 100, text FROM conversations)""",
-    "perf_screen": f"""SELECT id, array_to_string(list_filter(list_transform({_clause_list('text', '[.;:!?]+|' + chr(92) + 'band' + chr(92) + 'b|' + chr(92) + 'bbut' + chr(92) + 'b|' + chr(92) + 'bwhile' + chr(92) + 'b')},
-      lambda c: {_CLAUSE}), lambda r: r IS NOT NULL), '|') AS reasons FROM {_STATEMENTS_SQL}""",
-    "eval_leaks": f"SELECT id, array_to_string({_REASONS}, '|') AS performance, array_to_string({_ADVICE}, '|') AS advice FROM {_STATEMENTS_SQL}",
+    "perf_screen": f"""SELECT id, array_to_string(list_filter(list_transform({_clause_list('text', screens.CLAUSE_STEPS)},
+      lambda c: {_CLAUSE}), lambda r: r IS NOT NULL), '|') AS reasons FROM {_SCREENED_SQL}""",
+    "eval_leaks": f"SELECT id, array_to_string({_REASONS}, '|') AS performance, array_to_string({_ADVICE}, '|') AS advice FROM {_SCREENED_SQL}",
     "refusals": f"""SELECT item_id AS qid, CASE item_id % 4 WHEN 0 THEN {quoted(screens.REFUSALS['opinion'])} || CASE WHEN item_id % 8 = 0 THEN ' https://example.org/learn' ELSE '' END
       WHEN 1 THEN {quoted(screens.REFUSALS['performance'])} WHEN 2 THEN {quoted(screens.REFUSALS['not_in_corpus'])} ELSE {quoted(screens.REFUSALS['pii'])} END AS text FROM benchmark""",
     "source_list_answer": """WITH s AS (SELECT DISTINCT source FROM documents), n AS (SELECT source, row_number() OVER (ORDER BY source DESC) AS back, count(*) OVER () AS n FROM s)
       SELECT 'I answer from these pages: ' || string_agg(CASE WHEN back = 1 AND n > 2 THEN 'and ' ELSE '' END || 'Scheme ' || source, ', ' ORDER BY source) || '.' AS answer FROM n GROUP BY n""",
     "citation_retrieved": f"WITH {R._FUSED} SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT chunk_id FROM fused)",
-    "observations": f"SELECT * FROM {_OBS}",
+    "observations": f"""WITH {R._FUSED}, held AS (SELECT qid, string_agg(text, chr(10) ORDER BY fused_rank) AS context, array_to_string(list_sort(list(DISTINCT source)), ' ') AS pages FROM fused JOIN documents ON doc_id = chunk_id GROUP BY qid),
+      m AS (SELECT q.qid, top, pages, list_filter((string_split_regex(question, '\\s+'))[1:3], lambda f: NOT contains(coalesce(context, ''), f)) AS missing FROM q
+        LEFT JOIN (SELECT qid, max(dense_score) AS top FROM dense GROUP BY qid) t ON t.qid = q.qid LEFT JOIN held h ON h.qid = q.qid)
+      SELECT qid, qid % 3 <> 0 AS answerable, coalesce(top, -1.0) AS raw_dense_max, len(missing) = 0 AS facts_in_context, array_to_string(missing, ' ') AS missing, coalesce(pages, '') AS pages FROM m""",
+    "resolve_citation": f"""WITH {_DRAFTS}, m AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '(?i)\\[S(\\d{{1,6}})\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x BETWEEN 1 AND len(c)) AS marks,
+        list_transform(regexp_extract_all(text, '(?i)https?://[^\\s<>\\])"'']+'), lambda u: regexp_replace(u, '[.,;:!?]+$', '')) AS links FROM drafts)
+      SELECT id, coalesce(c[marks[1]].chunk_id, (list_filter(c, lambda x: list_contains(links, x.url)))[1].chunk_id, c[1].chunk_id) AS chunk_id FROM m""",
+    "grounding": f"""WITH {_DRAFTS}, h AS (SELECT *, array_to_string(list_transform({_FIGURE_LIST.format("array_to_string(list_transform(c, lambda x: x.text), ' ')")}, lambda f: {_NORM.format('f')}), ' ') AS haystack FROM drafts)
+      SELECT id, array_to_string(list_filter({_FIGURE_LIST.format('text')}, lambda f: NOT contains(haystack, {_NORM.format('f')})), '|') AS loose FROM h""",
+    "judge_verdicts": f"""WITH r AS (SELECT CAST(column0 AS BIGINT) AS id, column1 AS reply FROM {values(list(enumerate(REPLIES)))} UNION ALL SELECT doc_id + 100, '{{"score": ' || (quality + 2 * toxic) || ', "reason": "r' || doc_id || '"}}' FROM labels),
+      b AS (SELECT id, {_BARE_REPLY} AS bare FROM r), p AS (SELECT *, regexp_extract(bare, '"score"\\s*:\\s*(-?[0-9]+)\\s*[,}}]', 1) AS whole, CASE WHEN json_valid(bare) THEN bare END AS j FROM b),
+      g AS (SELECT *, coalesce(whole IN ('0', '1', '2') AND json_extract_string(j, '$.reason') IS NOT NULL
+        AND coalesce(regexp_matches(CAST(json_extract(j, '$.missing') AS VARCHAR), {quoted(evaluation.STRING_LIST)}), true) AND coalesce(regexp_matches(CAST(json_extract(j, '$.unsupported') AS VARCHAR), {quoted(evaluation.STRING_LIST)}), true), false) AS good FROM p)
+      SELECT id, CASE WHEN good THEN CAST(whole AS INTEGER) END AS score, CASE WHEN good THEN json_extract_string(j, '$.reason') END AS reason FROM g""",
     "obs_union": f"SELECT id, 'sample' AS origin FROM {_OBS} UNION ALL SELECT 'p' || item_id, 'probe' FROM benchmark",
     "threshold_sweep": f"""WITH t AS (SELECT CAST(round(i * 0.01, 2) AS DOUBLE) AS threshold FROM range(96) AS g(i)), o AS (SELECT * FROM {_OBS}), c AS (SELECT threshold,
         count(*) FILTER (WHERE answerable AND raw_dense_max >= threshold) AS factual_passed, count(*) FILTER (WHERE answerable AND raw_dense_max >= threshold AND facts_in_context) AS facts_passed,

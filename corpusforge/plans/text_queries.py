@@ -67,8 +67,26 @@ def pack_sentences(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(chunking.packed(200, 40)(F.col("text"))).alias("at", "piece"))
 
 
+def _pages(spark, d):
+    return documents(spark, d).select(F.col("doc_id").alias("page_id"), F.col("source").alias("scheme"), F.col("lang").alias("category"), F.concat(F.lit("https://corpus.example.org/"), "source").alias("source_url"))
+
+
+def _blocks(spark, d):
+    return lines(spark, d).withColumn("section", F.lit(None).cast("string"))
+
+
 def chunks(spark, d):
-    return chunking.chunk_documents(documents(spark, d), page="doc_id")
+    return chunking.chunk_blocks(_blocks(spark, d), _pages(spark, d))
+
+
+def block_chunks(spark, d):
+    """Chunks so large that none is packed: headings, sections, texts, offsets and numbers."""
+    rows = chunking.chunk_blocks(_blocks(spark, d), _pages(spark, d), size=10**7)
+    return rows.select("chunk_id", "ordinal", "page_id", "scheme", "category", "section", "token_count", "content_hash", "return_heavy", "char_start", "char_end")
+
+
+def chunk_integrity(spark, d):
+    return profiling.chunk_integrity(lines(spark, d).join(_pages(spark, d).select("page_id", "source_url"), "page_id"))
 
 
 def heading_carry(spark, d):
@@ -88,10 +106,8 @@ def chunk_ids(spark, d):
 
 
 def chunk_stats(spark, d):
-    rows = lines(spark, d).select("source", T.token_count(F.col("text")).alias("tokens"), chunking.return_heavy(F.col("text")).alias("heavy"))
-    return rows.groupBy("source").agg(
-        F.count("*").alias("chunks"), F.count_if("heavy").alias("heavy"), F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.round(F.avg("tokens"), 1).alias("mean"),
-    )
+    rows = lines(spark, d).select("source", T.token_count(F.col("text")).alias("token_count"), chunking.return_heavy(F.col("text")).alias("return_heavy"))
+    return chunking.stats(rows, "source")
 
 
 def question_ref(spark, d):
@@ -107,8 +123,17 @@ def figures(spark, d):
     return own.select("id", F.array_join(T.figures(F.col("text")), "|").alias("figures"))
 
 
+def _said(spark, d):
+    """The battery of answers, and everything said in conversations; accented letters are folded, as word classes differ between engines."""
+    said = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 100).alias("id"), F.regexp_replace("text", "[À-ɏ]", "Z").alias("text"))
+    return _answers(spark).select(F.col("id").cast("long").alias("id"), "text").unionByName(said)
+
+
+_SAID_SQL = f"(SELECT CAST(id AS BIGINT) AS id, text FROM {_ANSWERS_SQL} UNION ALL SELECT conv_id * 1000 + turn + 100, regexp_replace(text, '[À-ɏ]', 'Z', 'g') FROM conversations)"
+
+
 def strip_urls(spark, d):
-    return _answers(spark).select("id", T.strip_urls(F.col("text")).alias("t"), F.array_join(T.urls(F.col("text")), " ").alias("urls"))
+    return _said(spark, d).select("id", T.strip_urls(F.col("text")).alias("t"), F.array_join(T.urls(F.col("text")), " ").alias("urls"))
 
 
 def trim_sentences(spark, d):
@@ -159,8 +184,8 @@ def html_strip(spark, d):
 
 
 def html_chunks(spark, d):
-    blocks = pages.parse_pages(table(spark, d, "pages"))
-    return chunking.chunk_documents(pages.flat_text(blocks).select("page_id", F.col("flat_text").alias("text")))
+    source = table(spark, d, "pages")
+    return chunking.chunk_blocks(pages.parse_pages(source), source.select("page_id", F.col("url").alias("source_url")))
 
 
 def too_long(spark, d):
@@ -168,7 +193,10 @@ def too_long(spark, d):
 
 
 def hash_embed(spark, d):
-    return ingest.hash_embed(documents(spark, d).select("doc_id", "text"), dim=64)
+    """Of every vector: its size, sums that see each place, and its last part."""
+    rows = ingest.hash_embed(documents(spark, d).select("doc_id", "text"), dim=64)
+    total = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", F.size("embedding").alias("dim"), F.round(total, 4).alias("weighted"), F.round(F.element_at("embedding", -1).cast("double"), 5).alias("last"))
 
 
 def dedup_first(spark, d):
@@ -177,7 +205,7 @@ def dedup_first(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    tokenize, norm_ws, sentence_split, sentences, count_sentences, token_count, block_offsets, compose_chunk, word_windows, pack_sentences, chunks, heading_carry, return_heavy, chunk_ids,
+    tokenize, norm_ws, sentence_split, sentences, count_sentences, token_count, block_offsets, compose_chunk, word_windows, pack_sentences, chunks, block_chunks, chunk_integrity, heading_carry, return_heavy, chunk_ids,
     chunk_stats, question_ref, norm_number, figures, strip_urls, trim_sentences, delimiters, fact_coverage, fact_snippets, perf_density, flat_text, thin_pages, block_dedup, drop_text, html_blocks,
     html_strip, html_chunks, too_long, hash_embed, dedup_first,
 )}
@@ -185,7 +213,7 @@ QUERIES = {f.__name__: f for f in (
 _COUNT_PARTS = "list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])[\"'')\\]]*\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda s: trim(s)), lambda s: s <> '')"
 _LATER = f"len(list_filter(parts[2:], lambda s: NOT list_contains({T.COUNT_ABBREVIATIONS}, lower(rtrim(regexp_extract(s, '[^ ]*$'), '.!?'))) AND NOT regexp_matches(right(s, 4), '\\d[.!?]\\d')))"
 _COUNTED = f"(SELECT *, CASE WHEN len(parts) = 0 THEN 0 ELSE 1 + {_LATER} END AS n FROM (SELECT *, {_COUNT_PARTS} AS parts FROM documents))"
-_SIMPLE = "CAST(greatest(1, len(regexp_extract_all(text, '\\w+|[^\\w\\s]'))) AS INTEGER)"
+_SIMPLE = f"CAST(greatest(1, len(regexp_extract_all(text, '{T.SIMPLE_TOKEN[1:-1]}'))) AS INTEGER)"
 _HEAVY = (
     "regexp_matches(text, '\\b(?:annuali[sz]ed|CAGR|absolute return|periodic return|fund returns?|returns and rankings|return calculator)\\b|\\bNAV\\b[^\\n]{0,24}(?:₹|Rs\\.?|\\d)', 'i')"
     " OR regexp_matches(text, '[+\\-−]\\s*\\d[\\d,]*\\.?\\d*\\s*%') OR len(regexp_extract_all(text, '[+\\-−]?\\s*\\d[\\d,]*\\.?\\d*\\s*%')) >= 3"
@@ -204,6 +232,21 @@ SQL = {
     "tokenize": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {TOKENS} AS t FROM documents)",
     "norm_ws": "SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\u00a0]+', ' ', 'g'))) AS h FROM documents",
     "sentence_split": f"SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS at, unnest(s) AS sentence FROM (SELECT doc_id, {SPLIT} AS s FROM documents)",
+    "sentences": f"""SELECT doc_id, CASE WHEN len(s) = 0 THEN '' ELSE list_reduce(s, lambda done, x: done || CASE WHEN regexp_matches(done, '(?:Rs|Mr|Mrs|Ms|Dr|vs|etc|No|approx)\\.$', 'i') THEN ' ' ELSE chr(10) END || x) END AS joined
+        FROM (SELECT doc_id, {SPLIT} AS s FROM documents)""",
+    "hash_embed": """SELECT doc_id, 64 AS dim, round(list_sum(list_transform(range(0, 64), lambda i: CAST(CAST(v[i % 32 + 1] / norm AS FLOAT) AS DOUBLE) * (i + 1))), 4) AS weighted, round(CAST(CAST(v[32] / norm AS FLOAT) AS DOUBLE), 5) AS last
+        FROM (SELECT *, sqrt(2 * list_sum(list_transform(v, lambda x: x * x))) AS norm FROM (
+        SELECT doc_id, list_transform(range(0, 32), lambda i: CAST(CAST('0x' || substr(sha256(text), CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) AS DOUBLE) / 255) AS v FROM documents))""",
+    "chunk_integrity": f"""SELECT count(*) AS chunks, count_if(NOT regexp_matches(text, '\\S')) AS empty, CAST(0 AS BIGINT) AS bad_urls, count(*) - count(DISTINCT sha256(trim(text))) AS redundant FROM {LINES_SQL}""",
+    "block_chunks": f"""WITH b AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY page_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(text) AS own,
+          sum(length(text) + 1) OVER (PARTITION BY page_id) - 1 AS page_end FROM {LINES_SQL}),
+        n AS (SELECT *, lag(kind) OVER w AS before, lag(text) OVER w AS previous, max(ordinal) OVER (PARTITION BY page_id) AS last FROM b WHERE regexp_matches(text, '\\S') WINDOW w AS (PARTITION BY page_id ORDER BY ordinal)),
+        c AS (SELECT *, kind = 'heading' AS alone, CASE WHEN kind <> 'heading' AND before = 'heading' THEN previous END AS heading FROM n WHERE kind <> 'heading' OR ordinal = last),
+        e AS (SELECT *, CASE WHEN alone THEN text ELSE heading END AS section, CASE WHEN heading IS NOT NULL AND strpos(text, trim(heading)) = 0 THEN heading || ': ' || text ELSE text END AS body FROM c),
+        f AS (SELECT e.* EXCLUDE (text), lang, e.source || CASE WHEN section IS NOT NULL AND trim(section) <> '' AND section <> body THEN ' (' || section || ')' ELSE '' END || ' ' || body AS text,
+          CAST(row_number() OVER (PARTITION BY page_id ORDER BY ordinal) - 1 AS INTEGER) AS k FROM e JOIN documents ON doc_id = page_id)
+      SELECT substr(sha256(page_id || ':' || k), 1, 32) AS chunk_id, k AS ordinal, page_id, source AS scheme, lang AS category, section, {_SIMPLE} AS token_count, sha256(text) AS content_hash, {_HEAVY} AS return_heavy,
+        CAST(CASE WHEN alone THEN 0 ELSE s END AS BIGINT) AS char_start, CAST(CASE WHEN alone THEN page_end ELSE s + own END AS BIGINT) AS char_end FROM f""",
     "count_sentences": f"SELECT doc_id, CAST(n AS INTEGER) AS n FROM {_COUNTED}",
     "token_count": f"SELECT doc_id, {_SIMPLE} AS n FROM documents",
     "block_offsets": f"""SELECT page_id, ordinal, CAST(s AS BIGINT) AS char_start, CAST(s + length(text) AS BIGINT) AS char_end FROM (SELECT *,
@@ -225,7 +268,7 @@ SQL = {
         FROM {values(list(enumerate(NUMBERS)))})""",
     "figures": f"""SELECT id, array_to_string({_FIGURES}, '|') AS figures FROM (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'a' || id, text FROM {_ANSWERS_SQL})""",
     "strip_urls": f"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\\s<>\\])"'']+', '', 'gi'), '[ \\t]{{2,}}', ' ', 'g'), '\\s+([.,;:])', '\\1', 'g')) AS t,
-        array_to_string(regexp_extract_all(text, '(?i)https?://[^\\s<>\\])"'']+'), ' ') AS urls FROM {_ANSWERS_SQL}""",
+        array_to_string(regexp_extract_all(text, '(?i)https?://[^\\s<>\\])"'']+'), ' ') AS urls FROM {_SAID_SQL}""",
     "trim_sentences": f"""SELECT doc_id, sha256(CASE WHEN n <= 3 THEN text WHEN regexp_matches(k, '[.!?]$') THEN k ELSE k || '.' END) AS h
         FROM (SELECT *, array_to_string(parts[1:3], ' ') AS k FROM {_COUNTED})""",
     "delimiters": "SELECT doc_id, " + ", ".join(f"length(text) - length(replace(text, {p}, '')) AS {n}" for n, p in [("period", "'.'"), ("colon", "':'"), ("pipe", "'|'"), ("newline", "chr(10)"), ("percent", "'%'"), ("rupee", "'₹'")]) + " FROM documents",

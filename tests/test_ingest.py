@@ -135,14 +135,122 @@ def test_generator_retries_passing_faults_only():
     assert len(sent) == 3
 
 
-def test_command_line_ingest_is_idempotent(spark, tmp_path):
+def test_command_line_ingest(spark, tmp_path):
+    """Twice the same; then a page changes, one turns thin, one leaves, and one comes."""
     from corpusforge.__main__ import main
+    from corpusforge.operators import retrieval
 
     source, index = str(tmp_path / "pages"), str(tmp_path / "idx")
     body = "<html><body><main><h1>T{0}</h1><p>" + "Some words stand here. " * 40 + "</p></main></body></html>"
-    rows = [(f"p{i}", body.format(i)) for i in range(3)]
-    spark.createDataFrame([*rows, ("thin", "<p>x</p>")], "page_id string, html string").write.parquet(source)
-    assert main(["ingest", source, index, "--min-chars", "200"]) == 1
-    first = sorted(map(str, spark.read.parquet(index).collect()))
-    assert main(["ingest", source, index, "--min-chars", "200"]) == 1
-    assert sorted(map(str, spark.read.parquet(index).collect())) == first and spark.read.parquet(index + "-manifest").count() == 3
+    schema = "page_id string, html string, scheme string, source_url string"
+
+    def run(rows, code):
+        spark.createDataFrame([(p, h, f"Scheme {p}", f"https://x.org/{p}") for p, h in rows], schema).write.mode("overwrite").parquet(source)
+        assert main(["ingest", source, index, "--min-chars", "200"]) == code
+        chunks = ingest.read_chunks(spark, index)
+        assert retrieval.load_bm25(spark, index + "-bm25", documents=chunks.count()) and spark.read.parquet(index + "-vectors").count() == chunks.count()
+        return {p: sorted(map(str, (r for r in chunks.collect() if r.page_id == p))) for p in "1 2 3 4 thin".split()}
+
+    first = run([*((str(i), body.format(i)) for i in (1, 2, 3)), ("thin", "<p>x</p>")], 1)
+    assert all(first[p] for p in "123") and not first["thin"]
+    assert run([*((str(i), body.format(i)) for i in (1, 2, 3)), ("thin", "<p>x</p>")], 1) == first
+    manifest = spark.read.parquet(index + "-manifest")
+    assert manifest.count() == 3 and {r.source_url for r in manifest.collect()} == {f"https://x.org/{i}" for i in (1, 2, 3)}
+    facts = spark.read.json(index + "-manifest-facts").first()
+    assert (facts.pages, facts.chunk_size, facts.chunk_overlap, facts.embedding_dim) == (3, 200, 40, 384)
+    then = run([("1", body.format("new") + "More."), ("2", "<p>thin now</p>"), ("4", body.format(4))], 1)
+    assert then["1"] and then["1"] != first["1"] and then["2"] == first["2"] and not then["3"] and then["4"]
+    assert {r.page_id for r in spark.read.parquet(index + "-manifest").collect()} == {"1", "2", "4"}
+    assert run([("1", body.format("new") + "More."), ("4", body.format(4))], 0)["2"] == []
+
+
+def test_chunks_with_provenance(spark):
+    blocks = [(0, "heading", "Costs", "Costs"), (1, "heading", "Exit load", "Exit load"), (2, "paragraph", "It is 1%.", "Exit load"), (3, "paragraph", " ", None), (4, "list_item", "Exit load is due", "Exit load"), (5, "paragraph", "One two three. " * 30, None), (6, "heading", "Tail", "Tail")]
+    rows = spark.createDataFrame([("p", *b) for b in blocks] + [("q", 0, "heading", "Only", None)], "page_id string, ordinal int, kind string, text string, section string")
+    pages_of = spark.createDataFrame([("p", "Fund A", "https://x.org/p"), ("q", None, None)], "page_id string, scheme string, source_url string")
+    got = [r for r in chunking.chunk_blocks(rows, pages_of, 50, 10).orderBy("page_id", "ordinal").collect()]
+    texts = [r.text for r in got if r.page_id == "p"]
+    assert texts[:2] == ["Fund A (Exit load) Exit load: It is 1%.", "Fund A (Exit load) Exit load is due"] and texts[-1] == "Fund A Tail"
+    assert all(r.token_count <= 50 for r in got) and texts[2].startswith("Fund A One two three.") and len(texts) > 5
+    flat = "\n".join(b[2] for b in blocks)
+    assert flat[got[0].char_start : got[0].char_end] == "It is 1%." and (got[len(texts) - 1].char_start, got[len(texts) - 1].char_end) == (0, len(flat))
+    assert [r.ordinal for r in got if r.page_id == "p"] == list(range(len(texts))) and got[0].source_url == "https://x.org/p" and got[0].category is None
+    assert got[-1].text == "Only" and len({r.chunk_id for r in got}) == len(got)
+    heavy = chunking.chunk_blocks(spark.createDataFrame([("p", 0, "paragraph", "CAGR is high", None), ("p", 1, "paragraph", "Fee", None)], rows.schema), pages_of, drop_return_heavy=True).collect()
+    assert [(r.ordinal, r.text) for r in heavy] == [(0, "Fund A Fee")]
+    for size, overlap in ((0, 0), (5, 5), (5, -1)):
+        with pytest.raises(ValueError):
+            chunking.chunk_blocks(rows, pages_of, size, overlap)
+
+
+def test_pack_counts_as_it_goes():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        text = " ".join(" ".join(rng.choice(["a", "b1", "c-d", "x.y"]) for _ in range(rng.randrange(1, 30))).capitalize() + "." for _ in range(rng.randrange(8)))
+        for piece in chunking.pack(text, 20, 5):
+            assert len(chunking.TOKEN.findall(piece)) <= 20 and all(w in text.split() for w in piece.split())
+        seen = {w for p in chunking.pack(text, 20, 5) for w in p.split()}
+        assert seen == set(text.split())
+    assert chunking.pack("Short  text. Here", 20, 5) == ["Short  text. Here"] and chunking.pack(" ", 5, 1) == []
+
+
+def test_raw_pages_replace_bad_bytes(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes(b"abc \xff def")
+    (tmp_path / "empty.html").write_bytes(b"")
+    rows = corpus.raw_pages(spark, str(tmp_path)).collect()
+    assert [r.html for r in rows] == ["abc \ufffd def"]
+    listed = spark.createDataFrame([("a", "https://x.org/a"), ("b", "https://x.org/b"), ("bad", "https://x.org/bad")], "page_id string, source_url string")
+
+    def get(url):
+        if url.endswith("bad"):
+            raise OSError("down")
+        return "fetched " + url
+
+    got = {r.page_id: r for r in corpus.cached_or_fetched(spark, listed, str(tmp_path), get).collect()}
+    assert got["a"].from_cache and got["b"].html == "fetched https://x.org/b" and not got["b"].from_cache and "down" in got["bad"].error
+    assert not any(r.from_cache for r in corpus.cached_or_fetched(spark, listed.limit(1), str(tmp_path), get, refresh=True).collect())
+
+
+def test_stream_takes_the_last_version(spark, tmp_path):
+    source, index = str(tmp_path / "in"), str(tmp_path / "index")
+    schema = "page_id string, text string, fetched_at long"
+    spark.createDataFrame([("a", "Old words. ", 1), ("a", "New words.", 2), ("a", "Older words.", 0)], schema).write.parquet(source)
+    ingest_stream.ingest_pages(spark.readStream.schema(schema).parquet(source), index, str(tmp_path / "cp")).awaitTermination()
+    assert [r.text for r in spark.read.parquet(index).collect()] == ["New words."]
+
+
+def test_links_and_reports(spark, tmp_path):
+    schema = "intent string, url string, title string, verified_by string, verified_on string"
+    links = spark.createDataFrame([("default", "https://b.org", "B", "me", "d"), ("default", "https://a.org", "A", "me", "d")], schema)
+    assert [r.url for r in corpus.link_for(spark.createDataFrame([("x",), ("y",)], "intent string"), links).collect()] == ["https://a.org"] * 2
+    assert corpus.link_for(spark.createDataFrame([("x",)], "intent string"), links.limit(0)).first().url is None
+    rows = spark.createDataFrame([("M-1", 1, "a|b")], "metric string, numerator int, status string")
+    assert evaluation.report(rows).splitlines()[-1] == "| M-1 | 1 | a\\|b |"
+    evaluation.capture(spark.createDataFrame([(1, "x")], "id int, answer string"), rows, str(tmp_path / "run"), model="m", threshold=0.5)
+    assert sorted(r.kind for r in spark.read.json(str(tmp_path / "run")).collect()) == ["facts", "metric", "outcome"]
+    assert corpus.storage_paths(["a.parquet", "b.bin", "c.LOG"]) == ["a.parquet", "c.LOG"]
+    path = str(tmp_path / "c")
+    spark.createDataFrame([("p", "S", "c", "https://x.org/1", 400)], corpus.CORPUS + ", min_extract_chars int").write.json(path)
+    assert corpus.load_corpus(spark, path, 400).columns == ["page_id", "scheme", "category", "source_url"]
+    with pytest.raises(ValueError, match="400"):
+        corpus.load_corpus(spark, path, 500)
+
+
+def test_content_roots():
+    long = "Words of the page that are read. " * 10
+    for root in ('<div class="x layout-main">{}</div>', '<section role="main">{}</section>', "<article>{}</article>", '<div class="pw14MainWrapper">{}</div>'):
+        assert [t for _, t, _ in pages.parse_blocks(f"<body><p>Outside it</p>{root.format(f'<p>{long}</p>')}</body>")] == [long.strip()]
+
+
+def test_chunk_integrity_and_dump(spark):
+    rows = spark.createDataFrame([("c1", "p", "x", "https://a.org"), ("c2", "p", " x ", "ftp:a"), ("c3", "q", " ", None)], "chunk_id string, page_id string, text string, source_url string")
+    assert tuple(profiling.chunk_integrity(rows).first()) == (3, 1, 2, 1)
+    assert [r.chunk_id for r in profiling.dump(rows, only="p", most=1).collect()] == ["c1"]
+
+
+def test_ollama():
+    sent = []
+    ask = http.ollama("http://x/api/chat", "m", send=lambda url, body, key: sent.append(body) or {"message": {"content": "It is so [S1]."}})
+    assert ask("q", [{"text": "t"}]) == "It is so [S1]." and sent[0]["options"] == {"temperature": 0, "num_predict": 400}

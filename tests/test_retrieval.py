@@ -66,10 +66,33 @@ def test_dense_is_exact_in_blocks(spark, monkeypatch):
     vectors = [(i, unit()) for i in range(50)] + [(99, None)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
     asked = spark.createDataFrame([(i, v) for i, v in vectors[:6]] + [(7, None)], "qid long, qvec array<double>")
-    monkeypatch.setattr(retrieval, "BLOCK_VECTORS", 2)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 200)
     got = retrieval.dense(asked, df, 4).collect()
     for q, v in vectors[:6]:
         best = sorted((-round(sum(a * b for a, b in zip(v, w)), 6), i) for i, w in vectors[:50])[:4]
         assert [(-r.dense_score, r.vec_id) for r in sorted(got, key=lambda r: r.dense_rank) if r.qid == q] == best
     assert retrieval.dense(asked.limit(0), df).count() == 0
     assert spark.createDataFrame([([3.0, 4.0],)], "v array<double>").select(retrieval.norm(F.col("v"))).first()[0] == 5.0
+
+
+def test_stored_index(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "bm25")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["red red blue", "blue green", "red", "", "green green green blue"])], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "red blue blue"), (1, "none"), (2, None)], "qid long, question string")
+    with pytest.raises(retrieval.IndexUnavailable):
+        retrieval.load_bm25(spark, path)
+    for _ in range(2):
+        retrieval.write_bm25(docs, path)
+    index = retrieval.load_bm25(spark, path, documents=5)
+    assert sorted(map(tuple, retrieval.bm25_search(asked, index).collect())) == sorted(map(tuple, retrieval.bm25(asked, docs).collect()))
+    with pytest.raises(retrieval.IndexMismatch):
+        retrieval.load_bm25(spark, path, documents=6)
+    monkeypatch.setattr(retrieval, "TOKENIZER", "other")
+    with pytest.raises(retrieval.IndexMismatch):
+        retrieval.load_bm25(spark, path)
+
+
+def test_equal_texts_rank_by_key(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c x", "a b c y", "a b c z", "q", "r", "s", "t"])], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "c b a")], "qid long, question string")
+    assert [r.doc_id for r in retrieval.bm25(asked, docs).orderBy("sparse_rank").collect()] == [0, 1, 2]

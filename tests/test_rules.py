@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusforge.operators import pii, routing, screens
+from corpusforge.operators import answers, evaluation, pii, routing, screens
 
 
 def applied(spark, texts, expr):
@@ -113,3 +113,77 @@ def test_bare_otp():
     cases = {"here 482913 ok": 1, "in 2013": 0, "goal is 500000": 0, "₹ 50000": 0, "ORD 50231": 0, "45000 % up": 0, "code 1234": 0, "x48291": 0}
     assert [len(pii.find_spans(t, bare=True)) for t in cases] == list(cases.values())
     assert pii.find_spans("here 482913 ok") == []
+
+
+MORE_ROUTES = [
+    ("How do I obtain the yearly statement of my holdings?", "factual", "statement_request"), ("Where can I see statements?", "factual", "statement_request"), ("How is the statement? Can I download it", "factual", "nav_statement"),
+    ("On which documents are you trained?", "corpus_sources", "source_list"), ("Does this chatbot have other sources", "corpus_sources", "source_list"), ("how many pages, please?", "corpus_sources", "source_list"),
+    ("Which schemes does it support?", "corpus_sources", "source_list"), ("your documents please", "corpus_sources", "source_list"), ("which funds hold gold", "factual", "default:unmatched"),
+    ("how many funds does the fund manager have", "factual", "fund_manager"), ("What is the minimum of the schemes you list?", "factual", "minimum"), ("information about this mutual fund", "factual", "scheme_details"),
+    ("fund full details", "factual", "scheme_details"), ("details of exit", "factual", "default:unmatched"), ("tax return and statement", "out_of_scope", "tax"), ("Is a term plan worth it", "out_of_scope", "insurance"),
+]
+
+
+def test_more_routes(spark):
+    got = applied(spark, [q for q, _, _ in MORE_ROUTES], routing.explain)
+    assert [(q, r.intent, r.rule) for (q, _, _), r in zip(MORE_ROUTES, got)] == MORE_ROUTES
+
+
+def test_more_performance_claims(spark):
+    cases = {"12.5% annualised": True, "10 % over a decade": True, "5% fee": False, "NAV price of units": True, "NAV?": False, "lowest return": True, "performance rating": False, "6 month lock-in": False, "7% for 2 yrs": True}
+    assert dict(zip(cases, applied(spark, list(cases), routing.is_performance_claim))) == cases
+
+
+def test_more_screens(spark):
+    cases = {
+        "NAV of Rs. 64 on 5 March 2024": [], "NAV of 64.1 units": ["NAV value"], "NAV was 12 in 2024.": [], "It is up 3.5% since launch": ["period-attached figure"], "Rs. 500 is the minimum; it is due": [],
+        "The fee is 1% while gains came": ["return language without a fee"], "Version 1.2.3: nothing": [],
+    }
+    assert dict(zip(cases, applied(spark, list(cases), screens.performance_violations))) == cases
+    leaks = {"It made 12% per annum": ["period-attached figure"], "NAV as on Friday is Rs. 64": ["NAV value"], "(up 3%). The fee fell": ["unattributed percentage"], "It earned well but the fee is low": ["return language without a figure"]}
+    assert dict(zip(leaks, applied(spark, list(leaks), screens.performance_leaks))) == leaks
+    advice = {"This is a better pick": 1, "it is worth investing in": 1, "consider adding units": 1, "I would  recommend it": 1, "It is a good fund house": 0, "we go for it": 1}
+    assert {t: min(1, n) for t, n in zip(advice, map(len, applied(spark, list(advice), screens.advice_leaks)))} == {**advice, "It is a good fund house": 1}
+
+
+def test_more_personal_data():
+    cases = {
+        "acct number: 987654321": ["account"], "account no 98765432": [], "one-time password is 4821": ["otp"], "verification code: 99001": ["otp"], "pin code 560001": [], "A/C #123456789": ["account"],
+        "accounts 123456789": [], "passcode was 1234567": [], "otp482913": [],
+    }
+    assert {t: [k for _, _, k in pii.find_spans(t)] for t in cases} == cases
+
+
+def test_policy_and_both_log_layers(spark):
+    row = spark.sql("select true t, false f").select(*(pii.policy(F.col(c), **k).alias(f"{c}{i}") for c in "tf" for i, k in enumerate(({}, {"dry_run": True}, {"block": False})))).first()
+    assert tuple(row) == ("block", "mark", "pass", "pass", "pass", "pass")
+    assert applied(spark, ["otp is 482913 for x@y.org", None], pii.log_safe) == ["otp is [REDACTED_OTP] for [REDACTED_EMAIL]", None]
+
+
+def test_evidence_and_drafts(spark):
+    rows = spark.createDataFrame([(0, "a", 1, "s1", "x" * 20), (0, "b", 2, "s2", "y" * 30), (0, "c", 3, "s3", "z")], "qid long, chunk_id string, fused_rank int, source string, text string")
+    header = len("[S1] s1\n")
+    assert [(r.chunk_id, r.total) for r in answers.evidence(rows, 2 * header + 51).collect()] == [("a", header + 20)]
+    kept = answers.evidence(rows, 2 * header + 52)
+    assert [r.chunk_id for r in kept.orderBy("fused_rank").collect()] == ["a", "b"]
+    user = answers.messages(spark.createDataFrame([(0, "Q?"), (1, "R?")], "qid long, question string"), kept).orderBy("qid").collect()
+    assert user[0].user == "[S1] s1\n" + "x" * 20 + "\n\n[S2] s2\n" + "y" * 30 + "\n\nQuestion: Q?" and user[1].user == "\n\nQuestion: R?"
+    asked = spark.createDataFrame([(0, "Q?", [{"text": "It is Rs. 5. More."}]), (1, "R?", [])], "qid long, question string, candidates array<struct<text:string>>")
+    assert [r.draft for r in answers.drafts(asked).orderBy("qid").collect()] == ["It is Rs. 5 [S1].", ""]
+    assert [r.draft for r in answers.drafts(asked, lambda q, c: f"{q}{len(c)}").orderBy("qid").collect()] == ["Q?1", "R?0"]
+    assert list(answers.stream_draft("a b  c")) == ["a", " b", "  c"]
+
+
+def test_observe(spark):
+    asked = spark.createDataFrame([(0, "What is the exit load?", True, ["1%", "zz"]), (1, "Should I buy?", False, [])], "qid long, question string, answerable boolean, facts array<string>")
+    dense = spark.createDataFrame([(0, 0.4), (0, 0.9)], "qid long, dense_score double")
+    candidates = spark.createDataFrame([(0, "a", 1), (0, "b", 2)], "qid long, chunk_id string, fused_rank int")
+    texts = spark.createDataFrame([("a", "p", "It is 1%"), ("b", "q", "x")], "chunk_id string, page_id string, text string")
+    rows = {r.qid: r for r in evaluation.observe(asked, dense, candidates, texts).collect()}
+    assert (rows[0].raw_dense_max, rows[0].gate_routed, rows[0].facts_in_context, rows[0].missing_facts, rows[0].page_ids) == (0.9, True, False, ["zz"], ["p", "q"])
+    assert (rows[1].raw_dense_max, rows[1].gate_routed, rows[1].facts_in_context, rows[1].page_ids) == (-1.0, False, True, [])
+
+
+def test_judge_prompt(spark):
+    row = evaluation.judge_prompts(spark.createDataFrame([(1, "Q", ["f", "g"], "A", "E")], "id int, question string, facts array<string>, answer string, evidence string")).first()
+    assert row.user == "Question: Q\n\nExpected facts: f; g\n\nAnswer: A\n\nEvidence: E" and "JSON" in row.system
