@@ -5,6 +5,7 @@ import random
 import re
 import time
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import pytest
@@ -552,15 +553,15 @@ def test_chat_repeated_turns_keep_the_budget():
     rng = random.Random(8)
     sizes = [[(0, 250), (1, 900), (1, 200), (1, 1000), (1, 1500), (1, 30)], [(1, 256), (1, 900)], [(0, 1200), (1, 90), (1, 1000)]]
     sizes += [[(int(i > 0 or rng.random() < 0.5), rng.choice([5, 60, 250, 700, 1024, 1100])) for i in range(rng.randrange(1, 12))] for _ in range(500)]
-    for turns in sizes:
-        windows, out, tokens = chat.Windows(1024, 256), [], {}
+    for turns, (budget, history) in product(sizes, ((1024, 256), (300, 100), (64, 0))):
+        windows, out, tokens = chat.Windows(budget, history), [], {}
         for i, (new, n) in enumerate(turns):
             tokens[str(i)] = n
             out += windows.add("user" if new else "system", str(i), n)
         out += windows.end()
         assert [t for listed, repeated in out for _, t in listed[repeated:]] == [str(i) for i in range(len(turns))]
         for listed, repeated in out:
-            assert sum(tokens[t] for _, t in listed) <= 1024 or len(listed) == 1
+            assert sum(tokens[t] for _, t in listed) <= budget or len(listed) == 1
 
 
 # op 8

@@ -1,11 +1,14 @@
 import hashlib
+from collections import Counter
 
 import pytest
+import regex
 
 import corpus_pipeline
-from corpusforge.llm import queries
+from corpusforge.llm import bpe, langid, queries
 
 from .conftest import words
+from .test_operators import WORD, linked, without_runs
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +48,57 @@ def test_stages(spark, folder):
     assert all(out[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() and len(out[i].ids) == out[i].n_tokens for i, t in texts.items())
 
 
+def test_run_by_brute_force(spark, folder, tmp_path):
+    """All five stages against plain versions of each, on rows with nulls, blanks, copies and repeats, too."""
+    docs = spark.read.parquet(folder + "/documents.parquet")
+    block = "\n".join(words(8, 200 + i) for i in range(6))
+    more = [(300, "", "en", "s", 0, "x"), (301, " \n\t", "en", "s", 4, "x"), (302, block, "en", "s", 1, "x"), (302, block, "en", "s", 1, "x"), (302, block, "en", "s", 1, "y"), (None, words(90, 999), None, None, None, None), (None, None, None, None, None, None), (303, words(60, 5) + "\n" + block, "en", "s", 9, "x")]
+    path = str(tmp_path)
+    docs.union(spark.createDataFrame(more, docs.schema)).repartition(3).write.parquet(path + "/documents.parquet")
+    items = [(0, words(40, 77)), (1, None), (2, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(path + "/benchmark.parquet")
+    docs = spark.read.parquet(path + "/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    model = langid.fit(docs, langid.fold() != 1, per_language=400)
+    rows = [r for r in rows if not model.predict([r[1] or ""])[2][0]]
+    left = without_runs(rows)
+    cleaned = []
+    for k, t in rows:
+        lines = left[-(2**63) if k is None else k, t or ""]
+        kept = "\n".join(lines) if len(lines) < len(t.split("\n")) else t
+        if kept == t or WORD.search(kept):
+            cleaned.append((k, kept))
+    found = linked(cleaned, 5, 80)
+    one = {(k, t) for k, t in cleaned if k is None or found[k, t][1] == k}
+    plain = lambda t: regex.findall(r"[\p{L}\p{M}\p{N}]+", (t or "").lower())
+
+    def leaks(text, item):
+        cut = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        a, s = Counter(cut(plain(item))), cut(plain(text))
+        n = min(a.total(), len(s))
+        return bool(a) and any(100 * (both := (Counter(s[i : i + n]) & a).total()) >= 80 * (n + a.total() - both) for i in range(len(s) - n + 1) if n)
+
+    wanted = Counter((k, hashlib.sha256(t.encode()).hexdigest()) for k, t in one if not any(leaks(t, item) for _, item in items))
+    out = corpus_pipeline.run(spark, path).collect()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in out) == wanted and len(wanted) > 40
+    import public_tokenizers
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Encoder(queries.ranks()).ranks, special_tokens={})
+    by = {hashlib.sha256(t.encode()).hexdigest(): t for _, t in one}
+    assert all(r.ids == library.encode_ordinary(by[r.decoded_sha256]) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() for r in out)
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    docs = spark.read.parquet(folder + "/documents.parquet")
+    path = str(tmp_path)
+    docs.limit(0).write.parquet(path + "/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(path + "/benchmark.parquet")
+    assert corpus_pipeline.run(spark, path).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), path).columns == docs.columns
+
+
 def test_names():
     numbers = {int(n[2:].split("_")[0]) for n in queries.queries()}
     assert numbers == set(range(1, 11))
