@@ -4,51 +4,15 @@ from __future__ import annotations
 
 import argparse
 import sys
-import uuid
 
 from pyspark.sql import functions as F
 
-from corpusforge.functions.text import content_hash
-from corpusforge.operators import answers, chunking, evaluation, ingest, pages, pii, profiling, retrieval
-from corpusforge.session import delete_folder, session, shared_folder
-
-
-CEILING, DIM, MODEL = 256, 384, "sha256"
+from corpusforge.operators import answers, evaluation, index, pii, profiling
+from corpusforge.session import session
 
 
 def _ingest(spark, a) -> int:
-    """Pages (page_id, html and any provenance) to an index with vectors, BM25 tables and a manifest.
-
-    Unchanged pages are skipped, thin ones fail and leave what is there, others are replaced, and pages
-    that left the table are purged; index, BM25 tables and manifest are then those of the whole corpus."""
-    source = spark.read.parquet(a.pages)
-    source = source.withColumn("page_id", F.col("page_id").cast("string"))
-    blocks = pages.parse_pages(source).persist()
-    flat = source.select("page_id").join(pages.flat_text(blocks), "page_id", "left").withColumn("flat_text", F.coalesce("flat_text", F.lit("")))
-    current = flat.select("page_id", content_hash(F.col("flat_text")).alias("content_hash"), (F.length("flat_text") < a.min_chars).alias("failed"))
-    have = ingest.index_present(spark, a.index) and not a.reindex
-    none = current.select("page_id", "content_hash").limit(0)
-    old = ingest.read_manifest(spark, a.index + "-manifest") if have else None
-    present = ingest.read_chunks(spark, a.index).select("page_id").distinct() if have else none.select("page_id")
-    old = none if old is None else old
-    # What failed keeps the hash it was indexed with.  The plan is written, as what it was made from changes below.
-    todo = ingest.plan(current, old, present, a.reindex).join(current, "page_id", "left").join(old.withColumnRenamed("content_hash", "old_hash"), "page_id", "left")
-    path = shared_folder(spark, f"plan-{uuid.uuid4().hex}")
-    todo.select("page_id", "action", F.when(F.col("action") == "failed", F.col("old_hash")).otherwise(F.col("content_hash")).alias("content_hash")).write.parquet(path)
-    todo = spark.read.parquet(path)
-    actions = {r.action: r["count"] for r in todo.groupBy("action").count().collect()}
-    fresh = todo.where("action in ('new', 'replace')").select("page_id")
-    chunks = chunking.chunk_blocks(blocks.join(fresh, "page_id"), source.join(fresh, "page_id"), a.size, a.overlap, a.drop_return_heavy)
-    ingest.write_index(ingest.check_fits(chunks, CEILING), a.index)
-    if have:
-        ingest.purge_pages(spark, a.index, todo.where("action = 'purge'"))
-    whole = ingest.read_chunks(spark, a.index)
-    ingest.hash_embed(whole, DIM, "chunk_id").write.mode("overwrite").parquet(a.index + "-vectors")
-    ingest.check_dim(spark.read.parquet(a.index + "-vectors"), DIM)
-    retrieval.write_bm25(whole, a.index + "-bm25", "chunk_id")
-    ingest.write_manifest(spark, whole, todo.where("action != 'purge'"), a.index + "-manifest", embedding_model=MODEL, embedding_dim=DIM, chunk_size=a.size, chunk_overlap=a.overlap)
-    delete_folder(spark, path)
-    blocks.unpersist()
+    actions = index.build(spark, spark.read.parquet(a.pages), a.index, a.reindex, a.drop_return_heavy, a.min_chars, a.size, a.overlap)
     print(actions)
     return 1 if actions.get("failed") else 0
 
@@ -58,7 +22,10 @@ def _ask(spark, a) -> int:
     if pii.scan(rows, "question").where("pii_found").limit(1).count():
         print("A question holds personal data.", file=sys.stderr)
         return 2
-    answers.answer(rows, spark.read.parquet(a.docs), spark.read.parquet(a.vectors), a.threshold).show(truncate=False)
+    if a.pages:
+        index.ensure(spark, a.pages, a.index)
+    chunks, vectors, stored = index.tables(spark, a.index)
+    answers.answer(rows, chunks, vectors, a.threshold, dim=index.DIM, index=stored).show(truncate=False)
     return 0
 
 
@@ -87,9 +54,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--overlap", type=int, default=40)
     p.set_defaults(run=_ingest)
     p = parts.add_parser("ask")
-    p.add_argument("docs")
-    p.add_argument("vectors")
+    p.add_argument("index")
     p.add_argument("question", nargs="+")
+    p.add_argument("--pages", help="where the index is built from if a part of it is missing")
     p.add_argument("--threshold", type=float, required=True)
     p.set_defaults(run=_ask)
     p = parts.add_parser("calibrate")

@@ -64,7 +64,7 @@ def answer(questions: DataFrame, docs: DataFrame, vectors: DataFrame, threshold:
     """(qid, intent, refused, reason, answer, source_url).
 
     Routed and refused questions never reach retrieval; what is blocked for personal data never reaches routing.
-    ``index``: a stored BM25 index of docs."""
+    ``index``: a stored BM25 index of docs (doc_id, source, text, and source_url if links are known)."""
     scanned = pii.scan(questions, "question")
     blocked = scanned.where("pii_found").select("qid", F.lit(routing.OUT).alias("intent"), F.lit("pii").alias("reason"))
     clean = scanned.where(~F.col("pii_found")).select("qid", "question", routing.explain(F.col("question")).alias("m"))
@@ -78,7 +78,8 @@ def answer(questions: DataFrame, docs: DataFrame, vectors: DataFrame, threshold:
     heavy = docs.select(F.col("doc_id").alias("chunk_id"), chunking.return_heavy(F.col("text")).alias("return_heavy"))
     fused = retrieval.fuse(dense, sparse, heavy, top)
     decided = retrieval.gate(factual, fused, dense, threshold)
-    texts = docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("https://corpus.example.org/"), "source").alias("source_url"), "text")
+    url = F.col("source_url") if "source_url" in docs.columns else F.concat(F.lit("https://corpus.example.org/"), "source")
+    texts = docs.select(F.col("doc_id").alias("chunk_id"), url.alias("source_url"), "text")
     found = fused.join(texts, "chunk_id").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("fused_rank", "chunk_id", "source_url", "text"))).alias("candidates"))
     opened = factual.join(decided.where("found_answer").select("qid"), "qid").join(found, "qid")
     checked = screens.validate(drafts(opened, generate).select(F.col("qid").alias("id"), "draft", "candidates"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from corpusforge.operators.chunking import PROVENANCE
 from corpusforge.session import delete_folder, folder_exists
@@ -112,16 +113,17 @@ def embed_each(texts: list[str], dim: int) -> list[np.ndarray]:
     return [vector_of(t, dim) for t in texts]
 
 
-def hash_embed(rows: DataFrame, dim: int = 384, key: str = "doc_id", text: str = "text", embed=embed_each, batch_size: int = 32) -> DataFrame:
-    """(key, embedding); ``embed`` may be any function of (texts, dim) and gets ``batch_size`` texts at a time."""
+def hash_embed(rows: DataFrame, dim: int = 384, key: str = "doc_id", text: str = "text", embed=embed_each, batch_size: int = 32, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, embedding, and the columns to keep); ``embed`` may be any function of (texts, dim) and gets ``batch_size`` texts at a time."""
 
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             vectors = [v for i in range(0, len(texts), batch_size) for v in embed(texts[i : i + batch_size], dim)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tolist() for v in vectors], pa.list_(pa.float32()))], [key, "embedding"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tolist() for v in vectors], pa.list_(pa.float32())), *batch.columns[2:]], [key, "embedding", *keep])
 
-    return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<float>")
+    fields = [rows.schema[key], StructField("embedding", ArrayType(FloatType())), *(rows.schema[c] for c in keep)]
+    return rows.select(key, text, *keep).mapInArrow(run, StructType(fields))
 
 
 def check_fits(chunks: DataFrame, ceiling: int, tokens: str = "token_count") -> DataFrame:

@@ -1,3 +1,5 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,7 +155,10 @@ def test_command_line_ingest(spark, tmp_path):
 
     first = run([*((str(i), body.format(i)) for i in (1, 2, 3)), ("thin", "<p>x</p>")], 1)
     assert all(first[p] for p in "123") and not first["thin"]
+    files = lambda: {r[0] for r in spark.read.parquet(index + "-vectors").select(F.input_file_name()).collect()}
+    before = files()
     assert run([*((str(i), body.format(i)) for i in (1, 2, 3)), ("thin", "<p>x</p>")], 1) == first
+    assert files() == before  # nothing was embedded again
     manifest = spark.read.parquet(index + "-manifest")
     assert manifest.count() == 3 and {r.source_url for r in manifest.collect()} == {f"https://x.org/{i}" for i in (1, 2, 3)}
     facts = spark.read.json(index + "-manifest-facts").first()
@@ -164,6 +169,34 @@ def test_command_line_ingest(spark, tmp_path):
     assert run([("1", body.format("new") + "More."), ("4", body.format(4))], 0)["2"] == []
 
 
+def test_missing_index_is_built(spark, tmp_path, capsys):
+    from corpusforge.__main__ import main
+    from corpusforge.operators import index
+
+    source, path = str(tmp_path / "pages"), str(tmp_path / "idx")
+    schema = "page_id string, html string, scheme string, source_url string"
+
+    def pages(*rows):
+        spark.createDataFrame([(p, h, f"Scheme {p}", f"https://x.org/{p}") for p, h in rows], schema).write.mode("overwrite").parquet(source)
+
+    with pytest.raises(index.DeploymentError, match="broke off"):
+        index.ensure(spark, source, path)
+    pages(("1", "<p>x</p>"))
+    with pytest.raises(index.DeploymentError, match="1 pages .* failed"):
+        index.ensure(spark, source, path)
+    pages(("1", "<main></main>"))
+    with pytest.raises(index.DeploymentError, match="no chunk"):
+        index.ensure(spark, source, path, min_chars=0)
+    pages(*((str(i), f"<main><h1>Fund {i}</h1><p>The exit load of fund {i} is {i}% within a year. " + "More words stand here. " * 100 + "</p></main>") for i in (1, 2, 3)))
+    assert index.missing_parts(spark, path) == ["chunks", "vectors", "BM25 tables"]
+    assert index.ensure(spark, source, path) == {"new": 3}
+    assert index.ensure(spark, source, path) == {}
+    shutil.rmtree(path + "-bm25")
+    assert index.missing_parts(spark, path) == ["BM25 tables"]
+    assert main(["ask", path, "What is the exit load of fund 2?", "--pages", source, "--threshold", "-1"]) == 0
+    assert index.missing_parts(spark, path) == [] and "https://x.org/" in capsys.readouterr().out
+
+
 def test_chunks_with_provenance(spark):
     blocks = [(0, "heading", "Costs", "Costs"), (1, "heading", "Exit load", "Exit load"), (2, "paragraph", "It is 1%.", "Exit load"), (3, "paragraph", " ", None), (4, "list_item", "Exit load is due", "Exit load"), (5, "paragraph", "One two three. " * 30, None), (6, "heading", "Tail", "Tail")]
     rows = spark.createDataFrame([("p", *b) for b in blocks] + [("q", 0, "heading", "Only", None)], "page_id string, ordinal int, kind string, text string, section string")
