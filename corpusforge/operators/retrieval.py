@@ -72,10 +72,13 @@ def _bucket(term: Column) -> Column:
 
 
 def write_bm25(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Stores the index of all of docs: the corpus is tokenized twice here, and never for a question."""
+    """Stores the index of all of docs: the corpus is tokenized twice here, and never for a question.
+
+    Postings are dealt by folder before they are written, in parts of the advisory size, so that a folder
+    gets as many files as its size asks for, and not one from each task."""
     spark = docs.sparkSession
     posts = postings(docs.select(F.col(key).alias("key"), text), "key", text).select(_bucket(F.col("term")), "term", "key", "tf")
-    posts.write.mode("overwrite").partitionBy("bucket").parquet(path + "/postings")
+    posts.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path + "/postings")
     document_lengths(docs.select(F.col(key).alias("key"), text), "key", text).write.mode("overwrite").parquet(path + "/lengths")
     posts, lengths = spark.read.parquet(path + "/postings"), spark.read.parquet(path + "/lengths")
     term_idf(posts, lengths).select(_bucket(F.col("term")), "term", "df", "idf").write.mode("overwrite").parquet(path + "/terms")
