@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from corpusforge.functions import text as T
 from corpusforge.functions import vocabulary as V
 from corpusforge.operators import chunking, ingest, pages, profiling
-from corpusforge.plans.base import LINES_SQL, F, documents, lines, literal, matches, table, values
+from corpusforge.plans.base import LINES_SQL, QUESTIONS, F, documents, lines, literal, matches, quoted, table, values
 
 TOKENS = "regexp_extract_all(lower(text), '[₹a-z0-9]+(?:\\.[0-9]+)?%?')"
 #: Sentences by two disjoint captures, as DuckDB has no lookaround.
@@ -150,7 +150,9 @@ def fact_coverage(spark, d):
 
 
 def fact_snippets(spark, d):
-    return profiling.fact_snippets(documents(spark, d).unionByName(_answers(spark).select(F.col("id").cast("long").alias("doc_id"), "text"), allowMissingColumns=True))
+    """The facts of documents, and of the batteries of answers and questions, which have keys below 0."""
+    planted = literal(spark, [(-1 - i, t) for i, t in enumerate([*ANSWERS, *QUESTIONS])], "doc_id long, text string")
+    return profiling.fact_snippets(documents(spark, d).select("doc_id", "text").unionByName(planted))
 
 
 def perf_density(spark, d):
@@ -220,6 +222,9 @@ _HEAVY = (
 )
 _FIGURES = "regexp_extract_all(regexp_replace(text, '\\[S\\d+\\]', ' ', 'gi'), '[₹$]?\\s?\\d[\\d,]*\\.?\\d*\\s?(?:%|x|X\\b)?')"
 _EXTRA = values([("x1", "NAV today ₹ 64.12"), ("x2", "+ 2.42 % over a year"), ("x3", "1% 2% 3%"), ("x4", "1% 2%"), ("x5", "Return calculator | 3 years"), ("x6", "NAV: page")])
+_SNIPPETS = " UNION ALL ".join(
+    f"SELECT doc_id, {quoted(n)} AS fact, trim(regexp_replace(regexp_extract(text, {quoted('(.{0,60}(?:' + p + ').{0,100})')}, 1, 'is'), '\\s+', ' ', 'g')) AS snippet FROM t WHERE {matches('text', p)}" for n, p in V.FACTS
+)
 _FACTS = ", ".join(f"{matches('text', p)} AS {n}" for n, p in V.FACTS)
 _STRIP = (
     "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), "
@@ -273,6 +278,7 @@ SQL = {
         FROM (SELECT *, array_to_string(parts[1:3], ' ') AS k FROM {_COUNTED})""",
     "delimiters": "SELECT doc_id, " + ", ".join(f"length(text) - length(replace(text, {p}, '')) AS {n}" for n, p in [("period", "'.'"), ("colon", "':'"), ("pipe", "'|'"), ("newline", "chr(10)"), ("percent", "'%'"), ("rupee", "'₹'")]) + " FROM documents",
     "fact_coverage": f"SELECT doc_id, {_FACTS} FROM documents",
+    "fact_snippets": f"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - column0, column1 FROM {values(list(enumerate([*ANSWERS, *QUESTIONS])))}) SELECT * FROM ({_SNIPPETS}) WHERE snippet <> ''",
     "perf_density": f"""SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, CAST(len(list_filter(s, lambda x: {matches('x', V.PERF_SENTENCE)})) AS INTEGER) AS hits,
         CASE WHEN len(s) > 0 THEN round(len(list_filter(s, lambda x: {matches('x', V.PERF_SENTENCE)})) / len(s), 6) END AS density FROM (
         SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)""",
