@@ -6,6 +6,7 @@ from corpusforge.functions import text as T
 from corpusforge.functions import vocabulary as V
 from corpusforge.operators import answers, evaluation, pii, routing, screens
 from corpusforge.plans import retrieval_queries as R
+from corpusforge.plans import text_queries as X
 from corpusforge.plans.base import QUESTIONS_SQL, F, documents, literal, matches, questions, quoted, table, values
 
 STATEMENTS = [
@@ -284,6 +285,12 @@ _DRAFTS = f"""{R._FUSED}, cand AS (SELECT qid, list(struct_pack(chunk_id := chun
     ELSE first || '. It returned 18% in 3 years. More. And more. And more.' END AS text FROM (SELECT *, split_part(c[1].text, '.', 1) AS first FROM cand))"""
 _NORM = "coalesce(regexp_replace(printf('%.6f', try_cast(replace(regexp_replace(trim({0}), '[₹$% xX]', '', 'g'), ',', '') AS DOUBLE)), '\\.?0+$', ''), '')"
 _FIGURE_LIST = "list_filter(regexp_extract_all(regexp_replace({0}, '\\[S\\d+\\]', ' ', 'gi'), '[₹$]?\\s?\\d[\\d,]*\\.?\\d*\\s?(?:%|x|X\\b)?'), lambda f: " + _NORM.format("f") + " <> '')"
+_VIOLATIONS = f"list_filter(list_transform({_clause_list('text', screens.CLAUSE_STEPS)}, lambda c: {_CLAUSE}), lambda r: r IS NOT NULL)"
+_CITED = f"""{_DRAFTS}, m AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '(?i)\\[S(\\d{{1,6}})\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x BETWEEN 1 AND len(c)) AS marks,
+    list_transform({X.LINKS}, lambda u: regexp_replace(u, '[.,;:!?]+$', '')) AS links FROM drafts),
+  cited AS (SELECT id, c, text, CASE WHEN len(marks) > 0 THEN c[marks[1]] ELSE coalesce((list_filter(c, lambda x: list_contains(links, x.url)))[1], c[1]) END AS cited FROM m)"""
+_HAYSTACK = f"""array_to_string(list_transform({_FIGURE_LIST.format("array_to_string(list_transform(c, lambda x: x.text), ' ')")}, lambda f: {_NORM.format('f')}), ' ')"""
+_LOOSE = f"list_filter({_FIGURE_LIST.format('text')}, lambda f: NOT contains(haystack, {_NORM.format('f')}))"
 _BARE_REPLY = "trim(regexp_replace(regexp_replace(reply, '^\\s*```(?:json)?\\s*', ''), '\\s*```\\s*$', ''))"
 _OBS = """(SELECT CAST(l.doc_id AS VARCHAR) AS id, quality = 1 AS answerable, round(coalesce(abs(CAST(embedding[1] AS DOUBLE)), -1.0), 4) AS raw_dense_max, toxic = 0 AS gate_routed, l.doc_id % 3 <> 0 AS facts_in_context
   FROM labels l LEFT JOIN embeddings e ON vec_id = l.doc_id)"""
@@ -341,8 +348,7 @@ SQL = {
     "log_redact": f"SELECT id, sha256({_LOG}) AS h FROM (SELECT CAST(id AS BIGINT) AS id, text FROM {_PERSONAL_SQL} UNION ALL SELECT doc_id + 1000, text FROM documents)",
     "advice_screen": f"""SELECT id, nullif(lower(regexp_extract(regexp_replace(text, '[À-ɏ]', 'Z', 'g'), {quoted('(?i)' + V.ADVICE)})), '') AS term FROM (
       SELECT CAST(id AS BIGINT) AS id, text FROM {_STATEMENTS_SQL} UNION ALL SELECT conv_id * 1000 + turn + 100, text FROM conversations)""",
-    "perf_screen": f"""SELECT id, array_to_string(list_filter(list_transform({_clause_list('text', screens.CLAUSE_STEPS)},
-      lambda c: {_CLAUSE}), lambda r: r IS NOT NULL), '|') AS reasons FROM {_SCREENED_SQL}""",
+    "perf_screen": f"SELECT id, array_to_string({_VIOLATIONS}, '|') AS reasons FROM {_SCREENED_SQL}",
     "eval_leaks": f"SELECT id, array_to_string({_REASONS}, '|') AS performance, array_to_string({_ADVICE}, '|') AS advice FROM {_SCREENED_SQL}",
     "refusals": f"""SELECT item_id AS qid, CASE item_id % 4 WHEN 0 THEN {quoted(screens.REFUSALS['opinion'])} || CASE WHEN item_id % 8 = 0 THEN ' https://example.org/learn' ELSE '' END
       WHEN 1 THEN {quoted(screens.REFUSALS['performance'])} WHEN 2 THEN {quoted(screens.REFUSALS['not_in_corpus'])} ELSE {quoted(screens.REFUSALS['pii'])} END AS text FROM benchmark""",
@@ -353,11 +359,16 @@ SQL = {
       m AS (SELECT q.qid, top, pages, list_filter((string_split_regex(question, '\\s+'))[1:3], lambda f: NOT contains(coalesce(context, ''), f)) AS missing FROM q
         LEFT JOIN (SELECT qid, max(dense_score) AS top FROM dense GROUP BY qid) t ON t.qid = q.qid LEFT JOIN held h ON h.qid = q.qid)
       SELECT qid, qid % 3 <> 0 AS answerable, coalesce(top, -1.0) AS raw_dense_max, len(missing) = 0 AS facts_in_context, array_to_string(missing, ' ') AS missing, coalesce(pages, '') AS pages FROM m""",
-    "resolve_citation": f"""WITH {_DRAFTS}, m AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '(?i)\\[S(\\d{{1,6}})\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x BETWEEN 1 AND len(c)) AS marks,
-        list_transform(regexp_extract_all(text, '(?i)https?://[^\\s<>\\])"'']+'), lambda u: regexp_replace(u, '[.,;:!?]+$', '')) AS links FROM drafts)
-      SELECT id, coalesce(c[marks[1]].chunk_id, (list_filter(c, lambda x: list_contains(links, x.url)))[1].chunk_id, c[1].chunk_id) AS chunk_id FROM m""",
-    "grounding": f"""WITH {_DRAFTS}, h AS (SELECT *, array_to_string(list_transform({_FIGURE_LIST.format("array_to_string(list_transform(c, lambda x: x.text), ' ')")}, lambda f: {_NORM.format('f')}), ' ') AS haystack FROM drafts)
-      SELECT id, array_to_string(list_filter({_FIGURE_LIST.format('text')}, lambda f: NOT contains(haystack, {_NORM.format('f')})), '|') AS loose FROM h""",
+    "resolve_citation": f"WITH {_CITED} SELECT id, cited.chunk_id AS chunk_id FROM cited",
+    "grounding": f"""WITH {_DRAFTS}, h AS (SELECT *, {_HAYSTACK} AS haystack FROM drafts)
+      SELECT id, array_to_string({_LOOSE}, '|') AS loose FROM h""",
+    "validate_answer": f"""WITH {_CITED}, s AS (SELECT id, len(c) AS n_candidates, cited, {_HAYSTACK} AS haystack, len({X.LINKS}) > 0 AS linked, {X.STRIPPED} AS text FROM cited),
+      k AS (SELECT id, n_candidates, cited, haystack, linked, kept <> text AS cut, kept AS text FROM {X.trimmed('s')}),
+      v AS (SELECT *, len({_LOOSE}) > 0 AS loose, CASE WHEN regexp_matches(text, {quoted('(?i)' + V.ADVICE)}) THEN 'opinion' WHEN len({_VIOLATIONS}) > 0 THEN 'performance'
+        WHEN n_candidates = 0 OR len({_LOOSE}) > 0 THEN 'not_in_corpus' END AS reason FROM k)
+      SELECT id, reason IS NOT NULL AS refused, reason, CASE reason {' '.join(f"WHEN {quoted(k)} THEN {quoted(t)}" for k, t in screens.REFUSALS.items())}
+        ELSE trim(regexp_replace(regexp_replace(text, '\\s*\\[S\\d+\\]', '', 'gi'), '\\s+([.,;:])', '\\1', 'g')) END AS answer, CASE WHEN reason IS NULL THEN cited.url END AS source_url,
+        concat_ws('; ', CASE WHEN linked THEN 'links removed' END, CASE WHEN cut THEN 'sentences trimmed' END, CASE WHEN loose THEN 'figures not in evidence' END) AS notes FROM v""",
     "judge_verdicts": f"""WITH r AS (SELECT CAST(column0 AS BIGINT) AS id, column1 AS reply FROM {values(list(enumerate(REPLIES)))} UNION ALL SELECT doc_id + 100, '{{"score": ' || (quality + 2 * toxic) || ', "reason": "r' || doc_id || '"}}' FROM labels),
       b AS (SELECT id, {_BARE_REPLY} AS bare FROM r), p AS (SELECT *, regexp_extract(bare, '"score"\\s*:\\s*(-?[0-9]+)\\s*[,}}]', 1) AS whole, CASE WHEN json_valid(bare) THEN bare END AS j FROM b),
       g AS (SELECT *, coalesce(whole IN ('0', '1', '2') AND json_extract_string(j, '$.reason') IS NOT NULL

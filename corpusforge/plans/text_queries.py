@@ -214,7 +214,17 @@ QUERIES = {f.__name__: f for f in (
 
 _COUNT_PARTS = "list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])[\"'')\\]]*\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda s: trim(s)), lambda s: s <> '')"
 _LATER = f"len(list_filter(parts[2:], lambda s: NOT list_contains({T.COUNT_ABBREVIATIONS}, lower(rtrim(regexp_extract(s, '[^ ]*$'), '.!?'))) AND NOT regexp_matches(right(s, 4), '\\d[.!?]\\d')))"
-_COUNTED = f"(SELECT *, CASE WHEN len(parts) = 0 THEN 0 ELSE 1 + {_LATER} END AS n FROM (SELECT *, {_COUNT_PARTS} AS parts FROM documents))"
+def _counted(rows: str) -> str:
+    return f"(SELECT *, CASE WHEN len(parts) = 0 THEN 0 ELSE 1 + {_LATER} END AS n FROM (SELECT *, {_COUNT_PARTS} AS parts FROM {rows}))"
+
+
+def trimmed(rows: str) -> str:
+    """The rows with ``kept``: the first three sentences of their text."""
+    return f"(SELECT *, CASE WHEN n <= 3 THEN text WHEN regexp_matches(k, '[.!?]$') THEN k ELSE k || '.' END AS kept FROM (SELECT *, array_to_string(parts[1:3], ' ') AS k FROM {_counted(rows)}))"
+
+
+LINKS = "regexp_extract_all(text, '(?i)https?://[^\\s<>\\])\"'']+')"
+STRIPPED = "trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\\s<>\\])\"'']+', '', 'gi'), '[ \\t]{2,}', ' ', 'g'), '\\s+([.,;:])', '\\1', 'g'))"
 _SIMPLE = f"CAST(greatest(1, len(regexp_extract_all(text, '{T.SIMPLE_TOKEN[1:-1]}'))) AS INTEGER)"
 _HEAVY = (
     "regexp_matches(text, '\\b(?:annuali[sz]ed|CAGR|absolute return|periodic return|fund returns?|returns and rankings|return calculator)\\b|\\bNAV\\b[^\\n]{0,24}(?:₹|Rs\\.?|\\d)', 'i')"
@@ -252,7 +262,7 @@ SQL = {
           CAST(row_number() OVER (PARTITION BY page_id ORDER BY ordinal) - 1 AS INTEGER) AS k FROM e JOIN documents ON doc_id = page_id)
       SELECT substr(sha256(page_id || ':' || k), 1, 32) AS chunk_id, k AS ordinal, page_id, source AS scheme, lang AS category, section, {_SIMPLE} AS token_count, sha256(text) AS content_hash, {_HEAVY} AS return_heavy,
         CAST(CASE WHEN alone THEN 0 ELSE s END AS BIGINT) AS char_start, CAST(CASE WHEN alone THEN page_end ELSE s + own END AS BIGINT) AS char_end FROM f""",
-    "count_sentences": f"SELECT doc_id, CAST(n AS INTEGER) AS n FROM {_COUNTED}",
+    "count_sentences": f"SELECT doc_id, CAST(n AS INTEGER) AS n FROM {_counted('documents')}",
     "token_count": f"SELECT doc_id, {_SIMPLE} AS n FROM documents",
     "block_offsets": f"""SELECT page_id, ordinal, CAST(s AS BIGINT) AS char_start, CAST(s + length(text) AS BIGINT) AS char_end FROM (SELECT *,
         coalesce(sum(length(text) + 1) OVER (PARTITION BY page_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {LINES_SQL})""",
@@ -272,10 +282,8 @@ SQL = {
     "norm_number": f"""SELECT id, coalesce(regexp_replace(printf('%.6f', v), '\\.?0+$', ''), '') AS n FROM (SELECT column0 AS id, try_cast(replace(regexp_replace(trim(column1), '[₹$% xX]', '', 'g'), ',', '') AS DOUBLE) AS v
         FROM {values(list(enumerate(NUMBERS)))})""",
     "figures": f"""SELECT id, array_to_string({_FIGURES}, '|') AS figures FROM (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'a' || id, text FROM {_ANSWERS_SQL})""",
-    "strip_urls": f"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\\s<>\\])"'']+', '', 'gi'), '[ \\t]{{2,}}', ' ', 'g'), '\\s+([.,;:])', '\\1', 'g')) AS t,
-        array_to_string(regexp_extract_all(text, '(?i)https?://[^\\s<>\\])"'']+'), ' ') AS urls FROM {_SAID_SQL}""",
-    "trim_sentences": f"""SELECT doc_id, sha256(CASE WHEN n <= 3 THEN text WHEN regexp_matches(k, '[.!?]$') THEN k ELSE k || '.' END) AS h
-        FROM (SELECT *, array_to_string(parts[1:3], ' ') AS k FROM {_COUNTED})""",
+    "strip_urls": f"SELECT id, {STRIPPED} AS t, array_to_string({LINKS}, ' ') AS urls FROM {_SAID_SQL}",
+    "trim_sentences": f"SELECT doc_id, sha256(kept) AS h FROM {trimmed('documents')}",
     "delimiters": "SELECT doc_id, " + ", ".join(f"length(text) - length(replace(text, {p}, '')) AS {n}" for n, p in [("period", "'.'"), ("colon", "':'"), ("pipe", "'|'"), ("newline", "chr(10)"), ("percent", "'%'"), ("rupee", "'₹'")]) + " FROM documents",
     "fact_coverage": f"SELECT doc_id, {_FACTS} FROM documents",
     "fact_snippets": f"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - column0, column1 FROM {values(list(enumerate([*ANSWERS, *QUESTIONS])))}) SELECT * FROM ({_SNIPPETS}) WHERE snippet <> ''",
