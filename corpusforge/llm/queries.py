@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe, chat, decontam, htmltext, langid, linededup, minhash, quality, substring, urlfilter
+from corpusforge.llm import bpe, chat, decontam, htmltext, langid, linededup, minhash, quality, substring, urlfilter, vectorcode
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,9 +64,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_digests(_table(spark, sf_dir, "documents"), length=35)
 
 
+def op11_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.codes(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.ORACLE_SQL, "op7_url_filter": urlfilter.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL}
+    return {"op5_quality_rules": quality.ORACLE_SQL, "op7_url_filter": urlfilter.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL, "op11_vector_code": vectorcode.ORACLE_SQL}
