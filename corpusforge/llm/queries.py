@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe, chat, decontam, htmltext, langid, linededup, minhash, quality, substring, urlfilter, vectorcode
+from corpusforge.llm import bpe, chat, decontam, htmltext, langid, linededup, minhash, namejoin, quality, substring, urlfilter, vectorcode, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,9 +68,19 @@ def op11_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcode.codes(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op13_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients, vendors = _table(spark, sf_dir, "clients"), _table(spark, sf_dir, "vendors")
+    found = namejoin.matches(clients, vendors, "client_id", "vendor_id", F.col("name"), namejoin.misspelt(F.col("vendor_id"), F.col("name")))
+    return found.select("vendor_id", "distance", F.col("n").alias("n_clients"), F.col("first").alias("first_client_id"), F.col("crc").alias("clients_crc"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.ORACLE_SQL, "op7_url_filter": urlfilter.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL, "op11_vector_code": vectorcode.ORACLE_SQL}
+    return {"op5_quality_rules": quality.ORACLE_SQL, "op7_url_filter": urlfilter.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL, "op11_vector_code": vectorcode.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL, "op13_name_join": namejoin.ORACLE_SQL}

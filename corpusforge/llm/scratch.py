@@ -37,9 +37,13 @@ def written(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that written() gave, when nothing will read them any more."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table.written_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(table.sparkSession, table.written_at)
+
+
+def drop_folder(spark: SparkSession, name: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lean(spark: SparkSession) -> None:
