@@ -6,13 +6,14 @@ two adjacent ones, substrings edited again where that is shorter (unrestricted D
 An edit touches at most ``gram + 1`` q-grams of a name (an exchange does; others touch ``gram``), so
 of two names within ``most`` edits each has at most ``most * (gram + 1)`` grams that the other
 lacks; the rest stand in the same order, moved by the insertions and deletions before them.  In any
-order of all grams the first that both share is then among the first ``most * (gram + 1) + 1`` of
-each.  The order is rare-first: grams are counted over both sides in ``BUCKETS`` hash buckets, a
-fixed size that may go to every task (ties by the gram's hash and its place).  Each name is posted
-under its first grams with place and length; the shorter table is posted under every place and
-length that few enough edits can lead to, so that one equi-join carries the prefix, position and
-length filters.  Pairs that remain are compared in the task that finds them: shared ends are taken
-off, and what then needs dynamic programming first passes the count filter.
+order of all grams the first ``together`` that both share are then among the first
+``most * (gram + 1) + together`` of each.  The order is rare-first: grams are counted over both sides
+in ``BUCKETS`` hash buckets, a fixed size that may go to every task (ties by the gram's hash and its
+place).  Each name is posted under every ``together`` of its first grams, with their places and its
+length; the shorter table is posted under every places and length that few enough edits can lead to.
+So one equi-join carries the prefix, length, position and count filters: what meets shares that many
+grams at fitting places.  Pairs that meet are compared in the task that finds them: shared ends are
+taken off, and what then needs dynamic programming first passes the count filter over all grams.
 
 Names with too few grams for that bypass it: names of about that length (``most`` more than the
 longest of them) are posted under their length and what is left of them after up to ``most``
@@ -34,7 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -108,10 +109,18 @@ def _leftovers(name: str, most: int) -> set[str]:
     return {"".join(c for i, c in enumerate(name) if i not in gone) for k in range(most + 1) for gone in combinations(range(len(name)), k)}
 
 
-def _posted(names: DataFrame, held, q: int, most: int, around: bool) -> DataFrame:
-    """(key, form): a row for each key a name is posted under; ``around``: for each place and length that edits lead to."""
-    first, short = most * (q + 1) + 1, most * (q + 1) + q - 1
-    shifts = [(p, n) for p in range(-most, most + 1) for n in range(-most, most + 1) if abs(p) + abs(n - p) <= most] if around else [(0, 0)]
+def _shifts(most: int, together: int) -> list[tuple[int, ...]]:
+    """How ``most`` edits can move that many places, in ascending order, and the length: a stretch between two places costs as
+    many edits as it grows or shrinks."""
+    all_ = product(range(-most, most + 1), repeat=together + 1)
+    return [s for s in all_ if abs(s[0]) + sum(abs(b - a) for a, b in zip(s, s[1:])) <= most]
+
+
+def _posted(names: DataFrame, held, q: int, most: int, together: int, around: bool) -> DataFrame:
+    """(key, form): a row for each key a name is posted under; ``around``: for all places and lengths that edits lead to."""
+    first = most * (q + 1) + together
+    short = first + q - 2  # so long a name has fewer than ``first`` grams
+    shifts = _shifts(most, together) if around else [(0,) * (together + 1)]
     lengths = range(-most, most + 1) if around else (0,)
 
     def run(batches):
@@ -125,16 +134,23 @@ def _posted(names: DataFrame, held, q: int, most: int, around: bool) -> DataFram
             owner, place, hashes = owner[order], place[order], hashes[order]
             start = np.searchsorted(owner, np.arange(len(names)))
             chosen = (np.arange(len(owner)) - start[owner] < first) & (sizes[owner] > short)
-            owner, place, hashes = owner[chosen], place[chosen], hashes[chosen]
-            keys = [_mix(hashes, place + p, sizes[owner] + n) for p, n in shifts]
-            whose = [owner] * len(shifts)
+            owner, place, hashes = (x[chosen].reshape(-1, first) for x in (owner, place, hashes))
+            order = np.argsort(place, 1)
+            place, hashes = np.take_along_axis(place, order, 1), np.take_along_axis(hashes, order, 1)
+            own, long = owner[:, 0], sizes[owner[:, 0]]
+            keys, whose = [], []
+            for at in combinations(range(first), together):
+                of = _mix(*(hashes[:, i] for i in at))
+                for shift in shifts:
+                    keys.append(_mix(of, *(place[:, i] + d for i, d in zip(at, shift)), long + shift[-1]))
+                    whose.append(own)
             for i in np.flatnonzero(sizes <= short + most):
-                own = {f"{len(names[i]) + n}:{left}" for left in _leftovers(names[i], most) for n in lengths}
-                keys.append(np.array([int.from_bytes(hashlib.blake2b(o.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for o in own], np.uint64))
-                whose.append(np.full(len(own), i))
-            out = pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(whose)))
+                left = {f"{len(names[i]) + n}:{rest}" for rest in _leftovers(names[i], most) for n in lengths}
+                keys.append(np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in left], np.uint64))
+                whose.append(np.full(len(left), i))
+            out = np.concatenate(keys).view(np.int64), np.concatenate(whose)
             for i in range(0, len(out[0]), 20_000):
-                yield pa.RecordBatch.from_arrays([c.slice(i, 20_000) for c in out], ["key", "form"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0][i : i + 20_000]), batch.column(0).take(pa.array(out[1][i : i + 20_000]))], ["key", "form"])
 
     return names.select("form").mapInArrow(run, "key long, form string")
 
@@ -222,14 +238,14 @@ def _share_enough(a: str, b: str, most: int, q: int) -> bool:
     return (grams[0] & grams[1]).total() >= needed
 
 
-def similar(left: DataFrame, right: DataFrame, most: int = 1, gram: int = 3) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, most: int = 1, gram: int = 2, together: int = 3) -> DataFrame:
     """(left_form, right_form, distance): every pair within ``most`` edits, of two tables of distinct forms.  ``right`` should be the
     shorter one."""
-    if most < 0 or gram < 1:
-        raise ValueError("most must be at least 0 and gram at least 1")
+    if most < 0 or gram < 1 or together < 1:
+        raise ValueError("most must be at least 0, gram and together at least 1")
     held = left.sparkSession.sparkContext.broadcast(gram_counts(left.select("form").unionAll(right.select("form")), gram))
-    posted = _posted(left, held, gram, most, False).withColumnRenamed("form", "left_form")
-    around = _posted(right, held, gram, most, True).withColumnRenamed("form", "right_form")
+    posted = _posted(left, held, gram, most, together, False).withColumnRenamed("form", "left_form")
+    around = _posted(right, held, gram, most, together, True).withColumnRenamed("form", "right_form")
 
     def run(batches):
         for batch in batches:
@@ -237,21 +253,21 @@ def similar(left: DataFrame, right: DataFrame, most: int = 1, gram: int = 3) ->
             at = pa.array(np.flatnonzero(found >= 0))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found[found >= 0].astype(np.int32))], ["left_form", "right_form", "distance"])
 
-    met = posted.join(around, "key").select("left_form", "right_form")
+    met = posted.join(around.hint("merge"), "key").select("left_form", "right_form")
     return met.mapInArrow(run, "left_form string, right_form string, distance int").distinct()
 
 
-def matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_name: Column, right_name: Column, most: int = 1, gram: int = 3) -> DataFrame:
+def matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_name: Column, right_name: Column, most: int = 1, gram: int = 2, together: int = 3) -> DataFrame:
     """For each key of the right side and each distance with a match: the left rows' number, least key and sum of crc32 of their
     decimal keys, as n, first, crc."""
     text = F.crc32(F.col(left_key).cast("string").cast("binary"))
     classes = left.select(form(left_name).alias("form"), F.col(left_key).alias("id"), text.alias("crc")).where("form is not null")
     classes = written(classes.groupBy("form").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.sum("crc").alias("crc")))
     members = written(right.select(form(right_name).alias("form"), F.col(right_key).alias(right_key)).where("form is not null").distinct())
-    pairs = similar(classes, members.select("form").distinct(), most, gram)
+    pairs = similar(classes, members.select("form").distinct(), most, gram, together)
     folds = F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("crc").alias("crc")
-    by_form = pairs.join(classes, pairs.left_form == classes.form).groupBy("right_form", "distance").agg(*folds)
-    by_key = members.join(by_form, members.form == by_form.right_form).groupBy(right_key, "distance").agg(*folds)
+    by_form = pairs.join(classes.hint("merge"), pairs.left_form == classes.form).groupBy("right_form", "distance").agg(*folds)
+    by_key = members.join(by_form.hint("merge"), members.form == by_form.right_form).groupBy(right_key, "distance").agg(*folds)
     out = written(by_key)
     discard(classes, members)
     return out
