@@ -56,11 +56,11 @@ CAPTURES = "file string, offset long, length long, urlkey string, url string, re
 
 
 def url_key(url: Column) -> Column:
-    """The url with its host's labels reversed, for sorting by domain; scheme, user and port left out."""
+    """The url with its host's labels reversed, for sorting by domain; scheme and user left out."""
     clean = F.regexp_replace(url, r"[\x00-\x20\x7f]", "%20")
     rest = F.regexp_replace(clean, r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://", "")
     host = F.lower(F.regexp_extract(rest, r"(?s)^(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    tail = F.regexp_extract(rest, r"(?s)^[^/?#]*(.*)$", 1)
+    tail = F.regexp_extract(rest, r"(?s)^(?:[^/?#@]*@)?[^/?#:]*(.*)$", 1)
     key = F.when(F.instr(clean, "://") > 0, F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), tail)).otherwise(clean)
     return F.when(F.octet_length(key) <= LONGEST, key).otherwise(F.concat(F.substring(key, 1, LONGEST // 5), F.lit("#"), F.sha2(key, 256)))
 
@@ -274,7 +274,7 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
                     out.append(tuple(entry[f.split()[0]] for f in CAPTURES.split(", ")))
             yield _batch(out, CAPTURES)
 
-    asked = keys.select(F.col(keys.columns[0]).alias("key")).where("key is not null").distinct()
+    asked = keys.toDF("key").where("key is not null").distinct()
     places = asked.repartitionByRange("key").sortWithinPartitions("key")
     found = places.mapInArrow(blocks, "key string, file string, offset long, length long")
     return found.repartition("file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(lines, CAPTURES)
