@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
-from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from corpusforge.operators.chunking import PROVENANCE
-from corpusforge.session import delete_folder, folder_exists
+from corpusforge.session import delete_folder, shared_folder
+from corpusforge.sources import versions
 
 
 def plan(current: DataFrame, manifest: DataFrame, present: DataFrame, reindex: bool = False) -> DataFrame:
@@ -47,59 +48,69 @@ def manifest(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     return chunks.groupBy("page_id").agg(F.count("*").alias("chunks")).join(pages.select("page_id", "content_hash"), "page_id", "left")
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """Partitions of the pages in ``chunks`` are replaced, the others stay."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("page_id").parquet(path)
-
-
-def purge_pages(spark: SparkSession, path: str, gone: DataFrame) -> int:
-    """Deletes the partitions of these pages; how many there were.  Names are taken one by one: only folders go."""
-    count = 0
-    for row in gone.select(F.col("page_id").cast("string")).toLocalIterator():
-        name = quote(row[0], safe="-_.~ !$&'()+,;@") if row[0] else "__HIVE_DEFAULT_PARTITION__"
-        delete_folder(spark, f"{path}/page_id={name}")
-        count += 1
+def write_index(chunks: DataFrame, path: str, gone: DataFrame | None = None, tidy: bool = True) -> int:
+    """The pages in ``chunks`` take the place of their older versions, pages in the one column of ``gone`` leave, the others stay.
+
+    Pages lie in a fixed number of buckets; readers see the run when it is whole.  The commit's number.  ``tidy``: older versions are
+    deleted at once."""
+    spark = chunks.sparkSession
+    staged = shared_folder(spark, f"chunks-{uuid.uuid4().hex}")
+    chunks.write.parquet(staged)
+    number = versions.replace(spark, path, spark.read.schema(chunks.schema).parquet(staged), gone)
+    delete_folder(spark, staged)
+    if tidy:
+        versions.clean(spark, path)
+    return number
+
+
+def purge_pages(spark: SparkSession, path: str, gone: DataFrame, tidy: bool = True) -> int:
+    """Takes these pages out; how many there were."""
+    there = versions.read(spark, path)
+    if there is None:
+        return 0
+    pages = gone.toDF("page_id").select(F.col("page_id").cast("string"))
+    count = there.select(F.col("page_id").cast("string").alias("page_id")).distinct().join(pages, "page_id", "left_semi").count()
+    if count:
+        versions.replace(spark, path, there.limit(0), pages)
+        if tidy:
+            versions.clean(spark, path)
     return count
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The index's chunks; rows without metadata are left out."""
-    found = spark.read.parquet(path).schema
-    # Page ids are texts, also where all of them look like numbers.
-    schema = StructType([StructField("page_id", StringType()) if f.name == "page_id" else f for f in found])
-    return spark.read.schema(schema).parquet(path).where("chunk_id is not null and text is not null")
-
+def read_chunks(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The index's chunks, of one commit if told; rows without metadata are left out."""
+    rows = versions.read(spark, path, number)
+    if rows is None:
+        raise FileNotFoundError(f"there is no index at {path}")
+    return rows.where("chunk_id is not null and text is not null")
 
-def write_manifest(spark: SparkSession, chunks: DataFrame, pages: DataFrame, path: str, **facts) -> None:
-    """One row for each page of the index (with the page's provenance), and one with what holds for all.
 
-    It is written beside the old one and then takes its place, as it may be read from that."""
+def write_manifest(spark: SparkSession, chunks: DataFrame, pages: DataFrame, path: str, tidy: bool = True, **facts) -> int:
+    """One row for each page of the index (with the page's provenance), and one with what holds for all.  The commit's number."""
     rows = manifest(chunks, pages).join(chunks.groupBy("page_id").agg(*(F.max(c).alias(c) for c in PROVENANCE)), "page_id", "left")
-    rows.write.mode("overwrite").parquet(path + "-new")
-    spark.read.parquet(path + "-new").write.mode("overwrite").parquet(path)
-    delete_folder(spark, path + "-new")
+    number = versions.overwrite(spark, path, rows)
     known = {"embedding_model": "", "embedding_dim": 0, "chunk_size": 0, "chunk_overlap": 0} | facts
-    total = spark.read.parquet(path).agg(F.count("*").alias("pages"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.current_timestamp().alias("generated_at"))
+    total = versions.read(spark, path, number).agg(F.count("*").alias("pages"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.current_timestamp().alias("generated_at"))
     total.select("*", *(F.lit(v).alias(k) for k, v in known.items())).write.mode("overwrite").json(path + "-facts")
+    if tidy:
+        versions.clean(spark, path)
+    return number
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+def read_manifest(spark: SparkSession, path: str, number: int | None = None) -> DataFrame | None:
     """The manifest's pages; one that can't be read counts as absent."""
     try:
-        rows = spark.read.parquet(path).select("page_id", "content_hash")
+        rows = versions.read(spark, path, number).select("page_id", "content_hash")
         rows.limit(1).count()
         return rows
     except Exception:
         return None
 
 
-def index_present(spark: SparkSession, path: str) -> bool:
+def index_present(spark: SparkSession, path: str, number: int | None = None) -> bool:
     """Whether an index has pages there; asked of the path's own file system."""
-    if not folder_exists(spark, path):
-        return False
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return any(f.getPath().getName().startswith("page_id=") for f in store.listStatus(jvm_path))
+    now = versions.state(spark, path, number)
+    return bool(now and now["buckets"])
 
 
 def vector_of(text: str, dim: int) -> np.ndarray:

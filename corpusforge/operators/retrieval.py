@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -11,33 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusforge.functions.text import tokenize
-from corpusforge.session import folder_exists, shared_folder
+from corpusforge.operators import segments
+from corpusforge.operators.segments import Bm25Index, IndexMismatch, IndexUnavailable  # noqa: F401
+from corpusforge.session import shared_folder
 
-K1, B, EPSILON, RRF_K, NO_MATCH = 1.5, 0.75, 0.25, 60, -1.0
+RRF_K, NO_MATCH = 60, -1.0
 #: Bytes of question vectors that are sent to every task at a time.
 BLOCK_BYTES = 16 << 20
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf)."""
-    return docs.select(key, F.explode(tokenize(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
-
-
-def document_lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.size(tokenize(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("dl"))
-
-
-def term_idf(posts: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(term, df, idf): Okapi weights; a negative one is replaced by a share of the vocabulary's mean."""
-    n = lengths.agg(F.count("*").alias("n"))
-    raw = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
-    raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    floor = EPSILON * F.col("mean")
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
-
-
 def ranked(scores: DataFrame, group: str, score: str, key: str, rank: str, limit: int | None = None) -> DataFrame:
     """Adds the position by score, ties by key; keeps the first ``limit``."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), F.asc(key)))
@@ -45,86 +26,42 @@ def ranked(scores: DataFrame, group: str, score: str, key: str, rank: str, limit
     return out if limit is None else out.where(F.col(rank) <= limit)
 
 
-class IndexUnavailable(Exception):
-    """There is no stored index."""
-
-
-class IndexMismatch(Exception):
-    """A stored index was made by another tokenizer, can't be read, or doesn't cover the corpus."""
+#: Of the stored index: changes whenever ``tokenize`` does.
+TOKENIZER = "words.v1"
 
 
-#: Of the stored index: changes whenever ``tokenize`` does.  Postings lie in so many folders by term.
-TOKENIZER, TERM_BUCKETS = "words.v1", 32
-
-
-@dataclass
-class Bm25Index:
-    """postings (bucket, term, key, tf), lengths (key, dl), terms (bucket, term, df, idf), average document length."""
+def write_bm25(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Stores the index of all of docs as one segment, in place of what is there."""
+    segments.write(docs, path, key, text, TOKENIZER)
 
-    postings: DataFrame
-    lengths: DataFrame
-    terms: DataFrame
-    average: Column
 
+def update_bm25(docs: DataFrame, gone: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Adds new and changed documents, and takes out the keys in the one column of ``gone``: one segment is written."""
+    segments.update(docs, gone, path, key, text, TOKENIZER)
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int").alias("bucket")
 
-
-def write_bm25(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Stores the index of all of docs: the corpus is tokenized twice here, and never for a question.
-
-    Postings are dealt by folder before they are written, in parts of the advisory size, so that a folder
-    gets as many files as its size asks for, and not one from each task."""
-    spark = docs.sparkSession
-    posts = postings(docs.select(F.col(key).alias("key"), text), "key", text).select(_bucket(F.col("term")), "term", "key", "tf")
-    posts.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path + "/postings")
-    document_lengths(docs.select(F.col(key).alias("key"), text), "key", text).write.mode("overwrite").parquet(path + "/lengths")
-    posts, lengths = spark.read.parquet(path + "/postings"), spark.read.parquet(path + "/lengths")
-    term_idf(posts, lengths).select(_bucket(F.col("term")), "term", "df", "idf").write.mode("overwrite").parquet(path + "/terms")
-    facts = lengths.agg(F.count("*").alias("documents"), F.avg("dl").alias("average")).withColumn("tokenizer", F.lit(TOKENIZER))
-    facts.coalesce(1).write.mode("overwrite").parquet(path + "/facts")  # last: an index without it isn't whole
-
-
-def load_bm25(spark: SparkSession, path: str, documents: int | None = None) -> Bm25Index:
-    """A stored index; ``documents``: how many it has to cover."""
-    if not folder_exists(spark, path + "/facts"):
-        raise IndexUnavailable(path)
-    try:
-        facts = spark.read.parquet(path + "/facts").first()
-        tokenizer, count, average = facts["tokenizer"], facts["documents"], facts["average"]
-    except Exception as error:
-        raise IndexMismatch(f"{path} can't be read: {error}") from error
-    if tokenizer != TOKENIZER:
-        raise IndexMismatch(f"{path} was made by tokenizer {tokenizer}, not {TOKENIZER}")
-    if documents is not None and documents != count:
-        raise IndexMismatch(f"{path} covers {count} documents, not {documents}")
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Bm25Index(read("postings"), read("lengths"), read("terms"), F.lit(average))
+def load_bm25(spark: SparkSession, path: str, documents: int | None = None, number: int | None = None) -> Bm25Index:
+    """A stored index; ``documents``: how many it has to cover; ``number``: of which commit, the last by default."""
+    return segments.load(spark, path, TOKENIZER, documents, number)
 
 
 def bm25_search(questions: DataFrame, index: Bm25Index, top: int = 20, qkey: str = "qid", qtext: str = "question", key: str = "doc_id") -> DataFrame:
     """(qid, key, sparse_score, sparse_rank): positive scores only, ties by key.
 
-    A term asked twice counts twice.  Only postings of asked terms are read: terms and postings
-    share their folders, and a frequent term's postings can be split, as they come from a table.
-    Scores that differ by less than 1e-9, the noise of adding in another order, tie."""
-    asked = questions.select(qkey, F.explode(tokenize(F.col(qtext))).alias("term")).groupBy(qkey, "term").agg(F.count("*").alias("asked"))
-    weights = index.terms.join(asked.withColumn("bucket", _bucket(F.col("term"))), ["bucket", "term"]).select("bucket", "term", qkey, "asked", "idf")
-    hits = index.postings.join(weights, ["bucket", "term"]).join(index.lengths, "key")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.average)
-    score = F.round(F.sum(F.col("asked") * F.col("idf") * F.col("tf") * (K1 + 1) / norm), 9).alias("raw")
-    best = ranked(hits.groupBy(qkey, F.col("key").alias(key)).agg(score).where("raw > 0"), qkey, "raw", key, "sparse_rank", top)
-    return best.select(qkey, key, F.round("raw", 5).alias("sparse_score"), "sparse_rank")
+    A term asked twice counts twice.  Scores that differ by less than 1e-9, the noise of adding in another order, tie."""
+    found = segments.scores(questions, index, top, qkey, qtext).where("key is not null").select(qkey, F.col("key").alias(key), "raw")
+    return ranked(found, qkey, "raw", key, "sparse_rank", top).select(qkey, key, F.round("raw", 5).alias("sparse_score"), "sparse_rank")
+
+
+def bm25_work(questions: DataFrame, index: Bm25Index, top: int = 20, qkey: str = "qid", qtext: str = "question") -> DataFrame:
+    """(qid, blocks, blocks_scored): of each question with a known term, how many blocks of its terms there are, and how many were scored."""
+    rows = segments.scores(questions, index, top, qkey, qtext).where("key is null")
+    return rows.groupBy(qkey).agg(F.sum("met").alias("blocks"), F.sum("scored").alias("blocks_scored"))
 
 
 def bm25(questions: DataFrame, docs: DataFrame, top: int = 20, qkey: str = "qid", qtext: str = "question", key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same over documents without a stored index, for a corpus that is asked once."""
-    posts = postings(docs.select(F.col(key).alias("key"), text), "key", text).withColumn("bucket", _bucket(F.col("term")))
-    lengths = document_lengths(docs.select(F.col(key).alias("key"), text), "key", text)
-    average = lengths.agg(F.avg("dl")).first()[0]
-    terms = term_idf(posts, lengths).withColumn("bucket", _bucket(F.col("term")))
-    return bm25_search(questions, Bm25Index(posts, lengths, terms, F.lit(average)), top, qkey, qtext, key)
+    return bm25_search(questions, segments.in_memory(docs, key, text), top, qkey, qtext, key)
 
 
 def cosine(a: Column, b: Column) -> Column:

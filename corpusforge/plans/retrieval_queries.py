@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 
 from corpusforge.functions import text as T
-from corpusforge.operators import answers, chunking, evaluation, ingest, profiling, retrieval
+from corpusforge.operators import ann, answers, chunking, evaluation, ingest, profiling, retrieval
 from corpusforge.plans.base import F, documents, quoted, table, values
 from corpusforge.plans.text_queries import TOKENS
-from corpusforge.session import shared_folder
+from corpusforge.session import fingerprint, shared_folder
 from corpusforge.sources import corpus
 
 THRESHOLD = 0.3
@@ -21,17 +21,27 @@ def _questions(spark, d):
     return items.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), "qid", "left")
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str, str], tuple[str, str]] = {}
+
+
+def _built(spark, d, kind, of, write):
+    """Where an index of a table is, built when a session first asks for it, or the table's files are others than then."""
+    at, now = (spark.sparkContext.applicationId, d, kind), fingerprint(spark, f"{d}/{of}.parquet")
+    if _stored.get(at, ("", ""))[0] != now:
+        path = shared_folder(spark, f"{kind}-{uuid.uuid4().hex}")
+        write(table(spark, d, of), path)
+        _stored[at] = (now, path)
+    return _stored[at][1]
 
 
 def index_of(spark, d):
-    """The stored BM25 index of the documents, built when a session first asks for it."""
-    at = (spark.sparkContext.applicationId, d)
-    if at not in _stored:
-        path = shared_folder(spark, f"bm25-{uuid.uuid4().hex}")
-        retrieval.write_bm25(documents(spark, d), path)
-        _stored[at] = path
-    return retrieval.load_bm25(spark, _stored[at])
+    """The stored BM25 index of the documents."""
+    return retrieval.load_bm25(spark, _built(spark, d, "bm25", "documents", retrieval.write_bm25))
+
+
+def ann_of(spark, d):
+    """The stored inverted-file index of the vectors."""
+    return ann.load_ann(spark, _built(spark, d, "ann", "embeddings", ann.write_ann))
 
 
 def _sparse(spark, d, top=20):
@@ -54,18 +64,45 @@ def bm25_topk(spark, d):
     return _sparse(spark, d)
 
 
+def bm25_work(spark, d):
+    """How many posting blocks of its terms each question has, and how many could still reach its twenty best."""
+    return retrieval.bm25_work(_questions(spark, d), index_of(spark, d))
+
+
+def bm25_segments(spark, d):
+    """An index of three runs: at first without source 5 and with other texts for source 7; then these; then source 3 leaves."""
+    docs, path = documents(spark, d), shared_folder(spark, f"segments-{uuid.uuid4().hex}")
+    old = docs.where(~F.col("source").eqNullSafe(F.lit("src5"))).withColumn("text", F.when(F.col("source") == "src7", F.reverse("text")).otherwise(F.col("text")))
+    retrieval.write_bm25(old, path)
+    retrieval.update_bm25(docs.where("source in ('src5', 'src7')"), docs.select("doc_id").limit(0), path)
+    retrieval.update_bm25(docs.limit(0), docs.where("source = 'src3'").select("doc_id"), path)
+    return retrieval.bm25_search(_questions(spark, d), retrieval.load_bm25(spark, path))
+
+
 def dense_topk(spark, d):
     return _dense(spark, d)
 
 
+def ann_topk(spark, d):
+    """Hits of the inverted-file index, which reads some cells, with each question's recall against the exact search."""
+    found = ann.search(_questions(spark, d), ann_of(spark, d))
+    return found.join(ann.recall(found, _dense(spark, d)).select("qid", "recall"), "qid", "left")
+
+
+def ann_all_cells(spark, d):
+    """The same index, with every cell read: all that remains approximate is which codes are scored again."""
+    index = ann_of(spark, d)
+    return ann.search(_questions(spark, d), index, probes=len(index.centroids)).select("qid", "vec_id", "ann_score", "ann_rank")
+
+
 def raw_dense_max(spark, d):
     best = _dense(spark, d, 1).groupBy("qid").agg(F.max("dense_score").alias("top"))
     return _questions(spark, d).select("qid").join(best, "qid", "left").select("qid", F.coalesce("top", F.lit(retrieval.NO_MATCH)).alias("raw_dense_max"))
 
 
-def score_ids(spark, d):
+def score_ids(spark, d, hits=None):
     """Exact cosine of each question with its sparse hits."""
-    hits = _sparse(spark, d).select("qid", F.col("doc_id").alias("vec_id"))
+    hits = (_sparse(spark, d) if hits is None else hits).select("qid", F.col("doc_id").alias("vec_id"))
     rows = hits.join(table(spark, d, "embeddings"), "vec_id").join(_questions(spark, d).select("qid", "qvec"), "qid")
     return rows.select("qid", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
 
@@ -80,10 +117,12 @@ def dim_check(spark, d):
 
 def _fused(spark, d):
     dense = _dense(spark, d).withColumnRenamed("vec_id", "chunk_id")
-    sparse = _sparse(spark, d).withColumnRenamed("doc_id", "chunk_id")
-    exact = score_ids(spark, d).select("qid", F.col("vec_id").alias("chunk_id"), F.col("score").alias("exact"))
-    heavy = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), chunking.return_heavy(F.col("text")).alias("return_heavy"))
+    hits = _sparse(spark, d)
+    sparse = hits.withColumnRenamed("doc_id", "chunk_id")
+    exact = score_ids(spark, d, hits).select("qid", F.col("vec_id").alias("chunk_id"), F.col("score").alias("exact"))
     both = dense.select("qid", "chunk_id").union(sparse.select("qid", "chunk_id")).distinct()
+    texts = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text").join(both.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    heavy = texts.select("chunk_id", chunking.return_heavy(F.col("text")).alias("return_heavy"))
     resolved = both.join(exact, ["qid", "chunk_id"], "left").join(heavy, "chunk_id", "left")
     return dense, sparse, retrieval.fuse(dense, sparse, resolved)
 
@@ -242,7 +281,7 @@ def latency_summary(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_postings, bm25_idf, bm25_topk, dense_topk, raw_dense_max, score_ids, l2_norm, dim_check, rrf_fusion, gate_decision, hybrid_search, cited_pages, bm25_only, hydrate_join,
+    bm25_postings, bm25_idf, bm25_topk, bm25_work, bm25_segments, dense_topk, ann_topk, ann_all_cells, raw_dense_max, score_ids, l2_norm, dim_check, rrf_fusion, gate_decision, hybrid_search, cited_pages, bm25_only, hydrate_join,
     evidence_budget, prompt, facts_present, corpus_validate, page_lookup, raw_missing, distinct_pages, upsert_chunks, delete_page, ingest_plan, orphan_pages, manifest, source_list,
     url_allowlist, dump_chunks, chunks_per_page, exact_dups, boilerplate, index_integrity, parse_ts, latency_summary,
 )}
@@ -284,7 +323,9 @@ SQL = {
     "bm25_postings": f"WITH {_BM25} SELECT term, doc_id, tf FROM posts",
     "bm25_idf": f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {_SPARSE} SELECT qid, doc_id, sparse_score, sparse_rank FROM sparse",
+    "bm25_segments": f"WITH documents AS (SELECT * FROM main.documents WHERE source IS DISTINCT FROM 'src3'), {_SPARSE} SELECT qid, doc_id, sparse_score, sparse_rank FROM sparse",
     "dense_topk": f"WITH {_DENSE} SELECT qid, vec_id, dense_score, dense_rank FROM dense",
+    "ann_all_cells": f"WITH {_DENSE} SELECT qid, vec_id, dense_score AS ann_score, dense_rank AS ann_rank FROM dense",
     "raw_dense_max": f"WITH {_DENSE} SELECT qid, coalesce(max(dense_score), -1.0) AS raw_dense_max FROM q LEFT JOIN dense USING (qid) GROUP BY qid",
     "score_ids": f"WITH {_SPARSE}, {_DENSE} SELECT s.qid, vec_id, round(list_dot_product(CAST(qvec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM sparse s JOIN embeddings ON vec_id = doc_id JOIN q ON q.qid = s.qid WHERE qvec IS NOT NULL",
     "l2_norm": "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings",

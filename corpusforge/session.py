@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 
@@ -49,3 +50,14 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 def folder_exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files at a path: another one whenever the table there was written anew."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    digest, files = hashlib.sha256(), store.listFiles(where, True)
+    while files.hasNext():
+        f = files.next()
+        digest.update(f"{f.getPath().toUri()} {f.getLen()} {f.getModificationTime()}\n".encode())
+    return digest.hexdigest()
