@@ -104,7 +104,7 @@ def _alive(forward: DataFrame, buried: DataFrame | None) -> DataFrame:
 
 def forward(docs: DataFrame, key: str, text: str, cells: int) -> DataFrame:
     """(key, cell, dl, terms, tfs): the terms of each document once, in order, with their counts; one row stays one row."""
-    found = docs.select(F.col(key).alias("key"), F.array_sort(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("all"))
+    found = docs.select(F.col(key).alias("key"), F.sort_array(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("all"))
     # Where a run of equal terms begins; its length is the way to the next.
     starts = F.when(F.size("all") > 0, F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: (i == 1) | (F.element_at("all", i) != F.element_at("all", F.greatest(i - 1, F.lit(1))))))
     found = found.withColumn("starts", F.coalesce(starts, F.array().cast("array<int>"))).withColumn("dl", F.size("all"))
@@ -115,11 +115,26 @@ def forward(docs: DataFrame, key: str, text: str, cells: int) -> DataFrame:
 
 
 def blocks(rows: DataFrame, average: float) -> DataFrame:
-    """(bucket, cell, term, bound, keys, tfs, dls) of a forward table."""
+    """(bucket, cell, term, bound, keys, tfs, dls) of a forward table.  A term may have several blocks in a cell."""
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
     one = rows.select("cell", "key", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("cell", "key", "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
-    packed = one.groupBy("cell", "term").agg(F.max(weight).alias("bound"), F.collect_list(F.struct("key", "tf", "dl")).alias("p"))
-    return packed.select(_bucket(F.col("term")).alias("bucket"), "cell", "term", "bound", F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+    dealt = one.withColumn("weight", weight).repartition("cell").sortWithinPartitions("cell", "term")
+    kind = rows.schema["key"].dataType.simpleString()
+    packed = dealt.mapInArrow(_packed, f"cell int, term string, bound double, keys array<{kind}>, tfs array<int>, dls array<int>")
+    return packed.select(_bucket(F.col("term")).alias("bucket"), "cell", "term", "bound", "keys", "tfs", "dls")
+
+
+def _packed(batches):
+    """Runs of rows with one cell and term as one row each; only offsets are computed."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell, term = batch.column("cell"), batch.column("term").dictionary_encode().indices.to_numpy()
+        begins = np.concatenate([[0], np.flatnonzero((np.diff(cell.to_numpy()) != 0) | (np.diff(term) != 0)) + 1])
+        offsets, at = pa.array(np.append(begins, batch.num_rows).astype(np.int32)), pa.array(begins)
+        bound = np.maximum.reduceat(batch.column("weight").to_numpy(), begins)
+        lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in ("key", "tf", "dl")]
+        yield pa.RecordBatch.from_arrays([cell.take(at), batch.column("term").take(at), pa.array(bound), *lists], ["cell", "term", "bound", "keys", "tfs", "dls"])
 
 
 def _frequencies(rows: DataFrame, sign: int = 1) -> DataFrame:
