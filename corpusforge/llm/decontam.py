@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.scratch import lean, written
+from corpusforge.llm.scratch import lean, numbered, written
 from corpusforge.llm.wordhash import Words, slices
 
 SHINGLE, PERCENT, RADIUS, BLOCKS = 5, 80, 23, 4
@@ -185,10 +185,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, perce
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text", item: str = "item_id", limit: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that match no item, with all their columns."""
     lean(docs.sparkSession)
-    mark = "_plain"
-    while mark in docs.columns:
-        mark = "_" + mark
-    marked = docs.withColumn(mark, plain(F.col(text)))
+    rows, own = numbered(docs, text)
+    mark = "plain"
+    marked = rows.withColumn(mark, plain(F.col(own)))
 
     def one_pass(items, before):
         def run(batches):
@@ -200,4 +199,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, perce
 
         return (before[-1] if before else marked).mapInArrow(run, marked.schema)
 
-    return _passes(docs, benchmark, item, text, limit, size, percent, one_pass)[-1].drop(mark)
+    return _passes(docs, benchmark, item, text, limit, size, percent, one_pass)[-1].drop(mark).toDF(*docs.columns)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.scratch import lean
+from corpusforge.llm.scratch import lean, numbered
 from corpusforge.llm.wordhash import mix, slices
 
 #: n-gram lengths; hash buckets; embedding width.
@@ -280,7 +280,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
 
 def drop_rejected(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows whose language is known, with all their columns."""
-    return docs.mapInArrow(predictor(docs, model, docs.columns, text, keep_rejected=False), docs.schema)
+    rows, own = numbered(docs, text)
+    return rows.mapInArrow(predictor(rows, model, rows.columns, own, keep_rejected=False), rows.schema).toDF(*docs.columns)
 
 
 def fold(key: str = "doc_id") -> Column:

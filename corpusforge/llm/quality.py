@@ -122,7 +122,7 @@ def without_boilerplate(
     found = _looked_up(docs, max_docs, min_left, text, host, key).select(F.col("key").alias("fkey"), F.col("host").alias("fhost"), F.col("x").alias("fx"), "gone_at", "kept")
     body = F.col(text).cast("string")
     rows = docs.select(
-        F.struct(*docs.columns).alias("doc"), F.col(key).alias("key"), F.col(host).cast("string").alias("host"), body.alias("body"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("x")
+        F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("doc"), F.col(key).alias("key"), F.col(host).cast("string").alias("host"), body.alias("body"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("x")
     )
     met = rows.join(found, (F.col("x") == F.col("fx")) & F.col("key").eqNullSafe(F.col("fkey")) & F.col("host").eqNullSafe(F.col("fhost")))
     if not keep_rejected:

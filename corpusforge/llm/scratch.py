@@ -46,6 +46,12 @@ def drop_folder(spark: SparkSession, name: str) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """The rows under names that can't clash with anything or need quoting, and the new name of ``text``; ``toDF`` gives the old names back."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index(text)]
+
+
 def lean(spark: SparkSession) -> None:
     """Arrow batches of a few MB where the session has Spark's own defaults: texts are long rows, and
     two batches are held on either side of the pipe.  The setting stays with the session; no result

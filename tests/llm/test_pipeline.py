@@ -3,9 +3,10 @@ from collections import Counter
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusforge.llm import bpe, langid, queries
+from corpusforge.llm import bpe, langid, quality, queries
 
 from .conftest import words
 from .test_operators import WORD, linked, without_runs
@@ -99,7 +100,22 @@ def test_empty_tables(spark, folder, tmp_path):
         assert stage(spark, docs.limit(0), path).columns == docs.columns
 
 
+def test_columns_of_any_name_pass_through(spark, folder):
+    """Also those that a stage would give itself, and names with dots and backticks."""
+    docs = spark.read.parquet(folder + "/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
+    names = ["n_removed", "N_Lines", "a.b", "c`d", "gone", "chunks", "row", "label", "rest"]
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[name] == f"{i}:{r['doc_id']}" for r in rows for i, name in enumerate(names))
+    emptied = quality.without_boilerplate(docs)
+    assert emptied.columns == docs.columns and all(r["a.b"] == f"2:{r['doc_id']}" for r in emptied.collect())
+
+
 def test_names():
     numbers = {int(n[2:].split("_")[0]) for n in queries.queries()}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
