@@ -43,18 +43,23 @@ def perf_claim(spark, d):
     return questions(spark, d).select("qid", routing.is_performance_claim(F.col("question")).alias("claim"))
 
 
+def _runs(spark, d, shape, given):
+    """(run): the stretches of this shape in all documents and conversations, each once, and the given ones."""
+    texts = documents(spark, d).select("text").unionAll(table(spark, d, "conversations").select("text"))
+    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"({shape})"), F.lit(1))).alias("run"))
+    return found.unionAll(literal(spark, [(g,) for g in given], "run string")).distinct()
+
+
 def verhoeff(spark, d):
-    rows = literal(spark, list(enumerate(DIGITS)), "id int, digits string")
-    return rows.select("id", pii.verhoeff_valid(F.col("digits")).alias("valid"), pii.verhoeff_digit(F.col("digits")).alias("digit"))
+    return _runs(spark, d, "[0-9]+", DIGITS).select("run", pii.verhoeff_valid(F.col("run")).alias("valid"), pii.verhoeff_digit(F.col("run")).alias("digit"))
 
 
 def pii_pan(spark, d):
-    return literal(spark, list(enumerate(PANS)), "id int, pan string").select("id", pii.is_pan(F.col("pan")).alias("valid"))
+    return _runs(spark, d, "[A-Za-z0-9]+", PANS).where("length(run) between 9 and 11").select("run", pii.is_pan(F.col("run")).alias("valid"))
 
 
 def pii_aadhaar(spark, d):
-    rows = literal(spark, list(enumerate(DIGITS)), "id int, digits string")
-    return rows.select("id", pii.is_aadhaar(F.col("digits")).alias("valid"))
+    return _runs(spark, d, "[0-9][0-9 -]*[0-9]", DIGITS).select("run", pii.is_aadhaar(F.col("run")).alias("valid"))
 
 
 def pii_email(spark, d):
@@ -306,7 +311,9 @@ _CHECKS = f"""(WITH a AS (SELECT doc_id AS id, ({_TEXTS})[doc_id % {len(STATEMEN
   UNION ALL SELECT id, 'M-2', 'citation_in_corpus', known_url FROM a WHERE NOT refused UNION ALL SELECT id, 'M-2', 'citation_retrieved', retrieved FROM a WHERE NOT refused
   UNION ALL SELECT id, 'M-6', 'sentence_limit', {_SENTENCES} <= 3 FROM a WHERE NOT refused UNION ALL SELECT id, 'M-7', 'one_link', cited FROM a WHERE NOT refused
   UNION ALL SELECT id, 'M-7', 'last_updated', dated FROM a WHERE NOT refused UNION ALL SELECT id, 'M-3', 'refusal_correct', false FROM a WHERE NOT refused AND must_refuse)"""
-_VERHOEFF = f"""(SELECT column0 AS id, column1 AS digits, [{', '.join(map(str, pii._FLAT_TIMES))}] AS d, [{', '.join(map(str, pii._FLAT_MOVES))}] AS p FROM {values(list(enumerate(DIGITS)))})"""
+def _runs_sql(shape: str, given: list[str]) -> str:
+    return f"""(SELECT DISTINCT run, run AS digits, [{', '.join(map(str, pii._FLAT_TIMES))}] AS d, [{', '.join(map(str, pii._FLAT_MOVES))}] AS p FROM (
+      SELECT unnest(regexp_extract_all(text, '{shape}')) AS run FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations) UNION ALL SELECT column0 FROM {values([(g,) for g in given])}))"""
 
 
 def _sum(offset: int) -> str:
@@ -320,6 +327,31 @@ _FOUND = [
     "regexp_matches(text, '(^|\\D)(?:\\+?91[\\s-]?)?0?[6-9]\\d{4}[\\s-]?\\d{5}($|\\D)')", f"regexp_matches(text, {quoted(pii.OTP_CUED)})", f"regexp_matches(text, '(?i)\\b[A-Z]{{3}}[{pii.ENTITY_LETTERS}][A-Z]\\d{{4}}[A-Z]\\b')",
     f"len(list_filter(list_transform(regexp_extract_all(text, {quoted(pii.AADHAAR)}), lambda x: regexp_replace(x, '\\D', '', 'g')), lambda n: {_sum(0).replace('digits', 'n').replace('lambda i: p[', f'lambda i: {pii._FLAT_MOVES}[').replace('lambda c, x: d[', f'lambda c, x: {pii._FLAT_TIMES}[')} = 0)) > 0",
 ]
+
+
+def _span_rows(kind: str, pattern: str, marked: str, valid: str = "true") -> str:
+    """(id, rank, start, size, kind): the pieces between marks that a replacement puts around matches."""
+    return f"""SELECT id, {pii.PRIORITY.index(kind)} AS rank, start, size, '{kind}' AS kind FROM (SELECT *, length(piece) AS size, sum(length(piece)) OVER (PARTITION BY id ORDER BY i) - length(piece) AS start FROM (
+      SELECT id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM (SELECT id, string_split(regexp_replace(folded, {quoted(pattern)}, {marked}, 'g'), chr(1)) AS pieces FROM texts))) WHERE i % 2 = 0 AND {valid}"""
+
+
+_WHOLE, _SECOND = "chr(1) || '\\0' || chr(1)", "'\\1' || chr(1) || '\\2' || chr(1)"
+_DIGIT_RUN = "regexp_replace(piece, '\\D', '', 'g')"
+_VERHOEFF_OK = f"{_sum(0).replace('digits', _DIGIT_RUN).replace('lambda i: p[', f'lambda i: {pii._FLAT_MOVES}[').replace('lambda c, x: d[', f'lambda c, x: {pii._FLAT_TIMES}[')} = 0"
+_PAN_OK = "regexp_matches(upper(piece), '^[A-Z]{3}[PCAHBGLJFT]') AND substr(upper(piece), 1, 5) NOT IN ('AAAAA', 'XXXXX', 'ZZZZZ') AND substr(piece, 6, 4) NOT IN ('0000', '1111') AND len(list_distinct(string_split(upper(substr(piece, 1, 5) || substr(piece, 10, 1)), ''))) > 1"
+#: An account number without a label is a whole stretch of digits and their marks; a phone number takes the marks around it along.
+_SPAN_SETS = " UNION ALL ".join((
+    _span_rows("email", pii.EMAIL, _WHOLE), _span_rows("aadhaar", pii.AADHAAR, _WHOLE, f"len(list_distinct(string_split({_DIGIT_RUN}, ''))) > 1 AND {_VERHOEFF_OK}"), _span_rows("pan", pii.PAN, _WHOLE, _PAN_OK),
+    _span_rows("account", pii.ACCOUNT_LABELLED, _SECOND), _span_rows("account", "[\\d.,\\-/]+", _WHOLE, "regexp_full_match(piece, '\\d{12,18}')"),
+    _span_rows("phone", "(^|\\D)((?:\\+?91[\\s-]?)?0?[6-9]\\d{4}[\\s-]?\\d{5})($|\\D)", "'\\1' || chr(1) || '\\2' || chr(1) || '\\3'"), _span_rows("otp", pii.OTP_CUED, _SECOND),
+))
+_SPANS = f"""WITH texts AS (SELECT id, text, regexp_replace(text, '[À-ɏ]', 'Z', 'g') AS folded FROM {_PERSONAL_ALL}), found AS ({_SPAN_SETS}),
+listed AS (SELECT id, list([struct_pack(start := start, stop := start + size, kind := kind)] ORDER BY rank, size DESC, start) AS all_ FROM found GROUP BY id),
+kept AS (SELECT id, list_sort(list_reduce(all_, lambda done, x: CASE WHEN len(list_filter(done, lambda k: k.start < x[1].stop AND x[1].start < k.stop)) > 0 THEN done ELSE list_concat(done, x) END)) AS spans FROM listed),
+named AS (SELECT id, spans, list_transform(spans, lambda s: s.kind) AS kinds, list_transform(spans, lambda s: s.start || ':' || (s.stop - s.start)) AS cuts FROM kept)
+SELECT id, array_to_string(list_filter(kinds, lambda k, i: list_position(kinds, k) = i), ',') AS kinds, CAST(len(spans) AS INTEGER) AS n,
+  sha256(list_reduce(list_concat([text], cuts), lambda t, c: substr(t, 1, CAST(split_part(c, ':', 1) AS INTEGER)) || repeat('*', CAST(split_part(c, ':', 2) AS INTEGER)) || substr(t, CAST(split_part(c, ':', 1) AS INTEGER) + CAST(split_part(c, ':', 2) AS INTEGER) + 1))) AS redacted
+FROM named JOIN texts USING (id)"""
 _LOG = "regexp_replace(text, '[À-ɏ]', 'Z', 'g')"
 for _p, _m in pii.LOG_PATTERNS:
     if _p.startswith(r"(?<![\w.])"):
@@ -334,13 +366,14 @@ SQL = {
     "source_list_q": f"SELECT qid, {_ASKED} AS asked FROM {_SCOPED}",
     "perf_claim": f"""SELECT qid, {matches('q', V.PERF_NUMBER)} OR {matches('q', V.PERF_RANKING)} OR {matches('q', V.PERF_NAV)} OR ({matches('q', V.PERF_PERIOD)} AND NOT {matches('q', V.PERF_FEE)}) OR {matches('q', V.PERF_WORDS)}
       OR {matches("regexp_replace(q, 'performance\\s*(?:risk|score|rating|ratio|volatility)', ' ', 'gi')", V.PERF_NOUN_EXEMPT)} AS claim FROM {QUESTIONS_SQL}""",
-    "verhoeff": f"""SELECT id, CASE WHEN regexp_matches(digits, '^[0-9]+$') THEN {_sum(0)} = 0 ELSE false END AS valid,
-      CASE WHEN regexp_matches(digits, '^[0-9]+$') THEN ([{', '.join(map(str, pii.INVERSE))}])[{_sum(1)} + 1] END AS digit FROM {_VERHOEFF}""",
-    "pii_pan": f"""SELECT column0 AS id, regexp_matches(c, '^[A-Z]{{3}}[PCAHBGLJFT][A-Z]\\d{{4}}[A-Z]$') AND substr(c, 1, 5) NOT IN ('AAAAA', 'XXXXX', 'ZZZZZ') AND substr(c, 6, 4) NOT IN ('0000', '1111')
-      AND NOT (len(list_distinct(string_split(substr(c, 1, 5) || substr(c, 10, 1), ''))) = 1) AS valid FROM (SELECT column0, upper(column1) AS c FROM {values(list(enumerate(PANS)))})""",
-    "pii_aadhaar": f"""SELECT id, length(n) = 12 AND NOT regexp_matches(n, '^[01]') AND len(list_distinct(string_split(n, ''))) > 1 AND {_sum(0).replace('digits', 'n')} = 0 AS valid
-      FROM (SELECT *, regexp_replace(digits, '\\D', '', 'g') AS n FROM {_VERHOEFF})""",
+    "verhoeff": f"""SELECT run, CASE WHEN regexp_matches(digits, '^[0-9]+$') THEN {_sum(0)} = 0 ELSE false END AS valid,
+      CASE WHEN regexp_matches(digits, '^[0-9]+$') THEN ([{', '.join(map(str, pii.INVERSE))}])[{_sum(1)} + 1] END AS digit FROM {_runs_sql('[0-9]+', DIGITS)}""",
+    "pii_pan": f"""SELECT run, regexp_matches(c, '^[A-Z]{{3}}[PCAHBGLJFT][A-Z]\\d{{4}}[A-Z]$') AND substr(c, 1, 5) NOT IN ('AAAAA', 'XXXXX', 'ZZZZZ') AND substr(c, 6, 4) NOT IN ('0000', '1111')
+      AND NOT (len(list_distinct(string_split(substr(c, 1, 5) || substr(c, 10, 1), ''))) = 1) AS valid FROM (SELECT run, upper(run) AS c FROM {_runs_sql('[A-Za-z0-9]+', PANS)} WHERE length(run) BETWEEN 9 AND 11)""",
+    "pii_aadhaar": f"""SELECT run, length(n) = 12 AND NOT regexp_matches(n, '^[01]') AND len(list_distinct(string_split(n, ''))) > 1 AND {_sum(0).replace('digits', 'n')} = 0 AS valid
+      FROM (SELECT *, regexp_replace(digits, '\\D', '', 'g') AS n FROM {_runs_sql('[0-9][0-9 -]*[0-9]', DIGITS)})""",
     "pii_email": f"SELECT id, CAST(len(regexp_extract_all(text, '{_EMAIL}')) AS INTEGER) AS n FROM {_PERSONAL_ALL}",
+    "pii_spans": _SPANS,
     "pii_account": "SELECT doc_id, regexp_matches(text, '(^|[^\\d.,\\-/])\\d{12,18}($|[^\\d.,\\-/])') AS found FROM documents",
     "redact_email": f"SELECT id, sha256(list_reduce(list_concat([text], regexp_extract_all(text, '{_EMAIL}')), lambda t, e: replace(t, e, repeat('*', length(e))))) AS h FROM {_PERSONAL_ALL}",
     "pii_gate": f"""SELECT id, found, CASE WHEN found THEN 'block' ELSE 'pass' END AS action, CASE WHEN found THEN 'mark' ELSE 'pass' END AS dry, 'pass' AS open FROM (SELECT id, {' OR '.join(_FOUND)} AS found FROM (

@@ -114,8 +114,14 @@ def question_ref(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.question_ref(F.col("text")).alias("ref"))
 
 
+FIGURE_LIKE = "[₹$]?[0-9][0-9,.]*%?"
+
+
 def norm_number(spark, d):
-    return literal(spark, list(enumerate(NUMBERS)), "id int, token string").select("id", T.norm_number(F.col("token")).alias("n"))
+    """Everything in documents and conversations that begins like a figure, each once, and given tokens."""
+    texts = documents(spark, d).select("text").unionAll(table(spark, d, "conversations").select("text"))
+    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"({FIGURE_LIKE})"), F.lit(1))).alias("token"))
+    return found.unionAll(literal(spark, [(n,) for n in NUMBERS], "token string")).distinct().select("token", T.norm_number(F.col("token")).alias("n"))
 
 
 def figures(spark, d):
@@ -279,8 +285,8 @@ SQL = {
     "chunk_stats": f"""SELECT source, count(*) AS chunks, count_if(heavy) AS heavy, min(tokens) AS least, max(tokens) AS most, round(avg(tokens), 1) AS mean
         FROM (SELECT source, {_SIMPLE} AS tokens, {_HEAVY} AS heavy FROM {LINES_SQL}) GROUP BY source""",
     "question_ref": "SELECT item_id, 'q_' || substr(sha256(text), 1, 12) AS ref FROM benchmark",
-    "norm_number": f"""SELECT id, coalesce(regexp_replace(printf('%.6f', v), '\\.?0+$', ''), '') AS n FROM (SELECT column0 AS id, try_cast(replace(regexp_replace(trim(column1), '[₹$% xX]', '', 'g'), ',', '') AS DOUBLE) AS v
-        FROM {values(list(enumerate(NUMBERS)))})""",
+    "norm_number": f"""SELECT token, coalesce(regexp_replace(printf('%.6f', v), '\\.?0+$', ''), '') AS n FROM (SELECT token, try_cast(replace(regexp_replace(trim(token), '[₹$% xX]', '', 'g'), ',', '') AS DOUBLE) AS v
+        FROM (SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(text, '{FIGURE_LIKE}')) AS token FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations) UNION ALL SELECT column0 FROM {values([(n,) for n in NUMBERS])})))""",
     "figures": f"""SELECT id, array_to_string({_FIGURES}, '|') AS figures FROM (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'a' || id, text FROM {_ANSWERS_SQL})""",
     "strip_urls": f"SELECT id, {STRIPPED} AS t, array_to_string({LINKS}, ' ') AS urls FROM {_SAID_SQL}",
     "trim_sentences": f"SELECT doc_id, sha256(kept) AS h FROM {trimmed('documents')}",
