@@ -20,9 +20,37 @@ def scheme_words(schemes: list[str]) -> list[str]:
 
 
 def scheme_candidates(q: Column) -> Column:
-    """Every scheme-shaped phrase, each as an array of its lower-case words."""
-    phrases = F.concat(*(F.regexp_extract_all(q, F.lit(p), F.lit(1)) for p in (V.SCHEME_NAME, V.SCHEME_NAME_LOWER, V.ETF_NAME)))
-    return F.transform(phrases, lambda p: F.array_remove(F.split(F.lower(p), "[^a-z0-9]+"), ""))
+    """Every phrase that names a scheme, as an array of its lower-case words: the words that lead up to a noun, as far as they are
+    capitalised, or from the company's name on.  Other marks than those of names end a phrase."""
+    tokens = F.split(F.regexp_replace(q, r"[^A-Za-z0-9&. -]+", " | "), " +")
+
+    def led(i: Column, most: int) -> Column:
+        """The words before place i, up to the last mark or noun."""
+        before = F.slice(tokens, F.greatest(i - most, F.lit(0)) + 1, F.least(i, F.lit(most)))
+        return F.aggregate(before, F.array().cast("array<string>"), lambda done, t: F.when((t == "|") | (t == "Fund"), F.array().cast("array<string>")).otherwise(F.concat(done, F.array(t))))
+
+    def capitalised(words: Column) -> Column:
+        return F.aggregate(words, F.array().cast("array<string>"), lambda done, t: F.when(t.rlike("^[A-Z]"), F.concat(done, F.array(t))).otherwise(F.array().cast("array<string>")))
+
+    def company(words: Column, least: int) -> Column:
+        """From the company's name on, if at least so many words follow it."""
+        at = F.array_position(F.transform(words, F.lower), V.AMC).cast("int")
+        return F.when((at > 0) & (F.size(words) - at >= least), F.slice(words, F.greatest(at, F.lit(1)), F.size(words))).otherwise(F.array().cast("array<string>"))
+
+    def named(i: Column) -> Column:
+        noun = F.regexp_extract(F.element_at(tokens, i + 1), "^[A-Za-z0-9]+", 0)
+        lower = led(i, V.FUND_WORDS + 1)
+        phrase = (
+            F.when(noun == V.FUND_NOUN.capitalize(), capitalised(led(i, V.FUND_WORDS)))
+            .when((noun == V.FUND_NOUN) & ~F.exists(company(lower, 1), lambda t: t.rlike("[A-Z]")), company(lower, 1))
+            .when(F.lower(noun).isin(V.ETF_NOUNS), company(led(i, V.ETF_WORDS), 0))
+            .otherwise(F.array().cast("array<string>"))
+        )
+        return F.when(F.size(phrase) > 0, F.concat(phrase, F.array(noun))).otherwise(phrase)
+
+    places = F.sequence(F.lit(0), F.size(tokens) - 1)
+    words = F.transform(places, lambda i: F.array_remove(F.split(F.lower(F.array_join(named(i), " ")), "[^a-z0-9]+"), ""))
+    return F.filter(words, lambda w: F.size(w) > 0)
 
 
 def _named(q: Column, schemes: list[str], covered: bool) -> Column:
@@ -76,4 +104,4 @@ def explain(question: Column, schemes: list[str] = V.SCHEMES) -> Column:
 def is_performance_claim(question: Column) -> Column:
     q = collapse_ws(question)
     period = _hit(q, V.PERF_PERIOD) & ~_hit(q, V.PERF_FEE)
-    return _hit(q, V.PERF_NUMBER) | _hit(q, V.PERF_RANKING) | _hit(q, V.PERF_NAV) | period | _hit(q, V.PERF_WORDS) | _hit(q, V.PERF_NOUN)
+    return _hit(q, V.PERF_NUMBER) | _hit(q, V.PERF_RANKING) | _hit(q, V.PERF_NAV) | period | _hit(q, V.PERF_WORDS) | _hit(F.regexp_replace(q, "(?i)" + V.PERF_MEASURES, " "), V.PERF_NOUN)

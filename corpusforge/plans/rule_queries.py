@@ -256,7 +256,10 @@ _EMAIL = pii.EMAIL
 _PERSONAL_ALL = f"(SELECT CAST(id AS BIGINT) AS id, text FROM {_PERSONAL_SQL} UNION ALL SELECT doc_id + 1000, text FROM documents)"
 _KNOWN, _PLAIN = values([(w,) for w in routing.scheme_words(V.SCHEMES)]), "[" + ", ".join(map(quoted, V.NOT_DISTINCTIVE)) + "]"
 _KNOWN = "[" + ", ".join(map(quoted, routing.scheme_words(V.SCHEMES))) + "]"
-_PHRASES = f"list_concat(list_concat(regexp_extract_all(q, {quoted(V.SCHEME_NAME)}), regexp_extract_all(q, {quoted(V.SCHEME_NAME_LOWER)})), regexp_extract_all(q, {quoted(V.ETF_NAME)}))"
+#: Phrases in one expression each, as an engine without token rules finds them.
+_NAME = "[A-Za-z0-9&.\\-]*"
+_CAPITALS, _LOWER, _ETF = rf"\b(?:[A-Z]{_NAME} ){{1,4}}Fund\b", rf"\b{V.AMC}(?: [a-z0-9&.\-]+){{1,4}} fund\b", rf"(?i)\b{V.AMC}(?: {_NAME}){{0,5}} etfs?\b"
+_PHRASES = f"list_concat(list_concat(regexp_extract_all(q, {quoted(_CAPITALS)}), regexp_extract_all(q, {quoted(_LOWER)})), regexp_extract_all(q, {quoted(_ETF)}))"
 _SCOPED = f"""(SELECT *, len(list_filter(own, lambda o: len(o) > 0 AND len(list_filter(o, lambda w: NOT list_contains({_KNOWN}, w))) > 0)) > 0 AS outside,
   len(list_filter(own, lambda o: len(o) > 0 AND len(list_filter(o, lambda w: NOT list_contains({_KNOWN}, w))) = 0)) > 0 AS inside FROM (
   SELECT *, list_transform(list_filter(list_transform({_PHRASES}, lambda p: string_split_regex(lower(p), '[^a-z0-9]+')), lambda ws: list_contains(ws, 'hdfc')),
@@ -353,11 +356,17 @@ SELECT id, array_to_string(list_filter(kinds, lambda k, i: list_position(kinds,
   sha256(list_reduce(list_concat([text], cuts), lambda t, c: substr(t, 1, CAST(split_part(c, ':', 1) AS INTEGER)) || repeat('*', CAST(split_part(c, ':', 2) AS INTEGER)) || substr(t, CAST(split_part(c, ':', 1) AS INTEGER) + CAST(split_part(c, ':', 2) AS INTEGER) + 1))) AS redacted
 FROM named JOIN texts USING (id)"""
 _LOG = "regexp_replace(text, '[À-ɏ]', 'Z', 'g')"
-for _p, _m in pii.LOG_PATTERNS:
-    if _p.startswith(r"(?<![\w.])"):
-        _LOG = f"regexp_replace({_LOG}, '(^|[^\\w.])\\d{{9,18}}($|[^\\w.])', '\\1[REDACTED_NUMBER]\\2', 'g')"
-    else:
-        _LOG = f"regexp_replace({_LOG}, {quoted(_p)}, {quoted(_m.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2'))}, 'g')"
+for _p, _m in pii.LOG_SHAPES:
+    _LOG = f"regexp_replace({_LOG}, {quoted(_p)}, {quoted(_m.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2'))}, 'g')"
+_ENDS_WITH = lambda labels, fillers: f"regexp_matches(before, {quoted(f'(?i){pii.label(labels, fillers)}$')})"
+_LOG_KIND = f"""CASE WHEN i % 2 = 1 OR regexp_matches(before, '[0-9A-Za-z_]$') OR regexp_matches(after, '^[0-9A-Za-z_]') THEN NULL
+  WHEN length(run) = n AND n BETWEEN 4 AND 6 AND {_ENDS_WITH(pii.OTP_LABELS, pii.OTP_FILLERS)} THEN 'OTP' WHEN length(run) = n AND n BETWEEN 9 AND 18 AND {_ENDS_WITH(pii.ACCOUNT_LABELS, pii.ACCOUNT_FILLERS)} THEN 'ACCOUNT'
+  WHEN n = 12 AND regexp_matches(run, '^....[ -]?[0-9]{{4}}[ -]?[0-9]{{4}}$') THEN 'AADHAAR' WHEN regexp_matches(run, {quoted(pii.PHONE_GROUPS)}) THEN 'PHONE' WHEN n IN (15, 16) OR (n > 16 AND length(run) > n) THEN 'CARD'
+  WHEN length(run) = n AND n BETWEEN 9 AND 18 AND right(before, 1) <> '.' AND left(after, 1) <> '.' THEN 'NUMBER' END"""
+_LOGGED = f"""SELECT id, sha256(string_agg(coalesce('[REDACTED_' || kind || ']', run), '' ORDER BY i)) AS h FROM (SELECT *, {_LOG_KIND} AS kind FROM (
+  SELECT *, length(regexp_replace(run, '[ -]', '', 'g')) AS n, coalesce(lag(run) OVER w, '') AS before, coalesce(lead(run) OVER w, '') AS after FROM (
+    SELECT id, unnest(pieces) AS run, generate_subscripts(pieces, 1) AS i FROM (SELECT id, string_split(regexp_replace({_LOG}, {quoted(pii.DIGITS)}, {_WHOLE}, 'g'), chr(1)) AS pieces FROM {_PERSONAL_ALL}))
+  WINDOW w AS (PARTITION BY id ORDER BY i))) GROUP BY id"""
 
 SQL = {
     "intent_route": f"""SELECT qid, split_part(r, '/', 1) AS intent, split_part(r, '/', 2) AS rule, split_part(r, '/', 2) IN ('empty', 'default:unmatched') AS needs_fallback
@@ -365,7 +374,7 @@ SQL = {
     "scheme_scope": f"SELECT qid, outside, inside FROM {_SCOPED}",
     "source_list_q": f"SELECT qid, {_ASKED} AS asked FROM {_SCOPED}",
     "perf_claim": f"""SELECT qid, {matches('q', V.PERF_NUMBER)} OR {matches('q', V.PERF_RANKING)} OR {matches('q', V.PERF_NAV)} OR ({matches('q', V.PERF_PERIOD)} AND NOT {matches('q', V.PERF_FEE)}) OR {matches('q', V.PERF_WORDS)}
-      OR {matches("regexp_replace(q, 'performance\\s*(?:risk|score|rating|ratio|volatility)', ' ', 'gi')", V.PERF_NOUN_EXEMPT)} AS claim FROM {QUESTIONS_SQL}""",
+      OR {matches(f"regexp_replace(q, {quoted(V.PERF_MEASURES)}, ' ', 'gi')", V.PERF_NOUN)} AS claim FROM {QUESTIONS_SQL}""",
     "verhoeff": f"""SELECT run, CASE WHEN regexp_matches(digits, '^[0-9]+$') THEN {_sum(0)} = 0 ELSE false END AS valid,
       CASE WHEN regexp_matches(digits, '^[0-9]+$') THEN ([{', '.join(map(str, pii.INVERSE))}])[{_sum(1)} + 1] END AS digit FROM {_runs_sql('[0-9]+', DIGITS)}""",
     "pii_pan": f"""SELECT run, regexp_matches(c, '^[A-Z]{{3}}[PCAHBGLJFT][A-Z]\\d{{4}}[A-Z]$') AND substr(c, 1, 5) NOT IN ('AAAAA', 'XXXXX', 'ZZZZZ') AND substr(c, 6, 4) NOT IN ('0000', '1111')
@@ -378,7 +387,7 @@ SQL = {
     "redact_email": f"SELECT id, sha256(list_reduce(list_concat([text], regexp_extract_all(text, '{_EMAIL}')), lambda t, e: replace(t, e, repeat('*', length(e))))) AS h FROM {_PERSONAL_ALL}",
     "pii_gate": f"""SELECT id, found, CASE WHEN found THEN 'block' ELSE 'pass' END AS action, CASE WHEN found THEN 'mark' ELSE 'pass' END AS dry, 'pass' AS open FROM (SELECT id, {' OR '.join(_FOUND)} AS found FROM (
       SELECT qid AS id, question AS text FROM {QUESTIONS_SQL} UNION ALL SELECT 'p' || id, text FROM {_PERSONAL_ALL}))""",
-    "log_redact": f"SELECT id, sha256({_LOG}) AS h FROM (SELECT CAST(id AS BIGINT) AS id, text FROM {_PERSONAL_SQL} UNION ALL SELECT doc_id + 1000, text FROM documents)",
+    "log_redact": _LOGGED,
     "advice_screen": f"""SELECT id, nullif(lower(regexp_extract(regexp_replace(text, '[À-ɏ]', 'Z', 'g'), {quoted('(?i)' + V.ADVICE)})), '') AS term FROM (
       SELECT CAST(id AS BIGINT) AS id, text FROM {_STATEMENTS_SQL} UNION ALL SELECT conv_id * 1000 + turn + 100, text FROM conversations)""",
     "perf_screen": f"SELECT id, array_to_string({_VIOLATIONS}, '|') AS reasons FROM {_SCREENED_SQL}",

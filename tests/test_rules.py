@@ -187,3 +187,23 @@ def test_observe(spark):
 def test_judge_prompt(spark):
     row = evaluation.judge_prompts(spark.createDataFrame([(1, "Q", ["f", "g"], "A", "E")], "id int, question string, facts array<string>, answer string, evidence string")).first()
     assert row.user == "Question: Q\n\nExpected facts: f; g\n\nAnswer: A\n\nEvidence: E" and "JSON" in row.system
+
+
+def test_spans_of_both_kinds_agree(spark):
+    """The expression against the plain detector, on texts put together from what may go wrong."""
+    import random
+
+    rng = random.Random(4)
+    parts = ["a.b@x.org", "x@y", "ABCPE1234F", "ABCXE1234F", "2345 6789 0124", "234567890124", "otp is 482913", "pin: 4821", "a/c no: 123456789012", "123456789012345", "12,345", "+91 98765 43210", "098765-43210",
+             "9876543210", "1.5", "é", "中文", "\x01", "code", "(", "1234", "order 1234567890123", "account 987654321", "2026-01-01", "_", ""]
+    texts = [rng.choice(["", " ", ", ", "\n"]).join(rng.choice(parts) for _ in range(rng.randrange(8))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", pii.spans(F.col("text")).alias("s")).collect()
+    assert all([tuple(s) for s in r.s] == pii.find_spans(texts[r.i].replace("\x01", "\x02")) for r in rows) and sum(len(r.s) for r in rows) > 300
+
+
+def test_log_runs(spark):
+    cases = {
+        "4111 1111 1111 1111": "[REDACTED_CARD]", "2345 6789 0124": "[REDACTED_AADHAAR]", "call 98765-43210 or +91 9876543210": "call [REDACTED_PHONE] or +[REDACTED_PHONE]", "acct no: 123456789": "acct no: [REDACTED_ACCOUNT]",
+        "pin 4821 and 4821": "pin [REDACTED_OTP] and 4821", "SBIN0001234": "[REDACTED_IFSC]", "12 3 4": "12 3 4", "v1.123456789": "v1.123456789", "a1234567890": "a1234567890", "": "",
+    }
+    assert dict(zip(cases, applied(spark, list(cases), pii.log_redact))) == cases
