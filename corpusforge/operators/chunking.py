@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusforge.functions import text as T
 from corpusforge.functions.text import chunk_id, content_hash, token_count
 
 # What marks a chunk as mostly returns.
@@ -16,6 +16,8 @@ NAV_VALUE = r"\bNAV\b[^\n]{0,24}(?:₹|Rs\.?|\d)"
 PERCENT, SIGNED_PERCENT = r"([+\-−]?\s*\d[\d,]*\.?\d*\s*%)", r"[+\-−]\s*\d[\d,]*\.?\d*\s*%"
 SENTENCE, ABBREVIATION, TOKEN = re.compile(r"(?<=[.!?])\s+(?=[A-Z₹0-9\"'(])"), re.compile(r"(?:Rs|Mr|Mrs|Ms|Dr|vs|etc|No|approx)\.$", re.I), re.compile(r"\w+|[^\w\s]")
 
+WORD_GAP = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+"
+
 
 def return_heavy(text: Column) -> Column:
     return text.rlike(f"(?i){RETURN_WORDS}|{NAV_VALUE}") | text.rlike(SIGNED_PERCENT) | (F.size(F.regexp_extract_all(text, F.lit(PERCENT), F.lit(1))) >= 3)
@@ -76,7 +78,7 @@ def _tail(counted: list[tuple[str, int]], overlap: int) -> list[tuple[str, int]]
 
 
 def pack(text: str, size: int, overlap: int) -> list[str]:
-    """Sentences packed to at most ``size`` tokens; each piece starts with the last one's tail;
+    """The packing of one text in plain Python.  Sentences packed to at most ``size`` tokens; each piece starts with the last one's tail;
     a sentence over the budget is cut between words.  A text within the budget stays as it is.
 
     Tokens don't cross white space, so that a piece's count is the sum of its words'."""
@@ -111,16 +113,79 @@ def pack(text: str, size: int, overlap: int) -> list[str]:
     return [" ".join(w for w, _ in piece) for piece in ([*out, held] if held else out)]
 
 
-def packed(size: int, overlap: int):
-    """A pandas UDF: text to its packed pieces.  Packing carries state from sentence to
-    sentence, which no window frame expresses."""
+def _bound(value: Column, then) -> Column:
+    """then(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _units(sentences: Column, size: int, overlap: int) -> Column:
+    """array<struct<words,tokens>>: what is packed as a whole, of sentences given as arrays of their words' token counts: a sentence
+    within the budget, or stretches of one that is over it."""
+    unit = "array<struct<words:int,tokens:int>>"
+    one = lambda words, tokens: F.array(F.struct(words.cast("int").alias("words"), tokens.cast("int").alias("tokens")))
+
+    def cut(counts: Column) -> Column:
+        def step(done: Column, n: Column) -> Column:
+            over = (done["words"] > 0) & (done["tokens"] + n > size - overlap)
+            return F.struct(
+                F.when(over, F.concat(done["out"], one(done["words"], done["tokens"]))).otherwise(done["out"]).alias("out"),
+                F.when(over, 1).otherwise(done["words"] + 1).alias("words"), F.when(over, n).otherwise(done["tokens"] + n).alias("tokens"),
+            )
+
+        zero = F.struct(F.array().cast(unit).alias("out"), F.lit(0).alias("words"), F.lit(0).alias("tokens"))
+        return F.aggregate(counts, zero, step, lambda done: F.concat(done["out"], one(done["words"], done["tokens"])))
+
+    total = lambda counts: F.aggregate(counts, F.lit(0), lambda a, n: a + n)
+    return F.flatten(F.transform(sentences, lambda c: _bound(total(c), lambda n: F.when(n <= size, one(F.size(c), n)).otherwise(cut(c)))))
+
+
+def _places(units: Column, counts: Column, size: int, overlap: int) -> Column:
+    """array<struct<from,to>>: the stretches of words that make the pieces, from 0."""
+
+    def tail(first: Column, end: Column) -> Column:
+        """struct(words, tokens): the longest run of words before ``end`` within the overlap, not beyond ``first``."""
+        back = F.sequence(F.lit(1), F.least(end - first, F.lit(max(1, overlap))))
+
+        def step(done: Column, i: Column) -> Column:
+            n = done["tokens"] + F.get(counts, end - i)
+            fits = ~done["full"] & (n <= overlap)
+            return F.struct(F.when(fits, i).otherwise(done["words"]).alias("words"), F.when(fits, n).otherwise(done["tokens"]).alias("tokens"), (~fits).alias("full"))
+
+        return F.aggregate(back, F.struct(F.lit(0).alias("words"), F.lit(0).alias("tokens"), F.lit(False).alias("full")), step)
+
+    def step(done: Column, unit: Column) -> Column:
+        full = (done["to"] > done["from"]) & (done["tokens"] + unit["tokens"] > size)
+        closed = F.concat(done["out"], F.array(F.struct(done["from"].alias("from"), done["to"].alias("to"))))
+
+        def begun(t: Column) -> Column:
+            kept = t["tokens"] + unit["tokens"] <= size
+            return F.struct(
+                closed.alias("out"), (done["to"] - F.when(kept, t["words"]).otherwise(0)).alias("from"), (done["to"] + unit["words"]).alias("to"),
+                (F.when(kept, t["tokens"]).otherwise(0) + unit["tokens"]).alias("tokens"),
+            )
+
+        going = F.struct(done["out"].alias("out"), done["from"].alias("from"), (done["to"] + unit["words"]).alias("to"), (done["tokens"] + unit["tokens"]).alias("tokens"))
+        return F.when(full, _bound(tail(done["from"], done["to"]), begun)).otherwise(going)
+
+    zero = F.struct(F.array().cast("array<struct<from:int,to:int>>").alias("out"), F.lit(0).alias("from"), F.lit(0).alias("to"), F.lit(0).alias("tokens"))
+    last = lambda done: F.concat(done["out"], F.array(F.struct(done["from"].alias("from"), done["to"].alias("to"))))
+    return F.aggregate(units, zero, step, lambda done: F.when(done["to"] > done["from"], last(done)).otherwise(done["out"]))
+
+
+def packed(text: Column, size: int, overlap: int) -> Column:
+    """The pieces of a text, as ``pack`` gives them: folds over its sentences with the words' token counts; no Python."""
     checked(size, overlap)
+    blank = text.isNull() | ~text.rlike(r"[^\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]")
+    words_of = F.transform(T.sentences(text), lambda s: F.filter(F.split(s, WORD_GAP), lambda w: w != ""))
+    tokens = lambda w: F.size(F.regexp_extract_all(w, F.lit(T.SIMPLE_TOKEN), F.lit(1)))
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack(t, size, overlap) if t else [])
+    def pieces(sentences: Column) -> Column:
+        counted = F.transform(sentences, lambda ws: F.transform(ws, tokens))
+        made = lambda words, counts, by: F.transform(_places(_units(by, size, overlap), counts, size, overlap), lambda p: F.array_join(F.slice(words, p["from"] + 1, p["to"] - p["from"]), " "))
+        return _bound(counted, lambda by: _bound(F.flatten(by), lambda counts: _bound(F.flatten(sentences), lambda words: made(words, counts, by))))
 
-    return run
+    none = F.array().cast("array<string>")
+    return F.when(blank, none).when(token_count(text) <= size, F.array(text)).otherwise(_bound(words_of, pieces))
 
 
 def _described(rows: DataFrame) -> list[Column]:
@@ -129,7 +194,7 @@ def _described(rows: DataFrame) -> list[Column]:
 
 def chunk_documents(docs: DataFrame, size: int = 200, overlap: int = 40, page: str = "page_id", text: str = "text") -> DataFrame:
     """(page_id, ordinal, chunk_id, text, token_count, content_hash, return_heavy) of plain texts."""
-    rows = docs.select(page, F.posexplode(packed(size, overlap)(F.col(text))).alias("ordinal", "text"))
+    rows = docs.select(page, F.posexplode(packed(F.col(text), size, overlap)).alias("ordinal", "text"))
     return rows.select(page, "ordinal", chunk_id(F.col(page), F.col("ordinal")).alias("chunk_id"), "text", *_described(rows))
 
 
@@ -160,9 +225,7 @@ def chunk_blocks(blocks: DataFrame, pages: DataFrame, size: int = 200, overlap:
     )
     fits = token_count(F.col("composed")) <= size
     rows = rows.withColumn("fits", fits).where("fits or not alone")
-    # Only what is over the budget is sent to the packer.
-    pieces = F.when(F.col("fits"), F.array("composed")).otherwise(packed(size, overlap)(F.when(~F.col("fits"), F.col("composed"))))
-    rows = rows.select("*", F.posexplode(pieces).alias("piece", "text")).drop("composed", "fits", "alone")
+    rows = rows.select("*", F.posexplode(F.when(F.col("fits"), F.array("composed")).otherwise(packed(F.col("composed"), size, overlap))).alias("piece", "text")).drop("composed", "fits", "alone")
     if drop_return_heavy:
         rows = rows.where(~return_heavy(F.col("text")))
     rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("page_id").orderBy("ordinal", "piece")) - 1)

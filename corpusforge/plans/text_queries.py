@@ -64,7 +64,7 @@ def word_windows(spark, d):
 
 
 def pack_sentences(spark, d):
-    return documents(spark, d).select("doc_id", F.posexplode(chunking.packed(200, 40)(F.col("text"))).alias("at", "piece"))
+    return documents(spark, d).select("doc_id", F.posexplode(chunking.packed(F.col("text"), 200, 40)).alias("at", "piece"))
 
 
 def _pages(spark, d):
@@ -249,6 +249,38 @@ _STRIP = (
 )
 _FLAT = f"(SELECT page_id, trim(regexp_replace(string_agg(text, chr(10) ORDER BY ordinal), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS flat_text FROM {LINES_SQL} GROUP BY page_id)"
 
+
+
+def packed_sql(rows: str, size: int = 200, overlap: int = 40) -> str:
+    """CTEs that end with packs (id, nth, piece): ``rows`` (id, text) packed, by prefix sums of tokens and a recursion from piece to piece."""
+    abbreviation = "(?:Rs|Mr|Mrs|Ms|Dr|vs|etc|No|approx)\\.$"
+    return f"""
+whole AS MATERIALIZED (SELECT id, text, {_SIMPLE} AS n FROM {rows} WHERE regexp_matches(text, '\\S')),
+sent AS MATERIALIZED (SELECT id, unnest(s) AS sentence, generate_subscripts(s, 1) AS si FROM (SELECT id, string_split(list_reduce({SPLIT}, lambda done, x: done || CASE WHEN regexp_matches(done, '{abbreviation}', 'i') THEN ' ' ELSE chr(31) END || x), chr(31)) AS s FROM whole WHERE n > {size})),
+word AS MATERIALIZED (SELECT id, si, word, len(regexp_extract_all(word, '{T.SIMPLE_TOKEN[1:-1]}')) AS n, row_number() OVER (PARTITION BY id ORDER BY si, wi) - 1 AS i FROM (
+  SELECT id, si, unnest(ws) AS word, generate_subscripts(ws, 1) AS wi FROM (SELECT id, si, list_filter(string_split_regex(sentence, '\\s+'), lambda x: x <> '') AS ws FROM sent))),
+text_ AS MATERIALIZED (SELECT id, list(word ORDER BY i) AS words, list_concat([0], list(CAST(upto AS BIGINT) ORDER BY i)) AS b FROM (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY i) AS upto FROM word) GROUP BY id),
+span AS MATERIALIZED (SELECT id, si, min(i) AS s, max(i) + 1 AS e, sum(n) AS n FROM word GROUP BY id, si),
+cut AS MATERIALIZED (SELECT id, si, s, e FROM (WITH RECURSIVE r AS (
+  SELECT id, si, s, s + greatest(1, len(list_filter(range(s + 1, e + 1), lambda i: b[i + 1] - b[s + 1] <= {size - overlap}))) AS e, e AS last FROM span JOIN text_ USING (id) WHERE n > {size}
+  UNION ALL SELECT r.id, si, r.e, r.e + greatest(1, len(list_filter(range(r.e + 1, last + 1), lambda i: b[i + 1] - b[r.e + 1] <= {size - overlap}))), last FROM r JOIN text_ USING (id) WHERE r.e < last) SELECT * FROM r)),
+unit AS MATERIALIZED (SELECT id, list(e ORDER BY e) AS ends FROM (SELECT id, e FROM span WHERE n <= {size} UNION ALL SELECT id, e FROM cut) GROUP BY id),
+piece AS MATERIALIZED (SELECT id, a, ends[j] AS z, j FROM (WITH RECURSIVE r AS (
+  SELECT id, 0 AS a, greatest(1, len(list_filter(ends, lambda e: b[e + 1] <= {size}))) AS j FROM unit JOIN text_ USING (id)
+  UNION ALL SELECT id, a, greatest(j + 1, j + len(list_filter(ends[j + 1:], lambda e: b[e + 1] - b[a + 1] <= {size}))) FROM (
+    SELECT id, j, ends, b, CASE WHEN b[z + 1] - b[t + 1] + b[ends[j + 1] + 1] - b[z + 1] <= {size} THEN t ELSE z END AS a FROM (
+      SELECT id, j, ends, b, ends[j] AS z, ends[j] - len(list_filter(range(greatest(a, ends[j] - {overlap}), ends[j]), lambda i: b[ends[j] + 1] - b[i + 1] <= {overlap})) AS t
+      FROM r JOIN unit USING (id) JOIN text_ USING (id) WHERE j < len(ends)))) SELECT * FROM r) JOIN unit USING (id)),
+packs AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY j) - 1 AS INTEGER) AS nth, array_to_string(words[a + 1 : z], ' ') AS piece FROM piece JOIN text_ USING (id) UNION ALL SELECT id, 0, text FROM whole WHERE n <= {size})"""
+
+
+_COMPOSED = f"""b AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY page_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(text) AS own,
+    sum(length(text) + 1) OVER (PARTITION BY page_id) - 1 AS page_end FROM {LINES_SQL}),
+  n AS (SELECT *, lag(kind) OVER w AS before, lag(text) OVER w AS previous, max(ordinal) OVER (PARTITION BY page_id) AS last FROM b WHERE regexp_matches(text, '\\S') WINDOW w AS (PARTITION BY page_id ORDER BY ordinal)),
+  c AS (SELECT *, kind = 'heading' AS alone, CASE WHEN kind <> 'heading' AND before = 'heading' THEN previous END AS heading FROM n WHERE kind <> 'heading' OR ordinal = last),
+  e AS (SELECT *, CASE WHEN alone THEN text ELSE heading END AS section, CASE WHEN heading IS NOT NULL AND strpos(text, trim(heading)) = 0 THEN heading || ': ' || text ELSE text END AS body FROM c),
+  f AS MATERIALIZED (SELECT e.* EXCLUDE (text), lang, page_id || ':' || ordinal AS id, e.source || CASE WHEN section IS NOT NULL AND trim(section) <> '' AND section <> body THEN ' (' || section || ')' ELSE '' END || ' ' || body AS text FROM e JOIN documents ON doc_id = page_id)"""
+
 SQL = {
     "tokenize": f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {TOKENS} AS t FROM documents)",
     "norm_ws": "SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\u00a0]+', ' ', 'g'))) AS h FROM documents",
@@ -268,6 +300,11 @@ SQL = {
           CAST(row_number() OVER (PARTITION BY page_id ORDER BY ordinal) - 1 AS INTEGER) AS k FROM e JOIN documents ON doc_id = page_id)
       SELECT substr(sha256(page_id || ':' || k), 1, 32) AS chunk_id, k AS ordinal, page_id, source AS scheme, lang AS category, section, {_SIMPLE} AS token_count, sha256(text) AS content_hash, {_HEAVY} AS return_heavy,
         CAST(CASE WHEN alone THEN 0 ELSE s END AS BIGINT) AS char_start, CAST(CASE WHEN alone THEN page_end ELSE s + own END AS BIGINT) AS char_end FROM f""",
+    "pack_sentences": f"WITH {packed_sql('(SELECT doc_id AS id, text FROM documents)')} SELECT id AS doc_id, nth AS at, piece FROM packs",
+    "chunks": f"""WITH {_COMPOSED}, {packed_sql('f')},
+      g AS (SELECT f.* EXCLUDE (text), piece AS text, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ordinal, nth) - 1 AS INTEGER) AS k FROM f JOIN packs USING (id) JOIN whole USING (id) WHERE NOT (alone AND n > 200))
+      SELECT substr(sha256(page_id || ':' || k), 1, 32) AS chunk_id, k AS ordinal, page_id, source AS scheme, lang AS category, 'https://corpus.example.org/' || source AS source_url, CAST(NULL AS TIMESTAMP) AS fetched_at, section, text,
+        {_SIMPLE} AS token_count, sha256(text) AS content_hash, {_HEAVY} AS return_heavy, CAST(CASE WHEN alone THEN 0 ELSE s END AS BIGINT) AS char_start, CAST(CASE WHEN alone THEN page_end ELSE s + own END AS BIGINT) AS char_end FROM g""",
     "count_sentences": f"SELECT doc_id, CAST(n AS INTEGER) AS n FROM {_counted('documents')}",
     "token_count": f"SELECT doc_id, {_SIMPLE} AS n FROM documents",
     "block_offsets": f"""SELECT page_id, ordinal, CAST(s AS BIGINT) AS char_start, CAST(s + length(text) AS BIGINT) AS char_end FROM (SELECT *,

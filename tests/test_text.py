@@ -82,3 +82,15 @@ def test_compose(spark):
 def test_word_windows(spark):
     assert one(spark, "a b c d e f g", lambda c: chunking.word_windows(c, 3, 1)) == ["a b c", "c d e", "e f g"]
     assert one(spark, " ", lambda c: chunking.word_windows(c, 3, 1)) == []
+
+
+@pytest.mark.parametrize("size,overlap", [(20, 5), (20, 0), (7, 6), (1, 0), (50, 30)])
+def test_packing_by_expression_and_by_hand_agree(spark, size, overlap):
+    import random
+
+    rng = random.Random(size)
+    word = ["a", "b1", "c-d", "x.y", "é", "Rs.", "No.", "$5.0", "中文"]
+    texts = [rng.choice(["", " ", "\n"]) + rng.choice([" ", "\n "]).join(" ".join(rng.choice(word) for _ in range(rng.randrange(1, 60))).capitalize() + rng.choice([".", "!", "", "?"]) for _ in range(rng.randrange(9))) for _ in range(120)]
+    texts += [None, "", " \n", "x " * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", chunking.packed(F.col("text"), size, overlap).alias("p")).collect()
+    assert all(r.p == (chunking.pack(texts[r.i], size, overlap) if texts[r.i] else []) for r in rows)
