@@ -22,35 +22,40 @@ def scheme_words(schemes: list[str]) -> list[str]:
 def scheme_candidates(q: Column) -> Column:
     """Every phrase that names a scheme, as an array of its lower-case words: the words that lead up to a noun, as far as they are
     capitalised, or from the company's name on.  Other marks than those of names end a phrase."""
-    tokens = F.split(F.regexp_replace(q, r"[^A-Za-z0-9&. -]+", " | "), " +")
+    none = F.array().cast("array<string>")
 
-    def led(i: Column, most: int) -> Column:
-        """The words before place i, up to the last mark or noun."""
+    def led(tokens: Column, i: Column, most: int) -> Column:
+        """The words before place i, back to the last mark or noun."""
         before = F.slice(tokens, F.greatest(i - most, F.lit(0)) + 1, F.least(i, F.lit(most)))
-        return F.aggregate(before, F.array().cast("array<string>"), lambda done, t: F.when((t == "|") | (t == "Fund"), F.array().cast("array<string>")).otherwise(F.concat(done, F.array(t))))
+        return F.aggregate(before, none, lambda done, t: F.when((t == "|") | (t == V.FUND_NOUN.capitalize()), none).otherwise(F.concat(done, F.array(t))))
 
     def capitalised(words: Column) -> Column:
-        return F.aggregate(words, F.array().cast("array<string>"), lambda done, t: F.when(t.rlike("^[A-Z]"), F.concat(done, F.array(t))).otherwise(F.array().cast("array<string>")))
+        return F.aggregate(words, none, lambda done, t: F.when(t.rlike("^[A-Z]"), F.concat(done, F.array(t))).otherwise(none))
 
     def company(words: Column, least: int) -> Column:
         """From the company's name on, if at least so many words follow it."""
         at = F.array_position(F.transform(words, F.lower), V.AMC).cast("int")
-        return F.when((at > 0) & (F.size(words) - at >= least), F.slice(words, F.greatest(at, F.lit(1)), F.size(words))).otherwise(F.array().cast("array<string>"))
+        return F.when((at > 0) & (F.size(words) - at >= least), F.slice(words, F.greatest(at, F.lit(1)), F.size(words))).otherwise(none)
 
-    def named(i: Column) -> Column:
+    def named(tokens: Column, i: Column) -> Column:
         noun = F.regexp_extract(F.element_at(tokens, i + 1), "^[A-Za-z0-9]+", 0)
-        lower = led(i, V.FUND_WORDS + 1)
+        lower = company(led(tokens, i, V.FUND_WORDS + 1), 1)
         phrase = (
-            F.when(noun == V.FUND_NOUN.capitalize(), capitalised(led(i, V.FUND_WORDS)))
-            .when((noun == V.FUND_NOUN) & ~F.exists(company(lower, 1), lambda t: t.rlike("[A-Z]")), company(lower, 1))
-            .when(F.lower(noun).isin(V.ETF_NOUNS), company(led(i, V.ETF_WORDS), 0))
-            .otherwise(F.array().cast("array<string>"))
+            F.when(noun == V.FUND_NOUN.capitalize(), capitalised(led(tokens, i, V.FUND_WORDS)))
+            .when(noun == V.FUND_NOUN, F.when(F.exists(lower, lambda t: t.rlike("[A-Z]")), none).otherwise(lower))
+            .otherwise(company(led(tokens, i, V.ETF_WORDS), 0))
         )
         return F.when(F.size(phrase) > 0, F.concat(phrase, F.array(noun))).otherwise(phrase)
 
-    places = F.sequence(F.lit(0), F.size(tokens) - 1)
-    words = F.transform(places, lambda i: F.array_remove(F.split(F.lower(F.array_join(named(i), " ")), "[^a-z0-9]+"), ""))
-    return F.filter(words, lambda w: F.size(w) > 0)
+    def found(tokens: Column) -> Column:
+        nouns = "(?i)^(?:" + "|".join([V.FUND_NOUN, *V.ETF_NOUNS]) + r")\b"
+        places = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.element_at(tokens, i + 1).rlike(nouns))
+        words = F.transform(places, lambda i: F.array_remove(F.split(F.lower(F.array_join(named(tokens, i), " ")), "[^a-z0-9]+"), ""))
+        return F.filter(words, lambda w: F.size(w) > 0)
+
+    # The words are bound to a name, so that the question is cut once; most questions have no noun of a scheme.
+    tokens = F.split(F.regexp_replace(q, r"[^A-Za-z0-9&. -]+", " | "), " +")
+    return F.when(q.rlike(f"(?i){V.FUND_NOUN}|etf"), F.get(F.transform(F.array(tokens), found), F.lit(0))).otherwise(F.array().cast("array<array<string>>"))
 
 
 def _named(q: Column, schemes: list[str], covered: bool) -> Column:

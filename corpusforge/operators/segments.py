@@ -165,7 +165,10 @@ def _segment(spark: SparkSession, path: str, docs: DataFrame, key: str, text: st
     at = f"{path}/segments/{name}"
     rows = made
     if rows is None:
-        rows = forward(docs, key, text, max(1, -(-docs.count() // CELL)))
+        cells, cores = max(1, -(-docs.count() // CELL)), spark.sparkContext.defaultParallelism
+        # Documents that come in fewer parts than there are cores, as from one small file, are dealt out first.
+        dealt = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+        rows = forward(dealt, key, text, cells)
     rows.write.parquet(at + "/forward")
     rows = spark.read.parquet(at + "/forward")
     count, total, cells = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0)), F.max("cell")).first()
