@@ -142,8 +142,8 @@ def ensure(spark: SparkSession, source: str, path: str, **settings) -> dict[str,
 
 
 def tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, retrieval.Bm25Index]:
-    """Chunks (doc_id, source, source_url, text), vectors (vec_id, embedding) and BM25 index, as answers.answer takes them: of one run."""
+    """Chunks (doc_id, source, source_url, scheme, text), vectors (vec_id, embedding) and BM25 index, as answers.answer takes them: of one run."""
     now = state(spark, path)
-    chunks = ingest.read_chunks(spark, path, now.get("chunks")).select(F.col("chunk_id").alias("doc_id"), F.col("page_id").alias("source"), "source_url", "text")
+    chunks = ingest.read_chunks(spark, path, now.get("chunks")).select(F.col("chunk_id").alias("doc_id"), F.col("page_id").alias("source"), "source_url", "scheme", "text")
     vectors = versions.read(spark, path + "-vectors", now.get("vectors")).select(F.col("chunk_id").alias("vec_id"), "embedding")
     return chunks, vectors, retrieval.load_bm25(spark, path + "-bm25", chunks.count(), now.get("bm25"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from corpusforge.functions import prompts
 from corpusforge.functions import text as T
-from corpusforge.operators import ann, answers, chunking, evaluation, ingest, profiling, retrieval
+from corpusforge.operators import ann, answers, chunking, evaluation, ingest, profiling, retrieval, search
 from corpusforge.plans.base import F, documents, quoted, table, values
 from corpusforge.plans.text_queries import TOKENS
 from corpusforge.session import fingerprint, shared_folder
@@ -100,11 +101,9 @@ def raw_dense_max(spark, d):
     return _questions(spark, d).select("qid").join(best, "qid", "left").select("qid", F.coalesce("top", F.lit(retrieval.NO_MATCH)).alias("raw_dense_max"))
 
 
-def score_ids(spark, d, hits=None):
+def score_ids(spark, d):
     """Exact cosine of each question with its sparse hits."""
-    hits = (_sparse(spark, d) if hits is None else hits).select("qid", F.col("doc_id").alias("vec_id"))
-    rows = hits.join(table(spark, d, "embeddings"), "vec_id").join(_questions(spark, d).select("qid", "qvec"), "qid")
-    return rows.select("qid", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score"))
+    return search.exact_scores(_questions(spark, d), table(spark, d, "embeddings").select("vec_id", "embedding"), _sparse(spark, d).select("qid", F.col("doc_id").alias("vec_id")))
 
 
 def l2_norm(spark, d):
@@ -116,15 +115,8 @@ def dim_check(spark, d):
 
 
 def _fused(spark, d):
-    dense = _dense(spark, d).withColumnRenamed("vec_id", "chunk_id")
-    hits = _sparse(spark, d)
-    sparse = hits.withColumnRenamed("doc_id", "chunk_id")
-    exact = score_ids(spark, d, hits).select("qid", F.col("vec_id").alias("chunk_id"), F.col("score").alias("exact"))
-    both = dense.select("qid", "chunk_id").union(sparse.select("qid", "chunk_id")).distinct()
-    texts = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text").join(both.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    heavy = texts.select("chunk_id", chunking.return_heavy(F.col("text")).alias("return_heavy"))
-    resolved = both.join(exact, ["qid", "chunk_id"], "left").join(heavy, "chunk_id", "left")
-    return dense, sparse, retrieval.fuse(dense, sparse, resolved)
+    found = search.retrieve(_questions(spark, d), documents(spark, d), table(spark, d, "embeddings").select("vec_id", "embedding"), index_of(spark, d))
+    return found.dense, found.sparse, found.fused
 
 
 def rrf_fusion(spark, d):
@@ -338,7 +330,7 @@ SQL = {
     "hydrate_join": f"WITH {_SPARSE} SELECT qid, doc_id, sparse_rank, source, lang, sha256(text) AS content_hash FROM sparse JOIN documents USING (doc_id)",
     "evidence_budget": f"WITH {_FUSED}, {_BUDGET} SELECT qid, chunk_id, fused_rank, total FROM budget",
     "prompt": f"""WITH {_FUSED}, {_BUDGET}, ctx AS (SELECT qid, string_agg(block, chr(10) || chr(10) ORDER BY fused_rank) AS context FROM budget GROUP BY qid)
-      SELECT qid, sha256({quoted(answers.SYSTEM)} || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || question) AS prompt_hash FROM q LEFT JOIN ctx USING (qid)""",
+      SELECT qid, sha256({quoted(prompts.SYSTEM)} || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || question) AS prompt_hash FROM q LEFT JOIN ctx USING (qid)""",
     "facts_present": f"""WITH {_FUSED}, ctx AS (SELECT qid, string_agg(text, chr(10) ORDER BY fused_rank) AS context FROM fused JOIN documents ON doc_id = chunk_id GROUP BY qid),
       m AS (SELECT qid, list_sort(list_filter(list_distinct(string_split_regex(question, '\\s+')), lambda f: NOT contains(context, f))) AS missing FROM q JOIN ctx USING (qid))
       SELECT qid, len(missing) = 0 AS all_present, array_to_string(missing, ' ') AS missing FROM m""",

@@ -6,6 +6,7 @@ import atexit
 import hashlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base or spark.conf.get('spark.sql.warehouse.dir')}/corpusforge-{name}-{spark.sparkContext.applicationId}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The same rows, read back from a table in the shared folder: for small results that several branches of a plan read."""
+    path = shared_folder(rows.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

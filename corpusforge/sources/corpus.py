@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.sources import http
+from corpusforge.sources import http, page_source
 
 CORPUS = "page_id string, scheme string, category string, source_url string"
 QUESTION_SET = "id string, question string, answerable boolean, intent string, expected_source string, expected_facts array<string>, note string"
@@ -86,15 +86,18 @@ def raw_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("fetched_at"), F.col("length").alias("bytes"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
 
 
-def cached_or_fetched(spark: SparkSession, corpus: DataFrame, path: str | None, get=None, refresh: bool = False) -> DataFrame:
+def cached_or_fetched(spark: SparkSession, corpus: DataFrame, path: str | None, get=None, refresh: bool = False, **settings) -> DataFrame:
     """(page_id, html, fetched_at, from_cache, error) of every page: from a file ``<page_id>.html`` under path if there is one
-    and nothing is refreshed, else over HTTP."""
+    and nothing is refreshed, else over HTTP: by the page source, or by ``get`` where one is given."""
     kind = "page_id string, html string, fetched_at timestamp"
     files = raw_pages(spark, path) if path and not refresh else None
     cached = spark.createDataFrame([], kind) if files is None else files.select(F.regexp_extract("path", r"([^/]+)\.html$", 1).alias("page_id"), "html", "fetched_at").where("page_id != ''")
     have = corpus.join(cached, "page_id").select("page_id", "html", "fetched_at", F.lit(True).alias("from_cache"), F.lit(None).cast("string").alias("error"))
     missing = corpus.join(cached, "page_id", "left_anti")
-    fetched = http.fetch(missing, open=get or http.get).select("page_id", "html", F.current_timestamp().alias("fetched_at"), F.lit(False).alias("from_cache"), "error")
+    if get is None:
+        fetched = page_source.fetched(spark, missing, **settings).select("page_id", "html", "fetched_at", F.lit(False).alias("from_cache"), "error")
+    else:
+        fetched = http.fetch(missing, open=get).select("page_id", "html", F.current_timestamp().alias("fetched_at"), F.lit(False).alias("from_cache"), "error")
     return have.unionByName(fetched)
 
 

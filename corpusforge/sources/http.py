@@ -11,6 +11,8 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpusforge.functions.prompts import turns
+
 #: Status codes worth another try.
 RETRY = frozenset({408, 409, 425, 429}) | frozenset(range(500, 600))
 
@@ -62,16 +64,11 @@ def post(url: str, body: dict, key: str | None = None) -> dict:
         return json.load(answer)
 
 
-def prompt(question: str, candidates: list) -> list[dict]:
-    blocks = "\n\n".join(f"[S{i}] {c['text']}" for i, c in enumerate(candidates, 1))
-    return [{"role": "system", "content": "Answer from the numbered blocks alone, in three sentences at most, and cite them."}, {"role": "user", "content": f"{blocks}\n\nQuestion: {question}"}]
-
-
 Send = Callable[[str, dict, str | None], dict]
 
 
 def _asking(send: Send, url: str, key: str | None, retries: int, body: Callable[[list], dict], read: Callable[[dict], str]) -> Callable[[str, list], str]:
-    return lambda question, candidates: attempt(lambda: read(send(url, body(prompt(question, candidates)), key)), 1 + retries, lambda n: 0.5 * 2 ** (n - 1), retryable)
+    return lambda question, candidates: attempt(lambda: read(send(url, body(turns(question, candidates)), key)), 1 + retries, lambda n: 0.5 * 2 ** (n - 1), retryable)
 
 
 def generator(url: str, model: str, key: str | None = None, retries: int = 2, send: Send = post) -> Callable[[str, list], str]:
