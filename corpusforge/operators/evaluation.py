@@ -110,12 +110,25 @@ def run_checks(answers: DataFrame, limit: int = 3) -> DataFrame:
 METRICS = ["M-1", "M-2", "M-3", "M-4", "M-5", "M-6", "M-7"]
 
 
-def metrics(checks: DataFrame) -> DataFrame:
-    """(metric, numerator, denominator, status): unavailable where nothing was measured."""
+#: Fixed value: the least mean score, of 2, with which answers count as right.
+JUDGED = 1.6
+
+
+def metrics(checks: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """(metric, numerator, denominator, status): unavailable where nothing was measured.
+
+    ``verdicts``: a judge's scores (0 to 2), from which M-1 is taken: points of all that could be had; it is unavailable
+    if one is missing."""
     names = checks.sparkSession.createDataFrame([(m,) for m in METRICS], "metric string")
     counted = checks.groupBy("metric").agg(F.count_if("passed").alias("numerator"), F.count("*").alias("denominator"))
     status = F.when(F.coalesce("denominator", F.lit(0)) == 0, "unavailable").when(F.col("numerator") == F.col("denominator"), "pass").otherwise("fail")
-    return names.join(counted, "metric", "left").select("metric", F.coalesce("numerator", F.lit(0)).alias("numerator"), F.coalesce("denominator", F.lit(0)).alias("denominator"), status.alias("status"))
+    out = names.join(counted, "metric", "left").select("metric", F.coalesce("numerator", F.lit(0)).cast("long").alias("numerator"), F.coalesce("denominator", F.lit(0)).cast("long").alias("denominator"), status.alias("status"))
+    if verdicts is None:
+        return out
+    n, whole = F.count("*"), (F.count_if(F.col("score").isNull()) == 0) & (F.count("*") > 0)
+    judged = F.when(~whole, "unavailable").when(F.avg("score") >= JUDGED, "pass").otherwise("fail")
+    mean = verdicts.agg(F.lit("M-1").alias("metric"), F.when(whole, F.sum("score")).otherwise(0).cast("long").alias("numerator"), F.when(whole, 2 * n).otherwise(0).cast("long").alias("denominator"), judged.alias("status"))
+    return out.where("metric != 'M-1'").unionByName(mean)
 
 
 #: What a judge is asked; its answer is one JSON object.

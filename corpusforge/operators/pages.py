@@ -48,6 +48,23 @@ class Node:
                 stack += reversed(x.children)
         return WHITE.sub(" ", " ".join(parts)).strip()
 
+    def longer_than(self, limit: int) -> bool:
+        """Whether its text is; no more of it is read than that takes."""
+        parts, size, stack = [], 0, [self]
+        while stack:
+            x = stack.pop()
+            if not isinstance(x, str):
+                stack += reversed(x.children)
+                continue
+            parts.append(x)
+            size += len(x)
+            if size > limit:
+                parts = [WHITE.sub(" ", " ".join(parts)).strip()]
+                size = len(parts[0])
+                if size > limit:
+                    return True
+        return len(WHITE.sub(" ", " ".join(parts)).strip()) > limit
+
 
 class _Builder(HTMLParser):
     """A lenient tree: an end tag closes the nearest open element of its name; unclosed paragraphs end at the next block."""
@@ -97,6 +114,65 @@ def _strip(root: Node) -> None:
         node.children = kept
 
 
+class Seen:
+    """Texts, and whether another one stands within one of them.
+
+    The first ``PLAIN`` questions search all texts; should there be more, places of all stretches of ``SPAN`` characters are noted, and a
+    text is looked for where its rarest stretch stands.  Texts shorter than that are among all pieces of their length or not.  So work
+    grows with the size of the texts, and not with their number times that."""
+
+    SPAN, PLAIN = 12, 256
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.whole, self.joined, self.asked = list(texts), set(texts), "\n".join(texts), 0
+        self.places: dict[str, list[tuple[int, int]]] | None = None
+        self.pieces: dict[int, set[str]] = {}
+
+    def _note(self, number: int) -> None:
+        text = self.texts[number]
+        for i in range(len(text) - self.SPAN + 1):
+            self.places.setdefault(text[i : i + self.SPAN], []).append((number, i))
+
+    def add(self, text: str) -> None:
+        self.whole.add(text)
+        self.texts.append(text)
+        if self.places is None:
+            self.joined += "\n" + text
+            return
+        self._note(len(self.texts) - 1)
+        for size, known in self.pieces.items():
+            known.update(text[i : i + size] for i in range(len(text) - size + 1))
+
+    def holds(self, text: str) -> bool:
+        if text in self.whole:
+            return True
+        self.asked += 1
+        if self.asked <= self.PLAIN:
+            return text in self.joined
+        if self.places is None:
+            self.places = {}
+            for n in range(len(self.texts)):
+                self._note(n)
+        size = len(text)
+        if size >= self.SPAN:
+            found, at = min(((self.places.get(text[i : i + self.SPAN], ()), i) for i in range(size - self.SPAN + 1)), key=lambda p: len(p[0]))
+            return any(i >= at and self.texts[n].startswith(text, i - at) for n, i in found)
+        if size not in self.pieces:
+            self.pieces[size] = {t[i : i + size] for t in self.texts for i in range(len(t) - size + 1)}
+        return text in self.pieces[size]
+
+
+def _outermost(root: Node):
+    """Emitted elements that stand in no other, and the root itself if it is one."""
+    stack = [(root, root.parent is not None and root.parent.tag in EMITTED)]
+    while stack:
+        node, inside = stack.pop()
+        if node.tag in EMITTED and (not inside or node is root):
+            yield node
+        inside = inside or node.tag in EMITTED
+        stack += [(c, inside) for c in reversed(node.children) if isinstance(c, Node)]
+
+
 def _leaf_pieces(node: Node) -> list[str]:
     return [t for c in node.children if isinstance(c, Node) and not any(isinstance(g, Node) for g in c.children) and (t := c.text())]
 
@@ -109,16 +185,11 @@ def parse_blocks(html: str) -> list[tuple[str, str, str | None]]:
     builder.feed(html)
     builder.close()
     nodes = list(builder.root.walk())
-    root = next((n for r in ROOTS for n in nodes if _is_root(n, *r) and len(n.text()) > MIN_ROOT), None) or next((n for n in nodes if n.tag == "body"), builder.root)
+    root = next((n for r in ROOTS for n in nodes if _is_root(n, *r) and n.longer_than(MIN_ROOT)), None) or next((n for n in nodes if n.tag == "body"), builder.root)
     _strip(root)
     blocks: list[tuple[str, str, str | None]] = []
     section = None
-    for node in root.walk():
-        inside = node.parent
-        while inside is not None and inside is not root.parent and inside.tag not in EMITTED:
-            inside = inside.parent
-        if node.tag not in EMITTED or inside is not None and inside.tag in EMITTED and node is not root:
-            continue
+    for node in _outermost(root):
         text = node.text()
         if not text:
             continue
@@ -140,11 +211,11 @@ def parse_blocks(html: str) -> list[tuple[str, str, str | None]]:
             if len(pieces) >= 2 and ROW_CHARS[0] <= len(row) <= ROW_CHARS[1] and all(len(p.split()) <= MAX_TERM_WORDS for p in pieces):
                 if not any(c.tag in EMITTED for c in node.children if isinstance(c, Node)):
                     blocks.append(("fact_row", row, section))
-    seen = "\n".join(b[1] for b in blocks)
+    seen = Seen([b[1] for b in blocks])
     for node in root.walk():
-        if not any(isinstance(c, Node) for c in node.children) and (text := node.text()) and text not in seen:
+        if not any(isinstance(c, Node) for c in node.children) and (text := node.text()) and not seen.holds(text):
             blocks.append(("text", text, section))
-            seen += "\n" + text
+            seen.add(text)
     first: dict[str, tuple[str, str, str | None]] = {}
     for b in blocks:
         first.setdefault(b[1], b)

@@ -226,6 +226,12 @@ def metrics(spark, d):
     return evaluation.metrics(run_checks(spark, d))
 
 
+def metrics_judged(spark, d):
+    """With a score for every label: two for one that is good and not toxic, one for one that is either."""
+    scores = table(spark, d, "labels").select((F.col("quality") + 1 - F.col("toxic")).alias("score"))
+    return evaluation.metrics(run_checks(spark, d), scores)
+
+
 #: Replies of a judge, well and badly formed.
 REPLIES = ['{"score": 2, "reason": "ok"}', '```json\n{"score": 0, "reason": "bad"}\n```', '{"score": 3, "reason": "x"}', '{"score": true, "reason": "x"}', "no json", '{"score": 1, "reason": "part", "missing": ["a"]}', '{"score": 1}', '{"score": 2, "reason": "x", "missing": "a"}', '{"score": 2, "reason": "x", "unsupported": [1]}', '{"score": 0, "reason": "y", "missing": [], "unsupported": ["b", "c"]}']
 
@@ -249,7 +255,7 @@ def non_answer(spark, d):
 QUERIES = {f.__name__: f for f in (
     intent_route, scheme_scope, source_list_q, perf_claim, verhoeff, pii_pan, pii_aadhaar, pii_email, pii_account, redact_email, pii_spans, pii_gate, log_redact, advice_screen, perf_screen,
     eval_leaks, resolve_citation, grounding, validate_answer, refusals, source_list_answer, answer_batch, citation_retrieved, observations, obs_union, threshold_sweep, choose_threshold,
-    composition, run_checks, metrics, judge_verdicts, judge_mean, non_answer,
+    composition, run_checks, metrics, metrics_judged, judge_verdicts, judge_mean, non_answer,
 )}
 
 _EMAIL = pii.EMAIL
@@ -427,6 +433,10 @@ SQL = {
     "run_checks": f"SELECT * FROM {_CHECKS}",
     "metrics": f"""SELECT m AS metric, coalesce(n, 0) AS numerator, coalesce(d, 0) AS denominator, CASE WHEN coalesce(d, 0) = 0 THEN 'unavailable' WHEN n = d THEN 'pass' ELSE 'fail' END AS status FROM unnest({evaluation.METRICS}) AS u(m)
       LEFT JOIN (SELECT metric, count_if(passed) AS n, count(*) AS d FROM {_CHECKS} GROUP BY metric) c ON c.metric = m""",
+    "metrics_judged": f"""WITH c AS (SELECT metric, count_if(passed) AS n, count(*) AS d FROM {_CHECKS} GROUP BY metric),
+      j AS (SELECT CAST(sum(quality + 1 - toxic) AS BIGINT) AS n, 2 * count(*) AS d, avg(quality + 1 - toxic) AS mean FROM labels)
+      SELECT 'M-1' AS metric, n AS numerator, d AS denominator, CASE WHEN mean >= {evaluation.JUDGED} THEN 'pass' ELSE 'fail' END AS status FROM j
+      UNION ALL SELECT m, CAST(coalesce(n, 0) AS BIGINT), CAST(coalesce(d, 0) AS BIGINT), CASE WHEN coalesce(d, 0) = 0 THEN 'unavailable' WHEN n = d THEN 'pass' ELSE 'fail' END FROM unnest({evaluation.METRICS[1:]}) AS u(m) LEFT JOIN c ON c.metric = m""",
     "judge_mean": "SELECT CASE WHEN count(*) > 0 AND count(quality + toxic) = count(*) THEN round(avg(quality + toxic), 2) END AS mean, count(*) AS n FROM labels",
     "non_answer": f"""SELECT id, {' OR '.join(matches('text', p) for p in V.NON_ANSWERS)} AS non_answer FROM (SELECT conv_id * 1000 + turn AS id, text FROM conversations
       UNION ALL SELECT column0, column1 FROM {values([(-1, "This is not available here."), (-2, "The page does not mention it"), (-3, "It is 5.")])})""",

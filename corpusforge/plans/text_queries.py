@@ -187,6 +187,16 @@ def html_blocks(spark, d):
     return pages.parse_pages(table(spark, d, "pages"))
 
 
+def table_blocks(spark, d):
+    """A page for each vendor, with a captioned table, a row of one cell, a label with its value and a text that stands in the table already."""
+    name, money = F.coalesce("name", F.lit("none")), F.coalesce(F.col("balance").cast("decimal(12,2)").cast("string"), F.lit("none"))
+    html = F.concat(
+        F.lit("<main><h1>Vendor "), "vendor_id", F.lit("</h1><table><caption>Facts</caption><tr><th>Name</th><td>"), name, F.lit("</td></tr><tr><td>Balance of "), money, F.lit("</td></tr></table><div><span>Nation</span><span>number "),
+        F.coalesce(F.col("nation_id").cast("string"), F.lit("none")), F.lit("</span></div><b>Balance of "), money, F.lit("</b><i>Seen last</i></main>"),
+    )
+    return pages.parse_pages(table(spark, d, "vendors").select(F.col("vendor_id").alias("page_id"), html.alias("html")))
+
+
 def html_strip(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(pages.strip_markup(F.col("html")), 256).alias("h"))
 
@@ -214,7 +224,7 @@ def dedup_first(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     tokenize, norm_ws, sentence_split, sentences, count_sentences, token_count, block_offsets, compose_chunk, word_windows, pack_sentences, chunks, block_chunks, chunk_integrity, heading_carry, return_heavy, chunk_ids,
-    chunk_stats, question_ref, norm_number, figures, strip_urls, trim_sentences, delimiters, fact_coverage, fact_snippets, perf_density, flat_text, thin_pages, block_dedup, drop_text, html_blocks,
+    chunk_stats, question_ref, norm_number, figures, strip_urls, trim_sentences, delimiters, fact_coverage, fact_snippets, perf_density, flat_text, thin_pages, block_dedup, drop_text, html_blocks, table_blocks,
     html_strip, html_chunks, too_long, hash_embed, dedup_first,
 )}
 
@@ -339,6 +349,9 @@ SQL = {
         SELECT *, row_number() OVER (PARTITION BY page_id, text ORDER BY ordinal) AS place FROM {LINES_SQL}) WHERE place = 1""",
     "drop_text": f"""SELECT page_id, ordinal, {' OR '.join(matches('text', p) for p in V.DROP_TEXT)} AS dropped FROM (SELECT page_id, ordinal, text FROM {LINES_SQL}
         UNION ALL SELECT column0, column1, column2 FROM {values([(-1, 0, "Log in to see"), (-1, 1, "Please download the app now"), (-1, 2, " share this"), (-1, 3, "Reviews (3)"), (-1, 4, "A review")])})""",
+    "table_blocks": """WITH v AS (SELECT vendor_id, trim(regexp_replace(coalesce(name, 'none'), '\\s+', ' ', 'g')) AS name, coalesce(CAST(CAST(balance AS DECIMAL(12, 2)) AS VARCHAR), 'none') AS money, coalesce(CAST(nation_id AS VARCHAR), 'none') AS nation FROM vendors)
+      SELECT vendor_id AS page_id, CAST(o AS INTEGER) AS ordinal, kind, text, 'Vendor ' || vendor_id AS section FROM v, LATERAL (VALUES (0, 'heading', 'Vendor ' || vendor_id), (1, 'table_row', 'Facts | Name | ' || name),
+        (2, 'table_row', 'Facts | Facts | Balance of ' || money), (3, 'fact_row', 'Nation | number ' || nation), (4, 'text', 'Seen last')) AS t(o, kind, text)""",
     "html_strip": f"SELECT page_id, sha256({_STRIP}) AS h FROM pages",
     "too_long": f"SELECT doc_id, n AS tokens FROM (SELECT doc_id, {_SIMPLE} AS n FROM documents) WHERE n > 256",
     "dedup_first": f"""SELECT page_id, ordinal, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY page_id, ordinal) AS place FROM {LINES_SQL} WHERE text <> '') WHERE place = 1""",

@@ -287,3 +287,28 @@ def test_ollama():
     sent = []
     ask = http.ollama("http://x/api/chat", "m", send=lambda url, body, key: sent.append(body) or {"message": {"content": "It is so [S1]."}})
     assert ask("q", [{"text": "t"}]) == "It is so [S1]." and sent[0]["options"] == {"temperature": 0, "num_predict": 400}
+
+
+def test_seen_texts():
+    """Both ways to look for a text in texts against plain search."""
+    import random
+
+    rng = random.Random(2)
+    for plain in (0, 3, 10**6):
+        for _ in range(200):
+            texts = ["".join(rng.choice("ab ") for _ in range(rng.randrange(60))).strip() for _ in range(8)]
+            seen, known = pages.Seen(texts[:3]), texts[:3]
+            seen.PLAIN = plain
+            for t in [*texts[3:], *(x[2:20] for x in texts), "b", "ab"]:
+                if t:
+                    assert seen.holds(t) == any(t in k for k in known)
+                    if not seen.holds(t):
+                        seen.add(t)
+                        known.append(t)
+
+
+def test_judged_metric(spark):
+    checks = spark.createDataFrame([(1, "M-2", "x", True)], "id int, metric string, name string, passed boolean")
+    scores = lambda *s: spark.createDataFrame([(x,) for x in s], "score int")
+    one = lambda v: next(tuple(r) for r in evaluation.metrics(checks, v).collect() if r.metric == "M-1")
+    assert one(scores(2, 2, 1)) == ("M-1", 5, 6, "pass") and one(scores(2, 1, 1)) == ("M-1", 4, 6, "fail") and one(scores(2, None)) == ("M-1", 0, 0, "unavailable") and one(scores()) == ("M-1", 0, 0, "unavailable")
