@@ -62,6 +62,12 @@ def dump(chunks: DataFrame, only: str | None = None, most: int | None = None, fl
     return rows.select("page_id", "place", "chunk_id", F.length("text").alias("chars"), *shown)
 
 
+def dump_vectors(vectors: DataFrame, decimals: int = 6, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(key, dim, norm, vector): components rounded, as one text with commas."""
+    text = F.array_join(F.transform(vec, lambda x: F.format_string(f"%.{decimals}f", x.cast("double"))), ",")
+    return vectors.select(key, F.size(vec).alias("dim"), F.round(norm(F.col(vec)), decimals).alias("norm"), text.alias("vector"))
+
+
 def integrity(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     """One row: dimensions, norms, and whether all is well."""
     rows = vectors.select(F.size(vec).alias("dim"), norm(F.col(vec)).alias("norm"))

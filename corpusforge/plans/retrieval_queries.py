@@ -245,6 +245,10 @@ def dump_chunks(spark, d):
     return profiling.dump(rows, most=3)
 
 
+def dump_vectors(spark, d):
+    return profiling.dump_vectors(table(spark, d, "embeddings"), 3).select("vec_id", "dim", "norm", "vector")
+
+
 def chunks_per_page(spark, d):
     return _chunks(spark, d).groupBy("page_id").agg(F.count("*").alias("n"))
 
@@ -275,7 +279,7 @@ def latency_summary(spark, d):
 QUERIES = {f.__name__: f for f in (
     bm25_postings, bm25_idf, bm25_topk, bm25_work, bm25_segments, dense_topk, ann_topk, ann_all_cells, raw_dense_max, score_ids, l2_norm, dim_check, rrf_fusion, gate_decision, hybrid_search, cited_pages, bm25_only, hydrate_join,
     evidence_budget, prompt, facts_present, corpus_validate, page_lookup, raw_missing, distinct_pages, upsert_chunks, delete_page, ingest_plan, orphan_pages, manifest, source_list,
-    url_allowlist, dump_chunks, chunks_per_page, exact_dups, boilerplate, index_integrity, parse_ts, latency_summary,
+    url_allowlist, dump_chunks, dump_vectors, chunks_per_page, exact_dups, boilerplate, index_integrity, parse_ts, latency_summary,
 )}
 
 _BM25 = f"""
@@ -350,6 +354,8 @@ SQL = {
     "source_list": "SELECT d.doc_id AS page_id, source, l.chunks, CASE WHEN l.chunks IS NOT NULL THEN sha256(text) END AS content_hash FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS chunks FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id",
     "url_allowlist": "SELECT page_id, h AS host, h = 'example.org' OR ends_with(h, '.example.org') OR h = 'example.com' OR ends_with(h, '.example.com') AS allowed FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS h FROM pages)",
     "dump_chunks": "SELECT source AS page_id, CAST(place AS INTEGER) AS place, doc_id AS chunk_id, CAST(length(text) AS INTEGER) AS chars, heavy AS return_heavy FROM (SELECT *, " + _HEAVY + " AS heavy, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents) WHERE place <= 3",
+    "dump_vectors": """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 3) AS norm,
+      array_to_string(list_transform(embedding, lambda x: printf('%.3f', CAST(x AS DOUBLE))), ',') AS vector FROM embeddings""",
     "chunks_per_page": "SELECT source AS page_id, count(*) AS n FROM documents GROUP BY source",
     "exact_dups": "SELECT sha256(trim(text)) AS h, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
     "boilerplate": """SELECT sha256(body) AS body, count(DISTINCT source) AS pages, count(*) AS copies FROM (SELECT source, lower(trim(regexp_replace(regexp_replace(line, '^[^()]*\\([^)]*\\)', ''), '\\s+', ' ', 'g'))) AS body
