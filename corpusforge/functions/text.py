@@ -12,7 +12,7 @@ COUNT_GAP = r"(?<=[.!?])[\"')\]]*\s+"
 ABBREVIATION = r"(?i)(?:Rs|Mr|Mrs|Ms|Dr|vs|etc|No|approx)\.$"
 COUNT_ABBREVIATIONS = "mr mrs ms dr prof vs etc e.g i.e approx no fig rs inr min max incl excl cf ca".split()
 DECIMAL = r"\d[.!?]\d"
-FIGURE = r"([₹$]?\s?\d[\d,]*\.?\d*\s?(?:%|x|X\b)?)"
+FIGURE = r"([₹$]?[ \t\n\f\r]?\d[\d,]*\.?\d*[ \t\n\f\r]?(?:%|x|X\b)?)"
 MARKER = r"(?i)\[S\d+\]"
 URL = r"(?i)(https?://[^\s<>\])\"']+)"
 #: Words of letters, digits and underscores of any script, or single marks; the same in Java, Python and RE2.
@@ -72,18 +72,22 @@ def question_ref(text: Column) -> Column:
     return F.concat(F.lit("q_"), F.substring(F.sha2(text, 256), 1, 12))
 
 
+def _number(token: Column) -> Column:
+    """A figure without currency, grouping, suffix and the white space around it, as a double; null if it isn't a number."""
+    bare = F.regexp_replace(F.regexp_replace(token, "[₹$% xX,]", ""), r"^\s+|\s+$", "")
+    return F.when(bare.rlike(r"^\d*\.?\d+$|^\d+\.$"), bare.cast("double"))
+
+
 def norm_number(token: Column) -> Column:
     """A figure without currency, grouping and suffix, to six decimals without trailing zeros; empty if it isn't a number."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(token), "[₹$% xX]", ""), ",", "")
-    number = F.when(bare.rlike(r"^\d*\.?\d+$|^\d+\.$"), bare.cast("double"))
-    fixed = F.regexp_replace(F.regexp_replace(F.format_number(number, 6), ",", ""), r"\.?0+$", "")
+    fixed = F.regexp_replace(F.regexp_replace(F.format_number(_number(token), 6), ",", ""), r"\.?0+$", "")
     return F.coalesce(fixed, F.lit(""))
 
 
 def figures(text: Column) -> Column:
     """The figures of a text; citation markers aren't figures."""
     found = F.regexp_extract_all(F.regexp_replace(text, MARKER, " "), F.lit(FIGURE), F.lit(1))
-    return F.filter(found, lambda f: norm_number(f) != "")
+    return F.filter(found, lambda f: _number(f).isNotNull())
 
 
 def urls(text: Column) -> Column:

@@ -69,6 +69,11 @@ def test_chunks(spark):
     assert {r.page_id for r in rows} == {"a"} and all(r.token_count <= 30 for r in rows) and len({r.chunk_id for r in rows}) == len(rows)
 
 
+def test_figures_with_white_space(spark):
+    assert one(spark, "to\n48 and 5\t% but\r7", T.figures) == ["\n48 ", "5\t%", "\r7"]
+    assert one(spark, "\n48 ", T.norm_number) == "48" and one(spark, "₹\t5\t%", T.norm_number) == "5"
+
+
 @pytest.mark.parametrize("text,heavy", [("NAV today ₹ 64", True), ("+ 2.42 %", True), ("1% 2% 3%", True), ("Expense ratio 1.03% yield 1.10%", False), ("Return calculator", True), ("plain", False)])
 def test_return_heavy(spark, text, heavy):
     assert one(spark, text, chunking.return_heavy) is heavy
