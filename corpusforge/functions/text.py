@@ -13,6 +13,7 @@ ABBREVIATION = r"(?i)(?:Rs|Mr|Mrs|Ms|Dr|vs|etc|No|approx)\.$"
 COUNT_ABBREVIATIONS = "mr mrs ms dr prof vs etc e.g i.e approx no fig rs inr min max incl excl cf ca".split()
 DECIMAL = r"\d[.!?]\d"
 FIGURE = r"([₹$]?[ \t\n\f\r]?\d[\d,]*\.?\d*[ \t\n\f\r]?(?:%|x|X\b)?)"
+HALF = 1 << 53
 MARKER = r"(?i)\[S\d+\]"
 URL = r"(?i)(https?://[^\s<>\])\"']+)"
 #: Words of letters, digits and underscores of any script, or single marks; the same in Java, Python and RE2.
@@ -78,9 +79,21 @@ def _number(token: Column) -> Column:
     return F.when(bare.rlike(r"^\d*\.?\d+$|^\d+\.$"), bare.cast("double"))
 
 
+def _fixed(number: Column) -> Column:
+    """A number to six decimals, by its exact binary value: halves of 53 bits and the fraction are exact, the decimals are rounded
+    alone.  From 2**116 on the shortest digits that tell it from other doubles, then zeros."""
+    high = F.floor(number / F.lit(float(HALF)))
+    rest = number - high.cast("double") * F.lit(float(HALF))
+    part = F.format_number(rest - F.floor(rest), 6)
+    whole = high.cast("decimal(20,0)") * F.lit(HALF).cast("decimal(16,0)") + (F.floor(rest) + F.when(part.startswith("1"), 1).otherwise(0)).cast("decimal(20,0)")
+    exact = F.concat(whole.cast("string"), F.lit("."), F.substring(part, 3, 6))
+    return F.when(number == float("inf"), "inf").when(number < float(HALF << 63), exact).otherwise(F.regexp_replace(F.format_number(number, 6), ",", ""))
+
+
 def norm_number(token: Column) -> Column:
     """A figure without currency, grouping and suffix, to six decimals without trailing zeros; empty if it isn't a number."""
-    fixed = F.regexp_replace(F.regexp_replace(F.format_number(_number(token), 6), ",", ""), r"\.?0+$", "")
+    # The number is bound to a name, as it is used several times.
+    fixed = F.element_at(F.transform(F.array(_number(token)), lambda n: F.regexp_replace(_fixed(n), r"\.?0+$", "")), 1)
     return F.coalesce(fixed, F.lit(""))
 
 

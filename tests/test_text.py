@@ -69,6 +69,12 @@ def test_chunks(spark):
     assert {r.page_id for r in rows} == {"a"} and all(r.token_count <= 30 for r in rows) and len({r.chunk_id for r in rows}) == len(rows)
 
 
+@pytest.mark.parametrize("token", ["909955422195631329054", "9223372036854775807", "12345678901234567", "8796093022208.0078125", "1234567890123.4567895", "99999999999.9999996", "1" * 34, "0.0000005", "7"])
+def test_norm_number_is_exact(spark, token):
+    wanted = f"{float(token):.6f}"
+    assert one(spark, token, T.norm_number) == wanted.rstrip("0").rstrip(".")
+
+
 def test_figures_with_white_space(spark):
     assert one(spark, "to\n48 and 5\t% but\r7", T.figures) == ["\n48 ", "5\t%", "\r7"]
     assert one(spark, "\n48 ", T.norm_number) == "48" and one(spark, "₹\t5\t%", T.norm_number) == "5"
