@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusforge.operators import segments
+from corpusforge.operators.best import CELLS, Best
 from corpusforge.operators.segments import Bm25Index, IndexMismatch, IndexUnavailable  # noqa: F401
 from corpusforge.session import shared_folder
 
@@ -77,8 +78,8 @@ def dense(questions: DataFrame, vectors: DataFrame, top: int = 20, qkey: str = "
     """(qid, key, dense_score, dense_rank): exact cosine search.
 
     The stated questions go to every task in blocks of about ``BLOCK_BYTES``, one pass over the
-    vectors for each; each task multiplies its vectors with the block and passes on at most
-    ``top`` rows for each question.  With more than one block each pass is written and its
+    vectors for each; each task multiplies its vectors with the block, ``CELLS`` products at a time,
+    and passes on at most ``top`` rows for each question.  With more than one block each pass is written and its
     block released before the next one is fetched."""
     spark = questions.sparkSession
     asked = questions.select(qkey, qvec).where(F.col(qvec).isNotNull())
@@ -94,18 +95,23 @@ def dense(questions: DataFrame, vectors: DataFrame, top: int = 20, qkey: str = "
 
         def run(batches, held=held):
             ids, matrix = held.value
+            best = Best(len(ids), top)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 own = np.array(batch.column(vec).to_pylist(), np.float64)
-                scores = np.round(np.clip(matrix @ own.T, -1, 1), 6)
                 keys = np.array(batch.column(key).to_pylist())
-                by_key = np.argsort(keys, kind="stable")
-                order = by_key[np.argsort(-scores[:, by_key], axis=1, kind="stable")[:, :top]]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, n)), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], [qkey, key, "dense_score"]
-                )
+                step = max(1, CELLS // len(own))
+                for start in range(0, len(ids), step):
+                    scores = np.round(np.clip(matrix[start : start + step] @ own.T, -1, 1), 6)
+                    least = best.floor[start : start + step]
+                    if len(own) > top:
+                        least = np.maximum(least, np.partition(scores, len(own) - top, axis=1)[:, len(own) - top])
+                    q, d = np.nonzero(~(scores < least[:, None]))
+                    best.add(q + start, keys[d], scores[q, d])
+            best.settle()
+            for q, keys, scores in best.found:
+                yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), pa.array(keys), pa.array(scores)], [qkey, key, "dense_score"])
 
         one = vectors.select(key, vec).where(F.col(vec).isNotNull()).mapInArrow(run, kinds)
         if blocks > 1:

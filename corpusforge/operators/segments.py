@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import tokenize
+from corpusforge.operators.best import CELLS, Best
 from corpusforge.session import delete_folder
 from corpusforge.sources import versions
 
@@ -104,37 +105,53 @@ def _alive(forward: DataFrame, buried: DataFrame | None) -> DataFrame:
 
 def forward(docs: DataFrame, key: str, text: str, cells: int) -> DataFrame:
     """(key, cell, dl, terms, tfs): the terms of each document once, in order, with their counts; one row stays one row."""
-    found = docs.select(F.col(key).alias("key"), F.sort_array(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("all"))
-    # Where a run of equal terms begins; its length is the way to the next.
-    starts = F.when(F.size("all") > 0, F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: (i == 1) | (F.element_at("all", i) != F.element_at("all", F.greatest(i - 1, F.lit(1))))))
-    found = found.withColumn("starts", F.coalesce(starts, F.array().cast("array<int>"))).withColumn("dl", F.size("all"))
-    tfs = F.zip_with("starts", F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array(F.col("dl") + 1)), lambda a, b: b - a)
-    terms = F.transform("starts", lambda i: F.element_at("all", i))
-    cell = F.pmod(F.xxhash64(F.lit("cell"), "key"), F.lit(cells)).cast("int")
-    return found.select("key", cell.alias("cell"), "dl", terms.alias("terms"), F.slice(tfs, 1, F.size("starts")).alias("tfs"))
+    cell = F.pmod(F.xxhash64(F.lit("cell"), F.col(key)), F.lit(cells)).cast("int")
+    found = docs.select(F.col(key).alias("key"), cell.alias("cell"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("all"))
+    return found.mapInArrow(_counted, f"key {docs.schema[key].dataType.simpleString()}, cell int, dl int, terms array<string>, tfs array<int>")
+
+
+def _counted(batches):
+    """Each row's tokens as its terms in order and their counts."""
+    for batch in batches:
+        lists = batch.column("all")
+        size, code = lists.value_lengths().to_numpy(), lists.flatten().dictionary_encode()
+        by_name = pc.array_sort_indices(code.dictionary).to_numpy()
+        place = np.empty(len(by_name), np.int64)
+        place[by_name] = np.arange(len(by_name))
+        pairs, tf = np.unique(np.repeat(np.arange(len(size)), size) * max(1, len(by_name)) + place[code.indices.to_numpy()], return_counts=True)
+        row, term = np.divmod(pairs, max(1, len(by_name)))
+        offsets = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(size)))).astype(np.int32))
+        terms = pa.ListArray.from_arrays(offsets, code.dictionary.take(pa.array(by_name[term])))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("cell"), pa.array(size, pa.int32()), terms, pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32()))], ["key", "cell", "dl", "terms", "tfs"])
 
 
 def blocks(rows: DataFrame, average: float) -> DataFrame:
-    """(bucket, cell, term, bound, keys, tfs, dls) of a forward table.  A term may have several blocks in a cell."""
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
-    one = rows.select("cell", "key", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("cell", "key", "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
-    dealt = one.withColumn("weight", weight).repartition("cell").sortWithinPartitions("cell", "term")
+    """(bucket, cell, term, bound, keys, tfs, dls) of a forward table: documents are dealt by cell, and a cell is inverted where it lies."""
     kind = rows.schema["key"].dataType.simpleString()
-    packed = dealt.mapInArrow(_packed, f"cell int, term string, bound double, keys array<{kind}>, tfs array<int>, dls array<int>")
+    dealt = rows.where(F.size("terms") > 0).select("cell", "key", "dl", "terms", "tfs").repartition("cell").sortWithinPartitions("cell")
+
+    def run(batches):
+        for cell in _groups(batches, "cell"):
+            yield _inverted(cell, average)
+
+    packed = dealt.mapInArrow(run, f"cell int, term string, bound double, keys array<{kind}>, tfs array<int>, dls array<int>")
     return packed.select(_bucket(F.col("term")).alias("bucket"), "cell", "term", "bound", "keys", "tfs", "dls")
 
 
-def _packed(batches):
-    """Runs of rows with one cell and term as one row each; only offsets are computed."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cell, term = batch.column("cell"), batch.column("term").dictionary_encode().indices.to_numpy()
-        begins = np.concatenate([[0], np.flatnonzero((np.diff(cell.to_numpy()) != 0) | (np.diff(term) != 0)) + 1])
-        offsets, at = pa.array(np.append(begins, batch.num_rows).astype(np.int32)), pa.array(begins)
-        bound = np.maximum.reduceat(batch.column("weight").to_numpy(), begins)
-        lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in ("key", "tf", "dl")]
-        yield pa.RecordBatch.from_arrays([cell.take(at), batch.column("term").take(at), pa.array(bound), *lists], ["cell", "term", "bound", "keys", "tfs", "dls"])
+def _inverted(rows: pa.Table, average: float) -> pa.RecordBatch:
+    """The documents of one cell as a row for each of their terms."""
+    terms, tfs = rows.column("terms").combine_chunks(), rows.column("tfs").combine_chunks()
+    of = np.repeat(np.arange(rows.num_rows), terms.value_lengths().to_numpy())
+    code = terms.flatten().dictionary_encode()
+    number = code.indices.to_numpy()
+    order = np.argsort(number, kind="stable")
+    ends = np.cumsum(np.bincount(number))
+    tf, dl = tfs.flatten().to_numpy()[order], rows.column("dl").to_numpy()[of[order]]
+    bound = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average)), np.append(0, ends[:-1]))
+    keys = rows.column("key").combine_chunks().take(pa.array(of[order]))
+    lists = [pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), c) for c in (keys, pa.array(tf, pa.int32()), pa.array(dl, pa.int32()))]
+    cell = pa.array(np.full(len(ends), rows.column("cell")[0].as_py(), np.int32))
+    return pa.RecordBatch.from_arrays([cell, code.dictionary, pa.array(bound), *lists], ["cell", "term", "bound", "keys", "tfs", "dls"])
 
 
 def _frequencies(rows: DataFrame, sign: int = 1) -> DataFrame:
@@ -292,9 +309,8 @@ class _Scorer:
 
     def __init__(self, asked: dict[str, tuple[np.ndarray, np.ndarray]], questions: int, top: int, average: float):
         self.asked, self.n, self.top, self.average = asked, questions, top, average or 1.0
-        self.floor = np.zeros(questions)  # the k-th best score so far
-        self.found: list[tuple[np.ndarray, list, np.ndarray]] = []
-        self.waiting, self.met, self.scored = 0, np.zeros(questions, np.int64), np.zeros(questions, np.int64)
+        self.best = Best(questions, top, 0.0)
+        self.met, self.scored = np.zeros(questions, np.int64), np.zeros(questions, np.int64)
 
     def cell(self, rows: pa.Table, stretch: float) -> None:
         pairs = [self.asked[t] for t in rows.column("term").to_pylist()]
@@ -303,7 +319,7 @@ class _Scorer:
         bound = rows.column("bound").to_numpy() * stretch
         reach = np.bincount(who, np.maximum(weight, 0) * bound[block], self.n)
         self.met += np.bincount(who, minlength=self.n)
-        alive = (reach > 0) & (reach >= self.floor - 1e-9)
+        alive = (reach > 0) & (reach >= self.best.floor - 1e-9)
         kept = alive[who]
         who, weight, block = who[kept], weight[kept], block[kept]
         if not len(who):
@@ -320,49 +336,44 @@ class _Scorer:
         dead = rows.column("dead").combine_chunks()[0].as_py()
         if dead:
             impact[np.isin(column, np.flatnonzero(pc.is_in(names, pa.array(dead, names.type)).to_numpy(zero_copy_only=False)))] = 0
-        # One number for each question, block and posting of the block.
-        at = np.repeat(starts[block] - np.concatenate([[0], np.cumsum(counts[block])[:-1]]), counts[block]) + np.arange(counts[block].sum())
-        cells = np.repeat(who, counts[block]) * len(names) + column[at]
-        score = np.bincount(cells, np.repeat(weight, counts[block]) * impact[at], self.n * len(names)).reshape(self.n, -1)
-        score = np.round(score, 9)
-        q, d = np.nonzero((score > 0) & (score >= self.floor[:, None]))
-        if len(q):
-            self.found.append((q, names.take(pa.array(d)).to_pylist(), score[q, d]))
-            self.waiting += len(q)
-            if self.waiting > 4 * self.n * self.top:
-                self.settle()
-
-    def settle(self) -> None:
-        """Keeps the ``top`` best of each question, ties by key."""
-        if not self.found:
-            return
-        q, score = np.concatenate([f[0] for f in self.found]), np.concatenate([f[2] for f in self.found])
-        keys = [k for f in self.found for k in f[1]]
-        by_key = np.argsort(np.array(keys, dtype=None if not isinstance(keys[0], str) else object), kind="stable")
-        order = by_key[np.lexsort((-score[by_key], q[by_key]))]
-        place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
-        order = order[place < self.top]
-        last = np.flatnonzero(place[place < self.top] == self.top - 1)
-        self.floor[q[order[last]]] = score[order[last]]
-        self.found, self.waiting = [(q[order], [keys[i] for i in order], score[order])], len(order)
-
-
-def _cells(batches):
-    """The rows of one (segment, cell) after the other, of batches in that order."""
-    rest = None
+        names = names.to_numpy(zero_copy_only=False)
+        # By question, in slices of about CELLS postings and scores.
+        order = np.argsort(who, kind="stable")
+        who, weight, block = who[order], weight[order], block[order]
+        size = counts[block]
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        before = (np.cumsum(size) - size)[first] // CELLS, who[first] * len(names) // CELLS
+        edges = first[np.flatnonzero((np.diff(before[0], prepend=-1) != 0) | (np.diff(before[1], prepend=-1) != 0))]
+        for a, b in zip(edges, [*edges[1:], len(who)]):
+            base, n = who[a], size[a:b]
+            # One number for each question, block and posting of the block.
+            at = np.repeat(starts[block[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cells = np.repeat(who[a:b] - base, n) * len(names) + column[at]
+            score = np.bincount(cells, np.repeat(weight[a:b], n) * impact[at], (who[b - 1] - base + 1) * len(names)).reshape(-1, len(names))
+            score = np.round(score, 9)
+            q, d = np.nonzero((score > 0) & (score >= self.best.floor[base : base + len(score), None]))
+            self.best.add(q + base, names[d], score[q, d])
+
+
+def _groups(batches, *by):
+    """The rows that share all of these columns, one group after the other, of batches in that order."""
+    rest = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        cell, segment = table.column("cell").to_numpy(), table.column("segment").combine_chunks().dictionary_encode()
-        change = np.flatnonzero((np.diff(cell) != 0) | (np.diff(segment.indices.to_numpy()) != 0)) + 1
-        edges = [0, *change.tolist(), table.num_rows]
-        for a, b in zip(edges[:-2], edges[1:-1]):
-            yield table.slice(a, b - a)
-        rest = table.slice(edges[-2])
-    if rest is not None:
-        yield rest
+        codes = [batch.column(c).dictionary_encode().indices.to_numpy() for c in by]
+        change = np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1
+        edges = [0, *change.tolist(), batch.num_rows]
+        if rest and any(rest[-1].column(c)[0] != batch.column(c)[0] for c in by):
+            yield pa.Table.from_batches(rest)
+            rest = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            rest.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(rest)
+                rest = []
+    if rest:
+        yield pa.Table.from_batches(rest)
 
 
 def _weights(questions: DataFrame, index: Bm25Index, qkey: str, qtext: str) -> DataFrame:
@@ -386,34 +397,32 @@ def scores(questions: DataFrame, index: Bm25Index, top: int, qkey: str, qtext: s
     size = questions.agg(F.sum(F.coalesce(F.octet_length(qtext), F.lit(0)) * 2 + 64)).first()[0] or 0
     parts, out = max(1, -(-size // BLOCK_BYTES)), None
     for part in range(parts):
-        rows = _weights(questions.where(F.pmod(F.xxhash64(qkey), F.lit(parts)) == part), index, qkey, qtext).collect()
-        if not rows:
+        rows = _weights(questions.where(F.pmod(F.xxhash64(qkey), F.lit(parts)) == part), index, qkey, qtext).toArrow().combine_chunks()
+        if not rows.num_rows:
             continue
-        ids = list(dict.fromkeys(r[0] for r in rows))
-        number = {q: i for i, q in enumerate(ids)}
-        by_term: dict[str, tuple[list, list]] = {}
-        for q, _, term, weight in rows:
-            pair = by_term.setdefault(term, ([], []))
-            pair[0].append(number[q])
-            pair[1].append(weight)
-        held = spark.sparkContext.broadcast((ids, {t: (np.array(q), np.array(w)) for t, (q, w) in by_term.items()}, index.average, index.built))
+        code, term = rows.column(0).combine_chunks().dictionary_encode(), rows.column("term").combine_chunks().dictionary_encode()
+        ids, number, weight = code.dictionary.to_pylist(), code.indices.to_numpy(), rows.column("weight").to_numpy()
+        order = np.argsort(term.indices.to_numpy(), kind="stable")
+        cuts = np.cumsum(np.bincount(term.indices.to_numpy()))[:-1]
+        by_term = dict(zip(term.dictionary.to_pylist(), zip(np.split(number[order], cuts), np.split(weight[order], cuts))))
+        held = spark.sparkContext.broadcast((ids, by_term, index.average, index.built))
 
         def run(batches, held=held):
             ids, asked, average, built = held.value
             scorer = _Scorer(asked, len(ids), top, average)
-            for rows in _cells(batches):
+            for rows in _groups(batches, "segment", "cell"):
                 scorer.cell(rows, max(1.0, average / built[rows.column("segment")[0].as_py()]))
-            scorer.settle()
-            for q, keys, score in scorer.found:
+            scorer.best.settle()
+            for q, keys, score in scorer.best.found:
                 none = pa.nulls(len(q), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array(keys), pa.array(score), none, none], [qkey, "key", "raw", "met", "scored"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), pa.array(keys), pa.array(score), none, none], [qkey, "key", "raw", "met", "scored"])
             at = np.flatnonzero(scorer.met)
             if len(at):
                 kinds = pa.int64() if own in ("int", "bigint", "smallint") else pa.string()
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at]), pa.nulls(len(at), kinds), pa.nulls(len(at), pa.float64()), pa.array(scorer.met[at]), pa.array(scorer.scored[at])], [qkey, "key", "raw", "met", "scored"])
 
         terms = spark.createDataFrame(pa.table({"term": pa.array(list(by_term))}))
-        buckets = sorted({r[1] for r in rows})
+        buckets = rows.column("bucket").unique().to_pylist()
         read = index.blocks.where(F.col("bucket").isin(buckets)).join(F.broadcast(terms), "term", "left_semi").select("segment", "cell", "term", "bound", "keys", "tfs", "dls")
         dealt = _live(read, index.buried).repartition("segment", "cell").sortWithinPartitions("segment", "cell")
         found = dealt.mapInArrow(run, schema)

@@ -96,3 +96,30 @@ def test_equal_texts_rank_by_key(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c x", "a b c y", "a b c z", "q", "r", "s", "t"])], "doc_id long, text string")
     asked = spark.createDataFrame([(0, "c b a")], "qid long, question string")
     assert [r.doc_id for r in retrieval.bm25(asked, docs).orderBy("sparse_rank").collect()] == [0, 1, 2]
+
+
+def test_searches_of_many_questions_stay_within_their_slices(monkeypatch):
+    """Slices so small that each question is one, and ties across them: the same rows; what waits is bounded."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusforge.operators import best, segments
+
+    lists = lambda k: pa.array([[(i * k) % 5 + 1 for i in range(9)], [i % 3 + 1 for i in range(7)]], pa.list_(pa.int32()))
+    keys = pa.array([list(range(9)), list(range(1, 8))], pa.list_(pa.int64()))
+    cell = pa.table({"term": ["a", "b"], "bound": [2.5, 2.5], "keys": keys, "tfs": lists(2), "dls": lists(3), "dead": pa.array([[4], [4]], pa.list_(pa.int64()))})
+    asked = {"a": (np.arange(40), np.arange(40) % 4 + 0.5), "b": (np.arange(0, 40, 2), np.ones(20))}
+    found = []
+    for cells in (1 << 20, 4):
+        monkeypatch.setattr(segments, "CELLS", cells)
+        scorer = segments._Scorer(asked, 40, 3, 2.0)
+        scorer.cell(cell, 1.0)
+        scorer.best.settle()
+        found.append([x.tolist() for x in scorer.best.found[0]])
+    assert found[0] == found[1] and len(found[0][0]) == 120 and 4 not in found[0][1]
+    kept = best.Best(2, 2)
+    for part in range(50):
+        kept.add(np.array([0, 1, 1]), np.array([99 - part, part, part + 100]), np.array([1.0, part, 7.0]))
+        assert kept.waiting <= 4 * 2 * 2 + 3
+    kept.settle()
+    assert [x.tolist() for x in kept.found[0]] == [[0, 0, 1, 1], [50, 51, 49, 48], [1.0, 1.0, 49.0, 48.0]]
