@@ -76,7 +76,7 @@ def test_norm_number_is_exact(spark, token):
 
 
 def test_figures_with_white_space(spark):
-    assert one(spark, "to\n48 and 5\t% but\r7", T.figures) == ["\n48 ", "5\t%", "\r7"]
+    assert one(spark, "to\n48 and 5\t% but\r7", T.figures) == ["\n48 ", " 5\t%", "\r7"]
     assert one(spark, "\n48 ", T.norm_number) == "48" and one(spark, "₹\t5\t%", T.norm_number) == "5"
 
 
