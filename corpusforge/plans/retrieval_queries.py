@@ -9,7 +9,7 @@ from corpusforge.functions import text as T
 from corpusforge.operators import ann, answers, chunking, evaluation, ingest, profiling, retrieval, search
 from corpusforge.plans.base import F, documents, quoted, table, values
 from corpusforge.plans.text_queries import TOKENS
-from corpusforge.session import fingerprint, shared_folder
+from corpusforge.session import fingerprint, shared_folder, stored
 from corpusforge.sources import corpus
 
 THRESHOLD = 0.3
@@ -46,7 +46,7 @@ def ann_of(spark, d):
 
 
 def _sparse(spark, d, top=20):
-    return retrieval.bm25_search(_questions(spark, d), index_of(spark, d), top)
+    return stored(retrieval.bm25_search(_questions(spark, d), index_of(spark, d), top), "sparse")
 
 
 def _dense(spark, d, top=20):
@@ -115,7 +115,9 @@ def dim_check(spark, d):
 
 
 def _fused(spark, d):
-    found = search.retrieve(_questions(spark, d), documents(spark, d), table(spark, d, "embeddings").select("vec_id", "embedding"), index_of(spark, d))
+    """Legs and candidates are stored: several branches read them, and by their true sizes Spark sends them to the texts, not the texts around."""
+    keep = lambda rows: stored(rows, "fused")
+    found = search.retrieve(_questions(spark, d), documents(spark, d), table(spark, d, "embeddings").select("vec_id", "embedding"), index_of(spark, d), keep=keep)
     return found.dense, found.sparse, found.fused
 
 
