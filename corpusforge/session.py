@@ -24,9 +24,18 @@ def session(app: str = "corpusforge", master: str | None = None, **conf: str) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a folder; only Spark opens the path, so any store will do."""
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of a few MB where the session has Spark's own defaults: texts and pages are long rows.  No result depends on it."""
+    for name, default, own in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", str(256 << 20), str(4 << 20))):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name).lower().rstrip("b") in (default, "256m"):
+            spark.conf.set(name, own)
+
+
 _own: list[str] = []
 
 
