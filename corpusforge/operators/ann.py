@@ -3,9 +3,10 @@
 ``write_ann`` learns at most ``MAX_CELLS`` centroids, on a bounded sample, and deals every vector to its
 nearest one.  A cell is a folder; it holds each vector whole and as a code of one byte a component,
 the difference to its centroid in steps of a fixed size.  ``search`` takes the cells nearest to each
-question, reads the codes of these cells alone, and scores again, with the whole vectors, the
-``rerank`` best of each question.  So the scores that it gives are exact; only which vectors are
-looked at is approximate.
+question, reads the codes of these cells alone, and scores again, with the whole vectors, every one
+that could be among the ``rerank`` best of each question: each row carries how far its code is from its
+vector, which bounds its score from both sides.  Of equal vectors only the first ``rerank`` by key can be.
+So results are exact within the cells that are read; only which cells these are is approximate.
 
 How many cells a question needs for a stated recall depends on the vectors.  It is measured when the
 index is written: sampled vectors are asked as questions against all rows, by brute force and by the
@@ -22,21 +23,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusforge.operators import retrieval
+from corpusforge.operators.best import CELLS
 from corpusforge.session import delete_folder, folder_exists, shared_folder
 
 #: Centroids at most; sampled vectors for each centroid; sampled questions for the number of cells; and of codes to score again.
 MAX_CELLS, SAMPLE, ASKED, RERANK = 1024, 64, 128, 100
 #: Format of a stored index.
-VERSION = "ivf.v1"
+VERSION = "ivf.v2"
+#: Scores that are this near may be equal when they are rounded.
+NEAR = 2e-6
 
 
 @dataclass
 class AnnIndex:
-    """cells (key, embedding, code, cell), centroids (a row for each cell), step of the codes, and cells to read for a question."""
+    """cells (key, embedding, code, slack, same, cell), centroids (a row for each cell), step of the codes, and cells to read for a question."""
 
     cells: DataFrame
     centroids: np.ndarray
@@ -79,7 +83,7 @@ def _learn(sample: DataFrame, vec: str, cells: int, rounds: int) -> np.ndarray:
 
 
 def _dealt(vectors: DataFrame, centroids: np.ndarray, step: float, key: str, vec: str) -> DataFrame:
-    """(key, embedding, code, cell)."""
+    """(key, embedding, code, slack, cell, same): slack is the distance of code and vector; equal vectors share a hash."""
     kind = vectors.schema[key].dataType.simpleString()
     held = vectors.sparkSession.sparkContext.broadcast(centroids)
 
@@ -92,9 +96,12 @@ def _dealt(vectors: DataFrame, centroids: np.ndarray, step: float, key: str, vec
             cell = _nearest(own, held.value)
             code = np.clip(np.rint((own - held.value[cell]) / step), -127, 127).astype(np.int8)
             whole = pa.array(list(own.astype(np.float32)), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), whole, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(cell, pa.int32())], ["key", "embedding", "code", "cell"])
+            slack = np.linalg.norm(own - (code * step + held.value[cell]), axis=1)
+            columns = [batch.column(0), whole, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(slack), pa.array(cell, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "embedding", "code", "slack", "cell"])
 
-    return vectors.select(F.col(key).alias("key"), F.col(vec).alias("embedding")).mapInArrow(run, f"key {kind}, embedding array<float>, code binary, cell int")
+    dealt = vectors.select(F.col(key).alias("key"), F.col(vec).alias("embedding")).mapInArrow(run, f"key {kind}, embedding array<float>, code binary, slack double, cell int")
+    return dealt.withColumn("same", F.xxhash64("embedding"))
 
 
 def _usable(vectors: DataFrame, key: str, vec: str) -> DataFrame:
@@ -169,26 +176,34 @@ def _order(questions: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndar
 
 
 def _scan(index: AnnIndex, ids: list, questions: np.ndarray, chosen: np.ndarray, keep: int, kinds: str) -> DataFrame:
-    """(qid, key, near, cell): of each task the ``keep`` codes nearest to each question, in the cells chosen for it."""
+    """(qid, key, low, high, cell): of each task the codes that could be among the ``keep`` best of each question, in the cells
+    chosen for it, with the bounds of their scores."""
     by_cell = {int(c): np.flatnonzero((chosen == c).any(1)) for c in np.unique(chosen)}
     held = index.cells.sparkSession.sparkContext.broadcast((ids, questions, by_cell, index.centroids, index.step))
     names = [f.split()[0] for f in kinds.split(", ")]
 
     def run(batches):
         ids, questions, by_cell, centroids, step = held.value
+        far = np.linalg.norm(questions, axis=1)
+        lows = np.full((len(ids), keep), -np.inf)  # the best lower bounds of each question so far
         for batch in batches:
             cells = batch.column(2).to_numpy(zero_copy_only=False)
             for cell in np.unique(cells):
-                at, asked = np.flatnonzero(cells == cell), by_cell[int(cell)]
-                codes = b"".join(batch.column(1).take(pa.array(at)).to_pylist())
-                own = np.frombuffer(codes, np.int8).reshape(len(at), -1) * step + centroids[cell]
-                scores = questions[asked] @ own.T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-                n = best.shape[1]
-                found = np.repeat([ids[i] for i in asked], n), np.take_along_axis(scores, best, 1).ravel(), np.full(n * len(asked), cell, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), batch.column(0).take(pa.array(at[best].ravel())), pa.array(found[1]), pa.array(found[2])], names)
-
-    return index.cells.where(F.col("cell").isin(list(by_cell))).select("key", "code", "cell").mapInArrow(run, kinds)
+                rows = pa.Table.from_batches([batch.take(pa.array(np.flatnonzero(cells == cell)))]).sort_by([("same", "ascending"), ("key", "ascending")])
+                same = rows.column("same").to_numpy()
+                rows = rows.take(pa.array(np.flatnonzero(np.arange(len(same)) - np.searchsorted(same, same) < keep)))
+                own = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(rows.num_rows, -1) * step + centroids[cell]
+                slack, keys = rows.column("slack").to_numpy(), rows.column("key").combine_chunks()
+                all_asked, size = by_cell[int(cell)], max(1, CELLS // rows.num_rows)
+                for start in range(0, len(all_asked), size):
+                    asked = all_asked[start : start + size]
+                    near, wide = questions[asked] @ own.T, far[asked, None] * slack[None, :] + NEAR
+                    low, high = near - wide, near + wide
+                    lows[asked] = np.partition(np.hstack([lows[asked], low]), low.shape[1], axis=1)[:, low.shape[1] :]
+                    q, d = np.nonzero(high >= lows[asked].min(1)[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(asked[q])), keys.take(pa.array(d)), pa.array(low[q, d]), pa.array(high[q, d]), pa.array(np.full(len(q), cell, np.int32))], names)
+
+    return index.cells.where(F.col("cell").isin(list(by_cell))).select("key", "code", "cell", "slack", "same").mapInArrow(run, kinds)
 
 
 def search(questions: DataFrame, index: AnnIndex, top: int = 20, probes: int | None = None, rerank: int = RERANK, qkey: str = "qid", qvec: str = "qvec", key: str = "vec_id") -> DataFrame:
@@ -198,7 +213,7 @@ def search(questions: DataFrame, index: AnnIndex, top: int = 20, probes: int | N
     asked = questions.select(qkey, qvec).where(F.col(qvec).isNotNull())
     size = asked.agg(F.sum(F.size(qvec) * 8 + 64)).first()[0] or 0
     blocks = max(1, -(-size // retrieval.BLOCK_BYTES))
-    kinds = f"{qkey} {questions.schema[qkey].dataType.simpleString()}, key {index.cells.schema['key'].dataType.simpleString()}, near double, cell int"
+    kinds = f"{qkey} {questions.schema[qkey].dataType.simpleString()}, key {index.cells.schema['key'].dataType.simpleString()}, low double, high double, cell int"
     out, read = None, set()
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == block).collect()
@@ -208,7 +223,9 @@ def search(questions: DataFrame, index: AnnIndex, top: int = 20, probes: int | N
         chosen = _order(matrix, index.centroids, probes)
         read |= {int(c) for c in np.unique(chosen)}
         found = _scan(index, ids, matrix, chosen, max(rerank, top), kinds)
-        found = retrieval.ranked(found, qkey, "near", "key", "place", max(rerank, top)).select(qkey, "key", "cell")
+        place = F.row_number().over(Window.partitionBy(qkey).orderBy(F.desc("low")))
+        limit = F.max(F.when(F.col("place") == max(rerank, top), F.col("low"))).over(Window.partitionBy(qkey))
+        found = found.withColumn("place", place).withColumn("limit", limit).where(F.col("limit").isNull() | (F.col("high") >= F.col("limit"))).select(qkey, "key", "cell")
         out = found if out is None else out.unionAll(found)
     if out is None:
         return spark.createDataFrame([], f"{kinds.split(', ')[0]}, {key} {index.cells.schema['key'].dataType.simpleString()}, ann_score double, ann_rank int, cells_read int")

@@ -131,6 +131,19 @@ def test_ann(spark, tmp_path):
         ann.write_ann(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"), path)
 
 
+def test_ann_with_all_cells_is_exact(spark, tmp_path):
+    """Far more vectors near a question, and copies, than codes are scored again: every cell read gives the exact rows."""
+    rng = np.random.default_rng(3)
+    own = np.ones(8) + np.concatenate([0.002 * rng.normal(size=(300, 8)), np.repeat(0.001 * rng.normal(size=(1, 8)), 200, axis=0), rng.normal(size=(60, 8))])
+    own = own / np.linalg.norm(own, axis=1, keepdims=True)
+    rows = [(int(k), v.astype(np.float32).tolist()) for k, v in zip(rng.permutation(len(own)), own)]
+    table, path = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), str(tmp_path / "near")
+    ann.write_ann(table, path, cells=4)
+    asked = spark.createDataFrame([(i, rows[i][1]) for i in (0, 7, 400, 520)], "qid long, qvec array<float>")
+    got = ann.search(asked, ann.load_ann(spark, path), 10, probes=4, rerank=10)
+    assert rows_of(got.select("qid", "vec_id", "ann_score", "ann_rank")) == rows_of(retrieval.dense(asked, table, 10))
+
+
 def test_ann_of_nothing_and_of_one(spark, tmp_path):
     path = str(tmp_path / "ann")
     schema = "vec_id string, embedding array<double>"
