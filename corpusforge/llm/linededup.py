@@ -15,14 +15,16 @@ Edges: a null text is an empty one; lines are what "\n" separates, the empty one
 single-line chunks always stay; rows that repeat key and text count as one document and
 have one fate; a null key sorts first; other columns pass through.
 
-``dedup_runs``, which the query and the pipeline use, doesn't depend on where chunks end, as
-short passages seldom hold a whole chunk: each two neighbouring lines with a word in them are
-a chunk of their own, so every run of two lines or more that stands earlier (by key, then place)
-goes whole, from its first line to its last.  The first place of each line's text stays: a line
-only goes where a pair equal to its own stands earlier.  Pairs are told apart by 128 bits of
-SHA-256; a pair isn't a repeat of the one that starts a line before it in the same text.
-
-Shuffles: one row for each pair of lines, to find the first ones and to meet them; texts once.
+``dedup_runs``, which the query and the pipeline use, takes every run of two lines or more that stands
+earlier (by key, then place), from its first line to its last, at two densities.  First come the chunks
+above, each of which begins with the line that the one before it ends with, so that every pair of
+neighbouring lines lies in one: of three lines or more, all but the first place go.  What is left, as short
+passages seldom hold a whole chunk, is cut after every line, so that each pair of lines with a word
+is a chunk.  The first place of each line's text stays: a line only goes where a pair equal to its own
+stands earlier.  Repeated chunks of both densities are compared byte by byte.  A pair isn't a repeat of
+the one that starts a line before it in the same text.
+
+Shuffles: as above, for each density; texts once more.
 """
 
 from __future__ import annotations
@@ -41,13 +43,14 @@ SALTS = 8
 COUNTS = ("n_lines", "n_removed")
 
 
-def _chunked(rows: DataFrame, column: str) -> DataFrame:
-    """Adds lines, and chunks array<bigint>: first line << 32 | last line, from 0."""
+def _chunked(rows: DataFrame, column: str, shared: bool = False) -> DataFrame:
+    """Adds lines, and chunks array<bigint>: first line << 32 | last line, from 0.  ``shared``: a chunk begins with the line that the one before it ends with."""
     rows = rows.withColumn("lines", F.split(F.coalesce(F.col(column), F.lit("")), "\n", -1))
     rows = rows.withColumn("codes", F.transform("lines", F.md5))
     rows = rows.withColumn("ends", F.expr(f"""filter(sequence(0, size(codes) - 1), i -> i = size(codes) - 1 or
         substring(md5(concat(coalesce(get(codes, i - 1), ''), codes[i])), 1, 1) in ({ENDS}))"""))
-    chunks = F.expr("transform(ends, (e, k) -> shiftleft(cast(coalesce(get(ends, k - 1), -1) + 1 as bigint), 32) | cast(e as bigint))")
+    begins = "coalesce(get(ends, k - 1), 0)" if shared else "coalesce(get(ends, k - 1), -1) + 1"
+    chunks = F.expr(f"transform(ends, (e, k) -> shiftleft(cast({begins} as bigint), 32) | cast(e as bigint))")
     return rows.withColumn("chunks", chunks).drop("codes", "ends")
 
 
@@ -76,11 +79,20 @@ def _quoted(name: str) -> str:
 def removed_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(at, of, gone array<bigint>): the chunks to remove from each document that loses any."""
     keyed = _keyed(docs, text, key).select("at", "of", "text")
-    wide = F.expr(f"filter(chunks, c -> {_SIZE.format('c')} >= {MIN_LINES} and {_TEXT.format('c')} rlike '[^\\\\x20\\\\x09-\\\\x0D]')")
-    places = _chunked(keyed, "text").select("at", "of", "lines", F.explode(wide).alias("chunk"))
-    places = written(places.select("at", "of", "chunk", chunk_code(F.expr(_TEXT.format("chunk"))).alias("code")))
+    return _later(keyed, _places(_chunked(keyed, "text"), MIN_LINES)).groupBy("at", "of").agg(F.collect_set("chunk").alias("gone"))
+
+
+def _places(chunked: DataFrame, least: int) -> DataFrame:
+    """(at, of, chunk, code) of the chunks with so many lines and a word."""
+    wide = F.expr(f"filter(chunks, c -> {_SIZE.format('c')} >= {least} and {_TEXT.format('c')} rlike '[^\\\\x20\\\\x09-\\\\x0D]')")
+    places = chunked.select("at", "of", "lines", F.explode(wide).alias("chunk"))
+    return written(places.select("at", "of", "chunk", chunk_code(F.expr(_TEXT.format("chunk"))).alias("code")))
+
+
+def _later(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """(at, of, chunk, stays): the places of chunks that stand somewhere earlier, with the first place of each; places (a written table) is used up."""
     often = written(places.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code"))
-    places, all_places = written(places.join(often, "code")), places
+    places, all_places = written(places.select("at", "of", "chunk", "code").join(often, "code")), places
     wanted = places.groupBy("at", "of").agg(F.collect_set(F.struct("chunk", "code")).alias("wanted"))
     # The lines are bound to a name inside the expression; a column of them would be put into the inner function and split anew for each chunk.
     pieces = F.expr(f"""flatten(transform(array(split(text, '\n', -1)), lines ->
@@ -91,9 +103,8 @@ def removed_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     folded = met.groupBy("code").agg(F.min(place).alias("stays"), F.max(place).alias("last"), (F.min("piece") == F.max("piece")).alias("equal"))
     folded = folded.where("stays != last and equal").select("code", "stays", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     salted = places.withColumn("salt", F.pmod(F.xxhash64("at", "of"), F.lit(SALTS)).cast("int"))
-    gone = salted.join(folded, ["code", "salt"]).where(place != F.col("stays"))
     discard(all_places, often)
-    return gone.groupBy("at", "of").agg(F.collect_set("chunk").alias("gone"))
+    return salted.join(folded, ["code", "salt"]).where(place != F.col("stays")).select("at", "of", "chunk", "stays")
 
 
 def chunk_code(piece: Column) -> Column:
@@ -114,17 +125,24 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", drop_e
 
 def repeated_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(at, of, gone array<int>): first lines, from 0, of the pairs of lines that stand earlier, for each document that has any."""
-    # The lines are bound to a name, as in removed_chunks.
-    pairs = F.expr("""flatten(transform(array(split(coalesce(text, ''), '\n', -1)), lines -> transform(
-        filter(sequence(0, size(lines) - 1), i -> i > 0 and (lines[i - 1] rlike '[^\\\\x20\\\\x09-\\\\x0D]' or lines[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]')),
-        i -> named_struct('i', i - 1, 'code', unhex(substring(sha2(concat(lines[i - 1], '\n', lines[i]), 256), 1, 32))))))""")
-    places = written(_keyed(docs, text, key).select("at", "of", F.explode(pairs).alias("p")).select("at", "of", "p.i", "p.code"))
-    place = F.struct("at", "of", "i")
-    first = places.groupBy("code").agg(F.min(place).alias("stays"), F.max(place).alias("last")).where("stays != last").select("code", "stays")
-    first = written(first)
-    overlaps = F.col("at").eqNullSafe(F.col("stays.at")) & (F.col("of") == F.col("stays.of")) & (F.col("i") == F.col("stays.i") + 1)
-    gone = places.join(first, "code").where((place != F.col("stays")) & ~overlaps)
-    return gone.groupBy("at", "of").agg(F.collect_set("i").alias("gone"))
+    keyed = _keyed(docs, text, key).select("at", "of", "text")
+    # First the chunks between the ends that the rolling hash chooses; in one of three lines, a copy lies two lines off at least.
+    whole = _later(keyed, _places(_chunked(keyed, "text", shared=True), MIN_LINES + 1))
+    cut = written(whole.groupBy("at", "of").agg(F.flatten(F.collect_set(F.expr("sequence(cast(shiftright(chunk, 32) as int), cast(chunk & 4294967295 as int) - 1)"))).alias("cut")))
+    # Then what they leave is cut after every line.  The lines are bound to a name, as in _later.
+    starts = "if(size(lines) > 1, sequence(0, size(lines) - 2), cast(array() as array<int>))"
+    word = "(lines[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]' or lines[i + 1] rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+    pairs = F.expr(f"""flatten(transform(array(split(coalesce(text, ''), '\n', -1)), lines -> concat(
+        transform(filter(array_except({starts}, coalesce(cut, cast(array() as array<int>))), i -> {word}), i -> named_struct('i', i, 'piece', concat(lines[i], '\n', lines[i + 1]))),
+        transform(filter(coalesce(cut, cast(array() as array<int>)), i -> {word}), i -> named_struct('i', i, 'piece', cast(null as string))))))""")
+    places = _with(keyed, cut, "cut", "left").select("at", "of", F.explode(pairs).alias("p"))
+    chunk = F.expr("shiftleft(cast(p.i as bigint), 32) | cast(p.i + 1 as bigint)")
+    places = written(places.select("at", "of", chunk.alias("chunk"), F.when(F.col("p.piece").isNotNull(), chunk_code(F.col("p.piece"))).alias("code")))
+    done = written(places.where("code is null").select("at", "of", F.shiftright("chunk", 32).cast("int").alias("i")))
+    later = _later(keyed, places).select("at", "of", F.shiftright("chunk", 32).cast("int").alias("i"), "stays")
+    first = F.shiftright(F.col("stays.chunk"), 32).cast("int")
+    overlaps = F.col("at").eqNullSafe(F.col("stays.at")) & (F.col("of") == F.col("stays.of")) & (F.col("i") == first + 1)
+    return later.where(~overlaps).select("at", "of", "i").unionAll(done).groupBy("at", "of").agg(F.collect_set("i").alias("gone"))
 
 
 def dedup_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", drop_emptied: bool = False, counts: tuple[str, str] = COUNTS) -> DataFrame:

@@ -443,6 +443,15 @@ def test_runs(spark, docs, no_docs, rows):
     assert linededup.dedup_runs(no_docs).count() == 0
 
 
+def test_runs_are_compared_byte_by_byte(spark, monkeypatch):
+    """Where different chunks share a code, none goes, at either density."""
+    rows = [(k, "\n".join(f"line {i}" for i in range(40)) + f"\nend {k}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in linededup.dedup_runs(docs).collect()} == {0: 0, 1: 40, 2: 40}
+    monkeypatch.setattr(linededup, "chunk_code", lambda piece: F.lit(1))
+    assert listed(linededup.dedup_runs(docs).select("doc_id", "text")) == Counter(rows)
+
+
 def test_runs_go_from_head_to_tail(spark):
     """Passages of 2 to 7 lines at any place, in the pipeline's stage: nothing of the later copy stays."""
     import corpus_pipeline
