@@ -51,11 +51,15 @@ def compose(scheme: Column, section: Column, body: Column) -> Column:
 def word_windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` words that share ``overlap`` words, as an array of strings."""
     checked(size, overlap)
-    words = F.array_remove(F.split(F.trim(text), r"\s+"), "")
     step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.size(words) - overlap) / step).cast("int") - 1)
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
-    return F.when(F.size(words) > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(words: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(words) - overlap) / step).cast("int") - 1)
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
+        return F.when(F.size(words) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    # Bound to a name: a text would be split anew for each of its windows, in the square of its length.
+    return _bound(F.array_remove(F.split(F.trim(text), r"\s+"), ""), windows)
 
 
 def split_sentences(text: str) -> list[str]:

@@ -95,6 +95,14 @@ def test_word_windows(spark):
     assert one(spark, " ", lambda c: chunking.word_windows(c, 3, 1)) == []
 
 
+def test_word_windows_split_a_text_once(spark):
+    """Not once for each window."""
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(20000)),), (None,), ("",)], "t string").select(chunking.word_windows(F.col("t"), 50, 10).alias("w"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    long, *none = (r.w for r in df.collect())
+    assert none == [[], []] and long == [" ".join(f"w{i}" for i in range(k, min(k + 50, 20000))) for k in range(0, 19990, 40)]
+
+
 @pytest.mark.parametrize("size,overlap", [(20, 5), (20, 0), (7, 6), (1, 0), (50, 30)])
 def test_packing_by_expression_and_by_hand_agree(spark, size, overlap):
     import random
