@@ -8,8 +8,9 @@ then place) stays and the others are removed.  Chunks are found by 128 bits of a
 different ones share it, none of them is removed.
 
 Shuffles: hashes of chunks; texts once, to meet the candidates' places and then the verdicts
-(one exchange, read twice); the candidate chunks' own texts, folded by hash before they move.  A
-common chunk is ``SALTS`` keys of a join without texts, whose large side Spark can split.
+(one exchange, read twice, where there are no other columns); the candidate chunks' own texts, folded
+by hash before they move.  A common chunk is ``SALTS`` keys of joins without texts, whose large side
+Spark can split.
 
 Edges: a null text is an empty one; lines are what "\n" separates, the empty ones, too;
 single-line chunks always stay; rows that repeat key and text count as one document and
@@ -21,10 +22,11 @@ above, each of which begins with the line that the one before it ends with, so t
 neighbouring lines lies in one: of three lines or more, all but the first place go.  What is left, as short
 passages seldom hold a whole chunk, is cut after every line, so that each pair of lines with a word
 is a chunk.  The first place of each line's text stays: a line only goes where a pair equal to its own
-stands earlier.  Repeated chunks of both densities are compared byte by byte.  A pair isn't a repeat of
-the one that starts a line before it in the same text.
+stands earlier.  Repeated chunks of both densities are compared byte by byte; where different ones share
+a hash, all of them stay, with the pairs in the longer ones.  A pair isn't a repeat of the one that starts a line
+before it in the same text.
 
-Shuffles: as above, for each density; texts once more.
+Shuffles: as above, once for both densities, whose places are made in one reading of the texts.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from corpusforge.llm.scratch import discard, written
 #: Of 16 values of a hash's first hex digit, those at which a chunk ends: one line in four.
 ENDS = "'0', '1', '2', '3'"
 MIN_LINES = 2
+WORD = r"[^\x20\x09-\x0D]"
 #: Places of a common chunk are dealt to so many keys; Spark can split these further.
 SALTS = 8
 #: The columns that say how many lines a text had and lost.
@@ -69,7 +72,8 @@ def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
 def _with(rows: DataFrame, found: DataFrame, column: str, how: str) -> DataFrame:
     """rows with a column of found (at, of, column); keys may be null."""
     found = found.select(F.col("at").alias("fat"), F.col("of").alias("fof"), column)
-    return rows.join(found, (F.col("of") == F.col("fof")) & F.col("at").eqNullSafe(F.col("fat")), how).drop("fat", "fof")
+    # Sorted and merged at every size: rows of found are short on disk and long in memory.
+    return rows.join(found.hint("merge"), (F.col("of") == F.col("fof")) & F.col("at").eqNullSafe(F.col("fat")), how).drop("fat", "fof")
 
 
 def _quoted(name: str) -> str:
@@ -79,37 +83,71 @@ def _quoted(name: str) -> str:
 def removed_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(at, of, gone array<bigint>): the chunks to remove from each document that loses any."""
     keyed = _keyed(docs, text, key).select("at", "of", "text")
-    return _later(keyed, _places(_chunked(keyed, "text"), MIN_LINES)).groupBy("at", "of").agg(F.collect_set("chunk").alias("gone"))
+    chunked = _chunked(keyed, "text")
+    found = _repeated(written(chunked.select("at", "of", F.explode(F.transform(_wide(MIN_LINES), lambda c: _place_of(c, _first(c)))).alias("p")).select("at", "of", "p.*")))
+    marks = written(found.groupBy("at", "of").agg(F.collect_set(F.struct("chunk", "code", "later")).alias("marks")))
+    discard(found)
+    return _verified(keyed, marks).groupBy("at", "of").agg(F.collect_set("chunk").alias("gone"))
 
 
-def _places(chunked: DataFrame, least: int) -> DataFrame:
-    """(at, of, chunk, code) of the chunks with so many lines and a word."""
-    wide = F.expr(f"filter(chunks, c -> {_SIZE.format('c')} >= {least} and {_TEXT.format('c')} rlike '[^\\\\x20\\\\x09-\\\\x0D]')")
-    places = chunked.select("at", "of", "lines", F.explode(wide).alias("chunk"))
-    return written(places.select("at", "of", "chunk", chunk_code(F.expr(_TEXT.format("chunk"))).alias("code")))
+def _first(chunk: Column) -> Column:
+    return F.shiftright(chunk, 32).cast("int")
 
 
-def _later(keyed: DataFrame, places: DataFrame) -> DataFrame:
-    """(at, of, chunk, stays): the places of chunks that stand somewhere earlier, with the first place of each; places (a written table) is used up."""
-    often = written(places.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code"))
-    places, all_places = written(places.select("at", "of", "chunk", "code").join(often, "code")), places
-    wanted = places.groupBy("at", "of").agg(F.collect_set(F.struct("chunk", "code")).alias("wanted"))
+def _last(chunk: Column) -> Column:
+    return chunk.bitwiseAND(4294967295).cast("int")
+
+
+def _text_of(chunk: Column) -> Column:
+    return F.array_join(F.slice("lines", _first(chunk) + 1, _last(chunk) - _first(chunk) + 1), "\n")
+
+
+def _place_of(chunk: Column, within: Column) -> Column:
+    """struct(chunk, within, code): ``within`` is the first line of the rolling hash's chunk that holds it."""
+    return F.struct(chunk.alias("chunk"), within.alias("within"), chunk_code(_text_of(chunk)).alias("code"))
+
+
+def _wide(least: int) -> Column:
+    """Those of ``chunks`` with so many lines and a word."""
+    return F.filter("chunks", lambda c: (_last(c) - _first(c) + 1 >= least) & _text_of(c).rlike(WORD))
+
+
+def _each_salt() -> Column:
+    return F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+
+
+def _own_salt() -> Column:
+    return F.pmod(F.xxhash64("at", "of"), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _repeated(places: DataFrame) -> DataFrame:
+    """(at, of, within, chunk, code, later): the places of codes that stand at two or more, and whether the code's first one is another
+    (for a pair: that doesn't start a line before it in the same text); places (a written table) is used up."""
+    place, chunk, stays = F.struct("at", "of", "chunk"), F.col("chunk"), F.col("stays.chunk")
+    often = places.groupBy("code").agg(F.min(place).alias("stays"), F.max(place).alias("last")).where("stays != last")
+    often, salted = written(often.select("code", "stays", _each_salt())), places.withColumn("salt", _own_salt())
+    overlaps = F.col("at").eqNullSafe(F.col("stays.at")) & (F.col("of") == F.col("stays.of")) & (_last(chunk) == _first(chunk) + 1) & (_first(chunk) == _first(stays) + 1)
+    later = (place != F.col("stays")) & ~overlaps
+    found = written(salted.join(often, ["code", "salt"]).select("at", "of", "within", "chunk", "code", later.alias("later")))
+    discard(places, often)
+    return found
+
+
+def _verified(keyed: DataFrame, marks: DataFrame) -> DataFrame:
+    """(at, of, chunk): the later places in marks (at, of, marks array<struct<chunk, code, later>>), without codes whose texts differ."""
     # The lines are bound to a name inside the expression; a column of them would be put into the inner function and split anew for each chunk.
-    pieces = F.expr(f"""flatten(transform(array(split(text, '\n', -1)), lines ->
-        transform(wanted, w -> named_struct('chunk', w.chunk, 'code', w.code, 'piece', {_TEXT.format('w.chunk')}))))""")
-    met = _with(keyed, wanted, "wanted", "inner").select("at", "of", F.explode(pieces).alias("p")).select("at", "of", "p.*")
-    place = F.struct("at", "of", "chunk")
+    pieces = F.expr(f"""flatten(transform(array(split(coalesce(text, ''), '\n', -1)), lines ->
+        transform(marks, w -> named_struct('code', w.code, 'piece', {_TEXT.format('w.chunk')}))))""")
+    met = _with(keyed, marks, "marks", "inner").select(F.explode(pieces).alias("p")).select("p.*")
     # The bytes of a code's pieces are compared in its fold: if the least and the greatest are the same, all are.
-    folded = met.groupBy("code").agg(F.min(place).alias("stays"), F.max(place).alias("last"), (F.min("piece") == F.max("piece")).alias("equal"))
-    folded = folded.where("stays != last and equal").select("code", "stays", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    salted = places.withColumn("salt", F.pmod(F.xxhash64("at", "of"), F.lit(SALTS)).cast("int"))
-    discard(all_places, often)
-    return salted.join(folded, ["code", "salt"]).where(place != F.col("stays")).select("at", "of", "chunk", "stays")
+    differ = met.groupBy("code").agg((F.min("piece") != F.max("piece")).alias("differ")).where("differ").select("code", _each_salt())
+    later = marks.select("at", "of", F.explode(F.filter("marks", lambda w: w["later"])).alias("w")).select("at", "of", "w.chunk", "w.code", _own_salt())
+    return later.join(differ, ["code", "salt"], "left_anti").select("at", "of", "chunk")
 
 
 def chunk_code(piece: Column) -> Column:
     """What equal chunks are found by.  Chunks that share it and differ all stay."""
-    return F.unhex(F.md5(piece))
+    return F.unhex(F.substring(F.sha2(piece, 256), 1, 32))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", drop_emptied: bool = False) -> DataFrame:
@@ -124,32 +162,35 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", drop_e
 
 
 def repeated_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(at, of, gone array<int>): first lines, from 0, of the pairs of lines that stand earlier, for each document that has any."""
+    """(at, of, gone array<int>): first lines, from 0, of the pairs of lines that stand earlier, for each document that has any; those of later chunks with or without a word."""
     keyed = _keyed(docs, text, key).select("at", "of", "text")
-    # First the chunks between the ends that the rolling hash chooses; in one of three lines, a copy lies two lines off at least.
-    whole = _later(keyed, _places(_chunked(keyed, "text", shared=True), MIN_LINES + 1))
-    cut = written(whole.groupBy("at", "of").agg(F.flatten(F.collect_set(F.expr("sequence(cast(shiftright(chunk, 32) as int), cast(chunk & 4294967295 as int) - 1)"))).alias("cut")))
-    # Then what they leave is cut after every line.  The lines are bound to a name, as in _later.
-    starts = "if(size(lines) > 1, sequence(0, size(lines) - 2), cast(array() as array<int>))"
-    word = "(lines[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]' or lines[i + 1] rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
-    pairs = F.expr(f"""flatten(transform(array(split(coalesce(text, ''), '\n', -1)), lines -> concat(
-        transform(filter(array_except({starts}, coalesce(cut, cast(array() as array<int>))), i -> {word}), i -> named_struct('i', i, 'piece', concat(lines[i], '\n', lines[i + 1]))),
-        transform(filter(coalesce(cut, cast(array() as array<int>)), i -> {word}), i -> named_struct('i', i, 'piece', cast(null as string))))))""")
-    places = _with(keyed, cut, "cut", "left").select("at", "of", F.explode(pairs).alias("p"))
-    chunk = F.expr("shiftleft(cast(p.i as bigint), 32) | cast(p.i + 1 as bigint)")
-    places = written(places.select("at", "of", chunk.alias("chunk"), F.when(F.col("p.piece").isNotNull(), chunk_code(F.col("p.piece"))).alias("code")))
-    done = written(places.where("code is null").select("at", "of", F.shiftright("chunk", 32).cast("int").alias("i")))
-    later = _later(keyed, places).select("at", "of", F.shiftright("chunk", 32).cast("int").alias("i"), "stays")
-    first = F.shiftright(F.col("stays.chunk"), 32).cast("int")
-    overlaps = F.col("at").eqNullSafe(F.col("stays.at")) & (F.col("of") == F.col("stays.of")) & (F.col("i") == first + 1)
-    return later.where(~overlaps).select("at", "of", "i").unionAll(done).groupBy("at", "of").agg(F.collect_set("i").alias("gone"))
+    rows = _chunked(keyed, "text", shared=True).withColumn("wordy", F.transform("lines", lambda line: line.rlike(WORD)))
+
+    def pairs(c: Column) -> Column:
+        starts = F.when(_last(c) > _first(c), F.sequence(_first(c), _last(c) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(starts, lambda i: F.get("wordy", i) | F.get("wordy", i + 1))
+        return F.transform(starts, lambda i: _place_of(F.shiftleft(i.cast("long"), 32).bitwiseOR((i + 1).cast("long")), _first(c)))
+
+    # Both densities in one reading: the chunks between the ends that the rolling hash chooses, of three lines or more (so a copy lies
+    # two lines off at least), and the pairs of all chunks.
+    both = F.concat(F.transform(_wide(MIN_LINES + 1), lambda c: _place_of(c, _first(c))), F.flatten(F.transform("chunks", pairs)))
+    found = _repeated(written(rows.select("at", "of", F.explode(both).alias("p")).select("at", "of", "p.*")))
+    # A later chunk goes as a whole; what it leaves is cut after every line.
+    mark, is_pair = F.struct("chunk", "code", "later"), _last(F.col("chunk")) == _first(F.col("chunk")) + 1
+    by_chunk = found.groupBy("at", "of", "within").agg(F.max(F.when(~is_pair, F.struct("later", "chunk", "code"))).alias("whole"), F.collect_set(F.when(is_pair, mark)).alias("pairs"))
+    whole = F.array(F.struct("whole.chunk", "whole.code", "whole.later"))
+    marks = F.when(F.col("whole").isNull(), F.col("pairs")).when(F.col("whole.later"), whole).otherwise(F.concat(whole, "pairs"))
+    marks = written(by_chunk.groupBy("at", "of").agg(F.flatten(F.collect_list(marks)).alias("marks")))
+    discard(found)
+    starts = F.sequence(_first(F.col("chunk")), _last(F.col("chunk")) - 1)
+    return _verified(keyed, marks).groupBy("at", "of").agg(F.flatten(F.collect_list(starts)).alias("gone"))
 
 
 def dedup_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", drop_emptied: bool = False, counts: tuple[str, str] = COUNTS) -> DataFrame:
     """As dedup_lines, but without every line that lies in a repeated pair of lines.  ``counts``: how n_lines and n_removed are named."""
     out = _with(_keyed(docs, text, key), repeated_pairs(docs, text, key), "gone", "left")
     out = out.withColumn("done", F.expr("""element_at(transform(array(split(coalesce(text, ''), '\n', -1)), lines -> element_at(transform(
-        array(array_except(sequence(0, size(lines) - 1), flatten(transform(coalesce(gone, cast(array() as array<int>)), i -> array(i, i + 1))))),
+        array(array_except(sequence(0, size(lines) - 1), flatten(transform(filter(coalesce(gone, cast(array() as array<int>)), i -> lines[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]' or lines[i + 1] rlike '[^\\\\x20\\\\x09-\\\\x0D]'), i -> array(i, i + 1))))),
         stay -> named_struct('left', array_join(transform(stay, i -> lines[i]), '\n'), 'n', size(lines), 'lost', size(lines) - size(stay))), 1)), 1)"""))
     return _finished(docs, out, text, key, F.col("done.left"), F.col("done.n").cast("long"), F.col("done.lost").cast("long"), drop_emptied, counts)
 

@@ -452,6 +452,31 @@ def test_runs_are_compared_byte_by_byte(spark, monkeypatch):
     assert listed(linededup.dedup_runs(docs).select("doc_id", "text")) == Counter(rows)
 
 
+def test_runs_keep_lines_between_lines_without_a_word(spark):
+    """In a later chunk as well as outside: of three blank lines the middle one lies in no pair with a word."""
+    text = "\n".join(["a b", "", " ", "\t", "", "c d"] + [f"line {i}\n \n\n " for i in range(30)])
+    docs = spark.createDataFrame([(k, text) for k in range(2)], "doc_id long, text string")
+    lines = text.split("\n")
+    stay = [i for i in range(len(lines)) if not any(lines[j].strip(" \t") for j in (i - 1, i, i + 1) if 0 <= j < len(lines))]
+    assert stay
+    assert {r.doc_id: r.text for r in linededup.dedup_runs(docs).collect()} == {0: text, 1: "\n".join(lines[i] for i in stay)}
+
+
+def test_runs_move_each_text_once(spark, tmp_path, monkeypatch):
+    """The places of both densities come from one reading; texts are dealt once, for the comparison and the verdicts."""
+    docs = spark.createDataFrame([(k, "\n".join(f"line {i}" for i in range(40)) + f"\nend {k}") for k in range(3)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    moved, join = [], linededup._with
+
+    def counted(rows, found, column, how):
+        moved.append(column)
+        return join(rows, found, column, how)
+
+    monkeypatch.setattr(linededup, "_with", counted)
+    out = linededup.dedup_runs(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert sorted(moved) == ["gone", "marks"] and len(out.collect()) == 3
+
+
 def test_runs_go_from_head_to_tail(spark):
     """Passages of 2 to 7 lines at any place, in the pipeline's stage: nothing of the later copy stays."""
     import corpus_pipeline
