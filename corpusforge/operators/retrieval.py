@@ -103,12 +103,9 @@ def dense(questions: DataFrame, vectors: DataFrame, top: int = 20, qkey: str = "
                 keys = np.array(batch.column(key).to_pylist())
                 step = max(1, CELLS // len(own))
                 for start in range(0, len(ids), step):
-                    scores = np.round(np.clip(matrix[start : start + step] @ own.T, -1, 1), 6)
-                    least = best.floor[start : start + step]
-                    if len(own) > top:
-                        least = np.maximum(least, np.partition(scores, len(own) - top, axis=1)[:, len(own) - top])
-                    q, d = np.nonzero(~(scores < least[:, None]))
-                    best.add(q + start, keys[d], scores[q, d])
+                    scores = matrix[start : start + step] @ own.T
+                    q, d = best.reaching(np.clip(scores, -1, 1, out=scores), np.arange(start, start + len(scores)), np.full(len(scores), 1e-6))
+                    best.add(q + start, keys[d], np.round(scores[q, d], 6))
             best.settle()
             for q, keys, scores in best.found:
                 yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), pa.array(keys), pa.array(scores)], [qkey, key, "dense_score"])

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ from corpusforge.sources import versions
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Folders of blocks by term, documents of a cell, bytes of asked terms that go to every task at a time.
-TERM_BUCKETS, CELL, BLOCK_BYTES = 32, 128, 16 << 20
+TERM_BUCKETS, CELL, BLOCK_BYTES = 32, 512, 32 << 20
+#: Documents for each task of a search beyond one a core; multiplications that take as long as one posting that is added alone.
+TASK, PRODUCT = 1 << 16, 400
 #: More segments than these are merged by the next run.
 MOST_SEGMENTS = 8
 
@@ -307,21 +310,33 @@ def load(spark: SparkSession, path: str, tokenizer: str, documents: int | None =
 class _Scorer:
     """The best documents of each question over the cells that one task meets, and how many blocks it scored."""
 
-    def __init__(self, asked: dict[str, tuple[np.ndarray, np.ndarray]], questions: int, top: int, average: float):
-        self.asked, self.n, self.top, self.average = asked, questions, top, average or 1.0
+    def __init__(self, asked: dict, questions: int, top: int, average: float):
+        self.n, self.top, self.average = questions, top, average or 1.0
+        self.number = {t: i for i, t in enumerate(asked)}
+        who = np.concatenate([p[0] for p in asked.values()])
+        order = np.argsort(who, kind="stable")
+        # Each question's terms, question by question.
+        self.who, self.weight = who[order], np.concatenate([p[1] for p in asked.values()])[order]
+        self.term = np.repeat(np.arange(len(asked)), [len(p[0]) for p in asked.values()])[order]
         self.best = Best(questions, top, 0.0)
         self.met, self.scored = np.zeros(questions, np.int64), np.zeros(questions, np.int64)
 
     def cell(self, rows: pa.Table, stretch: float) -> None:
-        pairs = [self.asked[t] for t in rows.column("term").to_pylist()]
-        sizes = np.array([len(p[0]) for p in pairs])
-        who, weight, block = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), np.repeat(np.arange(len(pairs)), sizes)
+        """Terms that many questions ask and many documents have are one product of two matrices, weights by impacts; the
+        postings of the others are added one by one.  Blocks of terms that nobody asks are passed over."""
+        known = np.array([self.number.get(t, -1) for t in rows.column("term").to_pylist()])
+        of = np.full(len(self.number), -1)
+        of[known[known >= 0]] = np.flatnonzero(known >= 0)
+        block = of[self.term]
+        here = np.flatnonzero(block >= 0)
+        who, weight, block = self.who[here], self.weight[here], block[here]
         bound = rows.column("bound").to_numpy() * stretch
         reach = np.bincount(who, np.maximum(weight, 0) * bound[block], self.n)
         self.met += np.bincount(who, minlength=self.n)
         alive = (reach > 0) & (reach >= self.best.floor - 1e-9)
-        kept = alive[who]
-        who, weight, block = who[kept], weight[kept], block[kept]
+        if not alive.all():
+            kept = alive[who]
+            who, weight, block = who[kept], weight[kept], block[kept]
         if not len(who):
             return
         self.scored += np.bincount(who, minlength=self.n)
@@ -336,23 +351,53 @@ class _Scorer:
         dead = rows.column("dead").combine_chunks()[0].as_py()
         if dead:
             impact[np.isin(column, np.flatnonzero(pc.is_in(names, pa.array(dead, names.type)).to_numpy(zero_copy_only=False)))] = 0
-        names = names.to_numpy(zero_copy_only=False)
-        # By question, in slices of about CELLS postings and scores.
-        order = np.argsort(who, kind="stable")
-        who, weight, block = who[order], weight[order], block[order]
-        size = counts[block]
-        first = np.flatnonzero(np.diff(who, prepend=-1))
-        before = (np.cumsum(size) - size)[first] // CELLS, who[first] * len(names) // CELLS
-        edges = first[np.flatnonzero((np.diff(before[0], prepend=-1) != 0) | (np.diff(before[1], prepend=-1) != 0))]
-        for a, b in zip(edges, [*edges[1:], len(who)]):
-            base, n = who[a], size[a:b]
+        names, docs = names.to_numpy(zero_copy_only=False), len(names)
+        living = np.flatnonzero(alive)
+        who = (np.cumsum(alive) - 1)[who]
+        # Scores are first added up in single precision, which says which ones are worth adding up in full; so much they may be off.
+        slack = 1e-9 + (np.bincount(who, minlength=len(living)) + 4) * 2.0**-23 * (K1 + 1) * np.bincount(who, np.abs(weight), len(living))
+        work = np.bincount(block, minlength=len(counts)) * counts
+        wide = np.flatnonzero(work * PRODUCT > len(living) * docs)
+        wide = wide[np.argsort(-work[wide], kind="stable")[: CELLS // docs]]
+        row = np.full(len(counts), -1)
+        row[wide] = np.arange(len(wide))
+        at = np.repeat(row, counts)
+        impacts = _matrix(at[at >= 0], column[at >= 0], impact[at >= 0], (len(wide), docs))
+        many = row[block] >= 0
+        wide_who, wide_weight, wide_row = who[many], weight[many], row[block[many]]
+        who, weight, block = who[~many], weight[~many], block[~many]
+        terms = np.bincount(wide_who, minlength=len(living))
+        first = np.cumsum(terms) - terms
+        single = impacts.astype(np.float32)
+        # By question, in slices of about CELLS postings, weights and scores.
+        for a, b in _slices(np.maximum(np.bincount(who, counts[block], len(living)), max(docs, len(wide)))):
+            i, j = np.searchsorted(who, (a, b))
+            n = counts[block[i:j]]
             # One number for each question, block and posting of the block.
-            at = np.repeat(starts[block[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            cells = np.repeat(who[a:b] - base, n) * len(names) + column[at]
-            score = np.bincount(cells, np.repeat(weight[a:b], n) * impact[at], (who[b - 1] - base + 1) * len(names)).reshape(-1, len(names))
-            score = np.round(score, 9)
-            q, d = np.nonzero((score > 0) & (score >= self.best.floor[base : base + len(score), None]))
-            self.best.add(q + base, names[d], score[q, d])
+            at = np.repeat(starts[block[i:j]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            alone = _matrix(np.repeat(who[i:j] - a, n), column[at], np.repeat(weight[i:j], n) * impact[at], (b - a, docs))
+            i, j = np.searchsorted(wide_who, (a, b))
+            weights = np.zeros((b - a, len(wide)), np.float32)
+            weights[wide_who[i:j] - a, wide_row[i:j]] = wide_weight[i:j]
+            score = weights @ single
+            score += alone.astype(np.float32)
+            q, d = self.best.reaching(score, living[a:b], slack[a:b])
+            for c, e in _slices(terms[a + q]):
+                n = terms[a + q[c:e]]
+                at = np.repeat(first[a + q[c:e]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                added = np.bincount(np.repeat(np.arange(e - c), n), wide_weight[at] * impacts[wide_row[at], np.repeat(d[c:e], n)], e - c)
+                self.best.add(living[a + q[c:e]], names[d[c:e]], np.round(alone[q[c:e], d[c:e]] + added, 9))
+
+
+def _slices(size: np.ndarray):
+    """Stretches of rows of about CELLS together; a larger row is one."""
+    edges = np.flatnonzero(np.diff((np.cumsum(size) - size) // CELLS, prepend=-1))
+    yield from zip(edges, [*edges[1:], len(size)])
+
+
+def _matrix(row: np.ndarray, column: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """The sums of the values by row and column."""
+    return np.bincount(row * shape[1] + column, values, shape[0] * shape[1]).astype(np.float64, copy=False).reshape(shape)
 
 
 def _groups(batches, *by):
@@ -390,12 +435,13 @@ def scores(questions: DataFrame, index: Bm25Index, top: int, qkey: str, qtext: s
     """(qid, key, raw, met, scored): of each task the best documents of each question; and, in rows without a key, how many blocks
     of the question it met and scored.
 
-    The stated questions go out in blocks of about ``BLOCK_BYTES``, with their terms and weights."""
+    The stated questions go out in blocks of about ``BLOCK_BYTES``, with their terms and weights.  All of them share one dealing of
+    the index by cell, over as many tasks as there are cores, as each task passes on its best rows."""
     spark = questions.sparkSession
     kind, own = questions.schema[qkey].dataType.simpleString(), index.blocks.schema["keys"].dataType.elementType.simpleString()
     schema = f"{qkey} {kind}, key {own}, raw double, met long, scored long"
     size = questions.agg(F.sum(F.coalesce(F.octet_length(qtext), F.lit(0)) * 2 + 64)).first()[0] or 0
-    parts, out = max(1, -(-size // BLOCK_BYTES)), None
+    parts, sent, known, buckets = max(1, -(-size // BLOCK_BYTES)), [], set(), set()
     for part in range(parts):
         rows = _weights(questions.where(F.pmod(F.xxhash64(qkey), F.lit(parts)) == part), index, qkey, qtext).toArrow().combine_chunks()
         if not rows.num_rows:
@@ -405,13 +451,18 @@ def scores(questions: DataFrame, index: Bm25Index, top: int, qkey: str, qtext: s
         order = np.argsort(term.indices.to_numpy(), kind="stable")
         cuts = np.cumsum(np.bincount(term.indices.to_numpy()))[:-1]
         by_term = dict(zip(term.dictionary.to_pylist(), zip(np.split(number[order], cuts), np.split(weight[order], cuts))))
-        held = spark.sparkContext.broadcast((ids, by_term, index.average, index.built))
-
-        def run(batches, held=held):
+        sent.append(spark.sparkContext.broadcast((ids, by_term, index.average, list(index.built.values()))))
+        known.update(by_term)
+        buckets.update(rows.column("bucket").unique().to_pylist())
+    if not sent:
+        return spark.createDataFrame([], schema)
+
+    def search(held):
+        def run(batches):
             ids, asked, average, built = held.value
             scorer = _Scorer(asked, len(ids), top, average)
-            for rows in _groups(batches, "segment", "cell"):
-                scorer.cell(rows, max(1.0, average / built[rows.column("segment")[0].as_py()]))
+            for rows in _groups(batches, "place"):
+                scorer.cell(rows, max(1.0, average / built[rows.column("place")[0].as_py() % len(built)]))
             scorer.best.settle()
             for q, keys, score in scorer.best.found:
                 none = pa.nulls(len(q), pa.int64())
@@ -421,10 +472,13 @@ def scores(questions: DataFrame, index: Bm25Index, top: int, qkey: str, qtext: s
                 kinds = pa.int64() if own in ("int", "bigint", "smallint") else pa.string()
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at]), pa.nulls(len(at), kinds), pa.nulls(len(at), pa.float64()), pa.array(scorer.met[at]), pa.array(scorer.scored[at])], [qkey, "key", "raw", "met", "scored"])
 
-        terms = spark.createDataFrame(pa.table({"term": pa.array(list(by_term))}))
-        buckets = rows.column("bucket").unique().to_pylist()
-        read = index.blocks.where(F.col("bucket").isin(buckets)).join(F.broadcast(terms), "term", "left_semi").select("segment", "cell", "term", "bound", "keys", "tfs", "dls")
-        dealt = _live(read, index.buried).repartition("segment", "cell").sortWithinPartitions("segment", "cell")
-        found = dealt.mapInArrow(run, schema)
-        out = found if out is None else out.unionAll(found)
-    return spark.createDataFrame([], schema) if out is None else out
+        return run
+
+    terms = spark.createDataFrame(pa.table({"term": pa.array(list(known))}))
+    read = index.blocks.where(F.col("bucket").isin(list(buckets))).join(F.broadcast(terms), "term", "left_semi")
+    # Cell and segment as one number, which is quick to sort by.
+    segment = F.array_position(F.array(*map(F.lit, index.built)), F.col("segment")) - 1
+    live = _live(read, index.buried).select("cell", (F.col("cell") * F.lit(len(index.built)).cast("long") + segment).alias("place"), "term", "bound", "keys", "tfs", "dls", "dead")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-index.documents // TASK))
+    dealt = live.repartitionById(tasks, "cell").drop("cell").sortWithinPartitions("place")
+    return reduce(DataFrame.unionAll, [dealt.mapInArrow(search(held), schema) for held in sent])

@@ -123,3 +123,51 @@ def test_searches_of_many_questions_stay_within_their_slices(monkeypatch):
         assert kept.waiting <= 4 * 2 * 2 + 3
     kept.settle()
     assert [x.tolist() for x in kept.found[0]] == [[0, 0, 1, 1], [50, 51, 49, 48], [1.0, 1.0, 49.0, 48.0]]
+
+
+def test_common_terms_of_many_questions_are_not_added_one_by_one(monkeypatch):
+    """2,000 questions with common and rare terms over 400 documents: the best by plain sums, from few single additions."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusforge.operators import segments
+
+    rng = np.random.default_rng(0)
+    n, docs, added = 2000, 400, []
+    dls = rng.integers(5, 200, docs)
+    held = [np.arange(docs)] * 3 + [np.sort(rng.choice(docs, 2, False)) for _ in range(30)]
+    tfs = [rng.integers(1, 9, len(h)) for h in held]
+    column = lambda parts, kind: pa.array([np.asarray(p) for p in parts], pa.list_(kind))
+    cell = pa.table({"term": [f"t{i}" for i in range(33)], "bound": [2.5] * 33, "keys": column(held, pa.int64()), "tfs": column(tfs, pa.int32()), "dls": column([dls[h] for h in held], pa.int32()), "dead": pa.nulls(33, pa.list_(pa.int64()))})
+    who = [np.arange(n)] * 3 + [np.sort(rng.choice(n, 5, False)) for _ in range(30)]
+    asked = {f"t{i}": (w, rng.random(len(w)) * (1 if i < 3 else 9)) for i, w in enumerate(who)}
+    plain = np.zeros((n, docs))
+    for i, (w, weight) in enumerate(asked.values()):
+        impact = tfs[i] * 2.5 / (tfs[i] + 1.5 * (0.25 + 0.75 * dls[held[i]] / 100.0))
+        plain[np.ix_(w, held[i])] += np.outer(weight, impact)
+    scorer, count = segments._Scorer(asked, n, 2, 100.0), np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **b: added.append(len(x)) or count(x, *a, **b))
+    scorer.cell(cell, 1.0)
+    scorer.best.settle()
+    q, keys, score = scorer.best.found[0]
+    best = np.argsort(-np.round(plain, 9), axis=1, kind="stable")[:, :2]
+    assert np.array_equal(q, np.repeat(np.arange(n), 2)) and np.array_equal(keys, best.ravel())
+    assert np.allclose(score, plain[q, keys], atol=2e-9)
+    assert sum(added) < n * 3 * docs / 10
+
+
+def test_questions_in_blocks_share_one_dealing_of_the_index(spark, tmp_path, monkeypatch):
+    from corpusforge.operators import segments
+
+    path = str(tmp_path / "bm25")
+    retrieval.write_bm25(spark.createDataFrame([(i, f"red w{i} w{i % 7}") for i in range(40)], "doc_id long, text string"), path)
+    asked = spark.createDataFrame([(i, f"red w{i % 7} w{i}") for i in range(30)], "qid long, question string")
+    whole = sorted(map(tuple, retrieval.bm25_search(asked, retrieval.load_bm25(spark, path), 3).collect()))
+    monkeypatch.setattr(segments, "BLOCK_BYTES", 500)
+    rows = segments.scores(asked, retrieval.load_bm25(spark, path), 3, "qid", "question")
+    assert rows.count() > 0
+    got = rows.where("key is not null")
+    assert sorted(map(tuple, retrieval.bm25_search(asked, retrieval.load_bm25(spark, path), 3).collect())) == whole
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") > 2 and plan.count("ReusedExchange") >= plan.count("MapInArrow") - 1
